@@ -6,24 +6,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims
-from .text import BARE_PATH, Rx, any_word, estimate_tokens
+from .text import BARE_PATH, Rx, Words, contains_any, estimate_tokens, is_json, key_words
 
 # --- fixed values: signs of a language ---------------------------------------
 LANGUAGE_SIGNS = {
-    "python": [Rx(r"{<}def{s}+\w+\("), Rx(r"{<}import{s}+\w+"), Rx(r"{<}class{s}+\w+:"),
-               Rx(r"(?:\A|[\n\r\x{2028}\x{2029}]){s}*#")],
-    "javascript": [Rx(r"{<}function{s}+\w+\("), Rx(r"{<}const{s}+\w+{s}*="), Rx(r"=>{s}*\{"), Rx(r"{<}require\(")],
-    "typescript": [Rx(r":{s}*(?:string|number|boolean){>}"), Rx(r"{<}interface{s}+"), Rx(r"{<}type{s}+\w+{s}*=")],
-    "java": [Rx(r"{<}public{s}+(?:class|static|void)"), Rx(r"System\.out\.print")],
-    "go": [Rx(r"{<}func{s}+\w+\("), Rx(r"{<}package{s}+\w+"), Rx(r"{<}fmt\.\w+")],
-    "rust": [Rx(r"{<}fn{s}+\w+\("), Rx(r"{<}let{s}+mut{s}+"), Rx(r"{<}impl{s}+")],
+    "python": [Rx(r"{<}def{s}+\w+\(", needs=("def",)), Rx(r"{<}import{s}+\w+", needs=("import",)),
+               Rx(r"{<}class{s}+\w+:", needs=("class",)), Rx(r"(?:\A|[\n\r\x{2028}\x{2029}]){s}*#", needs=("#",))],
+    "javascript": [Rx(r"{<}function{s}+\w+\(", needs=("function",)), Rx(r"{<}const{s}+\w+{s}*=", needs=("const",)),
+                   Rx(r"=>{s}*\{", needs=("=>",)), Rx(r"{<}require\(", needs=("require(",))],
+    "typescript": [Rx(r":{s}*(?:string|number|boolean){>}", needs=(":",)), Rx(r"{<}interface{s}+", needs=("interface",)),
+                   Rx(r"{<}type{s}+\w+{s}*=", needs=("type", "="))],
+    "java": [Rx(r"{<}public{s}+(?:class|static|void)", needs=("public",)),
+             Rx(r"System\.out\.print", needs=("System.out.print",))],
+    "go": [Rx(r"{<}func{s}+\w+\(", needs=("func",)), Rx(r"{<}package{s}+\w+", needs=("package",)),
+           Rx(r"{<}fmt\.\w+", needs=("fmt.",))],
+    "rust": [Rx(r"{<}fn{s}+\w+\(", needs=("fn",)), Rx(r"{<}let{s}+mut{s}+", needs=("let", "mut")),
+             Rx(r"{<}impl{s}+", needs=("impl",))],
 }
 LANGUAGES = list(LANGUAGE_SIGNS)
-REFUSAL = Rx("|".join(dims.REFUSAL_PHRASES), ignore_case=True)
-HEDGES = any_word(*dims.HEDGES, ignore_case=True)
-MORE_HEDGES = any_word(*dims.MORE_HEDGES, ignore_case=True)
-MARKERS = any_word(*dims.MARKERS)
-MARKERS_OR_HACK = any_word(*dims.MARKERS, "HACK")
+HEDGES = Words(*dims.HEDGES)
+MORE_HEDGES = Words(*dims.MORE_HEDGES)
+MARKERS = Rx("{<}(?:" + "|".join(dims.MARKERS) + "){>}")
+HACK = Rx("{<}HACK{>}", needs=("HACK",))
+
+
+def refusal(lowered: Column) -> Column:
+    return contains_any(lowered, dims.REFUSAL_PHRASES)
+
+
+def hedge_words(lowered: Column) -> Column:
+    return key_words(lowered, MORE_HEDGES)
+
+
+def first_marker(text: Column) -> Column:
+    """The first placeholder marker, the empty string when there is none."""
+    return F.when(contains_any(text, dims.MARKERS), MARKERS.first(text)).otherwise("")
 
 
 def count_of(text: Column, char: str) -> Column:
@@ -52,7 +69,8 @@ def wrong_language(counts: Column, expected: Column) -> Column:
 
 def unbalanced(code: Column, opener: str, closer: str) -> Column:
     """The running depth falls below -2, or ends more than 2 away from zero."""
-    only = F.regexp_replace(code, f"[^\\{opener}\\{closer}]+", "")
+    some = contains_any(code, [opener, closer])
+    only = F.when(some, F.regexp_replace(code, f"[^\\{opener}\\{closer}]+", "")).otherwise("")
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low"))
 
     def step(state, char):
@@ -75,7 +93,7 @@ def unmatched_braces(code: Column) -> Column:
 def syntax_error(code: Column, expected: Column, brackets: Column, braces: Column) -> Column:
     return (F.when(expected.isNull(), False)
             .when(expected == "python", brackets)
-            .when(expected == "json", F.try_parse_json(code).isNull())
+            .when(expected == "json", ~is_json(code))
             .otherwise(brackets | braces))
 
 
@@ -85,8 +103,7 @@ def check(name: str, reason: Column, hard: bool) -> Column:
                     reason.alias("reason"), F.lit(hard).alias("hard"))
 
 
-def completeness_reason(text: Column) -> Column:
-    marker = MARKERS.first(text)
+def completeness_reason(marker: Column) -> Column:
     return F.when(marker != "", F.concat(F.lit("Found placeholder marker: "), marker))
 
 
@@ -124,8 +141,7 @@ def length_reason(trimmed: Column, low: int, high: int) -> Column:
             .when(n > high, F.format_string(f"Output too long: %d chars (max {high})", n)))
 
 
-def hedging_reason(text: Column) -> Column:
-    n = MORE_HEDGES.count(text)
+def hedging_reason(n: Column) -> Column:
     return F.when(n >= 3, F.format_string("Excessive hedging: %d instances", n))
 
 

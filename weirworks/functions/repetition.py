@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import dims
 
@@ -74,7 +75,7 @@ def text_has_triple(text: str | None, unit: int = dims.REPETITION_UNIT) -> bool:
     return any(has_triple(chars[starts[j]:stops[j]], unit) for j in long)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _repeats(texts: pd.Series) -> pd.Series:
     return texts.map(text_has_triple).astype(bool)
 

@@ -1,6 +1,6 @@
 """Features of a prompt and the complexity score built from them.
 
-Every function takes the lower-cased prompt.
+Functions take the lower-cased prompt and, where they look for whole words, its key words.
 """
 
 from __future__ import annotations
@@ -11,89 +11,114 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims
-from .text import Rx, any_word, files_referenced, first_match
+from .text import Rx, Words, contains_any, files_referenced, key_words
 
 # --- fixed values: what each feature listens for, first hit wins --------------
 SCOPE = [
-    ("system", Rx("across the (?:codebase|project|repo)|entire (?:codebase|project)|all files|everywhere")),
-    ("module", Rx("this module|this package|this directory|multiple files|several files")),
-    ("file", Rx("this file|single file|in this file|the file")),
+    ("system", ["across the codebase", "across the project", "across the repo", "entire codebase", "entire project",
+                "all files", "everywhere"]),
+    ("module", ["this module", "this package", "this directory", "multiple files", "several files"]),
+    ("file", ["this file", "single file", "in this file", "the file"]),
 ]
-STEPS = any_word("then", "next", "after that", "followed by", "finally", "first", "second", "third")
-CONDITIONS = any_word("if", "unless", "when", "while", "depending", "consider", "ensure", "make sure")
+STEPS = Words("then", "next", "after that", "followed by", "finally", "first", "second", "third")
+CONDITIONS = Words("if", "unless", "when", "while", "depending", "consider", "ensure", "make sure")
 DEPTH_BONUS = [
-    (Rx("analyze{.}*then{.}*refactor"), 0.2),
-    (Rx("debug{.}*fix{.}*test"), 0.2),
-    (Rx("understand{.}*implement"), 0.15),
-    (any_word("why"), 0.1),
-    (any_word("how{.}*should"), 0.15),
+    (Rx("analyze{.}*then{.}*refactor", needs=("analyze", "then", "refactor")), 0.2),
+    (Rx("debug{.}*fix{.}*test", needs=("debug", "fix", "test")), 0.2),
+    (Rx("understand{.}*implement", needs=("understand", "implement")), 0.15),
+    (Words("why"), 0.1),
+    (Words("how{.}*should"), 0.15),
 ]
-TOOL_CHAIN = any_word("make it work", "until", "iterate", "keep trying", "back and forth", "test{.}*fix",
+TOOL_CHAIN = Words("make it work", "until", "iterate", "keep trying", "back and forth", "test{.}*fix",
                       "fix{.}*test", "debug{.}*fix", "try{.}*different")
 OUTPUT_TYPE = [
-    ("data_transform", any_word("convert", "format", "transform", "parse", "serialize", "deserialize", "json",
+    ("data_transform", Words("convert", "format", "transform", "parse", "serialize", "deserialize", "json",
                                 "yaml", "csv")),
-    ("analysis", any_word("explain", "summarize", "analyze", "review", "describe", "what does")),
-    ("code_mod", any_word("refactor", "rename", "move", "extract", "inline", "modify", "update", "change", "fix")),
-    ("text", any_word("docstring", "comment", "readme", "documentation", "message", "note", "changelog")),
+    ("analysis", Words("explain", "summarize", "analyze", "review", "describe", "what does")),
+    ("code_mod", Words("refactor", "rename", "move", "extract", "inline", "modify", "update", "change", "fix")),
+    ("text", Words("docstring", "comment", "readme", "documentation", "message", "note", "changelog")),
 ]
 NOVELTY = [
-    ("boilerplate", any_word("boilerplate", "template", "scaffold", "skeleton", "stub", "placeholder")),
-    ("known_pattern", any_word("crud", "rest", "api endpoint", "config", "env", "setup", "init")),
-    ("novel", any_word("novel", "unique", "custom", "from scratch", "new approach", "innovative")),
-    ("adaptation", any_word("adapt", "modify", "extend", "customize", "adjust", "tweak")),
+    ("boilerplate", Words("boilerplate", "template", "scaffold", "skeleton", "stub", "placeholder")),
+    ("known_pattern", Words("crud", "rest", "api endpoint", "config", "env", "setup", "init")),
+    ("novel", Words("novel", "unique", "custom", "from scratch", "new approach", "innovative")),
+    ("adaptation", Words("adapt", "modify", "extend", "customize", "adjust", "tweak")),
 ]
 COST_OF_WRONG = [
-    ("critical", any_word("security", "auth", "password", "credential", "secret", "encrypt", "vulnerability",
+    ("critical", Words("security", "auth", "password", "credential", "secret", "encrypt", "vulnerability",
                           "production deploy")),
-    ("high", any_word("database migration", "schema change", "deploy", "infrastructure", "payment", "billing")),
-    ("medium", any_word("refactor", "api change", "interface change", "breaking change", "public api")),
-    ("trivial", any_word("test", "doc", "comment", "format", "style", "lint", "readme")),
+    ("high", Words("database migration", "schema change", "deploy", "infrastructure", "payment", "billing")),
+    ("medium", Words("refactor", "api change", "interface change", "breaking change", "public api")),
+    ("trivial", Words("test", "doc", "comment", "format", "style", "lint", "readme")),
 ]
 REVERSIBILITY = [
-    ("hard_to_reverse", any_word("migration", "deploy", "publish", "release", "delete", "drop",
+    ("hard_to_reverse", Words("migration", "deploy", "publish", "release", "delete", "drop",
                                  "remove{.}*permanently")),
-    ("needs_review", any_word("refactor", "rename across", "change api", "modify interface")),
+    ("needs_review", Words("refactor", "rename across", "change api", "modify interface")),
 ]
-FILE_SUFFIX = Rx(r"\.(?:py|js|ts|go|rs|java|rb|php|c|cpp|cs){>}")
-# "e.g." and "pattern:" end in punctuation, so the word edge after them needs a word character next
-EXAMPLES = Rx(r"{<}(?:(?:example|like this|such as|for instance|similar to){>}|(?:e\.g\.|pattern:){b})")
-TESTS = any_word("test exists", "has tests", "test file", "spec file", "test suite", "coverage")
+FILE_SUFFIX = Rx(r"\.(?:py|js|ts|go|rs|java|rb|php|c|cpp|cs){>}", needs=(".",))
+EXAMPLES = Words("example", "like this", "such as", "for instance", "similar to")
+# these end in punctuation, so the word edge after them needs a word character next
+MARKED_EXAMPLES = [Rx(r"{<}e\.g\.{b}", needs=("e.g.",)), Rx("{<}pattern:{b}", needs=("pattern:",))]
+TESTS = Words("test exists", "has tests", "test file", "spec file", "test suite", "coverage")
 
 SIGNAL_NAMES = ["files_referenced", "estimated_context_tokens", "scope", "reasoning_depth",
                 "requires_tool_chain", "output_type", "novelty", "cost_of_wrong", "reversibility",
                 "language_familiarity", "has_examples", "has_tests"]
 
 
+GROUPS = [STEPS, CONDITIONS, TOOL_CHAIN, EXAMPLES, TESTS,
+          *[b for b, _ in DEPTH_BONUS if isinstance(b, Words)],
+          *[group for table in (OUTPUT_TYPE, NOVELTY, COST_OF_WRONG, REVERSIBILITY) for _, group in table]]
+
+
+def words_of(lowered: Column) -> Column:
+    """Key words of a prompt for all word features."""
+    return key_words(lowered, *GROUPS)
+
+
+def _label(table: list[tuple[str, Column]], default: str) -> Column:
+    (name, hit), *rest = table
+    out = F.when(hit, name)
+    for name, hit in rest:
+        out = out.when(hit, name)
+    return out.otherwise(default)
+
+
+def _by_words(table: list[tuple[str, Words]], lowered: Column, words: Column, default: str) -> Column:
+    return _label([(name, group.found(lowered, words)) for name, group in table], default)
+
+
 def scope(lowered: Column) -> Column:
-    return first_match(lowered, SCOPE, "function")
+    return _label([(name, contains_any(lowered, phrases)) for name, phrases in SCOPE], "function")
 
 
-def reasoning_depth(lowered: Column) -> Column:
-    steps = F.least(STEPS.count(lowered) * F.lit(0.15), F.lit(0.45))
-    conditions = F.least(CONDITIONS.count(lowered) * F.lit(0.1), F.lit(0.3))
-    bonuses = [F.when(rx.found(lowered), bonus).otherwise(0.0) for rx, bonus in DEPTH_BONUS]
+def reasoning_depth(lowered: Column, words: Column) -> Column:
+    steps = F.least(STEPS.count(lowered, words) * F.lit(0.15), F.lit(0.45))
+    conditions = F.least(CONDITIONS.count(lowered, words) * F.lit(0.1), F.lit(0.3))
+    hit = lambda rx: rx.found(lowered, words) if isinstance(rx, Words) else rx.found(lowered)
+    bonuses = [F.when(hit(rx), bonus).otherwise(0.0) for rx, bonus in DEPTH_BONUS]
     return F.least(reduce(lambda a, b: a + b, [steps, conditions, *bonuses]), F.lit(1.0))
 
 
-def requires_tool_chain(lowered: Column) -> Column:
-    return TOOL_CHAIN.found(lowered)
+def requires_tool_chain(lowered: Column, words: Column) -> Column:
+    return TOOL_CHAIN.found(lowered, words)
 
 
-def output_type(lowered: Column) -> Column:
-    return first_match(lowered, OUTPUT_TYPE, "code_gen")
+def output_type(lowered: Column, words: Column) -> Column:
+    return _by_words(OUTPUT_TYPE, lowered, words, "code_gen")
 
 
-def novelty(lowered: Column) -> Column:
-    return first_match(lowered, NOVELTY, "known_pattern")
+def novelty(lowered: Column, words: Column) -> Column:
+    return _by_words(NOVELTY, lowered, words, "known_pattern")
 
 
-def cost_of_wrong(lowered: Column) -> Column:
-    return first_match(lowered, COST_OF_WRONG, "low")
+def cost_of_wrong(lowered: Column, words: Column) -> Column:
+    return _by_words(COST_OF_WRONG, lowered, words, "low")
 
 
-def reversibility(lowered: Column) -> Column:
-    return first_match(lowered, REVERSIBILITY, "easy_undo")
+def reversibility(lowered: Column, words: Column) -> Column:
+    return _by_words(REVERSIBILITY, lowered, words, "easy_undo")
 
 
 def language_familiarity(lowered: Column) -> Column:
@@ -107,12 +132,12 @@ def language_familiarity(lowered: Column) -> Column:
     return named.otherwise(by_suffix)
 
 
-def has_examples(lowered: Column) -> Column:
-    return EXAMPLES.found(lowered)
+def has_examples(lowered: Column, words: Column) -> Column:
+    return reduce(lambda a, b: a | b, [EXAMPLES.found(lowered, words), *[rx.found(lowered) for rx in MARKED_EXAMPLES]])
 
 
-def has_tests(lowered: Column) -> Column:
-    return TESTS.found(lowered)
+def has_tests(lowered: Column, words: Column) -> Column:
+    return TESTS.found(lowered, words)
 
 
 def weight(key: Column, table: dict[str, float], default: float) -> Column:
@@ -124,20 +149,20 @@ def weight(key: Column, table: dict[str, float], default: float) -> Column:
     return out.otherwise(default)
 
 
-def signal_columns(lowered: Column) -> dict[str, Column]:
+def signal_columns(lowered: Column, words: Column) -> dict[str, Column]:
     """All text features but the context size, which follows from the file count."""
     return {
         "files_referenced": files_referenced(lowered),
         "scope": scope(lowered),
-        "reasoning_depth": reasoning_depth(lowered),
-        "requires_tool_chain": requires_tool_chain(lowered),
-        "output_type": output_type(lowered),
-        "novelty": novelty(lowered),
-        "cost_of_wrong": cost_of_wrong(lowered),
-        "reversibility": reversibility(lowered),
+        "reasoning_depth": reasoning_depth(lowered, words),
+        "requires_tool_chain": requires_tool_chain(lowered, words),
+        "output_type": output_type(lowered, words),
+        "novelty": novelty(lowered, words),
+        "cost_of_wrong": cost_of_wrong(lowered, words),
+        "reversibility": reversibility(lowered, words),
         "language_familiarity": language_familiarity(lowered),
-        "has_examples": has_examples(lowered),
-        "has_tests": has_tests(lowered),
+        "has_examples": has_examples(lowered, words),
+        "has_tests": has_tests(lowered, words),
     }
 
 

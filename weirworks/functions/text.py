@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import add, and_, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,9 +25,11 @@ class Rx:
     space character, ``{.}`` one character that does not end a line.
     """
 
-    def __init__(self, source: str, ignore_case: bool = False):
+    def __init__(self, source: str, ignore_case: bool = False, needs: tuple[str, ...] = ()):
         self.source = source
         self.flags = "(?i)" if ignore_case else ""
+        # plain strings that every match contains: a quick search for them spares most texts the regex
+        self.needs = needs
 
     def _common(self) -> str:
         return self.source.replace("{s}", f"[{SPACE}]").replace("{S}", f"[^{SPACE}]").replace("{.}", NOT_EOL)
@@ -38,37 +44,76 @@ class Rx:
     def ascii(self) -> str:
         return self.flags + self._common().replace("{<}", r"\b").replace("{>}", r"\b").replace("{b}", r"\b")
 
+    def worth(self, text: Column) -> Column | None:
+        return reduce(and_, [F.contains(text, F.lit(n)) for n in self.needs]) if self.needs else None
+
+    def _guarded(self, text: Column, value: Column, default: Column) -> Column:
+        worth = self.worth(text)
+        return value if worth is None else F.when(worth, value).otherwise(default)
+
     def found(self, text: Column) -> Column:
-        return F.rlike(text, F.lit(self.java))
+        hit = F.rlike(text, F.lit(self.java))
+        worth = self.worth(text)
+        return hit if worth is None else worth & hit
 
     def count(self, text: Column) -> Column:
-        return F.regexp_count(text, F.lit(self.java))
+        return self._guarded(text, F.regexp_count(text, F.lit(self.java)), F.lit(0))
 
     def all(self, text: Column, group: int = 0) -> Column:
-        return F.regexp_extract_all(text, F.lit(self.java), F.lit(group))
+        none = F.array().cast("array<string>")
+        return self._guarded(text, F.regexp_extract_all(text, F.lit(self.java), F.lit(group)), none)
 
     def first(self, text: Column, group: int = 0) -> Column:
-        return F.regexp_extract(text, self.java, group)
+        return self._guarded(text, F.regexp_extract(text, self.java, group), F.lit(""))
 
 
-def any_word(*alternatives: str, ignore_case: bool = False) -> Rx:
-    """Whole-word match of any alternative."""
-    return Rx("{<}(?:" + "|".join(alternatives) + "){>}", ignore_case)
+def one_of(words: list[str]) -> str:
+    """Pattern of a word list that shares common beginnings, so that most positions fail on one character."""
+    heads: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        if word:
+            heads.setdefault(word[0], []).append(word[1:])
+    if not heads:
+        return ""
+    parts = [re.escape(head) + one_of(rests) for head, rests in heads.items()]
+    body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+    return f"(?:{body})?" if "" in words else body
 
 
-def contains_any(text: Column, phrases: list[str]) -> Column:
-    hit = F.contains(text, F.lit(phrases[0]))
-    for phrase in phrases[1:]:
-        hit = hit | F.contains(text, F.lit(phrase))
-    return hit
+class Words:
+    """Whole-word alternatives over a lower-cased text and its list of key words.
+
+    Plain words are looked up among the key words, which are cut out of the text once for all features; only
+    alternatives of several words use a regex, and only on texts that hold their parts.
+    """
+
+    def __init__(self, *alternatives: str):
+        self.plain = [a for a in alternatives if a.isalnum()]
+        self.phrases = [Rx("{<}" + a + "{>}", needs=tuple(a.split("{.}*"))) for a in alternatives if not a.isalnum()]
+        self.rx = Rx("{<}(?:" + "|".join(alternatives) + "){>}")
+
+    def found(self, lowered: Column, words: Column) -> Column:
+        hits = [rx.found(lowered) for rx in self.phrases]
+        if self.plain:
+            hits = [F.arrays_overlap(words, F.array(*[F.lit(w) for w in self.plain]))] + hits
+        return reduce(or_, hits)
+
+    def count(self, lowered: Column, words: Column) -> Column:
+        """Occurrences; right as long as no alternative shares a word with another one."""
+        counts = [rx.count(lowered) for rx in self.phrases]
+        if self.plain:
+            counts = [F.size(F.filter(words, lambda w: w.isin(self.plain)))] + counts
+        return reduce(add, counts)
 
 
-def first_match(text: Column, table: list[tuple[str, Rx]], default: str) -> Column:
-    """Label of the first pattern found, in table order."""
-    label = None
-    for name, rx in table:
-        label = F.when(rx.found(text), name) if label is None else label.when(rx.found(text), name)
-    return label.otherwise(default)
+def key_words(lowered: Column, *groups: Words) -> Column:
+    """The words of a lower-cased text that any of the groups asks for, repeats kept."""
+    wanted = sorted({w for g in groups for w in g.plain})
+    return F.regexp_extract_all(lowered, F.lit(Rx("{<}" + one_of(wanted) + "{>}").java), F.lit(0))
+
+
+def contains_any(text: Column, phrases: list[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(p)) for p in phrases])
 
 
 def strip(text: Column) -> Column:
@@ -81,8 +126,14 @@ def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / F.lit(4.0)).cast("bigint")
 
 
+def word_count(text: Column) -> Column:
+    """Runs of characters other than white space; plain ASCII texts get by with the short class."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.regexp_count(text, F.lit(r"\S+"))).otherwise(Rx("{S}+").count(text))
+
+
 def tokens_word(text: Column) -> Column:
-    return F.ceil(Rx("{S}+").count(text) * F.lit(1.3)).cast("bigint")
+    return F.ceil(word_count(text) * F.lit(1.3)).cast("bigint")
 
 
 def tokens_char(text: Column) -> Column:
@@ -97,18 +148,21 @@ def tokens_blended(text: Column) -> Column:
 
 # --- fixed values: how a prompt or an answer names a file ---
 NAMED_FILE = Rx(r"{b}[\w/.-]+\.\w{1,5}{>}")
-AT_MENTION = Rx(r"@[\w/.-]+")
-TICKED_FILE = Rx(r"`[^`]*\.\w{1,5}`")
+AT_MENTION = Rx(r"@[\w/.-]+", needs=("@",))
+TICKED_FILE = Rx(r"`[^`]*\.\w{1,5}`", needs=("`", "."))
 QUOTED_PATH = Rx(r"[\"'`]([^\"'`" + SPACE + r"]+\.\w{1,6})[\"'`]")
-BARE_PATH = Rx(r"(?:\./|[\w-]+/)+[\w.-]+\.\w{1,6}")
-TICKED_PATH = Rx(r"`([^`" + SPACE + r"]+\.\w{1,6})`")
-FENCE = Rx(r"```\w*\n((?s:.*?))```")
+BARE_PATH = Rx(r"(?:\./|[\w-]+/)+[\w.-]+\.\w{1,6}", needs=("/", "."))
+TICKED_PATH = Rx(r"`([^`" + SPACE + r"]+\.\w{1,6})`", needs=("`", "."))
+FENCE = Rx(r"```\w*\n((?s:.*?))```", needs=("```",))
+SUFFIXED = Rx(r"\.\w{1,5}{>}", needs=(".",))
 
 
 def files_referenced(lowered: Column) -> Column:
     """How many distinct file-like names a lower-cased prompt mentions."""
-    found = F.concat(NAMED_FILE.all(lowered), AT_MENTION.all(lowered), TICKED_FILE.all(lowered))
-    return F.size(F.array_distinct(found))
+    none = F.array().cast("array<string>")
+    # every named file ends in a short suffix, which is far quicker to look for
+    named = F.when(SUFFIXED.found(lowered), NAMED_FILE.all(lowered)).otherwise(none)
+    return F.size(F.array_distinct(F.concat(named, AT_MENTION.all(lowered), TICKED_FILE.all(lowered))))
 
 
 def file_refs(text: Column) -> Column:
@@ -126,6 +180,17 @@ def code_of(text: Column) -> Column:
     return F.when(FENCE.found(text), fenced_block(text)).otherwise(text)
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is exactly one JSON value.
+
+    The parser stops after the first value, so the text is tried as the only element of an array and as the
+    only field of an object: what follows a value fits one of them at most.
+    """
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+    in_object = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+    return in_array & in_object
+
+
 # --- names and paths ---------------------------------------------------------
 
 def base_name(path: Column) -> Column:

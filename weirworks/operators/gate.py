@@ -15,8 +15,12 @@ NO_ANSWER = "Ollama request failed"
 NO_RETRY_ANSWER = "Retry Ollama request failed"
 
 
+SIGNAL_PARTS = ["_trim", "_code", "_expected", "_lower", "_marker", "_repeats", "_words", "_empty", "_signs", "_brackets",
+                "_braces"]
+
+
 def failure_signals(completions: DataFrame, response: str = "response", language: str = "expected_language",
-                    repetition: bool = True) -> DataFrame:
+                    repetition: bool = True, keep_parts: bool = False) -> DataFrame:
     """Add ``failure_signals``, in fixed order, and the ``severity`` and ``signals_accept`` verdict.
 
     Trimmed text, code, bracket balance and language signs are each computed once in an inner projection.
@@ -24,7 +28,9 @@ def failure_signals(completions: DataFrame, response: str = "response", language
     text = F.col(response)
     expected = F.nullif(F.lower(language), F.lit("")) if language in completions.columns else F.lit(None).cast("string")
     staged = completions.withColumns({"_trim": strip(text), "_code": code_of(text), "_expected": expected,
+                                      "_lower": F.lower(text), "_marker": K.first_marker(text),
                                       "_repeats": repetition_loop(text) if repetition else F.lit(False)})
+    staged = staged.withColumn("_words", K.hedge_words(F.col("_lower")))
     staged = staged.withColumns({
         "_empty": F.length("_trim") < 10,
         "_signs": F.when(F.col("_expected").isin(K.LANGUAGES), K.sign_counts(text)),
@@ -32,19 +38,19 @@ def failure_signals(completions: DataFrame, response: str = "response", language
         "_braces": K.unmatched_braces(F.col("_code")),
     })
     found = {
-        "refusal": K.REFUSAL.found(text),
+        "refusal": K.refusal(F.col("_lower")),
         "repetition_loop": F.col("_repeats"),
         "incomplete": K.incomplete(F.col("_trim")),
         "wrong_language": K.wrong_language(F.col("_signs"), F.col("_expected")),
-        "confidence_caveat": K.HEDGES.count(text) >= 3,
-        "placeholder_markers": K.MARKERS_OR_HACK.found(text),
+        "confidence_caveat": K.HEDGES.count(F.col("_lower"), F.col("_words")) >= 3,
+        "placeholder_markers": (F.col("_marker") != "") | K.HACK.found(text),
         "syntax_error": K.syntax_error(F.col("_code"), F.col("_expected"), F.col("_brackets"), F.col("_braces")),
     }
     listed = F.array_compact(F.array(*[F.when(found[name], name) for name in dims.SIGNAL_ORDER if name in found]))
     signals = F.when(text.isNull(), F.lit(None)).when(F.col("_empty"), F.array(F.lit("empty_output"))).otherwise(listed)
     out = staged.withColumn("failure_signals", signals).withColumn("severity", verdict(F.col("failure_signals")))
-    return out.withColumn("signals_accept", F.col("severity") != "major").drop(
-        "_trim", "_code", "_expected", "_repeats", "_empty", "_signs", "_brackets", "_braces")
+    out = out.withColumn("signals_accept", F.col("severity") != "major")
+    return out if keep_parts else out.drop(*SIGNAL_PARTS)
 
 
 def verdict(signals: Column) -> Column:
@@ -66,16 +72,15 @@ def quality_gate(completions: DataFrame, options: dims.GateOptions = dims.GateOp
     given = lambda name, kind: F.col(name) if name in has else F.lit(None).cast(kind)
     text = F.col(response)
     allowed, sections = given(allowed_files, "array<string>"), given(required_sections, "array<string>")
-    judged = failure_signals(completions, response, language, options.check_repetition)
-    judged = judged.withColumns({"_code": code_of(text), "_trim": strip(text)})
-    brackets, braces = K.unmatched_brackets(F.col("_code")), K.unmatched_braces(F.col("_code"))
+    judged = failure_signals(completions, response, language, options.check_repetition, keep_parts=True)
+    hedges = K.MORE_HEDGES.count(F.col("_lower"), F.col("_words"))
     planned = [
-        (options.check_completeness, "completeness", K.completeness_reason(text), True),
-        (options.check_code_parse, "code_parse", K.code_parse_reason(brackets, braces), True),
+        (options.check_completeness, "completeness", K.completeness_reason(F.col("_marker")), True),
+        (options.check_code_parse, "code_parse", K.code_parse_reason(F.col("_brackets"), F.col("_braces")), True),
         (options.check_scope, "scope_compliance", K.scope_reason(text, allowed), True),
         (True, "required_sections", K.sections_reason(text, sections), True),
         (True, "length", K.length_reason(F.col("_trim"), options.min_length, options.max_length), True),
-        (options.check_hedging, "no_hedging", K.hedging_reason(text), False),
+        (options.check_hedging, "no_hedging", K.hedging_reason(hedges), False),
         (options.check_proportionality, "proportionality",
          K.proportion_reason(text, given(expected_tokens, "bigint")), False),
     ]
@@ -94,7 +99,21 @@ def quality_gate(completions: DataFrame, options: dims.GateOptions = dims.GateOp
     hard, soft = F.size("hard_failures") > 0, F.size("soft_failures") > 0
     return judged.withColumns({
         "accepted": ~hard & ~soft, "should_retry": ~hard & soft, "should_escalate": hard,
-    }).drop("_code", "_trim", *[column for _, column, _, _ in reasons])
+    }).drop(*SIGNAL_PARTS, *[column for _, column, _, _ in reasons])
+
+
+CHECK_NAMES = ["escalation_signals", "completeness", "code_parse", "scope_compliance", "required_sections", "length",
+               "no_hedging", "proportionality"]
+
+
+def check_rates(gated: DataFrame) -> DataFrame:
+    """How often each check ran and passed, in one aggregation over the check arrays."""
+    ran = lambda name: F.size(F.filter("checks", lambda c: c["name"] == name))
+    passed = lambda name: F.size(F.filter("checks", lambda c: (c["name"] == name) & c["passed"]))
+    sums = gated.where(F.col("checks").isNotNull()).agg(*[
+        F.struct(F.lit(n).alias("name"), F.coalesce(F.sum(ran(n)), F.lit(0)).alias("n"),
+                 F.coalesce(F.sum(passed(n)), F.lit(0)).alias("passed")).alias(n) for n in CHECK_NAMES])
+    return sums.select(F.inline(F.array(*CHECK_NAMES)))
 
 
 def out_of_scope_refs(completions: DataFrame, allowed: DataFrame, key: str = "task_id",

@@ -6,14 +6,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import dims
 from ..functions import signals as S
-from ..functions.text import FENCE, contains_any, strip, to_fixed
-from .joins import BROADCAST_ROWS, fits_broadcast
+from ..functions.text import FENCE, contains_any, is_json, one_of, strip, to_fixed
+from .joins import fits_broadcast, lookup
 
 RULE_FIELDS = ["rule_route", "rule_level", "rule_confidence", "rule_cost_of_wrong", "rule_category"]
+ANCHOR = 8
+MAX_CONSTANT = 500
 PHRASES = [(phrase, number) for number, rule in enumerate(dims.RULES) for phrase in rule[5]]
 
 
@@ -22,14 +23,12 @@ PHRASES = [(phrase, number) for number, rule in enumerate(dims.RULES) for phrase
 def _first_phrase(lowered: Column, phrases: list[str]) -> Column:
     """1-based position of the first phrase in list order that the text contains, else null.
 
-    A fold over a constant array: one small expression however many phrases there are, and nothing is
-    searched once a phrase has been found.
+    One pass tells texts that contain any phrase at all; only those are searched phrase by phrase.
     """
-    listed = F.array(*[F.lit(p) for p in phrases])
-    step = lambda state, phrase: F.when(state["hit"], state).otherwise(F.struct(
-        F.contains(lowered, phrase).alias("hit"), (state["at"] + 1).alias("at")))
-    start = F.struct(F.lit(False).alias("hit"), F.lit(0).alias("at"))
-    return F.aggregate(listed, start, step, lambda s: F.when(s["hit"], s["at"]))
+    out = F.when(F.contains(lowered, F.lit(phrases[0])), 1)
+    for at, phrase in enumerate(phrases[1:], 2):
+        out = out.when(F.contains(lowered, F.lit(phrase)), at)
+    return F.when(F.rlike(lowered, F.lit(one_of(phrases))), out)
 
 
 def match_rules(prompts: DataFrame, text: str = "text") -> DataFrame:
@@ -37,7 +36,8 @@ def match_rules(prompts: DataFrame, text: str = "text") -> DataFrame:
     at = F.col("_phrase_at")
     pick = lambda values: F.try_element_at(F.array(*[F.lit(v) for v in values]), at)
     rule = lambda field: pick([dims.RULES[number][field] for _, number in PHRASES])
-    out = prompts.withColumn("_phrase_at", _first_phrase(F.lower(text), [p for p, _ in PHRASES]))
+    lowered = prompts.withColumn("_low", F.lower(text))
+    out = lowered.withColumn("_phrase_at", _first_phrase(F.col("_low"), [p for p, _ in PHRASES])).drop("_low")
     return out.withColumns({
         "matched_phrase": pick([p for p, _ in PHRASES]),
         "rule_ord": pick([number for _, number in PHRASES]),
@@ -46,12 +46,11 @@ def match_rules(prompts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def match_user_rules(prompts: DataFrame, rules: DataFrame, key: str, text: str = "text",
-                     max_rules: int = BROADCAST_ROWS // 10) -> DataFrame:
+                     max_rules: int = MAX_CONSTANT) -> DataFrame:
     """First match against a rules table (rule_ord, phrase_ord, phrase, ...).
 
-    A table of at most ``max_rules`` phrases becomes a constant and is folded over per prompt.  A larger one
-    is joined by three-letter grams: each phrase by its first gram, each prompt by its distinct grams; real
-    matches are then kept by ``contains`` and the earliest per prompt by a map-side combined minimum.
+    A table of at most ``max_rules`` phrases becomes part of the expression.  A larger one
+    is joined: positions of the prompts meet the phrases that begin with the same characters.
     """
     fields = [c for c in rules.columns if c not in ("rule_ord", "phrase_ord", "phrase")]
     ranked = rules.withColumn("phrase", F.lower("phrase"))
@@ -60,36 +59,46 @@ def match_user_rules(prompts: DataFrame, rules: DataFrame, key: str, text: str =
         if not rows:
             blank = {f.name: F.lit(None).cast(f.dataType) for f in rules.schema if f.name != "phrase"}
             return prompts.withColumns({"matched_phrase": F.lit(None).cast("string"), **blank})
-        out = prompts.withColumn("_phrase_at", _first_phrase(F.lower(text), [r.phrase for r in rows]))
+        lowered = prompts.withColumn("_low", F.lower(text))
+        out = lowered.withColumn("_phrase_at", _first_phrase(F.col("_low"), [r.phrase for r in rows])).drop("_low")
         pick = lambda c: F.try_element_at(F.array(*[F.lit(r[c]) for r in rows]), F.col("_phrase_at"))
         return out.withColumns({"matched_phrase": pick("phrase"),
                                 **{c: pick(c) for c in ["rule_ord", "phrase_ord", *fields]}}).drop("_phrase_at")
-    best = _match_by_gram(prompts, ranked, key, text)
+    best = _match_by_anchor(prompts, ranked.where(F.col("phrase") != ""), key, text)
     return prompts.join(best, key, "left")
 
 
-def _match_by_gram(prompts: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
-    anchored = rules.withColumn("_gram", F.substring("phrase", 1, 3)).where(F.col("phrase") != "")
-    lowered = prompts.select(key, F.lower(text).alias("_lower"))
-    gram_at = lambda width: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_lower"), F.lit(1))),
-                                        lambda i: F.substr("_lower", i, F.lit(width)))
-    grams = F.array_distinct(F.flatten(F.array(*[gram_at(w) for w in (1, 2, 3)])))
-    # short phrases are their own gram; only grams that start some phrase leave the scan
+def _match_by_anchor(prompts: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
+    """Earliest rule per prompt, by an equi-join on the first characters of phrases.
+
+    Every position of a prompt gives a window as long as the longest phrase.  A window meets the phrases that
+    share its anchor and is kept where it starts with the whole phrase, so the text itself never travels.
+    Anchors that no phrase has are dropped before the shuffle, an anchor found in very many prompts is spread
+    over salts, and the minimum per prompt is combined before the last shuffle.
+    """
+    sized = rules.withColumn("_w", F.least(F.length("phrase"), F.lit(ANCHOR)))
+    anchored = sized.withColumn("_gram", F.substr("phrase", F.lit(1), F.col("_w")))
+    shape = sized.agg(F.collect_set("_w"), F.max(F.length("phrase"))).first()
+    widths, longest = sorted(shape[0]), shape[1]
+    windows = F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{widths[0]},{longest}}}))"), F.lit(1))
+    seen = prompts.select(key, F.explode(F.array_distinct(windows)).alias("_window"))
+    seen = seen.select(key, "_window", F.explode(F.array(*[F.substring("_window", 1, w) for w in widths])).alias("_gram"))
     wanted = anchored.select("_gram").distinct()
-    spread = lowered.withColumn("_gram", F.explode(grams)).join(wanted, "_gram", "left_semi")
+    if fits_broadcast(wanted):
+        seen = seen.join(F.broadcast(wanted), "_gram", "left_semi")
     rest = F.struct("rule_ord", "phrase_ord", *[c for c in rules.columns if c not in ("rule_ord", "phrase_ord")])
-    hits = (spread.join(anchored, "_gram").where(F.contains("_lower", F.col("phrase")))
-            .groupBy(key).agg(F.min(rest).alias("_best")))
+    hits = lookup(seen, anchored, "_gram", spread_by=key, how="inner").where(F.startswith("_window", F.col("phrase")))
+    best = hits.groupBy(key).agg(F.min(rest).alias("_best"))
     extra = [c for c in rules.columns if c != "phrase"]
-    return hits.select(key, F.col("_best.phrase").alias("matched_phrase"), *[F.col(f"_best.{c}") for c in extra])
+    return best.select(key, F.col("_best.phrase").alias("matched_phrase"), *[F.col(f"_best.{c}") for c in extra])
 
 
 # --- signals and score ----------------------------------------------------------
 
 def extract_signals(prompts: DataFrame, text: str = "text") -> DataFrame:
     """Add the twelve signals, the score and its level; each text feature is computed once."""
-    lowered = prompts.withColumn("_lower", F.lower(text))
-    featured = lowered.withColumns(S.signal_columns(F.col("_lower"))).drop("_lower")
+    lowered = prompts.withColumn("_lower", F.lower(text)).withColumn("_words", S.words_of(F.col("_lower")))
+    featured = lowered.withColumns(S.signal_columns(F.col("_lower"), F.col("_words"))).drop("_lower", "_words")
     context = (F.col("files_referenced") * dims.CONTEXT_TOKENS_PER_FILE).alias("estimated_context_tokens")
     scored = featured.withColumn("estimated_context_tokens", context).withColumn("score", S.complexity_score())
     return scored.withColumn("score_level", S.score_to_level(F.col("score")))
@@ -100,7 +109,7 @@ def extract_signals(prompts: DataFrame, text: str = "text") -> DataFrame:
 def _strict_json(text: Column, schema: str) -> Column:
     """Fields of a JSON text, null unless the text is well-formed JSON."""
     plain = F.from_json(text, schema, {"allowSingleQuotes": "false"})
-    return F.when(F.try_parse_json(text).isNotNull(), plain)
+    return F.when(is_json(text), plain)
 
 
 def parse_triage(answers: DataFrame, response: str = "response") -> DataFrame:

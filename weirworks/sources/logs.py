@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cost import cloud_overhead
+from ..functions.text import is_json
 
 USAGE_FIELDS = [
     ("type", "string"), ("timestamp", "string"), ("agent", "string"), ("tools_used", "array<string>"),
@@ -29,11 +30,13 @@ def ddl(fields: list[tuple[str, str]]) -> str:
 def parse_lines(lines: DataFrame, fields: list[tuple[str, str]], line: str = "value") -> DataFrame:
     """JSON lines to rows: blank and malformed lines go, a field of the wrong kind becomes null.
 
-    Well-formedness is judged only for lines whose fields did not all parse.
+    A line whose fields all parse and whose only closing brace ends it is one object; other lines are judged
+    by a full JSON check.
     """
     raw = lines.withColumn("_row", F.from_json(line, ddl(fields) + ", _bad string",
                                                {**STRICT, "columnNameOfCorruptRecord": "_bad"}))
-    sound = F.col("_row._bad").isNull() | F.try_parse_json(line).isNotNull()
+    closed = F.instr(line, "}") == F.length(F.rtrim(line))
+    sound = (F.col("_row._bad").isNull() & closed) | is_json(F.col(line))
     kept = raw.where((F.trim(line) != "") & F.coalesce(sound, F.lit(False)))
     rest = [F.col(c) for c in lines.columns if c != line]
     out = kept.select(*rest, *[F.col(f"_row.{name}").alias(name) for name, _ in fields])
