@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import base, gate, routing, usage  # noqa: F401
+from . import base, corpus, gate, misc, routing, streaming, usage  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

@@ -35,6 +35,11 @@ def outline(files: DataFrame, content: str = "content") -> DataFrame:
         F.filter("_trimmed", O.is_import).alias("imports"))
 
 
+def section_rows(files: DataFrame, content: str = "content") -> DataFrame:
+    """One row per class or function of a file: the outline as a table."""
+    return outline(files, content).select("path", F.inline("sections"))
+
+
 def previews(files: DataFrame, content: str = "content", n: int = 10) -> DataFrame:
     """First lines, exports and signatures per file."""
     trimmed = files.withColumn("_trimmed", O.trim_all(O.lines_of(F.col(content))))

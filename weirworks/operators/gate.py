@@ -9,6 +9,7 @@ from .. import dims
 from ..functions import checks as K
 from ..functions.repetition import repetition_loop
 from ..functions.text import BARE_PATH, code_of, strip
+from .staging import settle
 
 # --- fixed values: reasons for a call that gave no answer ---
 NO_ANSWER = "Ollama request failed"
@@ -48,7 +49,7 @@ def failure_signals(completions: DataFrame, response: str = "response", language
     }
     listed = F.array_compact(F.array(*[F.when(found[name], name) for name in dims.SIGNAL_ORDER if name in found]))
     signals = F.when(text.isNull(), F.lit(None)).when(F.col("_empty"), F.array(F.lit("empty_output"))).otherwise(listed)
-    out = staged.withColumn("failure_signals", signals).withColumn("severity", verdict(F.col("failure_signals")))
+    out = settle(staged, {"failure_signals": signals}).withColumn("severity", verdict(F.col("failure_signals")))
     out = out.withColumn("signals_accept", F.col("severity") != "major")
     return out if keep_parts else out.drop(*SIGNAL_PARTS)
 
@@ -85,7 +86,7 @@ def quality_gate(completions: DataFrame, options: dims.GateOptions = dims.GateOp
          K.proportion_reason(text, given(expected_tokens, "bigint")), False),
     ]
     reasons = [(name, f"_why_{name}", reason, hard) for on, name, reason, hard in planned if on]
-    judged = judged.withColumns({column: reason for _, column, reason, _ in reasons})
+    judged = settle(judged, {column: reason for _, column, reason, _ in reasons})
     rejected = F.concat(F.lit("Local model failed: "), F.array_join("failure_signals", ", "))
     ran = F.array(*[K.check(name, F.col(column), hard) for name, column, _, hard in reasons])
     judged = judged.withColumn("checks", F.when(text.isNotNull(), F.when(
@@ -110,7 +111,7 @@ def check_rates(gated: DataFrame) -> DataFrame:
     """How often each check ran and passed, in one aggregation over the check arrays."""
     ran = lambda name: F.size(F.filter("checks", lambda c: c["name"] == name))
     passed = lambda name: F.size(F.filter("checks", lambda c: (c["name"] == name) & c["passed"]))
-    sums = gated.where(F.col("checks").isNotNull()).agg(*[
+    sums = gated.agg(*[
         F.struct(F.lit(n).alias("name"), F.coalesce(F.sum(ran(n)), F.lit(0)).alias("n"),
                  F.coalesce(F.sum(passed(n)), F.lit(0)).alias("passed")).alias(n) for n in CHECK_NAMES])
     return sums.select(F.inline(F.array(*CHECK_NAMES)))

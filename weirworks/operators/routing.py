@@ -11,6 +11,7 @@ from .. import dims
 from ..functions import signals as S
 from ..functions.text import FENCE, contains_any, is_json, one_of, strip, to_fixed
 from .joins import fits_broadcast, lookup
+from .staging import settle
 
 RULE_FIELDS = ["rule_route", "rule_level", "rule_confidence", "rule_cost_of_wrong", "rule_category"]
 ANCHOR = 8
@@ -37,7 +38,7 @@ def match_rules(prompts: DataFrame, text: str = "text") -> DataFrame:
     pick = lambda values: F.try_element_at(F.array(*[F.lit(v) for v in values]), at)
     rule = lambda field: pick([dims.RULES[number][field] for _, number in PHRASES])
     lowered = prompts.withColumn("_low", F.lower(text))
-    out = lowered.withColumn("_phrase_at", _first_phrase(F.col("_low"), [p for p, _ in PHRASES])).drop("_low")
+    out = settle(lowered, {"_phrase_at": _first_phrase(F.col("_low"), [p for p, _ in PHRASES])}).drop("_low")
     return out.withColumns({
         "matched_phrase": pick([p for p, _ in PHRASES]),
         "rule_ord": pick([number for _, number in PHRASES]),
@@ -60,7 +61,7 @@ def match_user_rules(prompts: DataFrame, rules: DataFrame, key: str, text: str =
             blank = {f.name: F.lit(None).cast(f.dataType) for f in rules.schema if f.name != "phrase"}
             return prompts.withColumns({"matched_phrase": F.lit(None).cast("string"), **blank})
         lowered = prompts.withColumn("_low", F.lower(text))
-        out = lowered.withColumn("_phrase_at", _first_phrase(F.col("_low"), [r.phrase for r in rows])).drop("_low")
+        out = settle(lowered, {"_phrase_at": _first_phrase(F.col("_low"), [r.phrase for r in rows])}).drop("_low")
         pick = lambda c: F.try_element_at(F.array(*[F.lit(r[c]) for r in rows]), F.col("_phrase_at"))
         return out.withColumns({"matched_phrase": pick("phrase"),
                                 **{c: pick(c) for c in ["rule_ord", "phrase_ord", *fields]}}).drop("_phrase_at")
@@ -98,7 +99,7 @@ def _match_by_anchor(prompts: DataFrame, rules: DataFrame, key: str, text: str)
 def extract_signals(prompts: DataFrame, text: str = "text") -> DataFrame:
     """Add the twelve signals, the score and its level; each text feature is computed once."""
     lowered = prompts.withColumn("_lower", F.lower(text)).withColumn("_words", S.words_of(F.col("_lower")))
-    featured = lowered.withColumns(S.signal_columns(F.col("_lower"), F.col("_words"))).drop("_lower", "_words")
+    featured = settle(lowered, S.signal_columns(F.col("_lower"), F.col("_words"))).drop("_lower", "_words")
     context = (F.col("files_referenced") * dims.CONTEXT_TOKENS_PER_FILE).alias("estimated_context_tokens")
     scored = featured.withColumn("estimated_context_tokens", context).withColumn("score", S.complexity_score())
     return scored.withColumn("score_level", S.score_to_level(F.col("score")))

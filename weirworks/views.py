@@ -82,12 +82,6 @@ SELECT p_partkey AS file_id,
    WHEN 4 THEN '# ' || p_name || chr(10) || 'from here on' ELSE p_name END
   || repeat(chr(10) || p_type || ' filler line', CAST(p_size AS INT)) AS content
 FROM part"""),
-    "file_tasks": ("orders", """
-SELECT o_orderkey AS task_id,
-  'refactor ' ||
-  CASE WHEN o_orderkey % 3 = 0 THEN 'src/brand1/f0.ts' ELSE 'src/brand' || CAST(o_custkey % 25 + 1 AS VARCHAR(20)) || '/f' || CAST(o_custkey % 2000 AS VARCHAR(20)) || '.py' END
-  || ' and "lib/f' || CAST(o_orderkey % 50 AS VARCHAR(20)) || '.ts" then `f' || CAST(o_orderkey % 7 AS VARCHAR(20)) || '.go`' AS text
-FROM orders"""),
 }
 
 
