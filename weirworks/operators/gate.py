@@ -141,21 +141,31 @@ def _reasons(failures: Column) -> Column:
     return F.transform(failures, lambda c: F.coalesce(c["reason"], c["name"]))
 
 
-def resolve_attempts(attempts: DataFrame, options: dims.GateOptions = dims.GateOptions(), allow_retry: bool = True,
-                     key: str = "task_id", **columns) -> DataFrame:
-    """Gate first and second attempts and settle each task.
-
-    The second attempt counts only when the first failed softly and retry is on.  Attempts are gated before
-    the shuffle and leave their text behind; the group keeps one small struct per attempt.
-    """
-    gated = quality_gate(attempts.where(F.col("attempt_no").isin(1, 2)), options, **columns)
+def attempt_verdicts(attempts: DataFrame, options: dims.GateOptions = dims.GateOptions(), key: str = "task_id",
+                     **columns) -> DataFrame:
+    """Gate attempts and keep one small struct per attempt; their text stays behind."""
+    gated = quality_gate(attempts, options, **columns)
     row = F.struct(
         F.col("response").isNotNull().alias("answered"), "accepted", "should_retry", "should_escalate",
         F.concat(_reasons(F.col("hard_failures")), _reasons(F.col("soft_failures"))).alias("reasons"),
         (F.size("soft_failures") > 0).alias("soft"), "checks_passed", "checks_total", *CARRIED)
-    slim = gated.select(key, "attempt_no", row.alias("a"))
+    return gated.select(key, "attempt_no", row.alias("a"))
+
+
+def settle_attempts(verdicts: DataFrame, allow_retry: bool = True, key: str = "task_id") -> DataFrame:
+    """Settle each task from the verdicts of its first and second attempt."""
     pick = lambda n: F.max(F.when(F.col("attempt_no") == n, F.col("a"))).alias(f"a{n}")
-    return _settle(slim.groupBy(key).agg(pick(1), pick(2)), key, allow_retry)
+    return _settle(verdicts.groupBy(key).agg(pick(1), pick(2)), key, allow_retry)
+
+
+def resolve_attempts(attempts: DataFrame, options: dims.GateOptions = dims.GateOptions(), allow_retry: bool = True,
+                     key: str = "task_id", **columns) -> DataFrame:
+    """Gate first and second attempts and settle each task.
+
+    The second attempt counts only when the first failed softly and retry is on.
+    """
+    counted = attempts.where(F.col("attempt_no").isin(1, 2))
+    return settle_attempts(attempt_verdicts(counted, options, key, **columns), allow_retry, key)
 
 
 def _settle(pairs: DataFrame, key: str, allow_retry: bool) -> DataFrame:

@@ -21,13 +21,14 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str
 
     Keys with at least ``hot_rows`` left rows are hot: there are at most rows / hot_rows of them, so the list
     of hot keys can be broadcast.  Their left rows are spread over ``salts`` by a hash of ``spread_by`` (stable
-    when a task is run again) and their right row is repeated once per salt.
+    when a task is run again) and their right row is repeated once per salt.  Without hot keys this is a plain
+    join.  The left side is read twice, so it should come from storage rather than from dear expressions.
     """
-    hot = (left.groupBy(key).count().where(F.col("count") >= hot_rows).where(F.col(key).isNotNull())
-           .select(F.col(key), F.lit(True).alias("_hot")))
-    if not fits_broadcast(hot):
+    counted = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= hot_rows).select(key)
+    found = counted.limit(BROADCAST_ROWS + 1).collect()
+    if not found or len(found) > BROADCAST_ROWS:
         return left.join(right, key, how)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, counted.schema).withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(0).cast("int")
     spread = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

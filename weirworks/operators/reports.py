@@ -9,6 +9,7 @@ from .. import dims
 from ..functions import cost as C
 from ..functions.text import to_fixed, tokens_blended
 from .routing import classify, decide
+from .staging import settle
 
 HIGH_SHIFT = 15
 
@@ -20,33 +21,38 @@ def _bucket_at(counts: DataFrame, value: str, rank: Column) -> DataFrame:
         .select(F.col(value), (F.col("_until") - F.col("n")).alias("before"))
 
 
-def upper_median(df: DataFrame, value: str) -> Column:
-    """Element n div 2 of the sorted non-negative integers, as a scalar subquery.
+def upper_median(counts: DataFrame, value: str) -> Column:
+    """Element n div 2 of the sorted values of a histogram (value, n), as a scalar subquery.
 
-    A full sort is avoided: one histogram over the high bits finds the bucket, one over the values of that
-    bucket finds the element.  Token counts stay below 2^30, so both have at most 2^15 rows.
+    Values are non-negative integers.  One pass over the high bits finds the bucket, one over the values of
+    that bucket finds the element; token counts stay below 2^30, so both sort at most 2^15 rows.
     """
-    slim = df.select(F.col(value).cast("bigint").alias("v")).where(F.col("v").isNotNull())
-    rank = F.floor(slim.agg(F.count(F.lit(1)).alias("n")).scalar() / F.lit(2)).cast("bigint")
-    high = slim.groupBy(F.shiftright("v", HIGH_SHIFT).alias("high")).agg(F.count(F.lit(1)).alias("n"))
-    found = _bucket_at(high, "high", rank)
-    inside = slim.where(F.shiftright("v", HIGH_SHIFT) == found.select("high").scalar())
-    fine = inside.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    return _bucket_at(fine, "v", rank - found.select("before").scalar()).select("v").scalar()
+    # the generator keeps the bucket filter above the histogram, so every pass reads the same shuffle
+    hist = settle(counts.select(F.col(value).cast("bigint").alias("v"), "n"), {"high": F.shiftright("v", HIGH_SHIFT)})
+    rank = F.floor(hist.agg(F.sum("n")).scalar() / F.lit(2)).cast("bigint")
+    found = _bucket_at(hist.groupBy("high").agg(F.sum("n").alias("n")), "high", rank)
+    inside = hist.where(F.col("high") == found.select("high").scalar())
+    return _bucket_at(inside, "v", rank - found.select("before").scalar()).select("v").scalar()
 
 
 def token_report(texts: DataFrame, tokens: str = "tokens", estimate: str = "estimate") -> DataFrame:
-    """Spread of content tokens and how close an estimate per row came."""
+    """Spread of content tokens and how close an estimate per row came.
+
+    Rows are first combined per token count, map-side; the spread and the median both come from that table.
+    """
     ratio = F.col(tokens) / F.col(estimate)
     n = lambda flag: F.count(F.when(flag, 1))
-    spread = texts.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(tokens).alias("_avg"), F.min(tokens).alias("min_tokens"),
-        F.max(tokens).alias("max_tokens"), F.avg(ratio).alias("_ratio"), F.min(ratio).alias("_low"),
-        F.max(ratio).alias("_high"), n((ratio >= 0.8) & (ratio <= 1.2)).alias("accurate"),
-        n(ratio < 0.8).alias("over_estimated"), n(ratio > 1.2).alias("under_estimated"))
+    per_count = texts.groupBy(F.col(tokens).alias("t")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(ratio).alias("r"), F.min(ratio).alias("low"), F.max(ratio).alias("high"),
+        n((ratio >= 0.8) & (ratio <= 1.2)).alias("accurate"), n(ratio < 0.8).alias("over_estimated"),
+        n(ratio > 1.2).alias("under_estimated"))
+    spread = per_count.agg(
+        F.sum("n").alias("n"), (F.sum(F.col("t") * F.col("n")) / F.sum("n")).alias("_avg"), F.min("t").alias("min_tokens"),
+        F.max("t").alias("max_tokens"), (F.sum("r") / F.sum("n")).alias("_ratio"), F.min("low").alias("_low"),
+        F.max("high").alias("_high"), *[F.sum(c).alias(c) for c in ("accurate", "over_estimated", "under_estimated")])
     return spread.select(
         "n", to_fixed(F.col("_avg"), 0).alias("avg_tokens"), "min_tokens", "max_tokens",
-        upper_median(texts, tokens).alias("median_tokens"), to_fixed(F.col("_ratio"), 2).alias("avg_ratio"),
+        upper_median(per_count, "t").alias("median_tokens"), to_fixed(F.col("_ratio"), 2).alias("avg_ratio"),
         to_fixed(F.col("_low"), 2).alias("min_ratio"), to_fixed(F.col("_high"), 2).alias("max_ratio"),
         "accurate", "over_estimated", "under_estimated")
 

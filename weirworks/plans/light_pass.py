@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..operators.corpus import expand_context, pack_context, render_prompt
-from ..operators.gate import escalation_payload, quality_gate, resolve_attempts
+from ..operators.gate import attempt_verdicts, escalation_payload, settle_attempts
 from ..operators.learning import output_estimate
 from ..operators.models import Complete, batch_complete
 from ..operators.routing import route
@@ -32,22 +32,21 @@ def light_pass(tasks: DataFrame, files: DataFrame, log: DataFrame, fn: Complete,
     """Settle tasks (task_id, text, tool, expected_language) with a caller's completion function.
 
     Model calls are dear and may answer differently when repeated, so both rounds of answers are written to
-    the shared folder and read back.  Only softly failed first attempts are packed again and retried.
+    the shared folder and read back; so is whatever later steps read more than once.  Only softly failed first attempts are packed again and retried.
     """
-    routed = route(tasks, options.level, learner=learner)
+    routed = written(route(tasks, options.level, learner=learner), "routed")
     sized = output_estimate(routed, log)
     packed = written(render_prompt(pack_context(sized, files, options.context)), "packed")
     first = written(batch_complete(packed, fn, "task_id", max_tokens="estimated_tokens",
                                    concurrency=options.concurrency), "first-answers")
-    attempt1 = _attempt(first, packed, 1, options)
-    gated = quality_gate(attempt1, options.gate)
-    again = gated.where("should_retry").select("task_id") if options.allow_retry else gated.limit(0).select("task_id")
+    judged = written(attempt_verdicts(_attempt(first, packed, 1, options), options.gate), "first-verdicts")
+    again = judged.where(F.col("a.should_retry") & F.lit(options.allow_retry)).select("task_id")
     retried = packed.join(again, "task_id", "left_semi")
     wider = render_prompt(expand_context(retried, options.context)).withColumn("_cap", F.lit(options.retry_max_tokens))
     second = written(batch_complete(wider, fn, "task_id", max_tokens="_cap", concurrency=options.concurrency),
                      "second-answers")
-    attempts = attempt1.unionByName(_attempt(second, packed, 2, options))
-    settled = written(resolve_attempts(attempts, options.gate, options.allow_retry), "settled")
+    both = judged.unionByName(attempt_verdicts(_attempt(second, packed, 2, options), options.gate))
+    settled = written(settle_attempts(both, options.allow_retry), "settled")
     return {
         "results": settled, "escalations": escalation_payload(settled),
         "log": settled.where("logged").drop("logged", "failure_reasons", "checks_passed", "checks_total"),

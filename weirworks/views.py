@@ -85,8 +85,14 @@ FROM part"""),
 }
 
 
+TEXT_TABLES = ("documents", "conversations", "pages", "part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A supplied table; text tables of fewer files than cores are spread, as their rows are dear to work on."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXT_TABLES and len(df.inputFiles()) < cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
