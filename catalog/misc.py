@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from weirworks.functions import text as X
@@ -13,6 +16,8 @@ from .base import blended, costs, dbl, est_tokens, fixed, lit, on_view, overhead
 from .gate import gated
 from .routing import DECIDED, NO_LEARNER, NO_TRIAGE, OUT, RULED, SCORED, decided
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- text reports -------------------------------------------------------------------------------
 
 GUESS = "CAST(1 + n_chars / 5 + doc_id % 40 AS DOUBLE)"

@@ -8,14 +8,20 @@ confirmed on the characters themselves.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dims
 
+# workers get the functions themselves and need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 PAIRS_PER_STEP = 1 << 20
 LINE_ENDS = (0x0A, 0x0D, 0x2028, 0x2029)

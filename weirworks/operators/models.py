@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# workers get the functions themselves and need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Complete = Callable[[str, int | None], tuple[str, int]]
 
 

@@ -1,4 +1,8 @@
-"""List, find and read files of a tree."""
+"""List, find and read files of a tree.
+
+Spark's file sources leave out names that begin with a dot or an underscore; trees in which those matter are
+to be read from a table of (path, content) instead, which every operator here accepts.
+"""
 
 from __future__ import annotations
 
@@ -42,7 +46,7 @@ def read_corpus(spark: SparkSession, root: str, max_bytes: int = LARGE_FILE) ->
     """Whole files up to a size as text; larger ones are dropped by length before they are opened."""
     return _tree(spark, root).where(F.col("length") <= max_bytes).select(
         "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
-        F.decode("content", F.lit("UTF-8")).alias("content"))
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def read_small_corpus(spark: SparkSession, root: str) -> DataFrame:
