@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weirworks import dims
 from weirworks.functions import outline as U
+from weirworks.functions import sql
 from weirworks.functions import text as X
 from weirworks.operators import corpus as O
 from weirworks.operators import gate as G
@@ -58,6 +59,15 @@ def flat_outline(files):
 
 on_view("outline", "code_files", flat_outline, f"WITH {LINES}, {DEFINED} SELECT file_id, path, language, total_lines, classes, functions, sections, imports FROM outlined")
 on_view("section_rows", "code_files", O.section_rows, f"WITH {LINES}, {DEFINED} SELECT c.path, d.name, d.line_no AS line, d.type FROM df d JOIN code_files c ON c.file_id = d.file_id")
+
+
+@query("outline_sections_sql", f"WITH {LINES}, {DEFINED} SELECT c.path, d.name, d.line_no AS line, d.type FROM df d JOIN code_files c ON c.file_id = d.file_id", ["code_files"])
+def _(spark, sf_dir):
+    sql.register(spark)
+    view(spark, sf_dir, "code_files").createOrReplaceTempView("code_files")
+    return spark.sql("SELECT f.path, s.* FROM code_files f, LATERAL outline_sections(f.content) s")
+
+
 on_view("previews", "code_files",
         lambda c: O.previews(c, n=4).select("file_id", "total_lines", *[F.array_join(k, "|").alias(k) for k in ("head", "exports", "signatures")]), f"""
 WITH {LINES} SELECT file_id, count(*) AS total_lines, string_agg(line, '|' ORDER BY line_no) FILTER (line_no <= 4) AS head,

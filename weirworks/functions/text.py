@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 # --- fixed values: white space as the source rules understand it -------------
 SPACE_CHARS = ("\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
                "\u2028\u2029\u202f\u205f\u3000\ufeff")
-SPACE = r"\t\n\x0B\x0C\r \xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WIDE_SPACE = r"\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+SPACE = r"\t\n\x0B\x0C\r " + WIDE_SPACE
 NOT_EOL = r"[^\n\r\x{2028}\x{2029}]"
 WORD_CHAR = "[A-Za-z0-9_]"
 
@@ -126,10 +127,14 @@ def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / F.lit(4.0)).cast("bigint")
 
 
+def wide_spaces(text: Column) -> Column:
+    """Whether a text holds white space that Java's short class does not know; few do."""
+    return F.rlike(text, F.lit(f"[{WIDE_SPACE}]"))
+
+
 def word_count(text: Column) -> Column:
-    """Runs of characters other than white space; plain ASCII texts get by with the short class."""
-    plain = F.octet_length(text) == F.length(text)
-    return F.when(plain, F.regexp_count(text, F.lit(r"\S+"))).otherwise(Rx("{S}+").count(text))
+    """Runs of characters other than white space."""
+    return F.when(wide_spaces(text), Rx("{S}+").count(text)).otherwise(F.regexp_count(text, F.lit(r"\S+")))
 
 
 def tokens_word(text: Column) -> Column:
@@ -224,8 +229,9 @@ def is_local_url(url: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """Order-free 32-bit hash of the words of a prompt, in base 36."""
-    kept = F.regexp_replace(F.lower(text), f"[^a-z0-9{SPACE}]", "")
-    words = F.array_sort(Rx("{S}{3,}").all(kept))
+    lowered = F.lower(text)
+    split = lambda space, word: F.regexp_extract_all(F.regexp_replace(lowered, f"[^a-z0-9{space}]+", ""), F.lit(word), F.lit(0))
+    words = F.array_sort(F.when(wide_spaces(text), split(SPACE, Rx("{S}{3,}").java)).otherwise(split(r"\s", r"\S{3,}")))
     step = lambda h, c: F.pmod(h * F.lit(31) + F.ascii(c), F.lit(1 << 32))
     bits = F.aggregate(F.split(F.array_join(words, " "), ""), F.lit(0).cast("bigint"), step)
     size = F.when(bits >= (1 << 31), F.lit(1 << 32) - bits).otherwise(bits)
