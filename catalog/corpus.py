@@ -11,6 +11,7 @@ from weirworks.functions import text as X
 from weirworks.operators import corpus as O
 from weirworks.operators import gate as G
 from weirworks.sources import files as S
+from weirworks.sources.workdir import new_path
 from weirworks.views import table, view
 
 from .base import case_of, est_tokens, every, first, found, lit, on_view, query, trim
@@ -89,6 +90,30 @@ on_view("file_context", "code_files",
 on_view("line_counts", "code_files", lambda c: O.line_counts(c), f"""
 WITH e AS (SELECT coalesce(nullif({EXT}, ''), '(no ext)') AS ext, len(string_split(content, {NL})) AS lines FROM code_files)
 SELECT ext, CAST(sum(lines) AS BIGINT) AS lines FROM e GROUP BY ROLLUP (ext)""")
+FILES = 16
+
+
+def written_tree(spark, sf_dir):
+    """The code lines as plain files below a fresh folder."""
+    root = new_path(spark, "tree")
+    O.file_lines(view(spark, sf_dir, "code_files")).select(F.col("line").alias("value")).repartition(FILES).write.text(root)
+    return root
+
+
+@query("read_corpus", f"SELECT CAST(sum(len(string_split(content, {NL}))) AS BIGINT) AS lines, {FILES} AS files FROM code_files", ["code_files"])
+def _(spark, sf_dir):
+    """Every file ends in a line break, after which one more, empty line is counted."""
+    root = written_tree(spark, sf_dir)
+    corpus = S.relative(S.read_corpus(spark, root), root)
+    return O.file_lines(corpus).agg((F.count(F.lit(1)) - F.count_distinct("path")).alias("lines"), F.count_distinct("path").alias("files"))
+
+
+@query("list_files", f"SELECT {FILES} AS files, CAST(sum(strlen(content) + 1) AS BIGINT) AS bytes FROM code_files", ["code_files"])
+def _(spark, sf_dir):
+    return S.list_files(spark, written_tree(spark, sf_dir)).where(F.endswith("name", F.lit(".txt"))).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
 HIDING = "CASE WHEN file_id % 40 = 7 THEN 'src/.cache/f' || CAST(file_id AS VARCHAR(20)) WHEN file_id % 40 = 9 THEN 'node_modules/lib/f' || CAST(file_id AS VARCHAR(20)) || '.ts' ELSE path END"
 NODES = f"""p AS (SELECT {HIDING} AS path, length(content) AS size FROM code_files),
 v AS (SELECT string_split(path, '/') AS q, size FROM p WHERE len(list_filter(string_split(path, '/'), lambda x: starts_with(x, '.'))) = 0),

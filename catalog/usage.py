@@ -11,6 +11,7 @@ from weirworks.operators import learning as L
 from weirworks.operators import usage as U
 from weirworks.operators.routing import light_budget, skip_short
 from weirworks.sources import logs
+from weirworks.sources.workdir import new_path
 from weirworks.views import table, view
 
 from .base import (blended, case_of, costs, count, dbl, est_tokens, fixed, gross, lit, NONSPACE, on_view, overhead,
@@ -340,3 +341,46 @@ def _(spark, sf_dir):
     asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("task_id"), F.expr(TOOL).alias("tool"),
                                                 (F.col("p_size") % 9).alias("task_complexity"))
     return L.output_estimate(asked, log).withColumn("light", light_budget(F.col("estimated_tokens"), 600))
+
+
+# --- sinks -----------------------------------------------------------------------------
+
+def appended_log(spark, sf_dir, kind, append):
+    """Append the records of a kind in two writes and read the log back."""
+    path = new_path(spark, f"append-{kind}")
+    rows = view(spark, sf_dir, "usage_log").where(F.col("type") == kind).drop("type", "cloud_overhead_tokens")
+    append(rows.where("log_ord % 2 = 0"), path)
+    append(rows.where("log_ord % 2 = 1"), path)
+    append(rows, path, enabled=False)
+    return logs.read_usage_log(spark, path)
+
+
+@query("append_completions", f"SELECT tool, model, session_id, tokens_used, {overhead('tokens_used')} AS cloud_overhead_tokens, duration_ms, "
+       f"{TS.format('ts')} AS at FROM usage_log WHERE type = 'completion'", ["usage_log"])
+def _(spark, sf_dir):
+    log = appended_log(spark, sf_dir, "completion", logs.append_completions)
+    return log.select("tool", "model", "session_id", "tokens_used", "cloud_overhead_tokens", "duration_ms",
+                      F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("append_delegations", "SELECT tool, tokens_used, output_tokens, quality_status, attempt_count, resolved_locally, session_id "
+       "FROM usage_log WHERE type = 'delegation'", ["usage_log"])
+def _(spark, sf_dir):
+    log = appended_log(spark, sf_dir, "delegation", logs.append_delegations)
+    return log.select("tool", "tokens_used", "output_tokens", "quality_status", "attempt_count", "resolved_locally", "session_id")
+
+
+@query("append_history", "SELECT task_fingerprint, task_type, level_used, outcome FROM history", ["history"])
+def _(spark, sf_dir):
+    path = new_path(spark, "append-history")
+    logs.append_history(view(spark, sf_dir, "history"), path)
+    return logs.read_history(spark, path).select("task_fingerprint", "task_type", "level_used", "outcome")
+
+
+@query("truncate_log", "SELECT count(*) AS before, 0 AS after FROM usage_log WHERE type = 'completion'", ["usage_log"])
+def _(spark, sf_dir):
+    path = new_path(spark, "truncate")
+    logs.append_completions(view(spark, sf_dir, "usage_log").where("type = 'completion'"), path)
+    before = logs.read_usage_log(spark, path).count()
+    logs.truncate_log(spark, path)
+    return logs.read_usage_log(spark, path).agg(F.lit(before).alias("before"), F.count(F.lit(1)).alias("after"))

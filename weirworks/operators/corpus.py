@@ -182,9 +182,9 @@ def visible(path: Column, allow_gitignore: bool = True, skip: tuple[str, ...] =
     return F.forall(parts, lambda p: shown(p) & ~p.isin("", *skip) if skip else shown(p))
 
 
-def line_counts(files: DataFrame, content: str = "content") -> DataFrame:
+def line_counts(files: DataFrame, content: str = "content", max_depth: int = 10) -> DataFrame:
     """Lines per extension and in total (extension null), over visible files below 1 MB."""
-    small = files.where((F.octet_length(content) < SMALL_FILE)
+    small = files.where((F.octet_length(content) < SMALL_FILE) & (F.size(F.split("path", "/")) <= max_depth + 1)
                         & visible(F.col("path"), allow_gitignore=False, skip=("node_modules",)))
     ext = F.coalesce(F.nullif(X.extension(F.col("path")), F.lit("")), F.lit("(no ext)"))
     counted = small.select(ext.alias("ext"), (F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1)

@@ -54,8 +54,9 @@ def routing_advice(history: DataFrame, options: dims.LearnerOptions = dims.Learn
     """Advice for every pair that scoring can produce, seen or not: 5 output types x 6 levels."""
     cells = success_cells(history)
     types = [name for name, _ in S.OUTPUT_TYPE] + ["code_gen"]
-    grid = history.sparkSession.createDataFrame([(t, level) for t in types for level in range(1, 7)],
-                                                "task_type string, level_used int")
+    pairs = F.array(*[F.struct(F.lit(t).alias("task_type"), F.lit(level).alias("level_used"))
+                      for t in types for level in range(1, 7)])
+    grid = history.sparkSession.range(1).select(F.inline(pairs))
     every = grid.join(cells, ["task_type", "level_used"], "left").fillna(0, ["n", "successes"])
     return advise(every, cells.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar(), options)
 

@@ -34,11 +34,15 @@ def _first_phrase(lowered: Column, phrases: list[str]) -> Column:
 
 def match_rules(prompts: DataFrame, text: str = "text") -> DataFrame:
     """Add the first matching built-in rule and phrase; null where none applies."""
+    lowered = prompts.withColumn("_lower", F.lower(text))
+    return _match_lowered(lowered).drop("_lower")
+
+
+def _match_lowered(lowered: DataFrame) -> DataFrame:
     at = F.col("_phrase_at")
     pick = lambda values: F.try_element_at(F.array(*[F.lit(v) for v in values]), at)
     rule = lambda field: pick([dims.RULES[number][field] for _, number in PHRASES])
-    lowered = prompts.withColumn("_low", F.lower(text))
-    out = settle(lowered, {"_phrase_at": _first_phrase(F.col("_low"), [p for p, _ in PHRASES])}).drop("_low")
+    out = settle(lowered, {"_phrase_at": _first_phrase(F.col("_lower"), [p for p, _ in PHRASES])})
     return out.withColumns({
         "matched_phrase": pick([p for p, _ in PHRASES]),
         "rule_ord": pick([number for _, number in PHRASES]),
@@ -98,8 +102,12 @@ def _match_by_anchor(prompts: DataFrame, rules: DataFrame, key: str, text: str)
 
 def extract_signals(prompts: DataFrame, text: str = "text") -> DataFrame:
     """Add the twelve signals, the score and its level; each text feature is computed once."""
-    lowered = prompts.withColumn("_lower", F.lower(text)).withColumn("_words", S.words_of(F.col("_lower")))
-    featured = settle(lowered, S.signal_columns(F.col("_lower"), F.col("_words"))).drop("_lower", "_words")
+    return _signals_of_lowered(prompts.withColumn("_lower", F.lower(text)))
+
+
+def _signals_of_lowered(lowered: DataFrame) -> DataFrame:
+    worded = lowered.withColumn("_words", S.words_of(F.col("_lower")))
+    featured = settle(worded, S.signal_columns(F.col("_lower"), F.col("_words"))).drop("_lower", "_words")
     context = (F.col("files_referenced") * dims.CONTEXT_TOKENS_PER_FILE).alias("estimated_context_tokens")
     scored = featured.withColumn("estimated_context_tokens", context).withColumn("score", S.complexity_score())
     return scored.withColumn("score_level", S.score_to_level(F.col("score")))
@@ -191,7 +199,7 @@ def learned_adjustment(prompts: DataFrame, learner: DataFrame) -> DataFrame:
 def classify(prompts: DataFrame, text: str = "text", triage: DataFrame | None = None, key: str = "task_id",
              learner: DataFrame | None = None) -> DataFrame:
     """All that a decision needs and that does not depend on the delegation level."""
-    out = extract_signals(match_rules(prompts, text), text)
+    out = _signals_of_lowered(_match_lowered(prompts.withColumn("_lower", F.lower(text))))
     if triage is not None:
         parsed = parse_triage(triage).select(key, "triage_level", "triage_confidence")
         unheard = F.coalesce(F.col("triage_level"), F.lit(3)), F.coalesce(F.col("triage_confidence"), F.lit(0.3))

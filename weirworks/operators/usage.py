@@ -128,11 +128,13 @@ def delegation_summary(log: DataFrame) -> DataFrame:
 
 
 def quality_breakdown(log: DataFrame) -> DataFrame:
-    """Delegations per outcome, zero-filled for the three known outcomes."""
-    counted = log.where(F.col("type") == "delegation").agg(
-        *[_n(F.col("quality_status") == s).alias(s) for s in dims.QUALITY_STATUSES])
-    pairs = F.array(*[F.struct(F.lit(s).alias("quality_status"), F.col(s).alias("n")) for s in dims.QUALITY_STATUSES])
-    return counted.select(F.inline(pairs))
+    """Delegations per outcome; the three known outcomes are there even when none occurred."""
+    seen = log.where(F.col("type") == "delegation").groupBy(
+        F.coalesce("quality_status", F.lit("undefined")).alias("quality_status")).agg(F.count(F.lit(1)).alias("n"))
+    zeros = F.array(*[F.struct(F.lit(s).alias("quality_status"), F.lit(0).cast("bigint").alias("n"))
+                      for s in dims.QUALITY_STATUSES])
+    known = log.sparkSession.range(1).select(F.inline(zeros))
+    return seen.unionByName(known).groupBy("quality_status").agg(F.sum("n").alias("n"))
 
 
 def dashboard_delegation_stats(log: DataFrame) -> DataFrame:
