@@ -12,7 +12,10 @@ from weirworks.operators import reports as P
 from weirworks.plans import conversations as V
 from weirworks.views import table, view
 
+from weirworks.operators.gate import NO_ANSWER
+
 from .base import blended, costs, dbl, est_tokens, fixed, lit, on_view, overhead, query, round2, gross, spent
+from .corpus import FILE_TASKS, file_tasks
 from .gate import gated
 from .routing import DECIDED, NO_LEARNER, NO_TRIAGE, OUT, RULED, SCORED, decided
 
@@ -110,11 +113,20 @@ def _(spark, sf_dir):
     return batch_complete(asked, echo).drop("duration_ms")
 
 
-@query("light_pass")
+# what the stand-in model of the light pass leads to, by its kind of answer
+LIGHT_PASS = f"""WITH tasks AS ({FILE_TASKS}),
+k AS (SELECT task_id, list_sum(list_transform(string_split(substr('Task: ' || text, 1, 60), ''), lambda c: ascii(c))) % 5 AS kind FROM tasks)
+SELECT task_id, CASE kind WHEN 4 THEN 'accepted' WHEN 2 THEN 'retried_accepted' ELSE 'escalated' END AS quality_status,
+  CASE WHEN kind IN (2, 3) THEN 2 ELSE 1 END AS attempt_count,
+  CASE kind WHEN 1 THEN 900 WHEN 2 THEN 950 + 900 WHEN 3 THEN 950 + 950 WHEN 4 THEN 900 END AS tokens_used,
+  CASE kind WHEN 1 THEN 900 WHEN 2 THEN 900 WHEN 3 THEN 950 WHEN 4 THEN 900 END AS output_tokens, kind IN (2, 4) AS resolved_locally,
+  CASE kind WHEN 0 THEN '{NO_ANSWER}' WHEN 1 THEN 'Found placeholder marker: TODO' WHEN 3 THEN 'Excessive hedging: 3 instances' ELSE '' END AS reasons
+FROM k"""
+
+
+@query("light_pass", LIGHT_PASS, ["code_files"])
 def _(spark, sf_dir):
     from weirworks.plans.light_pass import light_pass
-
-    from .corpus import file_tasks
     tasks, files = file_tasks(spark, sf_dir)
     tasks = tasks.withColumn("tool", F.lit("generate_code")).withColumn("expected_language", F.lit("python"))
     out = light_pass(tasks, files, view(spark, sf_dir, "usage_log"), hedging_model)

@@ -109,3 +109,21 @@ def test_lookup_spreads_hot_keys(spark):
         want = sorted(map(tuple, left.join(right, "k", how).select("id", "k", "v").collect()), key=str)
         got = sorted(map(tuple, lookup(left, right, "k", "id", how, hot_rows=100, salts=7).select("id", "k", "v").collect()), key=str)
         assert got == want
+
+
+def test_bare_paths_equal_the_plain_pattern(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from weirworks.functions.text import BARE_PATH
+    rx = re.compile(BARE_PATH.ascii, re.A)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aab1///..-é ") for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    texts += ["a/b.tsxabcdef/g.h", "a./b.c", "x/" * 30000 + "y.ts", "w" * 60000 + "/z.py", "./../a/b.c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.p for r in df.select("i", BARE_PATH.all(F.col("t")).alias("p")).collect()}
+    want = {i: rx.findall(t) for i, t in enumerate(texts)}
+    assert sum(map(len, want.values())) > 1000
+    assert got == want

@@ -97,3 +97,21 @@ def test_recent_keeps_log_order(spark):
 def test_price_of_model_names(spark):
     df = spark.createDataFrame([("x-OPUS-1",), ("sonnet",), ("haiku-3",), ("other",), (None,)], "m string")
     assert [r[0] for r in df.select(C.price_rate(F.col("m"))).collect()] == [25.0, 15.0, 5.0, dims.DEFAULT_RATE, dims.DEFAULT_RATE]
+
+
+def test_month_of_twenty_sessions_a_day(spark):
+    daily = spark.createDataFrame([("2026-02-17", 6130, 0, 45)], "date string, tokens bigint, overhead bigint, tasks bigint")
+    rows = {r.tier: r for r in U.project(daily, scales=[20 / 3]).collect()}
+    assert round(rows["haiku"].month_tokens) == 899067
+    assert [rows[t].gross_cost for t in ("haiku", "sonnet", "opus")] == [4.50, 13.49, 22.48]
+
+
+def test_large_outputs_keep_three_quarters(spark):
+    row = U.threshold_sweep(log(spark, completions([1_000_000] * 3)), [0]).first()
+    assert abs(row.efficiency - 0.74) < 1e-4
+
+
+def test_unknown_outcomes_are_counted_too(spark):
+    rows = [dict(log_ord=i, type="delegation", tokens_used=1, quality_status=q) for i, q in enumerate(["accepted", "odd", None])]
+    got = {r.quality_status: r.n for r in U.quality_breakdown(log(spark, rows)).collect()}
+    assert got == {"accepted": 1, "retried_accepted": 0, "escalated": 0, "odd": 1, "undefined": 1}

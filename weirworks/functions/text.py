@@ -23,7 +23,9 @@ class Rx:
 
     Java's ``\\b`` looks at Unicode letters, the rules mean ASCII ones, so word edges are written as
     look-arounds.  Marks: ``{<}`` word start, ``{>}`` word end, ``{b}`` any word edge, ``{s}`` one white
-    space character, ``{.}`` one character that does not end a line.
+    space character, ``{S}`` any other, ``{.}`` one character that does not end a line.  Two marks only speed
+    Java up where they cannot change a match: ``{w}`` begins no word in its middle, ``{+}`` repeats a group
+    without stepping back, which also keeps very long repeats off the stack.
     """
 
     def __init__(self, source: str, ignore_case: bool = False, needs: tuple[str, ...] = ()):
@@ -39,11 +41,13 @@ class Rx:
     def java(self) -> str:
         w = WORD_CHAR
         return self.flags + (self._common().replace("{<}", f"(?<!{w})").replace("{>}", f"(?!{w})")
-                             .replace("{b}", f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))"))
+                             .replace("{b}", f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))")
+                             .replace("{w}", r"(?:(?<![\w-])|\G)").replace("{+}", "++"))
 
     @property
     def ascii(self) -> str:
-        return self.flags + self._common().replace("{<}", r"\b").replace("{>}", r"\b").replace("{b}", r"\b")
+        return self.flags + (self._common().replace("{<}", r"\b").replace("{>}", r"\b").replace("{b}", r"\b")
+                             .replace("{w}", "").replace("{+}", "+"))
 
     def worth(self, text: Column) -> Column | None:
         return reduce(and_, [F.contains(text, F.lit(n)) for n in self.needs]) if self.needs else None
@@ -156,7 +160,7 @@ NAMED_FILE = Rx(r"{b}[\w/.-]+\.\w{1,5}{>}")
 AT_MENTION = Rx(r"@[\w/.-]+", needs=("@",))
 TICKED_FILE = Rx(r"`[^`]*\.\w{1,5}`", needs=("`", "."))
 QUOTED_PATH = Rx(r"[\"'`]([^\"'`" + SPACE + r"]+\.\w{1,6})[\"'`]")
-BARE_PATH = Rx(r"(?:\./|[\w-]+/)+[\w.-]+\.\w{1,6}", needs=("/", "."))
+BARE_PATH = Rx(r"(?:\./|{w}[\w-]+/){+}[\w.-]+\.\w{1,6}", needs=("/", "."))
 TICKED_PATH = Rx(r"`([^`" + SPACE + r"]+\.\w{1,6})`", needs=("`", "."))
 FENCE = Rx(r"```\w*\n((?s:.*?))```", needs=("```",))
 SUFFIXED = Rx(r"\.\w{1,5}{>}", needs=(".",))

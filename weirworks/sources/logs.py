@@ -44,11 +44,11 @@ def parse_lines(lines: DataFrame, fields: list[tuple[str, str]], line: str = "va
 
 
 def read_usage_log(spark: SparkSession, path: str) -> DataFrame:
-    return parse_lines(spark.read.text(path), USAGE_FIELDS)
+    return parse_lines(spark.read.text(path, lineSep="\n"), USAGE_FIELDS)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return parse_lines(spark.read.text(path), HISTORY_FIELDS)
+    return parse_lines(spark.read.text(path, lineSep="\n"), HISTORY_FIELDS)
 
 
 def delegations(log: DataFrame) -> DataFrame:

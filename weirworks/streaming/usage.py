@@ -18,7 +18,7 @@ from ..sources.workdir import new_path
 
 def stream_usage_log(spark: SparkSession, directory: str, files_per_trigger: int = 1000) -> DataFrame:
     """New JSON-lines files of a usage log, as they arrive."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(directory)
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(directory, lineSep="\n")
     return parse_lines(lines, USAGE_FIELDS)
 
 
