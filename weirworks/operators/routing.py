@@ -38,16 +38,22 @@ def match_rules(prompts: DataFrame, text: str = "text") -> DataFrame:
     return _match_lowered(lowered).drop("_lower")
 
 
+def _constants(values: list) -> str:
+    """SQL array of built-in constants; one text is far quicker to hand over than hundreds of literals."""
+    return "array(" + ", ".join(f"{v!r}D" if isinstance(v, float) else repr(v) for v in values) + ")"
+
+
+BUILTIN_AT = (f"CASE WHEN rlike(_lower, r'{one_of([p for p, _ in PHRASES])}') THEN CASE "
+              + " ".join(f"WHEN contains(_lower, '{p}') THEN {at}" for at, (p, _) in enumerate(PHRASES, 1)) + " END END")
+
+
 def _match_lowered(lowered: DataFrame) -> DataFrame:
-    at = F.col("_phrase_at")
-    pick = lambda values: F.try_element_at(F.array(*[F.lit(v) for v in values]), at)
-    rule = lambda field: pick([dims.RULES[number][field] for _, number in PHRASES])
-    out = settle(lowered, {"_phrase_at": _first_phrase(F.col("_lower"), [p for p, _ in PHRASES])})
-    return out.withColumns({
-        "matched_phrase": pick([p for p, _ in PHRASES]),
-        "rule_ord": pick([number for _, number in PHRASES]),
-        **{name: rule(i) for i, name in enumerate(RULE_FIELDS)},
-    }).drop("_phrase_at")
+    at = lambda column, values: F.expr(f"try_element_at({_constants(values)}, {column})")
+    out = settle(lowered, {"_phrase_at": F.expr(BUILTIN_AT)})
+    out = out.withColumns({"matched_phrase": at("_phrase_at", [p for p, _ in PHRASES]),
+                           "rule_ord": at("_phrase_at", [n for _, n in PHRASES])})
+    return out.withColumns({name: at("rule_ord + 1", [rule[i] for rule in dims.RULES])
+                            for i, name in enumerate(RULE_FIELDS)}).drop("_phrase_at")
 
 
 def match_user_rules(prompts: DataFrame, rules: DataFrame, key: str, text: str = "text",
