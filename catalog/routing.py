@@ -228,15 +228,15 @@ WITH c AS (SELECT task_id, {CATEGORY} AS category, CAST(task_id % 8 AS INT) AS t
 SELECT *, CASE category WHEN 'docs' THEN 'doc-8b' WHEN 'tests' THEN 'test-8b' END AS model,
   CASE WHEN category IN ('docs', 'tests') THEN 'specialist' WHEN task_complexity BETWEEN 1 AND 4 THEN 'ladder' ELSE 'default' END AS model_source FROM c""")
 
-COMMAND = """CASE task_id % 6 WHEN 0 THEN '  CS ask ' || text WHEN 1 THEN 'ask local ' || text || ' ' WHEN 2 THEN '/saver:ask ' || text
+COMMAND = """CASE task_id % 6 WHEN 0 THEN '  CS ask ' || text WHEN 1 THEN 'ask local ' || text || ' ' WHEN 2 THEN '/desk:ask ' || text
   WHEN 3 THEN ' cs Status ' WHEN 4 THEN 'CS RESET' ELSE text END"""
 on_view("parse_command", "prompts",
-        lambda p: p.select("task_id", R.parse_command(F.expr(COMMAND), "saver").alias("c")).select("task_id", "c.command", "c.args"), f"""
+        lambda p: p.select("task_id", R.parse_command(F.expr(COMMAND), "desk").alias("c")).select("task_id", "c.command", "c.args"), f"""
 WITH t AS (SELECT task_id, {trim(COMMAND)} AS t FROM prompts), u AS (SELECT *, lower(t) AS l FROM t)
-SELECT task_id, CASE WHEN starts_with(l, 'cs ask ') OR starts_with(l, 'ask local ') OR starts_with(l, '/saver:ask ') THEN 'ask'
-  WHEN l IN ('cs status', '/saver:status') THEN 'status' WHEN l = 'cs reset' THEN 'reset' END AS command,
+SELECT task_id, CASE WHEN starts_with(l, 'cs ask ') OR starts_with(l, 'ask local ') OR starts_with(l, '/desk:ask ') THEN 'ask'
+  WHEN l IN ('cs status', '/desk:status') THEN 'status' WHEN l = 'cs reset' THEN 'reset' END AS command,
   CASE WHEN starts_with(l, 'cs ask ') THEN {trim('substr(t, 8)')} WHEN starts_with(l, 'ask local ') THEN {trim('substr(t, 11)')}
-  WHEN starts_with(l, '/saver:ask ') THEN {trim('substr(t, 12)')} WHEN l IN ('cs status', '/saver:status', 'cs reset') THEN '' END AS args FROM u""")
+  WHEN starts_with(l, '/desk:ask ') THEN {trim('substr(t, 11)')} WHEN l IN ('cs status', '/desk:status', 'cs reset') THEN '' END AS args FROM u""")
 
 SPLIT = """CASE task_id % 5 WHEN 0 THEN 'Here you go: {"subtasks": [{"id": "a", "description": "first", "level": 9, "depends_on": []},
   {"description": "second"}, {"id": "z", "level": 2}, {"id": "c", "description": "third", "level": 0, "depends_on": ["a", "z"]}]} done'
