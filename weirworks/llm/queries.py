@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, sharding
+from . import fingerprints, language, packing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,18 @@ def op1_sharding(spark, sf_dir):
 @query
 def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_language(spark, sf_dir):
+    return language.identify_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    return toxicity.classify_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op6_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))

@@ -54,15 +54,15 @@ def assign(rows: DataFrame, link: str, shards: int, rounds: int = 8, seed: int =
     keys = (base.where(F.col(link).isNotNull()).groupBy(F.col(link).alias("__link")).count().where("count > 1")
             .select("__link", F.ceil(F.col("count") / part_rows).alias("__parts"), F.ceil(F.col("count") / BLOCK_ROWS).alias("__blocks")))
     tied = base.select("__node", F.col(link).alias("__link")).join(keys, "__link", "left")
-    state = written(tied.select(
+    start = written(tied.select(
         "__node", F.when(F.col("__parts").isNotNull(), F.xxhash64("__link", F.pmod(F.xxhash64("__node", F.lit(seed)), F.col("__parts")))).alias("__hub"),
         F.coalesce("__blocks", F.lit(1)).alias("__blocks"), F.pmod(F.xxhash64("__node"), F.lit(shards)).cast("int").alias("shard")), "shard-start")
+    linked, alone = start.where("__hub IS NOT NULL"), start.where("__hub IS NULL")
     for turn in range(rounds):
-        linked = state.where("__hub IS NOT NULL")
         votes = linked.groupBy("__hub", "shard").count()
         want = votes.groupBy("__hub").agg(F.max_by("shard", F.struct("count", F.xxhash64("__hub", "shard"))).alias("__want"))
-        asked = linked.join(want, "__hub").where("shard <> __want")
-        counted = asked.groupBy("shard", "__want").count().collect()        # at most shards x shards rows
+        wished = linked.join(want, "__hub")
+        counted = wished.where("shard <> __want").groupBy("shard", "__want").count().collect()        # at most shards x shards rows
         if not counted:
             break
         moves, load = np.zeros((shards, shards)), np.zeros(shards)
@@ -75,9 +75,9 @@ def assign(rows: DataFrame, link: str, shards: int, rounds: int = 8, seed: int =
             break
         table = F.array(*[F.lit(float(x)) for x in chance.ravel()])
         goes = _share("__hub", F.lit(seed + turn)) < F.element_at(table, F.col("shard") * shards + F.col("__want") + 1)
-        state = written(state.join(want, "__hub", "left").select(
-            "__node", "__hub", "__blocks", F.when(F.col("__want").isNotNull() & (F.col("shard") != F.col("__want")) & goes, F.col("__want"))
-            .otherwise(F.col("shard")).alias("shard")), "shard-round")
+        linked = written(wished.select("__node", "__hub", "__blocks", F.when((F.col("shard") != F.col("__want")) & goes, F.col("__want"))
+                                       .otherwise(F.col("shard")).alias("shard")), "shard-round")
+    state = linked.unionByName(alone)
     placed = _even_out(state, quota.astype(int), total)
     return base.join(placed, "__node").drop("__node")
 

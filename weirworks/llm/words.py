@@ -1,6 +1,7 @@
 """Words of whole texts as 64-bit numbers, computed for many texts at once with numpy.
 
-A word is a run of bytes outside space and 0x09-0x0D; upper-case A-Z can be folded. Every function is a pure function
+A word is a run of bytes outside space and 0x09-0x0D, or with ``letters`` a run of letters and digits; upper-case A-Z
+can be folded. Every function is a pure function
 of the text, so any executor that repeats a task gives the same numbers.
 """
 
@@ -40,8 +41,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 class Powers:
     """Powers of the base and of its inverse, as long as the longest run of bytes so far."""
-    up = _powers(BASE, 1 << 16)
-    down = _powers(INVERSE, 1 << 16)
+    up = _powers(BASE, 1 << 10)
+    down = _powers(INVERSE, 1 << 10)
 
     @classmethod
     def reach(cls, n: int) -> None:
@@ -53,13 +54,15 @@ class Powers:
 class Words:
     """The words of a few texts: ``hash`` of each word, where it starts and ends in ``data``, and ``ptr``: text i has
     the words ptr[i] to ptr[i + 1]."""
-    def __init__(self, data: np.ndarray, edges: np.ndarray, fold: bool):
+    def __init__(self, data: np.ndarray, edges: np.ndarray, fold: bool, letters: bool = False):
         self.edges = edges
         if fold:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         self.data = data
         n = len(data)
         inside = (data != 32) & ((data < 9) | (data > 13))
+        if letters:  # ASCII letters and digits, and all bytes of other characters
+            inside = ((data >= 97) & (data <= 122)) | ((data >= 65) & (data <= 90)) | ((data >= 48) & (data <= 57)) | (data >= 128)
         starts, ends = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
         starts[:n] = inside
         starts[1:n] &= ~inside[:-1]
@@ -71,10 +74,17 @@ class Words:
         self.start, self.end = np.flatnonzero(starts), np.flatnonzero(ends)
         self.ptr = np.searchsorted(self.start, edges)
         Powers.reach(n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * Powers.up[:n], out=total[1:])
-        own = (total[self.end] - total[self.start]) * Powers.down[self.start]
-        self.hash = mix(own + mix((self.end - self.start).astype(U) * U(0xD6E8FEB86659FD93)))
+        self._total = np.zeros(n + 1, U)
+        np.cumsum((data.astype(U) + U(1)) * Powers.up[:n], out=self._total[1:])
+        self.hash = self._named(self.end)
+
+    def _named(self, end: np.ndarray) -> np.ndarray:
+        own = (self._total[end] - self._total[self.start]) * Powers.down[self.start]
+        return mix(own + mix((end - self.start).astype(U) * U(0xD6E8FEB86659FD93)))
+
+    def prefix(self, n: int) -> np.ndarray:
+        """The number of the first n bytes of each word."""
+        return self._named(np.minimum(self.start + n, self.end))
 
     def __len__(self) -> int:
         return len(self.edges) - 1
@@ -83,7 +93,7 @@ class Words:
         return np.diff(self.ptr)
 
 
-def pieces(column: pa.Array, fold: bool = True, size: int = PIECE_BYTES) -> Iterator[tuple[int, int, Words]]:
+def pieces(column: pa.Array, fold: bool = True, letters: bool = False, size: int = PIECE_BYTES) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, words) of a text column, a few whole texts at a time; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -95,7 +105,7 @@ def pieces(column: pa.Array, fold: bool = True, size: int = PIECE_BYTES) -> Iter
     low = 0
     while low < len(column):
         high = max(low + 1, int(np.searchsorted(edges, edges[low] + size, "right")) - 1)
-        yield low, high, Words(data[edges[low]:edges[high]], edges[low:high + 1] - edges[low], fold)
+        yield low, high, Words(data[edges[low]:edges[high]], edges[low:high + 1] - edges[low], fold, letters)
         low = high
 
 
