@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, packing, sharding, toxicity
+from . import fingerprints, language, packing, sharding, surrogates, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,13 @@ def op4_toxicity(spark, sf_dir):
 @query
 def op6_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_surrogates(spark, sf_dir):
+    return surrogates.replace_entities(read(spark, sf_dir, "documents").select("doc_id", "text"), counted="n_entities")
+
+
+@query
+def op9_tiling(spark, sf_dir):
+    return tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
