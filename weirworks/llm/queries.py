@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, packing, sharding, surrogates, tiling, toxicity
+from . import fingerprints, jaccard, language, packing, sharding, surrogates, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,8 @@ def op5_surrogates(spark, sf_dir):
 @query
 def op9_tiling(spark, sf_dir):
     return tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
