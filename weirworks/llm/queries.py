@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, language, packing, sharding, surrogates, tiling, toxicity
+from . import fingerprints, interpolation, jaccard, language, packing, sharding, surrogates, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,8 @@ def op9_tiling(spark, sf_dir):
 @query
 def op3_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_interpolation(spark, sf_dir):
+    return interpolation.score_documents(read(spark, sf_dir, "documents"))
