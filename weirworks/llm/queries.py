@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, interpolation, jaccard, language, packing, sharding, surrogates, tiling, toxicity
+from . import fingerprints, interpolation, jaccard, language, packing, recompression, sharding, surrogates, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,8 @@ def op3_jaccard(spark, sf_dir):
 @query
 def op8_interpolation(spark, sf_dir):
     return interpolation.score_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_recompression(spark, sf_dir):
+    return recompression.without_repeats(read(spark, sf_dir, "documents"))
