@@ -11,9 +11,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from weirworks.session import local_session
-    session = local_session(os.environ.get("TEST_CPUS", "8"), "tests")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("work")))
+    session = local_session(os.environ.get("TEST_CPUS", "8"), "tests", str(tmp_path_factory.mktemp("work")))
     yield session
     session.stop()
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +10,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only for local sessions without it."""
+    """The folder named by ``spark.checkpoint.dir``, which all executors must share."""
     named = spark.conf.get(SETTING, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {SETTING} to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="weirworks-")
-    spark.conf.set(SETTING, made)
-    return made
+    if not named:
+        raise ValueError(f"set {SETTING}, when the session is built, to a folder that all executors share")
+    return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -30,4 +25,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back: its rows are never computed again, also after lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` gave; nothing may read them any more."""
+    for table in tables:
+        remove_folder(table.sparkSession, table.written_path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
