@@ -137,6 +137,11 @@ def _answered(rows: pd.DataFrame, answer: Answer, totals: int) -> pd.DataFrame:
     return frame
 
 
+def several(stream: int, keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, list]:
+    """The answer whether a key occurs more than once."""
+    return sums > 1, []
+
+
 def asked(table: DataFrame, ask: Ask, answer: Answer, columns: int, totals: int, count: int | None = None) -> DataFrame:
     """The written answers (batch, slice, stream, values, totals).
 

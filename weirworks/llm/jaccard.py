@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirworks.sources.workdir import written
+from weirworks.sources.workdir import discard, written
 
+from .exchange import asked, batched, joined, several, unpack_rows, values
 from .graph import components
 from .words import U, grams, mix, pieces, signed
 
@@ -102,29 +103,51 @@ def neighbourhoods(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(whole), np.concatenate(less)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, bands: Bands) -> Iterator[pa.RecordBatch]:
-    """row, n, two numbers that name the set, and its segment signatures."""
-    for batch in batches:
-        n, one, two, sigs = [], [], [], []
-        for low, high, w in pieces(batch.column(1)):
-            for i in range(high - low):
-                s = shingles(w.hash[w.ptr[i]:w.ptr[i + 1]], width)
-                n.append(len(s))
-                one.append(int(mix(s).sum(dtype=U)))
-                two.append(int(mix(s ^ U(0x1234567)).sum(dtype=U)))
-                sigs.append(signed(signatures(s, bands)) if len(s) else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(one, U).view(np.int64)), pa.array(np.array(two, U).view(np.int64)),
-                                          pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n", "one", "two", "sigs"])
-
-
-def _packed(column: str, width: int):
-    @F.arrow_udf("array<bigint>")
-    def packed(texts: pa.Array) -> pa.Array:
-        out = []
-        for low, high, w in pieces(texts):
-            out += [signed(shingles(w.hash[w.ptr[i]:w.ptr[i + 1]], width)) for i in range(high - low)]
-        return pa.array(out, pa.list_(pa.int64()))
-    return packed(column)
+def _carriers(row: dict, width: int, bands: Bands) -> Iterator[tuple[int, int, int, int, np.ndarray, np.ndarray | None]]:
+    """(doc_id, size, two numbers of the set, set, signatures) of a batch's texts; of equal sets only the one with the
+    smallest id has signatures."""
+    docs = unpack_rows(row["docs"])
+    found, least = [], {}
+    for low, high, w in pieces(docs.column(1)):
+        for i in range(high - low):
+            s = shingles(w.hash[w.ptr[i]:w.ptr[i + 1]], width)
+            key = (len(s), int(mix(s).sum(dtype=U)), int(mix(s ^ U(0x1234567)).sum(dtype=U)))
+            doc = docs.column(0)[low + i].as_py()
+            found.append((doc, key, s))
+            if len(s) and doc is not None and doc < least.get(key, doc + 1):
+                least[key] = doc
+    for doc, key, s in found:
+        first = doc is not None and least.get(key) == doc
+        if first:
+            del least[key]
+        yield doc, *key, s, signatures(s, bands) if first else None
+
+
+def _distinct(carriers: list) -> tuple[np.ndarray, np.ndarray]:
+    own = [sigs for *_, sigs in carriers if sigs is not None]
+    found, count = np.unique(np.concatenate(own) if own else np.zeros(0, U), return_counts=True)
+    return found, count.astype(np.uint32)[:, None]
+
+
+def _ask(width: int, percent: int):
+    return lambda row: [_distinct(list(_carriers(row, width, Bands(percent))))]
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, two numbers that name the set; for carriers the signatures that others share, and the set if any is."""
+    signed_number = lambda x: x - (1 << 64) if x >> 63 else x
+    for rows in batches:
+        for row in rows.to_pylist():
+            carriers = list(_carriers(row, width, Bands(percent)))
+            keys, again = _distinct(carriers)[0], values(row, 0, 1)[:, 0].astype(bool)
+            columns: list[list] = [[] for _ in range(6)]
+            for doc, n, one, two, s, sigs in carriers:
+                shared = sigs[again[np.searchsorted(keys, sigs)]] if sigs is not None else np.zeros(0, U)
+                some = len(shared) > 0
+                for column, value in zip(columns, (doc, n, signed_number(one), signed_number(two), signed(np.unique(shared)) if some else None, signed(s) if some else None), strict=True):
+                    column.append(value)
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n", "one", "two", "sigs", "set"])
 
 
 def _deletions(column: str, percent: int):
@@ -146,22 +169,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id per row of ``docs`` (doc_id, text): the smallest doc_id that links reach."""
-    bands = Bands(percent)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = written(texts.mapInArrow(lambda batches: _sets(batches, width, bands), "doc_id long, n long, one long, two long, sigs array<bigint>"), "sets")
+    table = batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    shared = asked(table, _ask(width, percent), several, 1, 0)
+    found = written(joined(table, shared).select("docs", "answers").mapInArrow(
+        lambda b: _sets(b, width, percent), "doc_id long, n long, one long, two long, sigs array<bigint>, set array<bigint>"), "sets")
+    discard(table, shared)
     classes = found.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("node"))
-    members = written(found.join(classes, ["n", "one", "two"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node")), "classes")
+    members = written(found.select("doc_id", "n", "one", "two").join(classes, ["n", "one", "two"], "left").select(
+        "doc_id", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node")), "classes")
     firsts = members.where("n > 0 AND doc_id = node").select("node").distinct()
-    index = found.where("n > 0").join(firsts, found["doc_id"] == firsts["node"], "left_semi").select(F.col("doc_id").alias("node"), "n", F.explode("sigs").alias("sig"))
-    shared = index.groupBy("sig").count().where("count > 1").select("sig")
-    held = written(index.join(shared, "sig").distinct(), "segments")
+    index = found.where("sigs IS NOT NULL").select(F.col("doc_id").alias("node"), "n", "sigs").join(firsts, "node", "left_semi").select("node", "n", F.explode("sigs").alias("sig")).distinct()
+    held = written(index.join(index.groupBy("sig").count().where("count > 1").select("sig"), "sig"), "segments")
     centres = held.groupBy("sig").agg(F.min("node").alias("b"))
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     sizes = held.select(F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
     stars = written(held.join(centres, "sig").where("node <> b").select(F.col("node").alias("a"), "n", "b").distinct().join(sizes, "b").where(fits(F.col("n"), F.col("nb"))).select("a", "b"), "stars")
-    # the sets of all classes that share a segment, computed once from the whole texts
-    sets = written(texts.join(held.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-                   .select(F.col("doc_id").alias("node"), _packed("text", width).alias("set")), "shingles")
+    sets = found.where("set IS NOT NULL").select(F.col("doc_id").alias("node"), "set").join(held.select("node").distinct(), "node", "left_semi")
     links = written(_verified(stars, sets, percent), "star-links")
     closed = written(components(links), "star-components")
     links = links.unionByName(_open_links(held, closed, stars, sets, percent, fits))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import asked, batched, joined, unpack_rows, values
+from .exchange import asked, batched, joined, several, unpack_rows, values
 from .words import BASE, Powers, U, Words, mix, pieces
 
 WINDOW = 35
@@ -125,10 +125,6 @@ def _ask_windows(row: dict):
     return [empty, _counted(np.concatenate([k for *_, k in _open_windows(row)]))]
 
 
-def _several(stream: int, keys: np.ndarray, sums: np.ndarray):
-    return sums > 1, []
-
-
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         for row in rows.to_pylist():
@@ -154,7 +150,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per document: every word under a window of ``WINDOW`` words that starts
     in more than one place of the table is removed."""
     table = batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    some = asked(table, _ask_phrases, _several, 1, 0)
-    more = asked(joined(table, some), _ask_windows, _several, 1, 0)
+    some = asked(table, _ask_phrases, several, 1, 0)
+    more = asked(joined(table, some), _ask_windows, several, 1, 0)
     final = joined(table, some.unionByName(more)).select("docs", "answers")
     return final.mapInArrow(_cleaned, "doc_id long, n_words long, n_removed long, kept_sha256 string")
