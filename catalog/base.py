@@ -114,8 +114,13 @@ def fixed(x: str, digits: int) -> str:
     return f"printf('%.{digits}f', CASE WHEN {x} * 8 = floor({x} * 8) THEN {x} + {dbl(1e-9)} ELSE {x} END)"
 
 
+def units(text: str) -> str:
+    """Length in UTF-16 units: one more for every character outside the basic plane."""
+    return f"(length({text}) + len(regexp_extract_all({text}, '[\\x{{10000}}-\\x{{10FFFF}}]')))"
+
+
 def est_tokens(text: str) -> str:
-    return f"CAST(ceil(length({text}) / {dbl(4.0)}) AS BIGINT)"
+    return f"CAST(ceil({units(text)} / {dbl(4.0)}) AS BIGINT)"
 
 
 NONSPACE = Rx("{S}+")
@@ -123,7 +128,7 @@ NONSPACE = Rx("{S}+")
 
 def blended(text: str) -> str:
     w = f"ceil({count(NONSPACE, text)} * {dbl(1.3)})"
-    c = f"ceil(length({text}) / {dbl(3.5)})"
+    c = f"ceil({units(text)} / {dbl(3.5)})"
     return f"CAST(ceil({w} * {dbl(0.4)} + {c} * {dbl(0.6)}) AS BIGINT)"
 
 

@@ -68,7 +68,7 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str = SF_DIR) ->
 def main(argv: list[str]) -> int:
     from catalog import ORACLES, QUERIES
     from weirworks.session import local_session
-    spark = local_session(work=tempfile.mkdtemp(prefix="check-"))
+    spark = local_session(os.environ.get("CHECK_CPUS", "8"), work=tempfile.mkdtemp(prefix="check-"))
     con = oracle_connection()
     bad = 0
     for name in argv or list(QUERIES):

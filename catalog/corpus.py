@@ -100,36 +100,45 @@ def written_tree(spark, sf_dir):
     return root
 
 
-@query("read_corpus", f"SELECT CAST(sum(len(string_split(content, {NL}))) AS BIGINT) AS lines, {FILES} AS files FROM code_files", ["code_files"])
-def _(spark, sf_dir):
-    """Every file ends in a line break, after which one more, empty line is counted."""
+def lines_of_tree(spark, sf_dir, read):
     root = written_tree(spark, sf_dir)
-    corpus = S.relative(S.read_corpus(spark, root), root)
-    return O.file_lines(corpus).agg((F.count(F.lit(1)) - F.count_distinct("path")).alias("lines"), F.count_distinct("path").alias("files"))
+    corpus = S.relative(read(spark, root), root)
+    lines = O.file_lines(corpus.withColumn("content", F.regexp_replace("content", r"\n\z", "")))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).withColumn("files", F.lit(corpus.count()))
+
+
+@query("read_corpus", f"WITH {LINES} SELECT line, count(*) AS n, {FILES} AS files FROM ln GROUP BY 1", ["code_files"])
+def _(spark, sf_dir):
+    """Every line of the tree with how often it stands there; the empty piece after a file's last line break is no line."""
+    return lines_of_tree(spark, sf_dir, S.read_corpus)
+
+
+@query("read_small_corpus", f"WITH {LINES} SELECT line, count(*) AS n, {FILES} AS files FROM ln GROUP BY 1", ["code_files"])
+def _(spark, sf_dir):
+    return lines_of_tree(spark, sf_dir, S.read_small_corpus)
 
 
-@query("list_files", f"SELECT {FILES} AS files, CAST(sum(strlen(content) + 1) AS BIGINT) AS bytes FROM code_files", ["code_files"])
+@query("list_files", f"SELECT {FILES} AS files, CAST(sum(strlen(content) + 1) AS BIGINT) AS bytes, {FILES} AS named, {FILES} AS dated, {FILES} AS sized FROM code_files", ["code_files"])
 def _(spark, sf_dir):
     return S.list_files(spark, written_tree(spark, sf_dir)).where(F.endswith("name", F.lit(".txt"))).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"),
+        F.count(F.when(F.rlike("name", F.lit(r"^part-\d{5}-.*\.txt$")) & F.endswith("path", F.col("name")) & (F.col("type") == "file"), 1)).alias("named"),
+        F.count(F.when(F.col("modified") > F.current_timestamp() - F.expr("INTERVAL 1 DAY"), 1)).alias("dated"),
+        F.count(F.when(F.rlike("size_text", F.lit(r"^[0-9.]+(B|KB|MB)$")), 1)).alias("sized"))
 
 
 HIDING = "CASE WHEN file_id % 40 = 7 THEN 'src/.cache/f' || CAST(file_id AS VARCHAR(20)) WHEN file_id % 40 = 9 THEN 'node_modules/lib/f' || CAST(file_id AS VARCHAR(20)) || '.ts' ELSE path END"
 NODES = f"""p AS (SELECT {HIDING} AS path, length(content) AS size FROM code_files),
 v AS (SELECT string_split(path, '/') AS q, size FROM p WHERE len(list_filter(string_split(path, '/'), lambda x: starts_with(x, '.'))) = 0),
-e AS (SELECT unnest(range(1, least(3, len(q)) + 1)) AS depth, q, size FROM v),
+e AS (SELECT unnest(range(1, len(q) + 1)) AS depth, q, size FROM v),
 n AS (SELECT depth, array_to_string(q[1:depth - 1], '/') AS parent, array_to_string(q[1:depth], '/') AS node, bool_or(depth = len(q)) AS is_file,
-  CAST(sum(size) AS BIGINT) AS size, count(*) AS files FROM e GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY depth, parent ORDER BY node) <= 20 AS kept FROM n)"""
+  CAST(sum(size) AS BIGINT) AS size, count(*) AS files FROM e GROUP BY 1, 2, 3)"""
 on_view("path_rollup", "code_files",
-        lambda c: O.path_rollup(c.select(F.expr(HIDING).alias("path"), F.length("content").alias("size")), max_children=20), f"""
-WITH {NODES}, d1 AS (SELECT * FROM r WHERE depth = 1 AND kept), d2 AS (SELECT r.* FROM r JOIN d1 ON r.parent = d1.node WHERE r.depth = 2 AND r.kept),
-d3 AS (SELECT r.* FROM r JOIN d2 ON r.parent = d2.node WHERE r.depth = 3 AND r.kept)
-SELECT depth, parent, node, is_file, size, files FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3)""")
+        lambda c: O.path_rollup(c.select(F.expr(HIDING).alias("path"), F.length("content").alias("size"))), f"WITH {NODES} SELECT * FROM n")
 on_view("find_files", "code_files",
-        lambda c: S.find_files(c.select(F.expr(HIDING).alias("path")), "F*1?.T?", cap=500), f"""
+        lambda c: S.find_files(c.select(F.expr(HIDING).alias("path")), "F*1?.T?"), f"""
 WITH p AS (SELECT {HIDING} AS path FROM code_files) SELECT path FROM p WHERE regexp_matches(path, '(?i)(^|/)F[^/]*1[^/]\\.T[^/]$')
-  AND NOT regexp_matches(path, '(^|/)(\\.|node_modules/)') ORDER BY path LIMIT 500""")
+  AND NOT regexp_matches(path, '(^|/)(\\.|node_modules/)') ORDER BY path""")
 
 # --- tasks and their files --------------------------------------------------------------------
 
@@ -156,7 +165,7 @@ refs AS (SELECT task_id, pos, regexp_replace(ref, '^(\\./)+', '') AS path FROM (
   SELECT task_id, unnest(l) AS ref, unnest(range(0, len(l))) AS pos FROM rl))"""
 
 
-@query("task_refs", f"WITH {REFS} SELECT * FROM refs WHERE pos < 3", ["code_files"])
+@query("task_refs", f"WITH {REFS} SELECT * FROM refs", ["code_files"])
 def _(spark, sf_dir):
     return O.task_refs(file_tasks(spark, sf_dir)[0])
 
@@ -168,11 +177,10 @@ def _(spark, sf_dir):
 
 @query("known_files_spread", f"WITH {REFS} SELECT r.task_id, r.pos, r.path, c.file_id FROM refs r JOIN code_files c ON c.path = r.path", ["code_files"])
 def _(spark, sf_dir):
-    """The same join with a low hot-key mark, so that frequent files really are spread over salts."""
+    """The same through the lookup that keeps rows without a match."""
     from weirworks.operators.joins import lookup
     tasks, files = file_tasks(spark, sf_dir)
-    refs = O.task_refs(tasks, max_files=1 << 30)
-    return lookup(refs, files.select("path", "file_id"), "path", "task_id", "inner", hot_rows=100, salts=8)
+    return lookup(O.task_refs(tasks), files.select("path", "file_id"), "path", "task_id").where("file_id IS NOT NULL").select("task_id", "pos", "path", "file_id")
 
 
 @query("tasks_with_known_files", f"WITH {REFS} SELECT DISTINCT r.task_id FROM refs r WHERE r.path IN (SELECT path FROM code_files)", ["code_files"])

@@ -12,7 +12,7 @@ from weirworks.operators import corpus as O
 from weirworks.operators import gate as G
 from weirworks.views import table, view
 
-from .base import (case_of, count, dbl, est_tokens, every, first, found, has_any, lit, on_view, query, trim)
+from .base import (case_of, count, dbl, est_tokens, every, first, found, has_any, lit, on_view, query, trim, units)
 
 # --- SQL of the pieces ---------------------------------------------------------------------
 
@@ -158,8 +158,8 @@ def reasons(with_options: bool) -> dict[str, str]:
         "code_parse": "CASE WHEN brackets THEN 'Unmatched brackets' WHEN braces THEN 'Unmatched braces' END",
         "scope_compliance": given(f"{OPTIONED} AND len(outside) > 0", "'Files outside scope: ' || array_to_string(outside, ', ')"),
         "required_sections": given(f"{SECTIONED} AND len(missing) > 0", "'Missing sections: ' || array_to_string(missing, ', ')"),
-        "length": "CASE WHEN length(trimmed) < 20 THEN 'Output too short: ' || length(trimmed) || ' chars (min 20)' "
-                  "WHEN length(trimmed) > 10000 THEN 'Output too long: ' || length(trimmed) || ' chars (max 10000)' END",
+        "length": f"CASE WHEN {units('trimmed')} < 20 THEN 'Output too short: ' || {units('trimmed')} || ' chars (min 20)' "
+                  f"WHEN {units('trimmed')} > 10000 THEN 'Output too long: ' || {units('trimmed')} || ' chars (max 10000)' END",
         "no_hedging": f"CASE WHEN {HEDGED} >= 3 THEN 'Excessive hedging: ' || {HEDGED} || ' instances' END",
         "proportionality": f"CASE WHEN expected_tokens > 0 THEN CASE WHEN {RATIO} < 0.2 THEN 'Output disproportionately short: ' || {est_tokens('response')} || ' tokens vs ' || expected_tokens || ' expected' "
                            f"WHEN {RATIO} > 5 THEN 'Output disproportionately long: ' || {est_tokens('response')} || ' tokens vs ' || expected_tokens || ' expected' END END",
@@ -238,7 +238,7 @@ settled AS (SELECT task_id, CASE path WHEN 'first' THEN 'accepted' WHEN 'second'
   CASE WHEN path IN ('none', 'lost') THEN NULL WHEN path IN ('second', 'twice') THEN duration_ms + d2 ELSE duration_ms END AS duration_ms,
   CASE WHEN path IN ('none', 'lost') THEN NULL WHEN path IN ('second', 'twice') THEN m2 ELSE model END AS model,
   path IN ('first', 'second') AS resolved_locally, path NOT IN ('none', 'lost') AS logged,
-  CASE path WHEN 'none' THEN ['{G.NO_ANSWER}'] WHEN 'lost' THEN ['{G.NO_RETRY_ANSWER}'] WHEN 'once' THEN reasons
+  CASE path WHEN 'none' THEN ['{dims.NO_ANSWER}'] WHEN 'lost' THEN ['{dims.NO_RETRY_ANSWER}'] WHEN 'once' THEN reasons
     WHEN 'twice' THEN list_concat(reasons, list_filter(why2, lambda r: NOT list_contains(reasons, r))) ELSE [] END AS why,
   CASE path WHEN 'first' THEN checks_passed WHEN 'second' THEN p2 END AS checks_passed FROM c)"""
 

@@ -12,7 +12,7 @@ from weirworks.operators import reports as P
 from weirworks.plans import conversations as V
 from weirworks.views import table, view
 
-from weirworks.operators.gate import NO_ANSWER
+from weirworks.dims import NO_ANSWER
 
 from .base import blended, costs, dbl, est_tokens, fixed, lit, on_view, overhead, query, round2, gross, spent
 from .corpus import FILE_TASKS, file_tasks
@@ -60,6 +60,8 @@ SELECT *, extra_cost * {dbl(22.0)} AS monthly_cost FROM x""")
 PAIRS = """pairs AS (SELECT conv_id, turn, text AS prompt, response FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS response
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant')"""
 on_view("pair_turns", "conversations", V.pair_turns, f"WITH {PAIRS} SELECT * FROM pairs")
+on_view("pair_turns_gaps", "conversations", lambda c: V.pair_turns(c.withColumn("turn", F.col("turn") * F.col("turn") * 7)),
+        f"WITH {PAIRS.replace('FROM conversations', 'FROM (SELECT conv_id, turn * turn * 7 AS turn, role, text FROM conversations)')} SELECT * FROM pairs")
 on_view("two_price_report", "conversations",
         lambda c: P.two_price_report(V.pair_turns(c).select("conv_id", "turn", X.tokens_blended(F.col("prompt")).alias("tokens_in"),
                                                             X.tokens_blended(F.col("response")).alias("tokens_out"))), f"""
@@ -115,25 +117,38 @@ def _(spark, sf_dir):
 
 # what the stand-in model of the light pass leads to, by its kind of answer
 LIGHT_PASS = f"""WITH tasks AS ({FILE_TASKS}),
-k AS (SELECT task_id, list_sum(list_transform(string_split(substr('Task: ' || text, 1, 60), ''), lambda c: ascii(c))) % 5 AS kind FROM tasks)
-SELECT task_id, CASE kind WHEN 4 THEN 'accepted' WHEN 2 THEN 'retried_accepted' ELSE 'escalated' END AS quality_status,
+k AS (SELECT task_id, list_sum(list_transform(string_split(substr('Task: ' || text, 1, 60), ''), lambda c: ascii(c))) % 5 AS kind FROM tasks)"""
+LIGHT_PASS_ROWS = f"""SELECT task_id, CASE kind WHEN 4 THEN 'accepted' WHEN 2 THEN 'retried_accepted' ELSE 'escalated' END AS quality_status,
   CASE WHEN kind IN (2, 3) THEN 2 ELSE 1 END AS attempt_count,
   CASE kind WHEN 1 THEN 900 WHEN 2 THEN 950 + 900 WHEN 3 THEN 950 + 950 WHEN 4 THEN 900 END AS tokens_used,
   CASE kind WHEN 1 THEN 900 WHEN 2 THEN 900 WHEN 3 THEN 950 WHEN 4 THEN 900 END AS output_tokens, kind IN (2, 4) AS resolved_locally,
+  CASE WHEN kind IN (2, 4) THEN repeat('def run(a):' || chr(10) || '    return a' || chr(10), 60) END AS response,
   CASE kind WHEN 0 THEN '{NO_ANSWER}' WHEN 1 THEN 'Found placeholder marker: TODO' WHEN 3 THEN 'Excessive hedging: 3 instances' ELSE '' END AS reasons
 FROM k"""
 
 
-@query("light_pass", LIGHT_PASS, ["code_files"])
+@query("light_pass", LIGHT_PASS + "\n" + LIGHT_PASS_ROWS, ["code_files"])
 def _(spark, sf_dir):
     from weirworks.plans.light_pass import light_pass
     tasks, files = file_tasks(spark, sf_dir)
     tasks = tasks.withColumn("tool", F.lit("generate_code")).withColumn("expected_language", F.lit("python"))
     out = light_pass(tasks, files, view(spark, sf_dir, "usage_log"), hedging_model)
-    return out["results"].select("task_id", "quality_status", "attempt_count", "tokens_used", "output_tokens", "resolved_locally",
+    return out["results"].select("task_id", "quality_status", "attempt_count", "tokens_used", "output_tokens", "resolved_locally", "response",
                                  F.array_join("failure_reasons", "; ").alias("reasons"))
 
 
+@query("light_pass_escalations", f"""{LIGHT_PASS}, tries AS (SELECT *, CASE WHEN kind = 3 THEN 2 ELSE 1 END AS n, CASE kind WHEN 0 THEN '{NO_ANSWER}'
+  WHEN 1 THEN 'Found placeholder marker: TODO' ELSE 'Excessive hedging: 3 instances' END AS why FROM k WHERE kind IN (0, 1, 3))
+SELECT t.task_id, t.text AS task_intent, 'Local model failed after ' || n || CASE WHEN n > 1 THEN ' attempts. ' ELSE ' attempt. ' END || why || '.' AS escalation_message
+FROM tries JOIN tasks t ON t.task_id = tries.task_id""", ["code_files"])
+def _(spark, sf_dir):
+    from weirworks.plans.light_pass import light_pass
+    tasks, files = file_tasks(spark, sf_dir)
+    tasks = tasks.withColumn("tool", F.lit("generate_code")).withColumn("expected_language", F.lit("python"))
+    out = light_pass(tasks, files, view(spark, sf_dir, "usage_log"), hedging_model)["escalations"]
+    return out.select("task_id", "task_intent", "escalation_message")
+
+
 def hedging_model(prompt: str, max_tokens: int | None) -> tuple[str, int]:
     """A stand-in whose answer hedges on short budgets, leaves markers on some tasks and fails on others."""
     kind = sum(map(ord, prompt[:60])) % 5

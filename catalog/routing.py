@@ -288,8 +288,8 @@ def _(spark, sf_dir):
     return R.resolve_model(spark.sql(HOSTS), spark.sql(MODELS))
 
 
-URL = ("CASE page_id % 9 WHEN 0 THEN 'http://localhost:11434/api' WHEN 1 THEN 'https://127.0.0.1/x' WHEN 2 THEN 'http://192.168.1.9:80' "
-       "WHEN 3 THEN 'http://172.20.3.4/' WHEN 4 THEN 'http://172.32.0.1/' WHEN 5 THEN 'http://user@10.0.0.7/p?q=1' WHEN 6 THEN 'not a url' ELSE url END")
+URL = ("CASE page_id % 9 WHEN 0 THEN 'http://localhost:11434/api?from=' || url WHEN 1 THEN 'https://127.0.0.1/' || url WHEN 2 THEN 'http://192.168.1.9:80/?u=' || url "
+       "WHEN 3 THEN 'http://172.20.3.4/' || url WHEN 4 THEN 'http://172.32.0.1/' || url WHEN 5 THEN 'http://user@10.0.0.7/p?q=' || url WHEN 6 THEN 'not a url ' || url ELSE url END")
 on_view("is_local_url", "pages", lambda p: p.select("page_id", X.is_local_url(F.expr(URL)).alias("local")), f"""
 WITH u AS (SELECT page_id, lower(regexp_extract({URL}, {lit(X.URL_HOST)}, 1)) AS host FROM pages)
 SELECT page_id, host IN ('localhost', '127.0.0.1') OR starts_with(host, '192.168.') OR starts_with(host, '10.')

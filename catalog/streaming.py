@@ -77,8 +77,8 @@ def _(spark, sf_dir):
 @query("stream_learner", f"WITH {CELLS} SELECT task_type, level_used, n, s AS successes FROM c", ["history"])
 def _(spark, sf_dir):
     path, checkpoint = T.paths(spark, "learner")
-    T.run_versions(T.stream_learner(stream(spark, sf_dir, "history")), path, checkpoint)
-    return T.latest_by(spark.read.parquet(path), ["task_type", "level_used"])
+    T.run_versions(T.stream_learner(stream(spark, sf_dir, "history")), path, checkpoint, combine=T.merge_latest(["task_type", "level_used"]))
+    return T.newest_version(spark.read.parquet(path))
 
 
 @query("stream_sliding_rates", f"""

@@ -15,7 +15,7 @@ from weirworks.sources.workdir import new_path
 from weirworks.views import table, view
 
 from .base import (blended, case_of, costs, count, dbl, est_tokens, fixed, gross, lit, NONSPACE, on_view, overhead,
-                   query, recorded, round2, spent)
+                   query, recorded, round2, spent, units)
 
 OK = "type IN ('completion','delegation') AND tokens_used IS NOT NULL"
 RATE = dbl(8.0)
@@ -162,11 +162,11 @@ TIERS = "(VALUES ('opus', CAST(25 AS DOUBLE)), ('sonnet', CAST(15 AS DOUBLE)), (
 on_view("savings_by_price_tier", "usage_log", U.savings_by_price_tier, f"""WITH s AS ({SUMS})
 SELECT tokens, overhead, tier, rate, {costs('tokens', 'overhead', 'rate')}
 FROM s, {TIERS.format(", ('default', CAST(8 AS DOUBLE))")}""")
-CUTOFFS = [0, 50, 100, 200, 300, 500, 750, 1000]
+CUTOFFS = [0, 50, 100, 200, 300, 500, 750, 1000, 10 ** 12]    # no row reaches the last
 on_view("threshold_sweep", "usage_log", lambda log: U.threshold_sweep(log, CUTOFFS), f"""
-WITH s AS (SELECT cutoff, CAST(sum(tokens_used) AS BIGINT) AS tokens, CAST(sum({overhead('tokens_used')}) AS BIGINT) AS overhead,
-  count(*) AS tasks FROM usage_log JOIN (SELECT CAST(unnest({CUTOFFS}) AS BIGINT) AS cutoff) c ON tokens_used >= cutoff
-  WHERE {OK} GROUP BY 1),
+WITH b AS (SELECT tokens_used, {overhead('tokens_used')} AS o FROM usage_log WHERE {OK}),
+s AS (SELECT cutoff, CAST(coalesce(sum(tokens_used), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(o), 0) AS BIGINT) AS overhead,
+  count(tokens_used) AS tasks FROM (SELECT CAST(unnest({CUTOFFS}) AS BIGINT) AS cutoff) c LEFT JOIN b ON tokens_used >= cutoff GROUP BY 1),
 p AS (SELECT *, {costs('tokens', 'overhead', RATE, rounded=False)} FROM s)
 SELECT *, CASE WHEN gross_cost > 0 THEN net_cost / gross_cost ELSE 0 END AS efficiency FROM p""")
 OUT = "coalesce(output_tokens, tokens_used)"
@@ -213,6 +213,30 @@ SELECT log_ord, tool, CASE WHEN length(model) > 20 THEN substr(model, 1, 20) ||
   CASE WHEN tokens - overhead >= 0 THEN '+' || {fmt_tokens_sql('(tokens - overhead)')} ELSE CAST(tokens - overhead AS VARCHAR) END AS net_shown,
   {fmt_duration_sql('duration_ms')} AS duration FROM r""")
 
+FILED = f"""f AS (SELECT * REPLACE (CAST(floor(tokens_used + {dbl(0.25)} + {dbl(0.5)}) AS BIGINT) AS tokens_used) FROM usage_log)"""
+
+
+def filed_log(spark, sf_dir, name):
+    """The log as files, every token count with a fraction, read back: no log order, only times."""
+    path = new_path(spark, name)
+    log = view(spark, sf_dir, "usage_log").withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    log = log.withColumn("tokens_used", F.col("tokens_used") + F.lit(0.25))
+    log.select(F.to_json(F.struct(*[c for c in log.columns if c not in ("ts", "log_ord")])).alias("value")).write.text(path)
+    return logs.read_usage_log(spark, path)
+
+
+@query("recent_from_files", f"""WITH {FILED} SELECT {TS.format('ts')} AS at FROM f WHERE {OK} ORDER BY ts DESC LIMIT 50""", ["usage_log"])
+def _(spark, sf_dir):
+    """Times only: the order of rows with one time is a hash of the record."""
+    return U.recent(filed_log(spark, sf_dir, "recent-files")).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("usage_summary_from_files", f"""WITH {FILED} SELECT count(*) AS rows_n, CAST(sum(tokens_used) AS BIGINT) AS tokens, count(*) FILTER ({OK}) AS billable FROM f""", ["usage_log"])
+def _(spark, sf_dir):
+    log = filed_log(spark, sf_dir, "summary-files")
+    return log.agg(F.count(F.lit(1)).alias("rows_n"), F.sum("tokens_used").alias("tokens"), F.count(F.when(U._is_billable(), 1)).alias("billable"))
+
+
 on_view("skip_short", "usage_log", lambda log: skip_short(log).select("log_ord", "tokens_used"),
         "SELECT log_ord, tokens_used FROM usage_log WHERE tokens_used >= 200")
 
@@ -230,22 +254,9 @@ def _(spark, sf_dir):
         F.count("quality_status").alias("judged"))
 
 
-@query("expand_workload", """
-SELECT p_partkey AS ord, p_brand AS type, CAST(floor(p_retailprice) AS BIGINT) AS tokens_used, n,
-  strftime(TIMESTAMP '2026-02-17 09:00:00' + to_seconds(n - 1), '%Y-%m-%d %H:%M:%S') AS at,
-  100 + CAST(floor(floor(p_retailprice) / CAST(5.0 AS DOUBLE)) AS BIGINT) AS duration_ms
-FROM (SELECT *, unnest(range(1, CAST(p_size AS BIGINT) + 1)) AS n FROM part)""")
-def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("ord"), F.col("p_brand").alias("type"),
-        F.floor("p_retailprice").alias("tokens"), F.col("p_size").cast("int").alias("count"))
-    out = U.expand_workload(rows, F.lit("2026-02-17 09:00:00").cast("timestamp"))
-    return out.withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).drop("ts")
-
-
 # --- scalars ---------------------------------------------------------------------------
 
-on_view("cost_scalars", "usage_log", lambda log: log.where("tokens_used IS NOT NULL").select(
+on_view("cost_scalars", "usage_log", lambda log: log.select(
     "log_ord", C.cloud_overhead(F.col("tokens_used")).alias("estimated_overhead"),
     C.overhead_of(F.col("cloud_overhead_tokens"), F.col("tokens_used")).alias("overhead"),
     C.gross(F.col("tokens_used"), F.lit(15.0)).alias("gross"),
@@ -255,12 +266,12 @@ on_view("cost_scalars", "usage_log", lambda log: log.where("tokens_used IS NOT N
 SELECT log_ord, {overhead('tokens_used')} AS estimated_overhead, {recorded()} AS overhead, {gross('tokens_used', dbl(15.0))} AS gross,
   {spent(overhead('tokens_used'), dbl(15.0))} AS overhead_cost, tokens_used >= 22 AS gain,
   (tokens_used * {dbl(3.0)} + duration_ms * {dbl(15.0)}) / {dbl(1e6)} AS two_price
-FROM usage_log WHERE tokens_used IS NOT NULL""")
+FROM usage_log""")
 
 SIZE = "CAST(tokens_used * tokens_used * 7 AS BIGINT)"
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 AGE = f"((epoch_ms({NOW}) - epoch_ms(ts)) / {dbl(1000.0)})"
-on_view("number_formats", "usage_log", lambda log: log.where("tokens_used IS NOT NULL").select(
+on_view("number_formats", "usage_log", lambda log: log.select(
     "log_ord", X.fmt_tokens(F.col("tokens_used") * F.col("duration_ms")).alias("tokens"),
     X.fmt_cost((F.col("tokens_used") - 100) / F.lit(100.0)).alias("cost"),
     X.fmt_duration(F.col("duration_ms") * F.col("tokens_used")).alias("duration"),
@@ -275,13 +286,17 @@ SELECT log_ord, {fmt_tokens_sql('(tokens_used * duration_ms)')} AS tokens,
   {case_of([(f'{AGE} < 60', "'just now'"), (f'{AGE} < 3600', f"CAST(CAST(floor({AGE} / 60) AS BIGINT) AS VARCHAR) || 'm ago'"),
             (f'{AGE} < 86400', f"CAST(CAST(floor({AGE} / 3600) AS BIGINT) AS VARCHAR) || 'h ago'")],
            f"CAST(CAST(floor({AGE} / 86400) AS BIGINT) AS VARCHAR) || 'd ago'")} AS age
-FROM usage_log WHERE tokens_used IS NOT NULL""")
+FROM usage_log""")
 
 on_view("token_scalars", "documents", lambda d: d.select(
     "doc_id", X.estimate_tokens(F.col("text")).alias("est"), X.tokens_word(F.col("text")).alias("word"),
     X.tokens_char(F.col("text")).alias("chars"), X.tokens_blended(F.col("text")).alias("blended")), f"""
 SELECT doc_id, {est_tokens('text')} AS est, CAST(ceil({count(NONSPACE, 'text')} * {dbl(1.3)}) AS BIGINT) AS word,
-  CAST(ceil(length(text) / {dbl(3.5)}) AS BIGINT) AS chars, {blended('text')} AS blended FROM documents""")
+  CAST(ceil({units('text')} / {dbl(3.5)}) AS BIGINT) AS chars, {blended('text')} AS blended FROM documents""")
+on_view("token_scalars_astral", "documents", lambda d: d.withColumn("text", F.expr("text || repeat(chr(169) || '\U0001F600', CAST(doc_id % 9 AS INT))")).select(
+    "doc_id", X.estimate_tokens(F.col("text")).alias("est"), X.tokens_blended(F.col("text")).alias("blended")), f"""
+WITH t AS (SELECT doc_id, text || repeat(chr(169) || chr(128512), CAST(doc_id % 9 AS INT)) AS text FROM documents)
+SELECT doc_id, {est_tokens('text')} AS est, {blended('text')} AS blended FROM t""")
 
 MODEL_ID = ("CASE p_partkey % 5 WHEN 0 THEN 'vendor/Opus-' WHEN 1 THEN 'sonnet-' WHEN 2 THEN 'x/haiku:' "
             "WHEN 3 THEN 'local:' ELSE '' END || p_brand")
@@ -326,7 +341,7 @@ BASE = case_of([(f"tool = '{t}' AND lvl = {n}", str(v)) for t, row in dims.BASEL
 @query("output_estimate", f"""
 WITH r AS (SELECT p_partkey AS task_id, {TOOL} AS tool, p_size % 9 AS task_complexity, least(6, greatest(1, p_size % 9)) AS lvl FROM part),
 h AS (SELECT tool, count(*) AS rows_n, count(*) FILTER ({OUT} > 0) AS n, sum({OUT}) FILTER ({OUT} > 0) AS s FROM usage_log
-  WHERE type = 'completion' AND tool <> 'analyze_file' GROUP BY 1),
+  WHERE type = 'completion' AND tool IS NOT NULL GROUP BY 1),
 k AS (SELECT * FROM h WHERE rows_n >= 3 AND n >= 3)
 SELECT task_id, r.tool, task_complexity, CASE WHEN n IS NOT NULL THEN CAST(ceil(s / CAST(n AS DOUBLE) * {dbl(1.25)}) AS BIGINT)
   ELSE CAST(ceil(({BASE.replace('tool =', 'r.tool =')}) * {dbl(1.25)}) AS BIGINT) END AS estimated_tokens,
@@ -336,8 +351,7 @@ SELECT task_id, r.tool, task_complexity, CASE WHEN n IS NOT NULL THEN CAST(ceil(
   ELSE CAST(ceil(({BASE.replace('tool =', 'r.tool =')}) * {dbl(1.25)}) AS BIGINT) END <= 600 AS light
 FROM r LEFT JOIN k ON k.tool = r.tool""", ["usage_log"])
 def _(spark, sf_dir):
-    # completions of one tool are left out, so that its baseline rows are used
-    log = view(spark, sf_dir, "usage_log").where("tool <> 'analyze_file'")
+    log = view(spark, sf_dir, "usage_log")
     asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("task_id"), F.expr(TOOL).alias("tool"),
                                                 (F.col("p_size") % 9).alias("task_complexity"))
     return L.output_estimate(asked, log).withColumn("light", light_budget(F.col("estimated_tokens"), 600))
@@ -377,10 +391,10 @@ def _(spark, sf_dir):
     return logs.read_history(spark, path).select("task_fingerprint", "task_type", "level_used", "outcome")
 
 
-@query("truncate_log", "SELECT count(*) AS before, 0 AS after FROM usage_log WHERE type = 'completion'", ["usage_log"])
+@query("truncate_log", "SELECT count(*) AS before, 0 AS after FROM usage_log", ["usage_log"])
 def _(spark, sf_dir):
     path = new_path(spark, "truncate")
-    logs.append_completions(view(spark, sf_dir, "usage_log").where("type = 'completion'"), path)
+    logs.append_completions(view(spark, sf_dir, "usage_log"), path)
     before = logs.read_usage_log(spark, path).count()
     logs.truncate_log(spark, path)
     return logs.read_usage_log(spark, path).agg(F.lit(before).alias("before"), F.count(F.lit(1)).alias("after"))

@@ -5,7 +5,7 @@ import sys
 from pyspark import cloudpickle
 
 from weirworks.operators.models import batch_complete
-from weirworks.plans.light_pass import light_pass
+from weirworks.plans.light_pass import LightPassOptions, light_pass
 from weirworks.views import view
 
 
@@ -45,3 +45,28 @@ def test_light_pass(spark, sf_dir):
     assert got == {1: ("accepted", 1, 300), 2: ("retried_accepted", 2, 600), 3: ("escalated", 1, 300), 4: ("escalated", 1, None)}
     assert sorted(r.task_id for r in out["log"].collect()) == [1, 2, 3]
     assert sorted(r.task_id for r in out["escalations"].collect()) == [3, 4]
+
+
+def test_light_pass_checks_options_and_tells_what_failed(spark, sf_dir):
+    tasks = spark.createDataFrame([(1, "please work on src/a.ts", ["src/b.ts"], None, None), (2, "explain run", None, ["Summary"], None),
+                                   (3, "any", None, None, ["src/a.ts"])],
+                                  "task_id bigint, text string, allowed_files array<string>, required_sections array<string>, file_refs array<string>")
+    tasks = tasks.selectExpr("*", "'generate_code' AS tool", "'python' AS expected_language")
+    files = spark.createDataFrame([("src/a.ts", "export function go(a) { }\nclass K {}")], "path string, content string")
+    log = view(spark, sf_dir, "usage_log").where("tool <> 'generate_code'")
+    out = light_pass(tasks, files, log, names_a_file)
+    got = {r.task_id: (r.quality_status, r.response) for r in out["results"].collect()}
+    assert got == {1: ("escalated", None), 2: ("escalated", None), 3: ("accepted", GOOD)}
+    told = {r.task_id: r for r in out["escalations"].collect()}
+    assert told[1].task_intent == "please work on src/a.ts" and told[1].failure_reasons == ["Files outside scope: src/c.py"]
+    assert [(f.file, f.outline) for f in told[1].file_context] == [("src/a.ts", "typescript, 2 lines. Classes: [K]. Functions: [go]")]
+    assert told[2].failure_reasons == ["Missing sections: Summary"] and told[2].file_context == []
+    free = light_pass(tasks, files, log, names_a_file, LightPassOptions(gate_enabled=False))["results"].collect()
+    assert {r.quality_status for r in free} == {"accepted"} and {r.response for r in free} == {GOOD}
+
+
+GOOD = "see src/c.py\n" + "def run(a):\n    return a\n" * 40
+
+
+def names_a_file(prompt, max_tokens):
+    return GOOD, 300

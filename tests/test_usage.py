@@ -64,10 +64,37 @@ def test_rows_without_tokens_are_skipped_by_the_dashboard_only(spark):
 
 def test_workday(spark):
     day = [(50, 8), (200, 4), (50, 6), (30, 3), (120, 5), (135, 3), (500, 4), (275, 2), (100, 3), (400, 2), (300, 2), (400, 1)]
-    df = spark.createDataFrame([(i, "w", t, n) for i, (t, n) in enumerate(day)], "ord int, type string, tokens bigint, count int")
-    rows = U.expand_workload(df, F.lit("2026-02-17 09:00:00").cast("timestamp"))
-    total = rows.agg(F.count("*"), F.sum("tokens_used")).first()
-    assert tuple(total) == (43, 7245)
+    total = U.usage_summary(log(spark, completions([t for t, n in day for _ in range(n)]))).first()
+    assert (total.local_tasks, total.total_local_tokens) == (43, 7245)
+
+
+def test_cutoffs_that_no_row_reaches(spark):
+    rows = U.threshold_sweep(log(spark, completions([60, 120])), [0, 50, 100, 5000]).orderBy("cutoff").collect()
+    assert [(r.cutoff, r.tokens, r.tasks) for r in rows] == [(0, 180, 2), (50, 180, 2), (100, 120, 1), (5000, 0, 0)]
+    assert rows[-1].efficiency == 0.0 and rows[-1].net_cost == 0.0
+    assert U.threshold_sweep(log(spark, []), [10]).first().tasks == 0
+
+
+def test_log_read_from_files_fits_the_operators(spark, tmp_path):
+    from weirworks.sources import logs
+    lines = ['{"type":"completion","tokens_used":12.5,"timestamp":"2026-01-02T00:00:00.000Z","session_id":"a"}'] * 2
+    lines += ['{"type":"delegation","tokens_used":7,"timestamp":"2026-01-02T00:00:01.000Z","session_id":"a"}']
+    (tmp_path / "log.jsonl").write_text("\n".join(lines))
+    read = logs.read_usage_log(spark, str(tmp_path))
+    assert [r.tokens for r in U.recent(read).collect()] == [7, 13, 13] and [r.net for r in U.feed(read, 1).collect()] == [7 - 90]
+
+
+def test_days_and_stamps_in_another_zone(spark, tmp_path):
+    from weirworks.sources import logs
+    rows = spark.sql("SELECT 5L AS tokens_used, 'a' AS session_id, timestamp'2026-01-02 00:00:00Z' AS ts")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        logs.append_completions(rows, str(tmp_path / "log"))
+        read = logs.read_usage_log(spark, str(tmp_path / "log"))
+        assert read.first().timestamp == "2026-01-02T00:00:00.000Z"
+        assert [r.date for r in U.daily_timeline(read).collect()] == ["2026-01-02"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_baselines(spark):

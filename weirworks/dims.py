@@ -221,7 +221,7 @@ class GateOptions:
 class ContextOptions:
     """Job options of context packing."""
 
-    max_files: int = 3
+    max_files: int | None = 3
     max_lines: int = 120
     budget: int = 1500
     retry_budget: int = 3000
@@ -235,3 +235,7 @@ class LearnerOptions:
     min_records: int = 50
     min_type: int = 10
     min_cell: int = 5
+
+# --- fixed values: reasons for a call that gave no answer ---
+NO_ANSWER = "Ollama request failed"
+NO_RETRY_ANSWER = "Retry Ollama request failed"

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims
-from .text import BARE_PATH, Rx, Words, contains_any, estimate_tokens, is_json, key_words
+from .text import BARE_PATH, Rx, Words, contains_any, estimate_tokens, is_json, key_words, units
 
 # --- fixed values: signs of a language ---------------------------------------
 LANGUAGE_SIGNS = {
@@ -136,7 +136,7 @@ def sections_reason(text: Column, sections: Column) -> Column:
 
 
 def length_reason(trimmed: Column, low: int, high: int) -> Column:
-    n = F.length(trimmed)
+    n = units(trimmed)
     return (F.when(n < low, F.format_string(f"Output too short: %d chars (min {low})", n))
             .when(n > high, F.format_string(f"Output too long: %d chars (max {high})", n)))
 

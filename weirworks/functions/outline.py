@@ -35,7 +35,7 @@ def lines_of(content: Column) -> Column:
 
 
 def head(content: Column, n: int = 10) -> Column:
-    return F.slice(lines_of(content), 1, min(n, 100))
+    return F.slice(lines_of(content), 1, n)
 
 
 def starts_any(text: Column, starts: list[str]) -> Column:

@@ -127,8 +127,14 @@ def strip(text: Column) -> Column:
 
 # --- token estimates ---------------------------------------------------------
 
+def units(text: Column) -> Column:
+    """Length in UTF-16 units; texts of single-byte characters need no second encoding."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.length(text)).otherwise((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"))
+
+
 def estimate_tokens(text: Column) -> Column:
-    return F.ceil(F.length(text) / F.lit(4.0)).cast("bigint")
+    return F.ceil(units(text) / F.lit(4.0)).cast("bigint")
 
 
 def wide_spaces(text: Column) -> Column:
@@ -146,7 +152,7 @@ def tokens_word(text: Column) -> Column:
 
 
 def tokens_char(text: Column) -> Column:
-    return F.ceil(F.length(text) / F.lit(3.5)).cast("bigint")
+    return F.ceil(units(text) / F.lit(3.5)).cast("bigint")
 
 
 def tokens_blended(text: Column) -> Column:

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import outline as O
 from ..functions import text as X
-from .joins import lookup
 
 SMALL_FILE = 1_000_000
-LARGE_FILE = 10_000_000
 
 
 def file_lines(files: DataFrame, content: str = "content") -> DataFrame:
@@ -63,44 +61,54 @@ def slice_file(files: DataFrame, start: int, n: int, content: str = "content") -
     return cut.withColumn("tokens", X.estimate_tokens(F.col("slice"))).drop("_lines", content)
 
 
-def task_refs(tasks: DataFrame, key: str = "task_id", text: str = "text", max_files: int = 3) -> DataFrame:
-    """The first distinct file references of each task, with their position."""
-    refs = F.slice(X.file_refs(F.col(text)), 1, max_files)
+def task_refs(tasks: DataFrame, key: str = "task_id", text: str = "text", max_files: int | None = None) -> DataFrame:
+    """The distinct file references of each task, with their position; ``max_files`` keeps the first ones.
+
+    A column ``file_refs`` of paths, where the tasks have one, takes the place of what the text names.
+    """
+    refs = X.file_refs(F.col(text))
+    if "file_refs" in tasks.columns:
+        refs = F.coalesce("file_refs", refs)
+    refs = refs if max_files is None else F.slice(refs, 1, max_files)
     return tasks.select(key, F.posexplode(refs).alias("pos", "ref")).select(
         key, "pos", F.regexp_replace("ref", r"^(?:\./)+", "").alias("path"))
 
 
 def known_files(tasks: DataFrame, files: DataFrame, key: str = "task_id", text: str = "text") -> DataFrame:
-    """Task to file pairs for references that exist; many tasks may name one file, so the join is spread."""
-    refs = task_refs(tasks, key, text, max_files=1 << 30)
-    return lookup(refs, files.select("path", "file_id"), "path", spread_by=key, how="inner")
+    """Task to file pairs for references that exist; the skew join splits a file that many tasks name."""
+    return task_refs(tasks, key, text).join(files.select("path", "file_id"), "path")
 
 
 def pack_context(tasks: DataFrame, files: DataFrame, options: dims.ContextOptions = dims.ContextOptions(),
                  key: str = "task_id", text: str = "text") -> DataFrame:
     """Greedy context per task: outlines that fit, then slices that fit, skipping what does not.
 
-    Files are outlined and cut once each, before the join; a task gathers at most ``max_files`` of them.
+    Only files that some task names are outlined, once each. The budget is filled from token counts alone; the text of
+    an outline or a slice meets a task only where it was kept. A task gathers at most ``max_files`` files (None: all).
     """
-    cut = outline(files).withColumn("_lines", O.lines_of(F.col("content")))
+    refs = task_refs(tasks, key, text, options.max_files)
+    cut = outline(files.join(refs.select("path").distinct(), "path", "left_semi")).withColumn("_lines", O.lines_of(F.col("content")))
     n = options.max_lines
     cut = cut.withColumns({
         "outline": O.outline_text(F.col("path"), F.col("language"), F.col("total_lines"), F.col("imports"),
                                   F.col("classes"), F.col("functions")),
         "first": slice_text(F.col("_lines"), 0, n), "rest": slice_text(F.col("_lines"), n, 2 * n),
     })
-    slim = cut.select("path", "language", "total_lines", "classes", "functions", "outline", "first", "rest",
-                      X.estimate_tokens(F.col("outline")).alias("outline_tokens"),
-                      X.estimate_tokens(F.col("first")).alias("first_tokens"))
-    found = lookup(task_refs(tasks, key, text, options.max_files), slim, "path", spread_by=key, how="inner")
-    item = F.struct("pos", "path", "language", "total_lines", "classes", "functions", "outline", "outline_tokens",
-                    "first", "first_tokens", "rest")
-    gathered = found.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    out = tasks.join(gathered, key, "left").withColumn("_items", F.coalesce("_items", F.array()))
+    texts = cut.select("path", "language", "total_lines", "classes", "functions", "outline", "first", "rest",
+                       X.estimate_tokens(F.col("outline")).alias("outline_tokens"),
+                       X.estimate_tokens(F.col("first")).alias("first_tokens"))
+    costs = texts.select("path", "outline_tokens", "first_tokens")
+    sizes = refs.join(costs, "path").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "path", "outline_tokens", "first_tokens"))).alias("_items"))
     left = F.lit(options.budget) - X.estimate_tokens(F.col(text))
+    out = tasks.join(sizes, key, "left").withColumn("_items", F.coalesce("_items", F.array()))
     out = out.withColumn("_o", _fit(F.col("_items"), left, "outline_tokens", F.lit(0)))
-    out = out.withColumn("outlines", F.filter("_items", lambda f: F.array_contains(F.col("_o.kept"), f["pos"])))
-    out = out.withColumn("_s", _fit(F.col("outlines"), F.col("_o.left"), "first_tokens", F.lit(options.slice_floor)))
+    out = out.withColumn("_kept", F.filter("_items", lambda f: F.array_contains(F.col("_o.kept"), f["pos"])))
+    out = out.withColumn("_s", _fit(F.col("_kept"), F.col("_o.left"), "first_tokens", F.lit(options.slice_floor)))
+    wanted = out.select(key, F.explode("_kept").alias("_f")).select(key, "_f.pos", "_f.path")
+    item = F.struct("pos", "path", "language", "total_lines", "classes", "functions", "outline", "outline_tokens",
+                    "first", "first_tokens", "rest")
+    kept = wanted.join(texts, "path").groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("outlines"))
+    out = out.join(kept, key, "left").withColumn("outlines", F.coalesce("outlines", F.array()))
     sliced = F.filter("outlines", lambda f: F.array_contains(F.col("_s.kept"), f["pos"]))
     return out.withColumns({
         "slices": F.transform(sliced, lambda f: F.struct(
@@ -109,7 +117,7 @@ def pack_context(tasks: DataFrame, files: DataFrame, options: dims.ContextOption
             f["first_tokens"].alias("tokens"))),
         "total_tokens": F.lit(options.budget) - F.col("_s.left"), "budget": F.lit(options.budget),
         "files_included": F.size("outlines"),
-    }).drop("_items", "_o", "_s")
+    }).drop("_items", "_o", "_s", "_kept")
 
 
 def _fit(items: Column, left: Column, cost: str, floor: Column) -> Column:
@@ -182,36 +190,40 @@ def visible(path: Column, allow_gitignore: bool = True, skip: tuple[str, ...] =
     return F.forall(parts, lambda p: shown(p) & ~p.isin("", *skip) if skip else shown(p))
 
 
-def line_counts(files: DataFrame, content: str = "content", max_depth: int = 10) -> DataFrame:
-    """Lines per extension and in total (extension null), over visible files below 1 MB."""
-    small = files.where((F.octet_length(content) < SMALL_FILE) & (F.size(F.split("path", "/")) <= max_depth + 1)
-                        & visible(F.col("path"), allow_gitignore=False, skip=("node_modules",)))
+def line_counts(files: DataFrame, content: str = "content", max_depth: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Lines per extension and in total (extension null), over visible files; all sizes and depths unless limited."""
+    small = files.where(visible(F.col("path"), allow_gitignore=False, skip=("node_modules",)))
+    if max_bytes is not None:
+        small = small.where(F.octet_length(content) < max_bytes)
+    if max_depth is not None:
+        small = small.where(F.size(F.split("path", "/")) <= max_depth + 1)
     ext = F.coalesce(F.nullif(X.extension(F.col("path")), F.lit("")), F.lit("(no ext)"))
     counted = small.select(ext.alias("ext"), (F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1)
                            .alias("lines"))
     return counted.rollup("ext").agg(F.sum("lines").alias("lines"))
 
 
-def path_rollup(files: DataFrame, max_depth: int = 3, max_children: int = 100, size: str = "size") -> DataFrame:
-    """Size and file count of every directory and file down to a depth, at most so many children per node.
+def path_rollup(files: DataFrame, max_depth: int | None = None, max_children: int | None = None, size: str = "size") -> DataFrame:
+    """Size and file count of every directory and file.
 
-    Children are taken in name order; what lies below a child that was cut is cut too.
+    ``max_depth`` keeps the upper levels. ``max_children`` keeps the first children of a node, in name order, and
+    cuts what lies below the others; it needs ``max_depth``.
     """
     parts = F.split("path", "/")
-    depth_of = F.size(parts)
-    node = files.where(visible(F.col("path"))).select(
-        F.col(size).alias("_size"), parts.alias("_p"), depth_of.alias("_d"))
-    node = node.withColumn("depth", F.explode(F.sequence(F.lit(1), F.least(F.col("_d"), F.lit(max_depth)))))
+    node = files.where(visible(F.col("path"))).select(F.col(size).alias("_size"), parts.alias("_p"), F.size(parts).alias("_d"))
+    deepest = F.col("_d") if max_depth is None else F.least(F.col("_d"), F.lit(max_depth))
+    node = node.withColumn("depth", F.explode(F.sequence(F.lit(1), deepest)))
     totals = node.select(
         F.array_join(F.slice("_p", F.lit(1), F.col("depth")), "/").alias("node"), "depth",
         F.array_join(F.slice("_p", F.lit(1), F.col("depth") - 1), "/").alias("parent"),
         (F.col("depth") == F.col("_d")).alias("is_file"), "_size",
     ).groupBy("depth", "parent", "node").agg(
         F.max("is_file").alias("is_file"), F.sum("_size").alias("size"), F.count(F.lit(1)).alias("files"))
+    if max_children is None:
+        return totals
     rank = F.row_number().over(Window.partitionBy("depth", "parent").orderBy("node"))
     ranked = totals.withColumn("_r", rank).where(F.col("_r") <= max_children).drop("_r")
-    kept = ranked.where("depth = 1")
-    out = kept
+    kept = out = ranked.where("depth = 1")
     for depth in range(2, max_depth + 1):
         above = kept.where(~F.col("is_file")).select(F.col("node").alias("parent"))
         kept = ranked.where(F.col("depth") == depth).join(above, "parent", "left_semi")

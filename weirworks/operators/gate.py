@@ -6,16 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..dims import NO_ANSWER, NO_RETRY_ANSWER
 from ..functions import checks as K
 from ..functions.repetition import repetition_loop
 from ..functions.text import BARE_PATH, code_of, strip
 from .staging import settle
 
-# --- fixed values: reasons for a call that gave no answer ---
-NO_ANSWER = "Ollama request failed"
-NO_RETRY_ANSWER = "Retry Ollama request failed"
-
-
 SIGNAL_PARTS = ["_trim", "_code", "_expected", "_lower", "_marker", "_repeats", "_words", "_empty", "_signs", "_brackets",
                 "_braces"]
 
@@ -142,9 +138,18 @@ def _reasons(failures: Column) -> Column:
 
 
 def attempt_verdicts(attempts: DataFrame, options: dims.GateOptions = dims.GateOptions(), key: str = "task_id",
-                     **columns) -> DataFrame:
-    """Gate attempts and keep one small struct per attempt; their text stays behind."""
+                     enabled: bool = True, **columns) -> DataFrame:
+    """Gate attempts and keep one small struct per attempt; their text stays behind.
+
+    With the gate off, every first attempt that answered is accepted, and no check counts.
+    """
     gated = quality_gate(attempts, options, **columns)
+    if not enabled:
+        open_ = F.col("attempt_no") == 1
+        none = F.array().cast(gated.schema["hard_failures"].dataType)
+        gated = gated.withColumns({c: F.when(open_, v).otherwise(F.col(c)) for c, v in {
+            "accepted": F.lit(True), "should_retry": F.lit(False), "should_escalate": F.lit(False), "hard_failures": none,
+            "soft_failures": none, "checks_passed": F.lit(0), "checks_total": F.lit(0)}.items()})
     row = F.struct(
         F.col("response").isNotNull().alias("answered"), "accepted", "should_retry", "should_escalate",
         F.concat(_reasons(F.col("hard_failures")), _reasons(F.col("soft_failures"))).alias("reasons"),
@@ -199,12 +204,20 @@ def _settle(pairs: DataFrame, key: str, allow_retry: bool) -> DataFrame:
         F.when(p == "first", a1["checks_total"]).when(p == "second", a2["checks_total"]).alias("checks_total"))
 
 
-def escalation_payload(resolved: DataFrame) -> DataFrame:
-    """The two message forms of every escalated task."""
+def escalation_payload(resolved: DataFrame, tasks: DataFrame | None = None, key: str = "task_id", text: str = "text") -> DataFrame:
+    """The two message forms of every escalated task.
+
+    ``tasks`` with the task's text and, packed, its ``outlines`` add ``task_intent`` and ``file_context``.
+    """
     plural = F.when(F.col("attempt_count") > 1, "s").otherwise("")
     top = F.concat(F.lit("Local model failed after "), F.col("attempt_count").cast("string"), F.lit(" attempt"),
                    plural, F.lit(". "))
-    return resolved.where(~F.col("resolved_locally")).withColumns({
+    rows = resolved.where(~F.col("resolved_locally"))
+    if tasks is not None:
+        line = lambda f: F.struct(f["path"].alias("file"), file_context(f["language"], f["total_lines"], f["classes"], f["functions"]).alias("outline"))
+        context = F.transform("outlines", line) if "outlines" in tasks.columns else F.array().cast("array<struct<file: string, outline: string>>")
+        rows = rows.join(tasks.select(key, F.col(text).alias("task_intent"), context.alias("file_context")), key, "left")
+    return rows.withColumns({
         "message": F.concat(top, F.lit("Reasons: "), F.array_join("failure_reasons", "; ")),
         "escalation_message": F.concat(top, F.array_join("failure_reasons", ". "), F.lit(".")),
     })

@@ -1,12 +1,11 @@
-"""Equi-joins that stay even when one key holds a large share of the rows."""
+"""Equi-joins whose null keys stay spread."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-SALTS = 64
+NULL_SALTS = 4096
 BROADCAST_ROWS = 100_000
 
 
@@ -15,22 +14,13 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "left",
-           hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """Join ``left`` to a ``right`` that is unique by ``key``, whatever the key distribution on the left.
+def lookup(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Left join to a ``right`` that is unique by ``key``; both sides are read once and no job runs meanwhile.
 
-    Keys with at least ``hot_rows`` left rows are hot: there are at most rows / hot_rows of them, so the list
-    of hot keys can be broadcast.  Their left rows are spread over ``salts`` by a hash of ``spread_by`` (stable
-    when a task is run again) and their right row is repeated once per salt.  Without hot keys this is a plain
-    join.  The left side is read twice, so it should come from storage rather than from dear expressions.
+    Rows without a key match nothing, so a hash of ``spread_by`` (stable when a task is run again) deals them to many
+    partitions. A frequent key is left to the adaptive skew join, which splits its left rows, or to a broadcast of a
+    right side whose size has been seen.
     """
-    counted = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= hot_rows).select(key)
-    found = counted.limit(BROADCAST_ROWS + 1).collect()
-    if not found or len(found) > BROADCAST_ROWS:
-        return left.join(right, key, how)
-    hot = F.broadcast(left.sparkSession.createDataFrame(found, counted.schema).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(0).cast("int")
-    spread = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return spread.join(repeated, [key, "_salt"], how).drop("_salt")
+    salt = lambda free: F.when(F.col(key).isNull(), free).otherwise(F.lit(-1)).cast("bigint")
+    spread = left.withColumn("_salt", salt(F.pmod(F.xxhash64(spread_by), F.lit(NULL_SALTS))))
+    return spread.join(right.withColumn("_salt", salt(F.lit(-2))), [key, "_salt"], "left").drop("_salt")

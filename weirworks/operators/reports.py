@@ -2,57 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import cost as C
 from ..functions.text import to_fixed, tokens_blended
+from ..sources.workdir import written
 from .routing import classify, decide
-from .staging import settle
 
-HIGH_SHIFT = 15
+DIGIT = 15      # bits that one pass of the median narrows down
 
 
-def _bucket_at(counts: DataFrame, value: str, rank: Column) -> DataFrame:
-    """The bucket holding a 0-based rank, with the rows before it.  Callers bound the number of buckets."""
-    until = F.sum("n").over(Window.orderBy(value))
-    return counts.withColumn("_until", until).where((F.col("_until") - F.col("n") <= rank) & (rank < F.col("_until"))) \
-        .select(F.col(value), (F.col("_until") - F.col("n")).alias("before"))
+def upper_median(counts: DataFrame, value: str) -> int | None:
+    """Element n div 2 of the sorted values of a histogram (value, n); values are non-negative integers.
 
-
-def upper_median(counts: DataFrame, value: str) -> Column:
-    """Element n div 2 of the sorted values of a histogram (value, n), as a scalar subquery.
-
-    Values are non-negative integers.  One pass over the high bits finds the bucket, one over the values of
-    that bucket finds the element; token counts stay below 2^30, so both sort at most 2^15 rows.
+    Each pass counts the values that share the bits found so far by their next ``DIGIT`` bits, so at most 2**DIGIT rows
+    reach the driver, however large the values are. The histogram is read once a pass and should be a stored table.
     """
-    # the generator keeps the bucket filter above the histogram, so every pass reads the same shuffle
-    hist = settle(counts.select(F.col(value).cast("bigint").alias("v"), "n"), {"high": F.shiftright("v", HIGH_SHIFT)})
-    rank = F.floor(hist.agg(F.sum("n")).scalar() / F.lit(2)).cast("bigint")
-    found = _bucket_at(hist.groupBy("high").agg(F.sum("n").alias("n")), "high", rank)
-    inside = hist.where(F.col("high") == found.select("high").scalar())
-    return _bucket_at(inside, "v", rank - found.select("before").scalar()).select("v").scalar()
+    hist = counts.select(F.col(value).cast("bigint").alias("v"), "n")
+    total, top = hist.agg(F.sum("n"), F.max("v")).first()
+    if not total:
+        return None
+    rank, found, shift = total // 2, 0, max(0, -(-top.bit_length() // DIGIT) - 1) * DIGIT
+    while shift >= 0:
+        same = F.shiftright(F.col("v"), shift + DIGIT) == found if shift + DIGIT < 63 else F.lit(True)
+        for high, n in sorted(tuple(r) for r in hist.where(same).groupBy(F.shiftright("v", shift).alias("high")).agg(F.sum("n")).collect()):
+            if rank < n:
+                found = high
+                break
+            rank -= n
+        shift -= DIGIT
+    return found
 
 
 def token_report(texts: DataFrame, tokens: str = "tokens", estimate: str = "estimate") -> DataFrame:
     """Spread of content tokens and how close an estimate per row came.
 
-    Rows are first combined per token count, map-side; the spread and the median both come from that table.
+    Rows are first combined per token count, map-side; that table is stored, and the spread and the median come from it.
     """
     ratio = F.col(tokens) / F.col(estimate)
     n = lambda flag: F.count(F.when(flag, 1))
-    per_count = texts.groupBy(F.col(tokens).alias("t")).agg(
+    per_count = written(texts.groupBy(F.col(tokens).alias("t")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(ratio).alias("r"), F.min(ratio).alias("low"), F.max(ratio).alias("high"),
         n((ratio >= 0.8) & (ratio <= 1.2)).alias("accurate"), n(ratio < 0.8).alias("over_estimated"),
-        n(ratio > 1.2).alias("under_estimated"))
+        n(ratio > 1.2).alias("under_estimated")), "token-counts")
     spread = per_count.agg(
         F.sum("n").alias("n"), (F.sum(F.col("t") * F.col("n")) / F.sum("n")).alias("_avg"), F.min("t").alias("min_tokens"),
         F.max("t").alias("max_tokens"), (F.sum("r") / F.sum("n")).alias("_ratio"), F.min("low").alias("_low"),
         F.max("high").alias("_high"), *[F.sum(c).alias(c) for c in ("accurate", "over_estimated", "under_estimated")])
     return spread.select(
         "n", to_fixed(F.col("_avg"), 0).alias("avg_tokens"), "min_tokens", "max_tokens",
-        upper_median(per_count, "t").alias("median_tokens"), to_fixed(F.col("_ratio"), 2).alias("avg_ratio"),
+        F.lit(upper_median(per_count, "t")).cast("bigint").alias("median_tokens"), to_fixed(F.col("_ratio"), 2).alias("avg_ratio"),
         to_fixed(F.col("_low"), 2).alias("min_ratio"), to_fixed(F.col("_high"), 2).alias("max_ratio"),
         "accurate", "over_estimated", "under_estimated")
 
@@ -72,15 +73,18 @@ def two_price_report(texts: DataFrame, tokens_in: str = "tokens_in", tokens_out:
 
 
 def compression_report(before: DataFrame, after: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Tokens of two versions of each text, what was saved, and the total in a row with a null key."""
-    left = before.select(key, tokens_blended(F.col(text)).alias("before"))
-    right = after.select(key, tokens_blended(F.col(text)).alias("after"))
-    each = left.join(right, key, "full").fillna(0, ["before", "after"])
-    total = each.agg(F.sum("before").alias("before"), F.sum("after").alias("after")).select(
-        F.lit(None).cast(each.schema[key].dataType).alias(key), "before", "after")
+    """Tokens of two versions of each text, what was saved, and the total in a row with a null key.
+
+    Sizes of both versions are summed by key and rolled up to the total in one shuffle of counts; a key that one side
+    lacks has 0 there.
+    """
+    size, none = tokens_blended(F.col(text)), F.lit(0).cast("bigint")
+    both = before.select(key, size.alias("before"), none.alias("after")).unionByName(after.select(key, none.alias("before"), size.alias("after")))
+    rolled = both.rollup(key).agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
+    rolled = rolled.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("before", "after")})
     saved = F.col("before") - F.col("after")
     pct = F.when(F.col("before") > 0, saved / F.col("before") * F.lit(100.0)).otherwise(0.0)
-    return each.unionByName(total).withColumns({"saved": saved, "pct": F.floor(pct + F.lit(0.5)).cast("bigint")})
+    return rolled.withColumns({"saved": saved, "pct": F.floor(pct + F.lit(0.5)).cast("bigint")})
 
 
 def repeat_cost(texts: DataFrame, key: str, turns: list[int], text: str = "text", price: float = 15.0,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import signals as S
 from ..functions.text import FENCE, contains_any, is_json, one_of, strip, to_fixed
-from .joins import fits_broadcast, lookup
+from .joins import fits_broadcast
 from .staging import settle
 
 RULE_FIELDS = ["rule_route", "rule_level", "rule_confidence", "rule_cost_of_wrong", "rule_category"]
@@ -62,21 +62,33 @@ def match_user_rules(prompts: DataFrame, rules: DataFrame, key: str, text: str =
 
     A table of at most ``max_rules`` phrases becomes part of the expression.  A larger one
     is joined: positions of the prompts meet the phrases that begin with the same characters.
+    Either way an empty phrase occurs in every text, and a null phrase or a null text matches nothing.
     """
     fields = [c for c in rules.columns if c not in ("rule_ord", "phrase_ord", "phrase")]
-    ranked = rules.withColumn("phrase", F.lower("phrase"))
-    if fits_broadcast(rules, max_rules):
+    blank = {c: F.lit(None).cast(rules.schema[c].dataType) for c in ["rule_ord", "phrase_ord", *fields]}
+    ranked = rules.where(F.col("phrase").isNotNull()).withColumn("phrase", F.lower("phrase"))
+    if fits_broadcast(ranked, max_rules):
         rows = ranked.orderBy("rule_ord", "phrase_ord").limit(max_rules).collect()
         if not rows:
-            blank = {f.name: F.lit(None).cast(f.dataType) for f in rules.schema if f.name != "phrase"}
             return prompts.withColumns({"matched_phrase": F.lit(None).cast("string"), **blank})
         lowered = prompts.withColumn("_low", F.lower(text))
         out = settle(lowered, {"_phrase_at": _first_phrase(F.col("_low"), [r.phrase for r in rows])}).drop("_low")
         pick = lambda c: F.try_element_at(F.array(*[F.lit(r[c]) for r in rows]), F.col("_phrase_at"))
         return out.withColumns({"matched_phrase": pick("phrase"),
                                 **{c: pick(c) for c in ["rule_ord", "phrase_ord", *fields]}}).drop("_phrase_at")
-    best = _match_by_anchor(prompts, ranked.where(F.col("phrase") != ""), key, text)
-    return prompts.join(best, key, "left")
+    worded = ranked.where("phrase <> ''")
+    always = ranked.where("phrase = ''").orderBy("rule_ord", "phrase_ord").first()
+    if worded.isEmpty():
+        out = prompts.withColumns({"matched_phrase": F.lit(None).cast("string"), **blank})
+    else:
+        out = prompts.join(_match_by_anchor(prompts, worded, key, text), key, "left")
+    if always is None:
+        return out
+    mine = F.struct(*[F.lit(always[c]).cast(rules.schema[c].dataType).alias(c) for c in ("rule_ord", "phrase_ord")])
+    first = F.col(text).isNotNull() & (F.col("rule_ord").isNull() | (F.struct("rule_ord", "phrase_ord") > mine))
+    out = out.withColumn("_always", first)
+    given = {"matched_phrase": F.lit(""), **{c: F.lit(always[c]).cast(rules.schema[c].dataType) for c in blank}}
+    return out.withColumns({c: F.when(F.col("_always"), v).otherwise(F.col(c)) for c, v in given.items()}).drop("_always")
 
 
 def _match_by_anchor(prompts: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
@@ -84,8 +96,8 @@ def _match_by_anchor(prompts: DataFrame, rules: DataFrame, key: str, text: str)
 
     Every position of a prompt gives a window as long as the longest phrase.  A window meets the phrases that
     share its anchor and is kept where it starts with the whole phrase, so the text itself never travels.
-    Anchors that no phrase has are dropped before the shuffle, an anchor found in very many prompts is spread
-    over salts, and the minimum per prompt is combined before the last shuffle.
+    Anchors that no phrase has are dropped before the shuffle, the skew join splits one found in very many prompts,
+    and the minimum per prompt is combined before the last shuffle.
     """
     sized = rules.withColumn("_w", F.least(F.length("phrase"), F.lit(ANCHOR)))
     anchored = sized.withColumn("_gram", F.substr("phrase", F.lit(1), F.col("_w")))
@@ -98,7 +110,7 @@ def _match_by_anchor(prompts: DataFrame, rules: DataFrame, key: str, text: str)
     if fits_broadcast(wanted):
         seen = seen.join(F.broadcast(wanted), "_gram", "left_semi")
     rest = F.struct("rule_ord", "phrase_ord", *[c for c in rules.columns if c not in ("rule_ord", "phrase_ord")])
-    hits = lookup(seen, anchored, "_gram", spread_by=key, how="inner").where(F.startswith("_window", F.col("phrase")))
+    hits = seen.join(anchored, "_gram").where(F.startswith("_window", F.col("phrase")))
     best = hits.groupBy(key).agg(F.min(rest).alias("_best"))
     extra = [c for c in rules.columns if c != "phrase"]
     return best.select(key, F.col("_best.phrase").alias("matched_phrase"), *[F.col(f"_best.{c}") for c in extra])
@@ -355,7 +367,8 @@ def resolve_model(hosts: DataFrame, models: DataFrame, host: str = "host", confi
     aggregate, so a host with very many models is no hot spot.
     """
     bare = lambda c: F.regexp_replace(c, r":latest\z", "")
-    listed = models.join(hosts.select(host, configured), host)
+    wanted = hosts.select(host, configured)
+    listed = models.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, host)
     installed = (F.col("name") == F.col(configured)) | (bare(F.col("name")) == bare(F.col(configured)))
     best = listed.groupBy(host).agg(
         F.min_by("name", F.when(installed, F.col("pos"))).alias("_found"),

@@ -83,7 +83,8 @@ def dashboard_summary(log: DataFrame, rate: float = dims.DEFAULT_RATE) -> DataFr
 
 
 def day_of(ts: Column) -> Column:
-    return F.coalesce(F.date_format(ts, "yyyy-MM-dd"), F.lit("unknown"))
+    """The UTC day, whatever the session's time zone."""
+    return F.coalesce(F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd"), F.lit("unknown"))
 
 
 def daily_totals(log: DataFrame) -> DataFrame:
@@ -196,7 +197,8 @@ def savings_by_price_tier(log: DataFrame, tiers: list[tuple[str, float]] | None
 
 
 def threshold_sweep(log: DataFrame, cutoffs: list[int], rate: float = dims.DEFAULT_RATE) -> DataFrame:
-    """Efficiency and net cost if only outputs of at least each cut-off were delegated.
+    """Efficiency and net cost if only outputs of at least each cut-off were delegated; a cut-off that no row reaches
+    has zeros.
 
     Rows are first summed per band between cut-offs; each band's sums then count for every cut-off at or
     below it, so the log is scanned once and never multiplied.
@@ -207,9 +209,10 @@ def threshold_sweep(log: DataFrame, cutoffs: list[int], rate: float = dims.DEFAU
     bands = billable(log).withColumn("_band", band).where("_band > 0").groupBy("_band").agg(
         F.sum("tokens_used").alias("tokens"), F.sum(C.cloud_overhead(F.col("tokens_used"))).alias("overhead"),
         F.count(F.lit(1)).alias("tasks"))
-    reached = bands.withColumn("cutoff", F.explode(F.slice(listed, F.lit(1), F.col("_band"))))
-    summed = reached.groupBy("cutoff").agg(*[F.sum(c).alias(c) for c in ("tokens", "overhead", "tasks")])
-    priced = add_cost(summed, F.lit(float(rate)), "tokens", "overhead", rounded=False)
+    parts = ("tokens", "overhead", "tasks")
+    sums = bands.agg(*[_sum(F.col(p), F.col("_band") >= k).alias(f"{p}{k}") for k in range(1, len(cuts) + 1) for p in parts])
+    rows = [F.struct(F.lit(c).cast("bigint").alias("cutoff"), *[F.col(f"{p}{k}").alias(p) for p in parts]) for k, c in enumerate(cuts, 1)]
+    priced = add_cost(sums.select(F.inline(F.array(*rows))), F.lit(float(rate)), "tokens", "overhead", rounded=False)
     ratio = F.when(F.col("gross_cost") > 0, F.col("net_cost") / F.col("gross_cost")).otherwise(0.0)
     return priced.withColumn("efficiency", ratio)
 
@@ -242,15 +245,35 @@ def project(daily: DataFrame, work_days: int = dims.WORK_DAYS, scales: list[floa
 
 # --- rows ---------------------------------------------------------------------------
 
+def log_order(log: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The log and the columns that order its rows: ``log_ord``, or the time and a hash of the record where it has none,
+    as logs read from files do."""
+    if "log_ord" in log.columns:
+        return log, ["log_ord"]
+    return log.withColumn("record", record_key(log)), ["ts", "record"]
+
+
+def record_key(log: DataFrame) -> Column:
+    """A hash of all fields, the same for a record that was appended again."""
+    return F.xxhash64(*[F.col(c) for c in sorted(log.columns)])
+
+
+def newest(log: DataFrame, n: int) -> DataFrame:
+    """The last n rows by log order, columns as they are."""
+    ordered, order = log_order(log)
+    return ordered.orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(n).select(*log.columns)
+
+
 def recent(log: DataFrame, n: int = 50) -> DataFrame:
-    """The newest billable rows by log order; a top-k, so no full sort."""
-    named = billable(log).select(
-        "log_ord", "ts", F.coalesce("tool", F.lit("unknown")).alias("tool"),
+    """The newest billable rows by log order, ties in time by record; a top-k, so no full sort."""
+    ordered, order = log_order(billable(log))
+    named = ordered.select(
+        *dict.fromkeys([*order, "ts"]), F.coalesce("tool", F.lit("unknown")).alias("tool"),
         F.coalesce("model", F.lit("unknown")).alias("model"), F.col("tokens_used").alias("tokens"),
         _overhead().alias("overhead"), F.coalesce("duration_ms", F.lit(0)).alias("duration_ms"),
         F.when(F.col("type") == "delegation", F.col("quality_status")).alias("quality_status"),
         F.when(F.col("type") == "delegation", F.col("attempt_count")).alias("attempt_count"))
-    return named.orderBy(F.col("log_ord").desc()).limit(n)
+    return named.orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(n)
 
 
 def feed(log: DataFrame, n: int = 20) -> DataFrame:
@@ -259,7 +282,8 @@ def feed(log: DataFrame, n: int = 20) -> DataFrame:
     # small negative counts stay below a thousand in print, so only gains use the K and M forms
     shown = F.when(net >= 0, F.concat(F.lit("+"), X.fmt_tokens(net))).otherwise(net.cast("string"))
     model = F.when(F.length("model") > 20, F.concat(F.substring("model", 1, 20), F.lit("..."))).otherwise(F.col("model"))
-    return recent(log, n).select("log_ord", "tool", model.alias("model"), "quality_status", net.alias("net"),
+    order = ["log_ord"] if "log_ord" in log.columns else ["ts", "record"]
+    return recent(log, n).select(*order, "tool", model.alias("model"), "quality_status", net.alias("net"),
                                  X.fmt_tokens(F.col("tokens")).alias("tokens"), X.fmt_tokens(F.col("overhead")).alias("overhead"),
                                  shown.alias("net_shown"), X.fmt_duration(F.col("duration_ms")).alias("duration"))
 
@@ -271,15 +295,6 @@ def union_records(subagents: DataFrame, completions: DataFrame, delegations: Dat
             .unionByName(tagged(delegations, "delegation"), allowMissingColumns=True))
 
 
-def expand_workload(rows: DataFrame, start: Column, ord_column: str = "ord") -> DataFrame:
-    """One task row per counted task, each a second after the one before within its workload row."""
-    each = rows.where(F.col("count") > 0).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("count"))))
-    second = F.col("n") - 1
-    return each.select(ord_column, "type", F.col("tokens").alias("tokens_used"), "n",
-                       F.timestamp_seconds(F.unix_seconds(start) + second).alias("ts"),
-                       (F.lit(100) + F.floor(F.col("tokens") / F.lit(5.0))).cast("bigint").alias("duration_ms"))
-
-
 def route_mix(decisions: DataFrame, by: list[str]) -> DataFrame:
     """Decisions per route with the local share and the delegation rate local / (local + cloud)."""
     mix = decisions.groupBy(*by).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -12,17 +12,27 @@ from ..operators.gate import quality_gate
 from ..operators.routing import DECISION, route
 from ..operators.usage import route_mix
 
+TURNS = 10_000
+
 
 def pair_turns(conversations: DataFrame) -> DataFrame:
-    """Each user turn with the next turn, when that is the assistant's.
+    """Each user turn with the next turn there is, when that is the assistant's; turn numbers may have gaps.
 
-    Turns of a conversation are numbered without gaps, so the next turn is turn + 1 and an equi-join finds it.
-    Rows spread by (conversation, turn): a conversation with very many turns is no hot group.
+    The order comes from slim columns, and texts join by (conversation, turn). A conversation is ordered in ranges of
+    ``TURNS`` turn numbers, so one with very many turns is no group of its own: what follows the last turn of a range is
+    the first turn of the next range that has any.
     """
-    asked = conversations.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
-    told = conversations.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"))
-    return asked.join(told, ["conv_id", "turn"])
+    slim = conversations.select("conv_id", "turn", "role").withColumn("_part", F.floor(F.col("turn") / TURNS))
+    inside = Window.partitionBy("conv_id", "_part").orderBy("turn")
+    first = slim.groupBy("conv_id", "_part").agg(F.min(F.struct("turn", "role")).alias("_first"))
+    after = first.select("conv_id", "_part", F.lead("_first").over(Window.partitionBy("conv_id").orderBy("_part")).alias("_after"))
+    asked = slim.withColumn("_next", F.lead(F.struct("turn", "role")).over(inside)).where("role = 'user'")
+    asked = asked.join(after, ["conv_id", "_part"]).withColumn("_next", F.coalesce("_next", "_after")).where("_next.role = 'assistant'")
+    pairs = asked.select("conv_id", "turn", F.col("_next.turn").alias("_answer"))
+    texts = conversations.select("conv_id", "turn", "text")
+    out = pairs.join(texts.withColumnRenamed("text", "prompt"), ["conv_id", "turn"])
+    told = texts.select("conv_id", F.col("turn").alias("_answer"), F.col("text").alias("response"))
+    return out.join(told, ["conv_id", "_answer"]).select("conv_id", "turn", "prompt", "response")
 
 
 def judged_pairs(conversations: DataFrame, level: int = dims.DEFAULT_LEVEL,

@@ -22,14 +22,22 @@ class LightPassOptions:
     context: dims.ContextOptions = field(default_factory=dims.ContextOptions)
     level: int = dims.DEFAULT_LEVEL
     allow_retry: bool = True
+    gate_enabled: bool = True
     retry_max_tokens: int = 1200
     model: str = "local"
     concurrency: int = 2
 
 
+OPTIONAL = ("expected_language", "allowed_files", "required_sections")
+
+
 def light_pass(tasks: DataFrame, files: DataFrame, log: DataFrame, fn: Complete,
                options: LightPassOptions = LightPassOptions(), learner: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Settle tasks (task_id, text, tool, expected_language) with a caller's completion function.
+    """Settle tasks (task_id, text, tool) with a caller's completion function.
+
+    Tasks may also have expected_language, allowed_files, required_sections, and file_refs, which then stands for the
+    references in the text.  ``results`` has the answer that was accepted; ``escalations`` says what was asked, why it
+    failed, and outlines the files that were packed.
 
     Model calls are dear and may answer differently when repeated, so both rounds of answers are written to
     the shared folder and read back; so is whatever later steps read more than once.  Only softly failed first attempts are packed again and retried.
@@ -39,16 +47,20 @@ def light_pass(tasks: DataFrame, files: DataFrame, log: DataFrame, fn: Complete,
     packed = written(render_prompt(pack_context(sized, files, options.context)), "packed")
     first = written(batch_complete(packed, fn, "task_id", max_tokens="estimated_tokens",
                                    concurrency=options.concurrency), "first-answers")
-    judged = written(attempt_verdicts(_attempt(first, packed, 1, options), options.gate), "first-verdicts")
+    judge = lambda answers, number: attempt_verdicts(_attempt(answers, packed, number, options), options.gate, enabled=options.gate_enabled)
+    judged = written(judge(first, 1), "first-verdicts")
     again = judged.where(F.col("a.should_retry") & F.lit(options.allow_retry)).select("task_id")
     retried = packed.join(again, "task_id", "left_semi")
     wider = render_prompt(expand_context(retried, options.context)).withColumn("_cap", F.lit(options.retry_max_tokens))
     second = written(batch_complete(wider, fn, "task_id", max_tokens="_cap", concurrency=options.concurrency),
                      "second-answers")
-    both = judged.unionByName(attempt_verdicts(_attempt(second, packed, 2, options), options.gate))
-    settled = written(settle_attempts(both, options.allow_retry), "settled")
+    settled = written(settle_attempts(judged.unionByName(judge(second, 2)), options.allow_retry), "settled")
+    answers = first.withColumn("attempt_count", F.lit(1)).unionByName(second.withColumn("attempt_count", F.lit(2)))
+    answers = answers.select("task_id", "attempt_count", "response")
+    kept = settled.where("resolved_locally").select("task_id", "attempt_count").join(answers, ["task_id", "attempt_count"])
     return {
-        "results": settled, "escalations": escalation_payload(settled),
+        "results": settled.join(kept.select("task_id", "response"), "task_id", "left"),
+        "escalations": escalation_payload(settled, packed),
         "log": settled.where("logged").drop("logged", "failure_reasons", "checks_passed", "checks_total"),
         "decisions": routed,
     }
@@ -56,7 +68,8 @@ def light_pass(tasks: DataFrame, files: DataFrame, log: DataFrame, fn: Complete,
 
 def _attempt(answers: DataFrame, packed: DataFrame, number: int, options: LightPassOptions) -> DataFrame:
     """Attempt rows; a failed call has no response."""
-    asked = packed.select("task_id", "tool", F.col("estimated_tokens").alias("expected_tokens"), "expected_language")
+    given = [c for c in OPTIONAL if c in packed.columns]
+    asked = packed.select("task_id", "tool", F.col("estimated_tokens").alias("expected_tokens"), *given)
     return answers.join(asked, "task_id").select(
         "task_id", F.lit(number).alias("attempt_no"), F.when(F.col("ok"), F.col("response")).alias("response"),
-        "tokens_used", "duration_ms", F.lit(options.model).alias("model"), "tool", "expected_tokens", "expected_language")
+        "tokens_used", "duration_ms", F.lit(options.model).alias("model"), "tool", "expected_tokens", *given)

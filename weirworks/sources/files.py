@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, fmt_size, glob_to_regex
-from ..operators.corpus import LARGE_FILE, SMALL_FILE, visible
+from ..operators.corpus import SMALL_FILE, visible
 
 
 def _tree(spark: SparkSession, root: str) -> DataFrame:
@@ -24,15 +24,16 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         fmt_size(F.col("length")).alias("size_text"), F.col("modificationTime").alias("modified"))
 
 
-def find_files(files: DataFrame, glob: str = "*", max_depth: int = 10, cap: int = 500) -> DataFrame:
+def find_files(files: DataFrame, glob: str = "*", max_depth: int | None = None, cap: int | None = None) -> DataFrame:
     """Paths whose base name fits a glob, in path order, hidden and dependency folders left out.
 
-    The cap is the size of the report; ordering by path makes it a distributed top-k.
+    All of them unless the caller sets a depth or, for a report of the first paths, a cap.
     """
-    depth = F.size(F.split("path", "/")) - 1
-    hit = (F.rlike(base_name(F.col("path")), F.lit(glob_to_regex(glob))) & (depth <= max_depth)
-           & visible(F.col("path"), skip=("node_modules",)))
-    return files.where(hit).select("path").orderBy("path").limit(cap)
+    hit = F.rlike(base_name(F.col("path")), F.lit(glob_to_regex(glob))) & visible(F.col("path"), skip=("node_modules",))
+    if max_depth is not None:
+        hit = hit & (F.size(F.split("path", "/")) - 1 <= max_depth)
+    found = files.where(hit).select("path").orderBy("path")
+    return found if cap is None else found.limit(cap)
 
 
 def relative(files: DataFrame, root: str) -> DataFrame:
@@ -42,13 +43,14 @@ def relative(files: DataFrame, root: str) -> DataFrame:
     return files.withColumn("path", F.when(at > 0, F.substr("path", start)).otherwise(F.col("path")))
 
 
-def read_corpus(spark: SparkSession, root: str, max_bytes: int = LARGE_FILE) -> DataFrame:
-    """Whole files up to a size as text; larger ones are dropped by length before they are opened."""
-    return _tree(spark, root).where(F.col("length") <= max_bytes).select(
+def read_corpus(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Whole files as text; with ``max_bytes``, larger ones are dropped by length before they are opened."""
+    tree = _tree(spark, root)
+    return (tree if max_bytes is None else tree.where(F.col("length") <= max_bytes)).select(
         "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def read_small_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Files below 1 MB, the ones whose lines are counted."""
+    """Files below 1 MB, for callers that want small files only."""
     return read_corpus(spark, root, SMALL_FILE - 1)

@@ -15,6 +15,7 @@ USAGE_FIELDS = [
     ("session_id", "string"), ("cloud_overhead_tokens", "bigint"), ("output_tokens", "bigint"),
     ("quality_status", "string"), ("attempt_count", "int"), ("resolved_locally", "boolean"),
 ]
+WHOLE = ("bigint", "int")      # numbers in logs may have a fraction; these fields are rounded, half toward plus infinity
 HISTORY_FIELDS = [
     ("task_fingerprint", "string"), ("task_type", "string"), ("level_used", "int"), ("outcome", "string"),
     ("quality_signal", "double"), ("timestamp", "string"),
@@ -33,13 +34,15 @@ def parse_lines(lines: DataFrame, fields: list[tuple[str, str]], line: str = "va
     A line whose fields all parse and whose only closing brace ends it is one object; other lines are judged
     by a full JSON check.
     """
-    raw = lines.withColumn("_row", F.from_json(line, ddl(fields) + ", _bad string",
+    given = [(name, "double" if kind in WHOLE else kind) for name, kind in fields]
+    raw = lines.withColumn("_row", F.from_json(line, ddl(given) + ", _bad string",
                                                {**STRICT, "columnNameOfCorruptRecord": "_bad"}))
     closed = F.instr(line, "}") == F.length(F.rtrim(line))
     sound = (F.col("_row._bad").isNull() & closed) | is_json(F.col(line))
     kept = raw.where((F.trim(line) != "") & F.coalesce(sound, F.lit(False)))
     rest = [F.col(c) for c in lines.columns if c != line]
-    out = kept.select(*rest, *[F.col(f"_row.{name}").alias(name) for name, _ in fields])
+    value = lambda name, kind: F.floor(F.col(f"_row.{name}") + F.lit(0.5)).cast(kind) if kind in WHOLE else F.col(f"_row.{name}")
+    out = kept.select(*rest, *[value(name, kind).alias(name) for name, kind in fields])
     return out.withColumn("ts", F.try_to_timestamp("timestamp"))
 
 
@@ -64,11 +67,16 @@ def ingest_subagent_events(events: DataFrame) -> DataFrame:
         given("session_id", F.lit("unknown")).alias("session_id"), F.col("ts"))
 
 
+def _utc_text(at: Column) -> Column:
+    """An instant as text in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def _stamped(df: DataFrame, kind: str) -> DataFrame:
     at = F.coalesce("ts", F.current_timestamp()) if "ts" in df.columns else F.current_timestamp()
     session = F.coalesce("session_id", F.lit("unknown")) if "session_id" in df.columns else F.lit("unknown")
     return df.withColumns({"type": F.lit(kind), "session_id": session,
-                           "timestamp": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")})
+                           "timestamp": _utc_text(at)})
 
 
 def _append(df: DataFrame, path: str, fields: list[tuple[str, str]], enabled: bool) -> None:
@@ -77,7 +85,7 @@ def _append(df: DataFrame, path: str, fields: list[tuple[str, str]], enabled: bo
 
 
 def append_completions(df: DataFrame, path: str, enabled: bool = True) -> None:
-    """Append completions with their estimated overhead; the session time zone must be UTC."""
+    """Append completions with their estimated overhead."""
     priced = df.withColumn("cloud_overhead_tokens", cloud_overhead(F.col("tokens_used")))
     _append(_stamped(priced, "completion"), path, USAGE_FIELDS, enabled)
 
@@ -88,7 +96,7 @@ def append_delegations(df: DataFrame, path: str, enabled: bool = True) -> None:
 
 def append_history(df: DataFrame, path: str) -> None:
     at = F.coalesce("ts", F.current_timestamp()) if "ts" in df.columns else F.current_timestamp()
-    stamped = df.withColumn("timestamp", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    stamped = df.withColumn("timestamp", _utc_text(at))
     _append(stamped, path, HISTORY_FIELDS, True)
 
 

@@ -13,7 +13,9 @@ from ..functions import cost as C
 from ..operators import gate, routing, usage
 from ..operators.learning import success_cells
 from ..sources.logs import USAGE_FIELDS, parse_lines
-from ..sources.workdir import new_path
+from ..sources.workdir import new_path, remove_folder
+
+KEPT_VERSIONS = 2
 
 
 def stream_usage_log(spark: SparkSession, directory: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -28,14 +30,20 @@ def _overhead() -> Column:
 
 def stream_daily_timeline(log: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Tokens, overhead and tasks per UTC day; a day is final once the watermark has passed it."""
+    # a window starts at UTC midnight; its text must not shift with the session's time zone
     days = usage.billable(log).withWatermark("ts", delay).groupBy(F.window("ts", "1 day")).agg(
         F.sum("tokens_used").alias("tokens"), F.sum(_overhead()).alias("overhead"), F.count(F.lit(1)).alias("tasks"))
-    return days.select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "tokens", "overhead", "tasks")
+    return days.select(usage.day_of(F.col("window.start")).alias("date"), "tokens", "overhead", "tasks")
 
 
 def stream_sessions(log: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Tokens, overhead, tasks and tools per session id, closed by a gap."""
-    sessions = usage.billable(log).withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "session_id").agg(
+    """Tokens, overhead, tasks and tools per session id, closed by a gap.
+
+    Records that name no session (null or ``unknown``) belong to no session and are left out, so that they do not form
+    one that never closes.
+    """
+    named = usage.billable(log).where("session_id <> 'unknown'")
+    sessions = named.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "session_id").agg(
         F.sum("tokens_used").alias("tokens"), F.sum(_overhead()).alias("overhead"), F.count(F.lit(1)).alias("tasks"),
         F.array_sort(F.collect_set(F.coalesce("tool", F.lit("unknown")))).alias("tools"))
     return sessions.select("session_id", F.col("session_window.start").alias("start"),
@@ -66,9 +74,15 @@ def stream_sliding_rates(log: DataFrame, span: str = "1 hour", slide: str = "10
                           (F.col("retried") / F.col("total")).alias("retry_rate"))
 
 
-def stream_dedup(log: DataFrame, key: list[str] = ("log_ord",), delay: str = "1 hour") -> DataFrame:
-    """Each record once, however often an append was retried within the delay."""
-    return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(key))
+def stream_dedup(log: DataFrame, key: list[str] | None = None, delay: str = "1 hour") -> DataFrame:
+    """Each record once, however often an append was retried within the delay.
+
+    Without a key, ``log_ord`` tells records apart, or a hash of all fields where the log has none.
+    """
+    watched = log.withWatermark("ts", delay)
+    if key is None and "log_ord" not in log.columns:
+        return watched.withColumn("record", usage.record_key(log)).dropDuplicatesWithinWatermark(["record"]).drop("record")
+    return watched.dropDuplicatesWithinWatermark(list(key or ["log_ord"]))
 
 
 # --- running a stream over what is there -------------------------------------------------
@@ -93,12 +107,22 @@ def run_versions(stream: DataFrame, path: str, checkpoint: str, mode: str = "upd
             last = spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}") if number > 0 else None
             out = combine(batch, last)
         out.write.mode("overwrite").parquet(f"{path}/version={number}")
+        # a batch that runs again reads the version before it; older ones are no longer needed once merged
+        if combine is not None and number >= KEPT_VERSIONS:
+            remove_folder(batch.sparkSession, f"{path}/version={number - KEPT_VERSIONS}")
 
     query: StreamingQuery = (stream.writeStream.outputMode(mode).foreachBatch(write)
                              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
 
 
+def merge_latest(keys: list[str]) -> Callable[[DataFrame, DataFrame | None], DataFrame]:
+    """Merge step that keeps the newest row of each key, so that the last version is the whole table."""
+    def merge(batch: DataFrame, last: DataFrame | None) -> DataFrame:
+        return batch if last is None else batch.unionByName(last.join(batch.select(*keys), keys, "left_anti"))
+    return merge
+
+
 def latest_by(versions: DataFrame, keys: list[str]) -> DataFrame:
     """Newest row per key over all versions of an update-mode table."""
     values = [c for c in versions.columns if c not in (*keys, "version")]
@@ -114,7 +138,7 @@ def keep_recent(n: int = 50) -> Callable[[DataFrame, DataFrame | None], DataFram
     """Merge step that keeps the newest rows by log order."""
     def merge(batch: DataFrame, last: DataFrame | None) -> DataFrame:
         seen = batch if last is None else batch.unionByName(last)
-        return seen.orderBy(F.col("log_ord").desc()).limit(n)
+        return usage.newest(seen, n)
     return merge
 
 

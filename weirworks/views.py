@@ -5,8 +5,6 @@ The text is plain enough for Spark and for the SQL checker alike, so both sides
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,29 +43,29 @@ SELECT doc_id AS task_id,
    WHEN 10 THEN 'cs ask what is a mutex ' WHEN 11 THEN 'boilerplate for a rest api in go with a test suite '
    WHEN 12 THEN 'analyze the module then refactor all files everywhere, password handling '
    WHEN 13 THEN 'bash script, adapt the config of this package ' WHEN 14 THEN '' ELSE 'fix this ' END
-  || CASE WHEN doc_id % 32 < 16 THEN '' ELSE text END AS text
+  || text AS text
 FROM documents"""),
     "completions": ("documents", """
 SELECT doc_id AS task_id, CAST(1 AS INT) AS attempt_no,
   CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' END AS expected_language,
   CAST(40 + 15 * (doc_id % 30) AS BIGINT) AS expected_tokens,
   CASE doc_id % 14
-   WHEN 0 THEN 'ok' WHEN 1 THEN 'As an AI I cannot do that for you here.' WHEN 2 THEN text || ' TODO finish'
+   WHEN 0 THEN 'ok ' || text WHEN 1 THEN 'As an AI I cannot do that for you here. ' || text WHEN 2 THEN text || ' TODO finish'
    WHEN 3 THEN 'I think maybe it might work, perhaps. ' || text
    WHEN 4 THEN 'def f(a):' || chr(10) || '  return ((((a' || chr(10) || text
    WHEN 5 THEN 'function g(x) {' || chr(10) || ' const y = () => {' || chr(10) || ' if (y) {{{' || chr(10) || text
    WHEN 6 THEN text || '...' WHEN 7 THEN 'see src/app/main.py and lib/other.ts for more. ' || text
    WHEN 8 THEN 'it could be so; it seems, could be. ' || text
    WHEN 9 THEN 'HACK only. ' || text
-   WHEN 10 THEN repeat('the same long sentence is printed over and over again here; ', 4)
-   WHEN 11 THEN 'Here:' || chr(10) || '```python' || chr(10) || 'import os' || chr(10) || 'def h(a):' || chr(10) || '  return a' || chr(10) || '```'
+   WHEN 10 THEN repeat('the same long sentence is printed over and over again here; ', 4) || text
+   WHEN 11 THEN 'Here:' || chr(10) || '```python' || chr(10) || 'import os' || chr(10) || 'def h(a):' || chr(10) || '  return a' || chr(10) || '```' || chr(10) || text
    ELSE text END AS response
 FROM documents"""),
     "retries": ("documents", """
 SELECT doc_id AS task_id, CAST(2 AS INT) AS attempt_no,
   CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' END AS expected_language,
   CAST(40 + 15 * (doc_id % 30) AS BIGINT) AS expected_tokens,
-  CASE (doc_id + 1) % 5 WHEN 0 THEN NULL WHEN 1 THEN text || ' FIXME'
+  CASE (doc_id + 1) % 5 WHEN 0 THEN 'ok then: ' || text WHEN 1 THEN text || ' FIXME'
    WHEN 2 THEN 'maybe, perhaps, it could be so. ' || text ELSE text END AS response
 FROM documents"""),
     "code_files": ("part", """
@@ -85,14 +83,9 @@ FROM part"""),
 }
 
 
-TEXT_TABLES = ("documents", "conversations", "pages", "part")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table; text tables of fewer files than cores are spread, as their rows are dear to work on."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXT_TABLES and len(df.inputFiles()) < cores else df
+    """A supplied table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
