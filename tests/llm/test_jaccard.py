@@ -55,15 +55,14 @@ def test_equals_all_pairs(make, prose, odd, width, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
 
 
-def test_passages_that_many_share_go_to_the_second_index(make, prose, monkeypatch):
-    """Texts that share most of their words collide in whole segments without being linked."""
+@pytest.mark.parametrize("margin", [64, -10 ** 9])
+def test_passages_that_many_share(make, prose, margin):
+    """Texts that share most of their words collide in whole segments without being linked; with a low margin every
+    open pair goes through the one-deletion index."""
     passage, rng = prose(60, 77), random.Random(5)
-    texts = [(i, prose(14, i) + " " + passage) for i in range(160)]
-    texts += [(500 + i, edited(t, rng, 1)) for i, t in texts[:60]]
-    made = []
-    whole = J.neighbourhoods
-    monkeypatch.setattr(J, "neighbourhoods", lambda s, bands: made.append(1) or whole(s, bands))
-    rows = J.jaccard_components(make(texts), 3, 90).collect()
+    texts = [(i, prose(14, i) + " " + passage) for i in range(100)]
+    texts += [(500 + i, edited(t, rng, 1 + i % 2)) for i, t in texts[:60]]
+    rows = J.jaccard_components(make(texts), 3, 90, margin).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts, 3, 90)
 
 

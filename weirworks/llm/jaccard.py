@@ -6,7 +6,7 @@ two linked sets of the band can differ: by the pigeonhole principle linked sets
 the number of every segment into the index, and sets that share one are candidates.
 
 Candidates are taken in an order that keeps large groups cheap. First every set of a shared segment is compared with the
-smallest class there, and the links found are closed to components; what stays open are pairs of one segment in different
+best connected class there, and the links found are closed to components; what stays open are pairs of one segment in different
 components. A segment whose open pairs cost more than the one-deletion neighbourhoods of its members is not paired: its
 members go to a second index of about half as many segments, where each set enters every segment whole and with each
 single shingle left out. Linked sets differ by at most one shingle in some segment there, so a whole segment meets a
@@ -34,6 +34,7 @@ from .graph import components
 from .words import U, grams, mix, pieces, signed
 
 RATIO = 1.3       # of the largest to the smallest size of a band
+SKETCH = 512      # bits of a parity sketch
 
 
 class Bands:
@@ -103,6 +104,13 @@ def neighbourhoods(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(whole), np.concatenate(less)
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of the shingles that fall on each of ``SKETCH`` bits, as longs: two sets differ in at least as many
+    shingles as their sketches differ in bits."""
+    bits = np.bincount((mix(s ^ U(0x0DD)) % U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _carriers(row: dict, width: int, bands: Bands) -> Iterator[tuple[int, int, int, int, np.ndarray, np.ndarray | None]]:
     """(doc_id, size, two numbers of the set, set, signatures) of a batch's texts; of equal sets only the one with the
     smallest id has signatures."""
@@ -140,14 +148,14 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterat
         for row in rows.to_pylist():
             carriers = list(_carriers(row, width, Bands(percent)))
             keys, again = _distinct(carriers)[0], values(row, 0, 1)[:, 0].astype(bool)
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(7)]
             for doc, n, one, two, s, sigs in carriers:
                 shared = sigs[again[np.searchsorted(keys, sigs)]] if sigs is not None else np.zeros(0, U)
                 some = len(shared) > 0
-                for column, value in zip(columns, (doc, n, signed_number(one), signed_number(two), signed(np.unique(shared)) if some else None, signed(s) if some else None), strict=True):
+                for column, value in zip(columns, (doc, n, signed_number(one), signed_number(two), signed(np.unique(shared)) if some else None, signed(s) if some else None, odd_sketch(s) if some else None), strict=True):
                     column.append(value)
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n", "one", "two", "sigs", "set"])
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n", "one", "two", "sigs", "set", "odd"])
 
 
 def _deletions(column: str, percent: int):
@@ -167,27 +175,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where((100 + percent) * F.col("same") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id per row of ``docs`` (doc_id, text): the smallest doc_id that links reach."""
+def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, margin: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id per row of ``docs`` (doc_id, text): the smallest doc_id that links reach.
+
+    ``margin`` is what a row of the one-deletion index costs besides its shingles; it moves work, never results.
+    """
     table = batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     shared = asked(table, _ask(width, percent), several, 1, 0)
     found = written(joined(table, shared).select("docs", "answers").mapInArrow(
-        lambda b: _sets(b, width, percent), "doc_id long, n long, one long, two long, sigs array<bigint>, set array<bigint>"), "sets")
+        lambda b: _sets(b, width, percent), "doc_id long, n long, one long, two long, sigs array<bigint>, set array<bigint>, odd array<bigint>"), "sets")
     discard(table, shared)
     classes = found.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("node"))
     members = written(found.select("doc_id", "n", "one", "two").join(classes, ["n", "one", "two"], "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node")), "classes")
     firsts = members.where("n > 0 AND doc_id = node").select("node").distinct()
     index = found.where("sigs IS NOT NULL").select(F.col("doc_id").alias("node"), "n", "sigs").join(firsts, "node", "left_semi").select("node", "n", F.explode("sigs").alias("sig")).distinct()
-    held = written(index.join(index.groupBy("sig").count().where("count > 1").select("sig"), "sig"), "segments")
-    centres = held.groupBy("sig").agg(F.min("node").alias("b"))
+    held = written(index.join(index.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sig"), "segments")
+    # the centre of a segment is the class that shares most segments with most others: copies link to what they come from
+    weight = held.groupBy("node").agg(F.sum("size").alias("weight"))
+    centres = held.join(weight, "node").groupBy("sig").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("b"))
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     sizes = held.select(F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    stars = written(held.join(centres, "sig").where("node <> b").select(F.col("node").alias("a"), "n", "b").distinct().join(sizes, "b").where(fits(F.col("n"), F.col("nb"))).select("a", "b"), "stars")
-    sets = found.where("set IS NOT NULL").select(F.col("doc_id").alias("node"), "set").join(held.select("node").distinct(), "node", "left_semi")
+    stars = written(held.join(centres, "sig").where("node <> b").select(F.col("node").alias("a"), "n", "b").distinct().join(sizes, "b").where(fits(F.col("n"), F.col("nb"))).select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    sets = found.where("set IS NOT NULL").select(F.col("doc_id").alias("node"), "set", "odd").join(held.select("node").distinct(), "node", "left_semi")
     links = written(_verified(stars, sets, percent), "star-links")
     closed = written(components(links), "star-components")
-    links = links.unionByName(_open_links(held, closed, stars, sets, percent, fits))
+    links = links.unionByName(_open_links(held, closed, stars, sets, percent, margin, fits))
     final = components(written(links, "all-links"))
     out = members.join(final, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
@@ -200,24 +214,28 @@ def _tops(rows: DataFrame) -> DataFrame:
                                  (F.sum("size") / F.sum("k")).alias("mean")).where("labels > 1").drop("labels")
 
 
-def _cross(rows: DataFrame, fits) -> DataFrame:
+def _cross(rows: DataFrame, percent: int, fits) -> DataFrame:
     """Pairs (a > b) of different components in one segment, one of them a whole segment. Rows of the largest component
-    are met by the others only, so a large group that is closed already is not paired with itself."""
-    side = lambda x, d: d.select("sig", *[F.col(c).alias(c + x) for c in ("node", "n", "label", "whole")])
+    are met by the others only, so a large group that is closed already is not paired with itself; pairs whose parity
+    sketches show that they differ too much to be linked do not leave the join."""
+    side = lambda x, d: d.select("sig", *[F.col(c).alias(c + x) for c in ("node", "n", "label", "whole", "odd")])
+    bits = sum((F.bit_count(F.col("oddx")[k].bitwiseXOR(F.col("oddy")[k])) for k in range(1, SKETCH // 64)), F.bit_count(F.col("oddx")[0].bitwiseXOR(F.col("oddy")[0])))
+    close = bits * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
     met = side("x", rows.where("label <> top")).join(side("y", rows), "sig")
-    met = met.where((F.col("labelx") != F.col("labely")) & (F.col("wholex") | F.col("wholey")) & fits(F.col("nx"), F.col("ny")))
+    met = met.where((F.col("labelx") != F.col("labely")) & (F.col("wholex") | F.col("wholey")) & fits(F.col("nx"), F.col("ny")) & close)
     return met.select(F.greatest("nodex", "nodey").alias("a"), F.least("nodex", "nodey").alias("b")).distinct()
 
 
-def _open_links(held: DataFrame, closed: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, fits) -> DataFrame:
+def _open_links(held: DataFrame, closed: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, margin: int, fits) -> DataFrame:
     """Links between classes of one segment that the stars left in different components."""
     labelled = held.join(closed, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("label"), F.lit(True).alias("whole"))
-    # pairing a segment costs outside x rows, the one-deletion neighbourhoods of its members about 2 x mean + 64 a row
-    waiting = written(labelled.join(_tops(labelled).withColumn("dear", F.col("outside") > 2 * F.col("mean") + 64), "sig"), "open-segments")
-    cheap = _cross(waiting.where("NOT dear"), fits)
+    # pairing a segment costs outside x rows, the one-deletion neighbourhoods of its members about 2 x mean + margin a row
+    waiting = labelled.join(_tops(labelled).withColumn("dear", F.col("outside") > 2 * F.col("mean") + margin), "sig")
+    waiting = written(waiting.join(sets.select("node", "odd"), "node"), "open-segments")
+    cheap = _cross(waiting.where("NOT dear"), percent, fits)
     again = waiting.where("dear").groupBy("node").agg(F.first("n").alias("n"), F.min("label").alias("label"))
-    again = again.join(sets, "node").select("node", "n", "label", _deletions("set", percent).alias("x"))
+    again = again.join(sets, "node").select("node", "n", "label", "odd", _deletions("set", percent).alias("x"))
     whole, less = (again.select(F.explode("x." + k).alias("sig"), "node", "n", "label", F.lit(k == "whole").alias("whole")).distinct() for k in ("whole", "less"))
     second = written(whole.unionByName(less), "neighbourhoods")
-    rare = _cross(second.join(_tops(second), "sig"), fits)
+    rare = _cross(second.join(_tops(second), "sig").join(again.select("node", "odd"), "node"), percent, fits)
     return _verified(cheap.unionByName(rare).distinct().join(stars, ["a", "b"], "left_anti"), sets, percent)
