@@ -18,7 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = written(edges.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "links")
     while True:
         both = state.unionByName(state.select(F.col("high").alias("low"), F.col("low").alias("high")))
-        least = both.groupBy("low").agg(F.min("high").alias("near")).select("low", F.least("low", "near").alias("to"))
+        # stored, so that the skew join can split a node with very many neighbours
+        least = written(both.groupBy("low").agg(F.min("high").alias("near")).select("low", F.least("low", "near").alias("to")), "links-least")
         large = both.where("high > low").join(least, "low").select(F.col("to").alias("low"), "high")
         large = written(large.where("low <> high").distinct(), "links-large")
         # small star: each node's smaller neighbours, and the node itself, move to the smallest of them

@@ -185,7 +185,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, margi
     found = written(joined(table, shared).select("docs", "answers").mapInArrow(
         lambda b: _sets(b, width, percent), "doc_id long, n long, one long, two long, sigs array<bigint>, set array<bigint>, odd array<bigint>"), "sets")
     discard(table, shared)
-    classes = found.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("node"))
+    # a stored table, so that the skew join can split a set that very many documents have
+    classes = written(found.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("node")), "set-classes")
     members = written(found.select("doc_id", "n", "one", "two").join(classes, ["n", "one", "two"], "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node")), "classes")
     firsts = members.where("n > 0 AND doc_id = node").select("node").distinct()

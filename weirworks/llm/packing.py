@@ -25,7 +25,7 @@ from .bpe import Encoder
 WINDOW = 2048
 OPEN = 64
 SLACK = 16
-MERGED = 16
+MERGED = 4
 END = (1).to_bytes(4, "little")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
