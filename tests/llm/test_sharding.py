@@ -37,7 +37,7 @@ def test_a_group_of_a_third_of_the_rows(make, prose):
     rows = shard_documents(make(texts), 10).collect()
     check(rows, 10)
     held = Counter(r.shard for r in rows if r.doc_id % 3 == 0)
-    assert len(held) <= 8 and sum(held.values()) == 200       # 200 rows need four shards of 60 at least; spread by hash they lie on all ten
+    assert sum(held.values()) == 200 and sum(n for _, n in held.most_common(6)) >= 180      # four shards of 60 at least hold them; a hash gives 120
 
 
 def test_empty_table(make):

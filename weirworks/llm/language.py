@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .sampling import bounded, fold
 from .words import pieces
@@ -65,7 +66,7 @@ def _features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-@F.arrow_udf("struct<ids: binary, counts: binary>")
+@F.arrow_udf(T.StructType().add("ids", T.BinaryType()).add("counts", T.BinaryType()))
 def _sparse(texts: pa.Array) -> pa.Array:
     both = _features(texts)
     return pa.StructArray.from_arrays([pa.array([i.astype("<i4").tobytes() for i, _ in both], pa.binary()),

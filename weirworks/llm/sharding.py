@@ -59,23 +59,29 @@ def assign(rows: DataFrame, link: str, shards: int, rounds: int = 8, seed: int =
         F.coalesce("__blocks", F.lit(1)).alias("__blocks"), F.pmod(F.xxhash64("__node"), F.lit(shards)).cast("int").alias("shard")), "shard-start")
     linked, alone = start.where("__hub IS NOT NULL"), start.where("__hub IS NULL")
     for turn in range(rounds):
-        votes = linked.groupBy("__hub", "shard").count()
-        want = votes.groupBy("__hub").agg(F.max_by("shard", F.struct("count", F.xxhash64("__hub", "shard"))).alias("__want"))
-        wished = linked.join(want, "__hub")
-        counted = wished.where("shard <> __want").groupBy("shard", "__want").count().collect()        # at most shards x shards rows
+        load = np.zeros(shards)
+        for r in linked.groupBy("shard").count().collect():                 # at most shards rows
+            load[r[0]] = r[1]
+        full = [F.lit(bool(x)) for x in load >= quota]
+        votes = linked.groupBy("__hub", "shard").count().withColumn("__open", ~F.element_at(F.array(*full), F.col("shard") + 1))
+        order = F.struct("count", F.xxhash64("__hub", "shard"))
+        want = votes.groupBy("__hub").agg(F.max_by("shard", order).alias("__top"), F.max_by("shard", F.when(F.col("__open"), order)).alias("__spare"))
+        # rows on the key's main shard stay; the others go there or, when it is full, to the best shard with room
+        top_full = F.element_at(F.array(*full), F.col("__top") + 1)
+        want = want.select("__hub", "__top", F.when(top_full, F.col("__spare")).otherwise(F.col("__top")).alias("__want"))
+        wished = linked.join(want, "__hub").withColumn("__moves", F.coalesce((F.col("shard") != F.col("__want")) & (F.col("shard") != F.col("__top")), F.lit(False)))
+        counted = wished.where("__moves").groupBy("shard", "__want").count().collect()                # at most shards x shards rows
         if not counted:
             break
-        moves, load = np.zeros((shards, shards)), np.zeros(shards)
+        moves = np.zeros((shards, shards))
         for r in counted:
             moves[r[0], r[1]] = r[2]
-        for r in linked.groupBy("shard").count().collect():                 # at most shards rows
-            load[r[0]] = r[1]
         chance = _admitted(moves, load, quota)
         if (chance * moves).sum() < 1:
             break
         table = F.array(*[F.lit(float(x)) for x in chance.ravel()])
         goes = _share("__hub", F.lit(seed + turn)) < F.element_at(table, F.col("shard") * shards + F.col("__want") + 1)
-        linked = written(wished.select("__node", "__hub", "__blocks", F.when((F.col("shard") != F.col("__want")) & goes, F.col("__want"))
+        linked = written(wished.select("__node", "__hub", "__blocks", F.when(F.col("__moves") & goes, F.col("__want"))
                                        .otherwise(F.col("shard")).alias("shard")), "shard-round")
     state = linked.unionByName(alone)
     placed = _even_out(state, quota.astype(int), total)

@@ -19,6 +19,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirworks.sources.workdir import written
 
@@ -74,8 +75,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 at += len(w) + 1
             continue
         if m["word"]:
-            kind, value = "secret", m["word"]
-            out.append((m.start("word"), m.end("word"), kind, value))
+            value = m["word"]
+            known = re.fullmatch(r"(?=.*\d)[0-9a-fA-F]{32,}", value)
+            out.append((m.start("word"), m.end("word"), "hex" if known else "secret", value.lower() if known else value))
             continue
         kind = next(k for k in ("email", "iban", "secret", "hex", "phone", "ssn", "card", "ip") if m[k])
         if kind == "ip" and any(int(x) > 255 for x in value.split(".")):
@@ -157,7 +159,7 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
         return f"{made}@{host}.example.{top if top in ('com', 'net', 'org') else 'org'}"
     if canonical.startswith("AKIA"):
         return "AKIA" + "".join(_drawn(c, number(i)) for i, c in enumerate(canonical[4:]))
-    if re.fullmatch("[0-9a-f]+", canonical):
+    if kind == "secret" and re.fullmatch("[0-9a-f]*[a-f][0-9a-f]*", canonical):
         made = "".join("0123456789abcdef"[number(i) % 16] for i in range(len(canonical)))
     else:
         made = "".join(_drawn(c, number(i)) for i, c in enumerate(canonical))
@@ -187,14 +189,14 @@ def rewrite(text: str, made: dict[tuple[str, str], str]) -> str:
     return "".join(out) + text[at:]
 
 
-@F.arrow_udf("array<struct<kind: string, canonical: string>>")
+@F.arrow_udf(T.ArrayType(T.StructType().add("kind", T.StringType()).add("canonical", T.StringType())))
 def _found(texts: pa.Array) -> pa.Array:
     shape = pa.list_(pa.struct([("kind", pa.string()), ("canonical", pa.string())]))
     rows = [sorted({(k, c) for _, _, k, c in find(t.as_py() or "")}) for t in texts]
     return pa.array([[{"kind": k, "canonical": c} for k, c in r] for r in rows], shape)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _rewritten(texts: pa.Array, made: pa.Array) -> pa.Array:
     rows = zip(texts.to_pylist(), made.to_pylist(), strict=True)
     return pa.array([t if not m else rewrite(t, {(e["kind"], e["canonical"]): e["made"] for e in m}) for t, m in rows], pa.string())

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirworks.sources.workdir import written
 
@@ -31,7 +32,7 @@ COVERAGE = 0.5
 BLOCK_WORDS = 2_000_000
 
 
-@F.arrow_udf("struct<words: binary, seeds: array<bigint>>")
+@F.arrow_udf(T.StructType().add("words", T.BinaryType()).add("seeds", T.ArrayType(T.LongType())))
 def _item(texts: pa.Array) -> pa.Array:
     rows = []
     for low, high, w in pieces(texts):
@@ -107,7 +108,7 @@ def tiles(item: bytes, words: bytes, least: int = TILE) -> tuple[int, int, int]:
     return covered, count, longest
 
 
-@F.arrow_udf("struct<covered: int, tiles: int, longest: int>")
+@F.arrow_udf(T.StructType().add("covered", T.IntegerType()).add("tiles", T.IntegerType()).add("longest", T.IntegerType()))
 def _tiled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     names = ("covered", "tiles", "longest")
     known: dict[tuple[bytes, bytes], dict[str, int]] = {}       # a passage often comes back; emptied when full
