@@ -56,6 +56,29 @@ def op9_tiling(spark, sf_dir):
     return tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op3_jaccard"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(LOWER)} AS l FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) END AS g FROM w),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s), e AS (SELECT doc_id, unnest(g) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM c JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT doc_id AS doc, doc_id AS reach FROM documents UNION SELECT r.doc, b FROM r JOIN both_ways ON r.reach = a)
+SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id FROM n JOIN (SELECT doc, min(reach) AS c FROM r GROUP BY 1) m ON m.doc = n.doc_id"""
+ORACLES["op7_recompression"] = f"""
+WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS l FROM documents),
+x AS (SELECT doc_id, i, array_to_string(l[i:i + 34], ' ') AS k FROM (SELECT doc_id, l, unnest(range(1, len(l) - 33)) AS i FROM w)),
+h AS (SELECT doc_id, i FROM x WHERE k IN (SELECT k FROM x GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM h),
+a AS (SELECT doc_id, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS j FROM w),
+t AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.j) AS kept, count(*) AS n FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.j = a.j WHERE g.j IS NULL GROUP BY 1)
+SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(len(l) - coalesce(t.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM w LEFT JOIN t ON t.doc_id = w.doc_id"""
+
+
 @query
 def op3_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
