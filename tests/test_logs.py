@@ -62,3 +62,20 @@ def test_hidden_names(spark):
     assert [r.path for r in S.find_files(files, "*").collect()] == [".gitignore", "a/.gitignore", "a/b.c"]
     assert [r.path for r in S.find_files(files, "*", max_depth=0).collect()] == [".gitignore"]
     assert S.find_files(files, "*", cap=2).count() == 2
+
+
+def test_work_folder_must_be_named(monkeypatch, spark):
+    import pytest
+
+    from weirworks.sources import workdir
+    monkeypatch.setattr(workdir, "SETTING", "spark.checkpoint.dir.of.nobody")
+    with pytest.raises(ValueError, match="executors share"):
+        workdir.new_path(spark, "x")
+
+
+def test_discarded_tables_are_gone(spark):
+    from weirworks.sources.workdir import discard, written
+    table = written(spark.range(3), "gone")
+    assert table.count() == 3
+    discard(table)
+    assert not os.path.exists(table.written_path.removeprefix("file:").replace("///", "/"))

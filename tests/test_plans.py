@@ -43,3 +43,20 @@ def test_no_cross_joins(spark, sf_dir):
     for name in sorted(set(QUERIES) - skipped):
         text = plan(QUERIES[name](spark, sf_dir))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_triage_moves_only_prompts_it_can_decide(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("task_id"), "text")
+    answers = docs.select("task_id", F.lit("{}").alias("response"))
+    text = plan(R.route(docs, triage=answers))
+    assert "Union" in text
+
+
+def test_compression_report_shuffles_counts_once(spark, sf_dir):
+    text = plan(QUERIES["compression_report"](spark, sf_dir))
+    assert text.count("Exchange") <= 2 and "Join" not in text
+
+
+def test_packing_reads_tasks_once_per_use(spark, sf_dir):
+    text = plan(QUERIES["known_files"](spark, sf_dir))
+    assert text.count("Scan parquet") <= 4

@@ -123,3 +123,17 @@ def test_fingerprint_ignores_order_and_case(spark):
             digits, h = "0123456789abcdefghijklmnopqrstuvwxyz"[h % 36] + digits, h // 36
         return digits or "0"
     assert a == plain("Write tests for parser") and c == plain("other words")
+
+
+def test_empty_and_null_phrases_mean_the_same_on_both_paths(spark):
+    rows = [(1, 1, "parse", "a"), (2, 1, "", "b"), (2, 2, None, "c"), (3, 1, "crash", "d")]
+    texts = ["parse this", "a crash", "", "none"]
+    for kept in (rows, rows[1:3], rows[2:3], [rows[0], rows[3]], []):
+        rules = spark.createDataFrame(kept, "rule_ord int, phrase_ord int, phrase string, target string")
+        asked = spark.createDataFrame([*enumerate(texts), (9, None)], "task_id bigint, text string")
+        few, many = (R.match_user_rules(asked, rules, "task_id", max_rules=n).select("task_id", "matched_phrase", "rule_ord", "phrase_ord", "target")
+                     for n in (500, 0))
+        got = sorted(map(tuple, few.collect()))
+        assert got == sorted(map(tuple, many.collect()))
+        if kept is rows:
+            assert [r[4] for r in got] == ["a", "b", "b", "b", None]

@@ -236,6 +236,29 @@ class LearnerOptions:
     min_type: int = 10
     min_cell: int = 5
 
+# --- fixed values: texts of routing reasons and learner advice, parts of prompts ---
+EXCEEDS = "exceeds ceiling ("
+PATTERN_MATCHED = 'Pattern matched "'
+TRIAGED = "Triage classified as Level "
+SCORED = "Heuristic score "
+TO_LEVEL = " → Level "
+STAYS_LOCAL = " → local"
+ADJUSTED = ", adjusted to "
+BY_LEARNER = " by learner ("
+TOO_FEW = "Insufficient data ("
+TOO_FEW_OF_TYPE = 'Insufficient data for task type "'
+TOO_FEW_AT_LEVEL = "Insufficient data at level "
+AT_LEVEL = " at level "
+SUCCESS = "% success ("
+SAMPLES = " samples)"
+TASK = "Task: "
+FILE_CONTEXT = "File Context"
+CODE_SNIPPETS = "Code Snippets"
+GENERATE = "Generate "
+CODE_OF = " code:\n"
+SURROUNDING = "\n\nContext (surrounding code):\n"
+FILE_NAMED = "\n\nFile: "
+
 # --- fixed values: reasons for a call that gave no answer ---
 NO_ANSWER = "Ollama request failed"
 NO_RETRY_ANSWER = "Retry Ollama request failed"

@@ -27,6 +27,18 @@ PAIRS_PER_STEP = 1 << 20
 LINE_ENDS = (0x0A, 0x0D, 0x2028, 0x2029)
 
 
+POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> np.ndarray:
+    """Powers of the base from 0 on; the longest table so far is kept."""
+    if not POWERS or len(POWERS[0]) < n:
+        table = np.ones(max(n, 1 << 14), dtype=np.uint64)
+        np.cumprod(np.full(len(table) - 1, BASE, dtype=np.uint64), out=table[1:])
+        POWERS[:] = [table]
+    return POWERS[0]
+
+
 def _periodic_run(line: np.ndarray, start: int, p: int) -> bool:
     """Whether the square at ``start`` grows, left and right, to three periods."""
     back = min(p, start)
@@ -44,11 +56,9 @@ def has_triple(line: np.ndarray, unit: int = dims.REPETITION_UNIT) -> bool:
     if n < 3 * unit:
         return False
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(n + 1, BASE, dtype=np.uint64)) * BASE
+        scale = _powers(n + 1)
         prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(line.astype(np.uint64) * power[:n], out=prefix[1:])
-        scale = np.ones(n + 1, dtype=np.uint64)
-        np.cumprod(np.full(n, BASE, dtype=np.uint64), out=scale[1:])
+        np.cumsum(line.astype(np.uint64) * scale[:n], out=prefix[1:])
         periods = np.arange(unit, n // 3 + 1)
         blocks = n // periods - 1
         step_ends = np.cumsum(blocks)

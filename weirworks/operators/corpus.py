@@ -168,17 +168,17 @@ def render_prompt(packed: DataFrame, text: str = "text") -> DataFrame:
     part = lambda items, title, each: F.when(F.size(items) > 0, F.concat(
         F.lit(f"\n--- {title} ---\n"), F.array_join(F.transform(items, each), "\n")))
     return packed.withColumn("prompt", F.concat_ws(
-        "\n", F.concat(F.lit("Task: "), F.col(text)), part("outlines", "File Context", lambda f: f["outline"]),
-        part("slices", "Code Snippets", snippet)))
+        "\n", F.concat(F.lit(dims.TASK), F.col(text)), part("outlines", dims.FILE_CONTEXT, lambda f: f["outline"]),
+        part("slices", dims.CODE_SNIPPETS, snippet)))
 
 
 def task_prompt(kind: Column, language: Column, description: Column, context: Column, path: Column) -> Column:
     """Prompt of a code task, or of one of the file analysis tasks."""
-    code = F.concat(F.lit("Generate "), language, F.lit(" code:\n"), description,
+    code = F.concat(F.lit(dims.GENERATE), language, F.lit(dims.CODE_OF), description,
                     F.when(F.coalesce(context, F.lit("")) != "",
-                           F.concat(F.lit("\n\nContext (surrounding code):\n"), context)).otherwise(""))
+                           F.concat(F.lit(dims.SURROUNDING), context)).otherwise(""))
     table = F.create_map(*[F.lit(x) for pair in dims.ANALYSIS_PROMPTS.items() for x in pair])
-    return F.when(kind == "code", code).otherwise(F.concat(F.try_element_at(table, kind), F.lit("\n\nFile: "), path))
+    return F.when(kind == "code", code).otherwise(F.concat(F.try_element_at(table, kind), F.lit(dims.FILE_NAMED), path))
 
 
 # --- counts over a tree of files ----------------------------------------------------------

@@ -28,12 +28,12 @@ def advise(cells: DataFrame, total: Column, options: dims.LearnerOptions = dims.
     rate = F.col("success_rate")
     text = lambda c: c.cast("string")
     reason = (F.when(F.col("total_samples") < options.min_records, F.concat(
-                  F.lit("Insufficient data ("), text(F.col("total_samples")), F.lit(f"/{options.min_records} records)")))
+                  F.lit(dims.TOO_FEW), text(F.col("total_samples")), F.lit(f"/{options.min_records} records)")))
               .when(F.col("type_samples") < options.min_type, F.concat(
-                  F.lit('Insufficient data for task type "'), F.col("task_type"), F.lit('"')))
-              .when(n < options.min_cell, F.concat(F.lit("Insufficient data at level "), text(level)))
-              .otherwise(F.concat(F.col("task_type"), F.lit(" at level "), text(level), F.lit(": "),
-                                  to_fixed(rate * F.lit(100.0), 0), F.lit("% success ("), text(n), F.lit(" samples)"))))
+                  F.lit(dims.TOO_FEW_OF_TYPE), F.col("task_type"), F.lit('"')))
+              .when(n < options.min_cell, F.concat(F.lit(dims.TOO_FEW_AT_LEVEL), text(level)))
+              .otherwise(F.concat(F.col("task_type"), F.lit(dims.AT_LEVEL), text(level), F.lit(": "),
+                                  to_fixed(rate * F.lit(100.0), 0), F.lit(dims.SUCCESS), text(n), F.lit(dims.SAMPLES))))
     samples = (F.when(F.col("total_samples") < options.min_records, F.col("total_samples"))
                .when(F.col("type_samples") < options.min_type, F.col("type_samples")).otherwise(n))
     return staged.select(

@@ -220,8 +220,12 @@ def classify(prompts: DataFrame, text: str = "text", triage: DataFrame | None =
     out = _signals_of_lowered(_match_lowered(prompts.withColumn("_lower", F.lower(text))))
     if triage is not None:
         parsed = parse_triage(triage).select(key, "triage_level", "triage_confidence")
+        answers = ["triage_level", "triage_confidence"]
         unheard = F.coalesce(F.col("triage_level"), F.lit(3)), F.coalesce(F.col("triage_confidence"), F.lit(0.3))
-        out = out.join(parsed, key, "left").withColumns(dict(zip(["triage_level", "triage_confidence"], unheard)))
+        # only prompts whose answer can count cross the join; the text of all others stays where it was read
+        asked = F.coalesce(F.col("rule_ord").isNull() & S.ambiguous(F.col("score")), F.lit(False))
+        heard = out.where(asked).join(parsed, key, "left").withColumns(dict(zip(answers, unheard)))
+        out = out.where(~asked).withColumns({c: F.lit(None).cast(heard.schema[c].dataType) for c in answers}).unionByName(heard)
     if learner is not None:
         out = learned_adjustment(out, learner)
     return out
@@ -256,22 +260,22 @@ def decide(classified: DataFrame, level: Column | int = dims.DEFAULT_LEVEL) -> D
                     .otherwise(F.col("rule_route")))
               .otherwise(F.when(complexity == 0, "no_llm").otherwise("local")))
     text_of = lambda n: n.cast("string")
-    exceeds = F.concat(F.lit("exceeds ceiling ("), text_of(ceiling), F.lit(")"))
-    pattern = F.concat(F.lit('Pattern matched "'), F.col("matched_phrase"), F.lit('"'))
-    triage = F.concat(F.lit("Triage classified as Level "), text_of(complexity))
-    scored = F.concat(F.lit("Heuristic score "), to_fixed(F.col("score"), 2), F.lit(" → Level "),
+    exceeds = F.concat(F.lit(dims.EXCEEDS), text_of(ceiling), F.lit(")"))
+    pattern = F.concat(F.lit(dims.PATTERN_MATCHED), F.col("matched_phrase"), F.lit('"'))
+    triage = F.concat(F.lit(dims.TRIAGED), text_of(complexity))
+    scored = F.concat(F.lit(dims.SCORED), to_fixed(F.col("score"), 2), F.lit(dims.TO_LEVEL),
                       text_of(F.col("score_level")))
     advised = F.coalesce(opt("learner_samples", "bigint"), F.lit(0)) > 0
-    learned = F.concat(F.lit(", adjusted to "), text_of(complexity), F.lit(" by learner ("),
+    learned = F.concat(F.lit(dims.ADJUSTED), text_of(complexity), F.lit(dims.BY_LEARNER),
                        opt("learner_reason", "string"), F.lit(")"))
     heuristic = F.concat(scored, F.when(advised, learned).otherwise(F.lit("")))
     reason = (F.when(layer == "level_gate", level_gate(lvl)["reason"])
               .when(layer == "1", F.when(over, F.concat(pattern, F.lit(" (Level "), text_of(complexity), F.lit(") "), exceeds))
                     .otherwise(F.concat(pattern, F.lit(" → "), target)))
               .when(layer == "3", F.when(over, F.concat(triage, F.lit(", "), exceeds))
-                    .otherwise(F.concat(triage, F.lit(" → local"))))
+                    .otherwise(F.concat(triage, F.lit(dims.STAYS_LOCAL))))
               .otherwise(F.when(over, F.concat(heuristic, F.lit(", "), exceeds))
-                         .otherwise(F.concat(heuristic, F.lit(" → local")))))
+                         .otherwise(F.concat(heuristic, F.lit(dims.STAYS_LOCAL)))))
     return staged.withColumns({
         "route": target,
         "delegation_level": lvl,
