@@ -79,3 +79,11 @@ def test_discarded_tables_are_gone(spark):
     assert table.count() == 3
     discard(table)
     assert not os.path.exists(table.written_path.removeprefix("file:").replace("///", "/"))
+
+
+def test_scratch_tables_go_at_the_end(spark, tmp_path):
+    from weirworks.sources.workdir import scratch, written
+    with scratch(spark):
+        table = written(spark.range(3), "inside")
+        table.write.parquet(str(tmp_path / "kept"))
+    assert not os.path.exists(table.written_path.removeprefix("file:").replace("///", "/")) and spark.read.parquet(str(tmp_path / "kept")).count() == 3

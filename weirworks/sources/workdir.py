@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_SCOPE: ContextVar[list[str] | None] = ContextVar("tables of the scope", default=None)
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -27,9 +31,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
+    if _SCOPE.get() is not None:
+        _SCOPE.get().append(path)
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``written`` makes inside, at the end: what is returned from here must be stored before."""
+    made: list[str] = []
+    token = _SCOPE.set(made)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in made:
+            remove_folder(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``written`` gave; nothing may read them any more."""
     for table in tables:
