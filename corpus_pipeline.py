@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weirworks.llm import jaccard, packing, surrogates, tiling, toxicity
 from weirworks.llm.sampling import fold
-from weirworks.sources.workdir import written
+from weirworks.sources.workdir import new_path, remove_folder, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -58,7 +58,14 @@ ORACLE_SQL = None      # a trained classifier, tilings and a tokenizer are not S
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each one's intermediate tables, and the result before, go once its own is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = new_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs
