@@ -61,6 +61,13 @@ def slices(table: DataFrame) -> int:
     return max(1, -(-(table.agg(F.sum("bytes")).first()[0] or 0) // SLICE_BYTES))
 
 
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time: a batch of text is megabytes, so no second one is held as Python objects."""
+    for rows in batches:
+        for i in range(rows.num_rows):
+            yield rows.slice(i, 1).to_pylist()[0]
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Byte planes, most of them zero, so that they compress."""
     return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
@@ -104,18 +111,17 @@ Answer = Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, list]]
 
 def _asked(batches: Iterator[pa.RecordBatch], ask: Ask, count: int) -> Iterator[pa.RecordBatch]:
     edges = np.array([(k << 64) // count for k in range(1, count)], U)
-    for rows in batches:
-        for row in rows.to_pylist():
-            number, at, kind, payload = [], [], [], []
-            for stream, (keys, values) in enumerate(ask(row)):
-                cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-                for k in np.flatnonzero(np.diff(cuts)):
-                    number.append(row["batch"])
-                    at.append(int(k))
-                    kind.append(stream)
-                    payload.append(encode(keys[cuts[k]:cuts[k + 1]], values[cuts[k]:cuts[k + 1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(at, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())],
-                                             ["batch", "slice", "stream", "keys"])
+    for row in each_row(batches):
+        number, at, kind, payload = [], [], [], []
+        for stream, (keys, values) in enumerate(ask(row)):
+            cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+            for k in np.flatnonzero(np.diff(cuts)):
+                number.append(row["batch"])
+                at.append(int(k))
+                kind.append(stream)
+                payload.append(encode(keys[cuts[k]:cuts[k + 1]], values[cuts[k]:cuts[k + 1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(at, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())],
+                                         ["batch", "slice", "stream", "keys"])
 
 
 def _answered(rows: pd.DataFrame, answer: Answer, totals: int) -> pd.DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weirworks.sources.workdir import discard, written
 
-from .exchange import asked, batched, joined, several, unpack_rows, values
+from .exchange import asked, batched, each_row, joined, several, unpack_rows, values
 from .graph import components
 from .words import U, grams, mix, pieces, signed
 
@@ -144,18 +144,17 @@ def _ask(width: int, percent: int):
 def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """doc_id, n, two numbers that name the set; for carriers the signatures that others share, and the set if any is."""
     signed_number = lambda x: x - (1 << 64) if x >> 63 else x
-    for rows in batches:
-        for row in rows.to_pylist():
-            carriers = list(_carriers(row, width, Bands(percent)))
-            keys, again = _distinct(carriers)[0], values(row, 0, 1)[:, 0].astype(bool)
-            columns: list[list] = [[] for _ in range(7)]
-            for doc, n, one, two, s, sigs in carriers:
-                shared = sigs[again[np.searchsorted(keys, sigs)]] if sigs is not None else np.zeros(0, U)
-                some = len(shared) > 0
-                for column, value in zip(columns, (doc, n, signed_number(one), signed_number(two), signed(np.unique(shared)) if some else None, signed(s) if some else None, odd_sketch(s) if some else None), strict=True):
-                    column.append(value)
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n", "one", "two", "sigs", "set", "odd"])
+    for row in each_row(batches):
+        carriers = list(_carriers(row, width, Bands(percent)))
+        keys, again = _distinct(carriers)[0], values(row, 0, 1)[:, 0].astype(bool)
+        columns: list[list] = [[] for _ in range(7)]
+        for doc, n, one, two, s, sigs in carriers:
+            shared = sigs[again[np.searchsorted(keys, sigs)]] if sigs is not None else np.zeros(0, U)
+            some = len(shared) > 0
+            for column, value in zip(columns, (doc, n, signed_number(one), signed_number(two), signed(np.unique(shared)) if some else None, signed(s) if some else None, odd_sketch(s) if some else None), strict=True):
+                column.append(value)
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n", "one", "two", "sigs", "set", "odd"])
 
 
 def _deletions(column: str, percent: int):

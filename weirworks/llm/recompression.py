@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import asked, batched, joined, several, unpack_rows, values
+from .exchange import asked, batched, each_row, joined, several, unpack_rows, values
 from .words import BASE, Powers, U, Words, mix, pieces
 
 WINDOW = 35
@@ -126,24 +126,23 @@ def _ask_windows(row: dict):
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        for row in rows.to_pylist():
-            docs = unpack_rows(row["docs"])
-            again, keys = values(row, 1, 1)[:, 0].astype(bool), _ask_windows(row)[1][0]
-            total, gone, digest = [], [], []
-            for low, high, w, first, sequence in _open_windows(row):
-                hit = first[again[np.searchsorted(keys, sequence)]] if len(first) else first
-                change = np.zeros(len(w.hash) + 1, np.int64)
-                np.add.at(change, hit, 1)
-                np.add.at(change, hit + WINDOW, -1)
-                kept = np.cumsum(change[:-1]) == 0
-                for i in range(high - low):
-                    own = kept[w.ptr[i]:w.ptr[i + 1]]
-                    left = w.data[w.edges[i]:w.edges[i + 1]].tobytes().split()
-                    total.append(len(own))
-                    gone.append(int(len(own) - own.sum()))
-                    digest.append(hashlib.sha256(b" ".join(compress(left, own.tolist()))).hexdigest())
-            yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    for row in each_row(batches):
+        docs = unpack_rows(row["docs"])
+        again, keys = values(row, 1, 1)[:, 0].astype(bool), _ask_windows(row)[1][0]
+        total, gone, digest = [], [], []
+        for low, high, w, first, sequence in _open_windows(row):
+            hit = first[again[np.searchsorted(keys, sequence)]] if len(first) else first
+            change = np.zeros(len(w.hash) + 1, np.int64)
+            np.add.at(change, hit, 1)
+            np.add.at(change, hit + WINDOW, -1)
+            kept = np.cumsum(change[:-1]) == 0
+            for i in range(high - low):
+                own = kept[w.ptr[i]:w.ptr[i + 1]]
+                left = w.data[w.edges[i]:w.edges[i + 1]].tobytes().split()
+                total.append(len(own))
+                gone.append(int(len(own) - own.sum()))
+                digest.append(hashlib.sha256(b" ".join(compress(left, own.tolist()))).hexdigest())
+        yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
