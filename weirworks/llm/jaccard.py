@@ -24,9 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirworks.operators.joins import fits_broadcast
 from weirworks.sources.workdir import discard, written
 
 from .exchange import asked, batched, each_row, joined, several, unpack_rows, values
@@ -34,7 +35,7 @@ from .graph import components
 from .words import U, grams, mix, pieces, signed
 
 RATIO = 1.3       # of the largest to the smallest size of a band
-SKETCH = 512      # bits of a parity sketch
+SKETCH = 512      # bits of a parity sketch at least
 
 
 class Bands:
@@ -104,13 +105,25 @@ def neighbourhoods(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(whole), np.concatenate(less)
 
 
-def odd_sketch(s: np.ndarray) -> np.ndarray:
-    """The parity of the shingles that fall on each of ``SKETCH`` bits, as longs: two sets differ in at least as many
-    shingles as their sketches differ in bits."""
-    bits = np.bincount((mix(s ^ U(0x0DD)) % U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+def odd_sketch(s: np.ndarray, percent: int) -> np.ndarray:
+    """The parity of the shingles that fall on each bit, as longs: two sets differ in at least as many shingles as their
+    sketches differ in bits. A sketch has four bits for each shingle in which linked sets may differ, ``SKETCH`` at least,
+    rounded up to a power of two: halves laid over each other make the sketch of half the bits."""
+    size = SKETCH
+    while size < 8 * len(s) * (100 - percent) // (100 + percent):
+        size *= 2
+    bits = np.bincount((mix(s ^ U(0x0DD)) & U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _close(x: str, y: str, n: Column, percent: int) -> Column:
+    """Whether two sketches leave it open that their sets, of n shingles together, are linked."""
+    k = F.least(F.size(x), F.size(y))
+    half = lambda v: F.when(F.size(v) == k, F.col(v)).otherwise(F.zip_with(F.slice(v, F.lit(1), k), F.slice(v, k + 1, k), lambda a, b: a.bitwiseXOR(b)))
+    bits = F.aggregate(F.zip_with(half(x), half(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, b: total + b)
+    return bits * (100 + percent) <= n * (100 - percent)
+
+
 def _carriers(row: dict, width: int, bands: Bands) -> Iterator[tuple[int, int, int, int, np.ndarray, np.ndarray | None]]:
     """(doc_id, size, two numbers of the set, set, signatures) of a batch's texts; of equal sets only the one with the
     smallest id has signatures."""
@@ -142,19 +155,19 @@ def _ask(width: int, percent: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, two numbers that name the set; for carriers the signatures that others share, and the set if any is."""
+    """doc_id, n, two numbers that name the set; for carriers the signatures that others share, and a sketch if any is."""
     signed_number = lambda x: x - (1 << 64) if x >> 63 else x
     for row in each_row(batches):
         carriers = list(_carriers(row, width, Bands(percent)))
         keys, again = _distinct(carriers)[0], values(row, 0, 1)[:, 0].astype(bool)
-        columns: list[list] = [[] for _ in range(7)]
+        columns: list[list] = [[] for _ in range(6)]
         for doc, n, one, two, s, sigs in carriers:
             shared = sigs[again[np.searchsorted(keys, sigs)]] if sigs is not None else np.zeros(0, U)
             some = len(shared) > 0
-            for column, value in zip(columns, (doc, n, signed_number(one), signed_number(two), signed(np.unique(shared)) if some else None, signed(s) if some else None, odd_sketch(s) if some else None), strict=True):
+            for column, value in zip(columns, (doc, n, signed_number(one), signed_number(two), signed(np.unique(shared)) if some else None, odd_sketch(s, percent) if some else None), strict=True):
                 column.append(value)
-        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n", "one", "two", "sigs", "set", "odd"])
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n", "one", "two", "sigs", "odd"])
 
 
 def _deletions(column: str, percent: int):
@@ -166,10 +179,42 @@ def _deletions(column: str, percent: int):
     return made(column)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link: 100 * intersection >= percent * union on the whole sets."""
-    slim = sets.select("node", "set")
-    both = pairs.join(slim.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(slim.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+def _packed(column: str, width: int) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def packed(column: pa.Array) -> pa.Array:
+        out = []
+        for low, high, w in pieces(column):
+            out += [signed(shingles(w.hash[w.ptr[i]:w.ptr[i + 1]], width)) for i in range(high - low)]
+        return pa.array(out, pa.list_(pa.int64()))
+    return packed(column)
+
+
+def _set_rows(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, set) of some documents, from their whole texts. A short list of ids goes to the texts; with a longer one
+    both sides are shuffled."""
+    wanted = nodes.select(F.col("node").alias("doc_id")).distinct()
+    wanted = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
+    return texts.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), _packed("text", width).alias("set"))
+
+
+def _folded(odd: Column) -> Column:
+    """A sketch laid over itself down to ``SKETCH`` bits."""
+    longs = SKETCH // 64
+    part = lambda k: F.aggregate(F.filter(odd, lambda _, i: i % longs == k), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
+    return F.when(F.size(odd) == longs, odd).otherwise(F.array(*[part(k) for k in range(longs)]))
+
+
+def _plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose sketches leave it open that they are linked."""
+    side = lambda x: marks.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("odd").alias("odd" + x))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(_close("odda", "oddb", F.col("na") + F.col("nb"), percent)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The stored pairs (a, b) of classes that link: 100 * intersection >= percent * union on the whole sets."""
+    sets = written(_set_rows(texts, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), width), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("same"))
     return both.where((100 + percent) * F.col("same") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
@@ -179,10 +224,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, margi
 
     ``margin`` is what a row of the one-deletion index costs besides its shingles; it moves work, never results.
     """
-    table = batched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    table = batched(texts)
     shared = asked(table, _ask(width, percent), several, 1, 0)
     found = written(joined(table, shared).select("docs", "answers").mapInArrow(
-        lambda b: _sets(b, width, percent), "doc_id long, n long, one long, two long, sigs array<bigint>, set array<bigint>, odd array<bigint>"), "sets")
+        lambda b: _sets(b, width, percent), "doc_id long, n long, one long, two long, sigs array<bigint>, odd array<bigint>"), "sets")
     discard(table, shared)
     # a stored table, so that the skew join can split a set that very many documents have
     classes = written(found.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc_id").alias("node")), "set-classes")
@@ -196,12 +242,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, margi
     centres = held.join(weight, "node").groupBy("sig").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("b"))
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     sizes = held.select(F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    stars = written(held.join(centres, "sig").where("node <> b").select(F.col("node").alias("a"), "n", "b").distinct().join(sizes, "b").where(fits(F.col("n"), F.col("nb"))).select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    sets = found.where("set IS NOT NULL").select(F.col("doc_id").alias("node"), "set", "odd").join(held.select("node").distinct(), "node", "left_semi")
-    links = written(_verified(stars, sets, percent), "star-links")
+    marks = found.where("odd IS NOT NULL").select(F.col("doc_id").alias("node"), "n", "odd").join(held.select("node").distinct(), "node", "left_semi")
+    stars = written(_plausible(held.join(centres, "sig").where("node <> b").select(F.col("node").alias("a"), "n", "b").distinct().join(sizes, "b").where(fits(F.col("n"), F.col("nb"))).select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), marks, percent), "stars")
+    links = written(_verified(stars, texts, width, percent), "star-links")
     closed = written(components(links), "star-components")
-    links = links.unionByName(_open_links(held, closed, stars, sets, percent, margin, fits))
+    links = links.unionByName(_open_links(held, closed, stars, marks, texts, width, percent, margin, fits))
     final = components(written(links, "all-links"))
     out = members.join(final, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
@@ -219,23 +265,27 @@ def _cross(rows: DataFrame, percent: int, fits) -> DataFrame:
     are met by the others only, so a large group that is closed already is not paired with itself; pairs whose parity
     sketches show that they differ too much to be linked do not leave the join."""
     side = lambda x, d: d.select("sig", *[F.col(c).alias(c + x) for c in ("node", "n", "label", "whole", "odd")])
-    bits = sum((F.bit_count(F.col("oddx")[k].bitwiseXOR(F.col("oddy")[k])) for k in range(1, SKETCH // 64)), F.bit_count(F.col("oddx")[0].bitwiseXOR(F.col("oddy")[0])))
-    close = bits * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
+    first, *rest = [F.bit_count(F.col("oddx")[k].bitwiseXOR(F.col("oddy")[k])) for k in range(SKETCH // 64)]
+    close = sum(rest, first) * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
     met = side("x", rows.where("label <> top")).join(side("y", rows), "sig")
     met = met.where((F.col("labelx") != F.col("labely")) & (F.col("wholex") | F.col("wholey")) & fits(F.col("nx"), F.col("ny")) & close)
     return met.select(F.greatest("nodex", "nodey").alias("a"), F.least("nodex", "nodey").alias("b")).distinct()
 
 
-def _open_links(held: DataFrame, closed: DataFrame, stars: DataFrame, sets: DataFrame, percent: int, margin: int, fits) -> DataFrame:
+def _open_links(held: DataFrame, closed: DataFrame, stars: DataFrame, marks: DataFrame, texts: DataFrame, width: int, percent: int, margin: int,
+                fits) -> DataFrame:
     """Links between classes of one segment that the stars left in different components."""
-    labelled = held.join(closed, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("label"), F.lit(True).alias("whole"))
+    # of a segment with two classes, the star was the only pair
+    labelled = held.where("size > 2").join(closed, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("label"), F.lit(True).alias("whole"))
     # pairing a segment costs outside x rows, the one-deletion neighbourhoods of its members about 2 x mean + margin a row
     waiting = labelled.join(_tops(labelled).withColumn("dear", F.col("outside") > 2 * F.col("mean") + margin), "sig")
-    waiting = written(waiting.join(sets.select("node", "odd"), "node"), "open-segments")
+    small = marks.select("node", _folded(F.col("odd")).alias("odd"))
+    waiting = written(waiting.join(small, "node"), "open-segments")
     cheap = _cross(waiting.where("NOT dear"), percent, fits)
     again = waiting.where("dear").groupBy("node").agg(F.first("n").alias("n"), F.min("label").alias("label"))
-    again = again.join(sets, "node").select("node", "n", "label", "odd", _deletions("set", percent).alias("x"))
+    again = again.join(_set_rows(texts, again, width), "node").select("node", "n", "label", _deletions("set", percent).alias("x"))
     whole, less = (again.select(F.explode("x." + k).alias("sig"), "node", "n", "label", F.lit(k == "whole").alias("whole")).distinct() for k in ("whole", "less"))
     second = written(whole.unionByName(less), "neighbourhoods")
-    rare = _cross(second.join(_tops(second), "sig").join(again.select("node", "odd"), "node"), percent, fits)
-    return _verified(cheap.unionByName(rare).distinct().join(stars, ["a", "b"], "left_anti"), sets, percent)
+    rare = _cross(second.join(_tops(second), "sig").join(small, "node"), percent, fits)
+    pairs = written(_plausible(cheap.unionByName(rare).distinct().join(stars, ["a", "b"], "left_anti"), marks, percent), "open-pairs")
+    return _verified(pairs, texts, width, percent)
