@@ -173,7 +173,8 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterat
 def _deletions(column: str, percent: int):
     @F.arrow_udf("struct<whole: array<bigint>, less: array<bigint>>")
     def made(sets: pa.Array) -> pa.Array:
-        rows = [neighbourhoods(np.array(s, np.int64).view(U), Bands(percent)) for s in sets.to_pylist()]
+        edges, numbers = sets.offsets.to_numpy(), sets.values.to_numpy().view(U)
+        rows = [neighbourhoods(numbers[a:b], Bands(percent)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         kind = pa.list_(pa.int64())
         return pa.StructArray.from_arrays([pa.array([signed(a) for a, _ in rows], kind), pa.array([signed(b) for _, b in rows], kind)], ["whole", "less"])
     return made(column)
@@ -284,8 +285,9 @@ def _open_links(held: DataFrame, closed: DataFrame, stars: DataFrame, marks: Dat
     cheap = _cross(waiting.where("NOT dear"), percent, fits)
     again = waiting.where("dear").groupBy("node").agg(F.first("n").alias("n"), F.min("label").alias("label"))
     again = again.join(_set_rows(texts, again, width), "node").select("node", "n", "label", _deletions("set", percent).alias("x"))
-    whole, less = (again.select(F.explode("x." + k).alias("sig"), "node", "n", "label", F.lit(k == "whole").alias("whole")).distinct() for k in ("whole", "less"))
-    second = written(whole.unionByName(less), "neighbourhoods")
+    entry = lambda k: F.transform("x." + k, lambda sig: F.struct(sig.alias("sig"), F.lit(k == "whole").alias("whole")))
+    second = again.select("node", "n", "label", F.explode(F.concat(entry("whole"), entry("less"))).alias("e"))
+    second = written(second.select("e.sig", "node", "n", "label", "e.whole").distinct(), "neighbourhoods")
     rare = _cross(second.join(_tops(second), "sig").join(small, "node"), percent, fits)
     pairs = written(_plausible(cheap.unionByName(rare).distinct().join(stars, ["a", "b"], "left_anti"), marks, percent), "open-pairs")
     return _verified(pairs, texts, width, percent)
