@@ -70,3 +70,47 @@ def test_null_ids(spark):
     df = spark.createDataFrame([(None, "x@y.example.com"), (1, None)], "doc_id bigint, text string")
     rows = S.replace_entities(df, KEY).orderBy(F.col("doc_id").asc_nulls_first()).collect()
     assert rows[0].text != "x@y.example.com" and rows[0].text.endswith(".example.com") and rows[1].text is None
+
+
+REAL = [
+    ("call +14155553824 now", "phone", r"call \+1\d{10} now", "4155553824"),
+    ("call +44 20 7946 0958.", "phone", r"call \+44 \d\d \d{4} \d{4}\.", "7946"),
+    ("call +44 (0)20 7946 0958.", "phone", r"call \+44 \(0\)\d\d \d{4} \d{4}\.", "7946"),
+    ("tel +33 1 42 68 53 00, ok", "phone", r"tel \+33 \d \d\d \d\d \d\d \d\d, ok", "42 68 53"),
+    ("tel +49 170 1234567", "phone", r"tel \+49 \d{3} \d{7}", "1234567"),
+    ("tel +1 415 555 3824 12 times", "phone", r"tel \+1 \d{3} \d{3} \d{4} 12 times", "3824"),
+    ("access_token=abcdef1x y", "secret", r"access_token=\w{8} y", "abcdef1x"),
+    ("client_secret='Zq 81#x' y", "secret", r"client_secret='\w\w \w\w#\w' y", "81#x"),
+    ('"x-api-key": "k9@z%q*w#v" y', "secret", r'"x-api-key": "\w\w@\w%\w\*\w#\w" y', "z%q"),
+    ("DB_PASSWORD=p@ssw0rd#9*k%z more", "secret", r"DB_PASSWORD=\w@\w{6}#\w\*\w%\w more", "ssw0rd"),
+    ("accessToken = abc123xyz;", "secret", r"accessToken = \w{9};", "abc123xyz"),
+    ("AWS_SECRET_ACCESS_KEY: ab/cd+12", "secret", r"AWS_SECRET_ACCESS_KEY: \w\w/\w\w\+\d\d", "ab/cd"),
+    ("ip:2001:0db8:85a3::8a2e:370:7334: up", "ip6", r"ip:2[0-9a-f]{3}:0[0-9a-f]{3}:[0-9a-f]{4}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}: up", "8a2e"),
+    ("from [FE80::12AB%eth0]", "ip6", r"from \[FE80::[0-9A-F]{4}%eth0\]", "12AB"),
+    ("at 2001:db8:1:2:3:4:5:6.", "ip6", r"at (2[0-9a-f]{3}):([0-9a-f]{3}):([0-9a-f]:){5}[0-9a-f]\.", "2001:db8"),
+    ("at dead:beef::cafe", "ip6", r"at [0-9a-f]{4}:[0-9a-f]{4}::[0-9a-f]{4}", "beef::cafe"),
+]
+
+
+def test_common_formats(spark):
+    rows = [(i, text) for i, (text, *_) in enumerate(REAL)]
+    out = {r.doc_id: r.text for r in S.replace_entities(spark.createDataFrame(rows, "doc_id bigint, text string"), KEY).collect()}
+    for i, (text, kind, want, gone) in enumerate(REAL):
+        assert [k for _, _, k, _ in S.find(text)] == [kind], text
+        assert re.fullmatch(want, out[i]) and gone not in out[i], (text, out[i])
+
+
+def test_one_number_in_two_spellings():
+    texts = ["+14155553824", "+1 (415) 555-3824", "+1-415-555-3824"]
+    assert len({S.find(t)[0][2:] for t in texts}) == 1
+    assert S.find("+44 (0)20 7946 0958")[0][2:] == S.find("+442079460958")[0][2:]
+    assert S.find("2001:DB8:0:0::1")[0][2:] == S.find("2001:0db8::0001")[0][2:]
+
+
+def test_code_is_no_address(spark):
+    for text in ("a::b and std::dead", "x[::2] z[::-1]", "at 12:30:45", "00:1a:2b:3c:4d:5e", "password: '***'", "see ::1"):
+        assert S.find(text) == []
+    rows = [("ip6", f"{'fe80':0<31}{i:x}") for i in range(1, 16)]
+    made = S.distinct_surrogates(spark.createDataFrame(rows, "kind string, canonical string"), KEY).collect()
+    assert len({r.made for r in made}) == 15 and not {r.made for r in made} & {c for _, c in rows}
+    assert S._styled("fe80::1", "ip6", "fe80" + "0" * 24 + "3fa2") == "fe80::3fa2"

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -38,30 +39,54 @@ GIVEN = {
 SYLLABLES = {"latin": "bar bel dor fen gar hol kam lin mor nel per ros sten tal ver wal".split(),
              "cyrillic": "бар вел дор гор кам лин мор нел пер рос тал".split()}
 
+# Country codes of two digits; +1 and +7 have one, all others three.
+CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
 _TITLE = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
-ENTITY = re.compile(rf"""
-  (?P<email>[\w.%+-]*\w@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{{2,}})
-| (?P<iban>(?<!\w)[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}(?!\w))
-| (?P<secret>(?<!\w)AKIA[0-9A-Z]{{16}}(?!\w))
-| (?P<hex>(?<!\w)(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{{32,}}(?!\w))
-| (?:(?<!\w)(?i:password|passwd|pwd|secret|token|api_?key)\s?[=:]\s?["']?(?P<word>[\w+/.$!-]*\w))
-| (?P<phone>(?<![\w+])(?:(?P<cc>\+\d{{1,3}})[ .-]?)?(?:\(\d{{3}}\)[ .-]?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}(?!\d))
-| (?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
-| (?P<card>(?<![\w.])\d(?:[ -]?\d){{12,18}}(?!\w))
-| (?P<ip>(?<![\w.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?!\w|\.\d))
-| (?:(?<!\w)(?P<title>{_TITLE})\.?\ (?P<name>[^\W\d_]\w+(?:\ [^\W\d_]\w+)?))
-""", re.X)
-TRIGGER = rf"[@0-9]|(?i:password|passwd|pwd|secret|token|api_?key)\s?[=:]|\b(?:{_TITLE})\.? "
+_KEYWORD = "password|passwd|pwd|secret|token|api[_-]?key|(?:access|secret|private)[_-]?key"
+_GAP = r"[\ \u00a0\u202f.()/\u2010\u2011-]{0,3}"      # between the digits of an international number
+_MAIL = r"(?P<email>[\w.%+-]*\w@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
+_REST = rf"""
+  (?:(?<![^\W_])|(?=[A-Z])(?<=[a-z]))(?=[apstAPSTſ])(?i:{_KEYWORD})["']?(?:[^\S\n]*|\s)[=:](?:[^\S\n]*|\s)
+     (?:"(?P<double>(?:\\.|[^"\\\n])+)"|'(?P<single>(?:\\.|[^'\\\n]|'(?=\w))+)'(?!\w)|["']?(?P<word>[^\s"'`,;&<>()\[\]{{}}]*\w))
+| (?<!\w)(?:
+    (?=[A-Z])(?:(?P<iban>[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}(?!\w)) | (?P<secret>AKIA[0-9A-Z]{{16}}(?!\w)))
+  | (?P<hex>(?=[0-9a-fA-F]{{32}})(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{{32,}}(?!\w))
+  | (?=[+\d(])(?<!\+)(?:
+      (?P<world>\+(?:1(?:{_GAP}\d){{10}}|[1-9]\d{{9,14}}|[1-9](?:{_GAP}\d){{6,14}})(?!\d))
+    | (?P<phone>(?:(?P<cc>\+\d{{1,3}})[ .-]?)?(?:\(\d{{3}}\)[ .-]?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}(?!\d)))
+  | (?=\d)(?:
+      (?P<ssn>(?<!-)\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
+    | (?P<card>(?<!\.)\d(?:[ -]?\d){{12,18}}(?!\w))
+    | (?P<ip>(?<!\.)(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?!\w|\.\d)))
+  | (?=[0-9a-fA-F:])(?P<ip6>(?:(?<!\.)[0-9a-fA-F]{{1,4}}:(?:(?:[0-9a-fA-F]{{1,4}}:){{6}}[0-9a-fA-F]{{1,4}}|(?:[0-9a-fA-F]{{1,4}}:){{0,6}}:(?:[0-9a-fA-F]{{1,4}}(?::[0-9a-fA-F]{{1,4}}){{0,6}})?)
+      |(?<![.:])::[0-9a-fA-F]{{1,4}}(?::[0-9a-fA-F]{{1,4}}){{0,6}})(?!\w|:[\w:]|\.\d))
+  | (?=[{"".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))}])(?P<title>{_TITLE})\.?\ (?P<name>[^\W\d_]\w+(?:\ [^\W\d_]\w+)?))
+"""
+ENTITY = re.compile(f"{_MAIL}|{_REST}", re.X)
+NO_MAIL = re.compile(f"(?P<email>(?!))|{_REST}", re.X)      # the same for texts without @, in less time
+TRIGGER = rf"[@0-9]|::|(?::[a-fA-F]{{1,4}}){{7}}|(?i:{_KEYWORD})[\"']?\s*[=:]|\b(?:{_TITLE})\.? "
 
 
 def _script(text: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in text) else "latin"
 
 
+def _address(text: str) -> str | None:
+    """The 32 hex digits of an IPv6 address; none for one that is invalid, below ::1:0 or maybe a scope of code (a::b)."""
+    try:
+        value = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    if int(value) >> 16 == 0 or not any(c.isdigit() for c in text) and len([x for x in text.split(":") if x]) < 3:
+        return None
+    return value.exploded.replace(":", "")
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities, left to right, none overlapping."""
     out = []
-    for m in ENTITY.finditer(text):
+    for m in (ENTITY if "@" in text else NO_MAIL).finditer(text):
         kind, value = m.lastgroup, m.group()
         if m["name"]:
             words, at = m["name"].split(" "), m.start("name")
@@ -74,12 +99,24 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 out.append((at, at + len(w), kind, w.lower()))
                 at += len(w) + 1
             continue
-        if m["word"]:
-            value = m["word"]
+        name = next((k for k in ("word", "double", "single") if m[k]), None)
+        if name:
+            value = m[name]
+            if not any(c.isalnum() for c in value):
+                continue
             known = re.fullmatch(r"(?=.*\d)[0-9a-fA-F]{32,}", value)
-            out.append((m.start("word"), m.end("word"), "hex" if known else "secret", value.lower() if known else value))
+            out.append((m.start(name), m.end(name), "hex" if known else "secret", value.lower() if known else value))
+            continue
+        kind = next(k for k in ("email", "iban", "secret", "hex", "world", "phone", "ssn", "card", "ip", "ip6") if m[k])
+        if kind == "ip6":
+            if canonical := _address(value):
+                out.append((m.start(), m.end(), kind, canonical))
+            continue
+        if kind == "world":                 # the national prefix in brackets is not part of the number
+            digits = re.sub(r"\D", "", value.replace("(0)", ""))
+            code = 1 if digits[0] in "17" else 2 if digits[:2] in CODES else 3
+            out.append((m.start(), m.end(), "phone", f"+{digits[:code]}:{digits[code:]}"))
             continue
-        kind = next(k for k in ("email", "iban", "secret", "hex", "phone", "ssn", "card", "ip") if m[k])
         if kind == "ip" and any(int(x) > 255 for x in value.split(".")):
             continue
         digits = re.sub(r"\D", "", value)
@@ -141,10 +178,20 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
         own = canonical.split(".")
         fixed = 2 if own[:2] == ["192", "168"] else 1 if own[0] in ("10", "127") else 0
         return ".".join(own[:fixed] + [str(1 + number(i) % (222 if i == 0 else 254)) for i in range(fixed, 4)])
+    if kind == "ip6":                      # groups keep their length, as long as there are enough of them; zero groups stay
+        groups = [f"{int(canonical[i:i + 4], 16):x}" for i in range(0, 32, 4)]
+        fixed = 4 if re.match("f[ef]", canonical) else 2 if re.match("f[cd]", canonical) else 1
+        for g, own in enumerate(groups):
+            if own != "0" and len(own) < 4 or own == "0" and attempt >= 16 and g > 3:
+                own = "1" * min(4, len(own) + attempt // 4)
+            made = "".join("0123456789abcdef"[number(4 * g + i) % 16] if i else "123456789abcdef"[number(4 * g) % 15] for i in range(len(own)))
+            groups[g] = "0" if own == "0" else made
+        made = "".join(x.zfill(4) for x in groups)
+        return canonical[:fixed] + made[fixed:]
     if kind == "phone":
         area, digits = canonical.split(":")
         made = str(2 + number(0) % 8) + "".join(str(number(i) % 10) for i in range(1, len(digits)))
-        return area + ":" + (made if attempt >= 8 else made[:3] + "555" + made[6:])      # an exchange kept for fiction
+        return area + ":" + (made if attempt >= 8 or len(made) != 10 else made[:3] + "555" + made[6:])      # an exchange kept for fiction
     if kind == "card":
         made = canonical[0] + "".join(str(number(i) % 10) for i in range(1, len(canonical)))
         valid = _luhn(canonical) == 0
@@ -170,7 +217,17 @@ def _styled(surface: str, kind: str, made: str) -> str:
     """The surrogate in the format of the text it replaces."""
     if kind in ("phone", "ssn", "card"):
         digits = iter(made.replace("+", "").replace(":", ""))
-        return "".join(next(digits) if c.isdigit() else c for c in surface)
+        parts = re.split(r"(\(0\))", surface) if surface[0] == "+" else [surface]
+        return "".join(p if p == "(0)" else "".join(next(digits) if c.isdigit() else c for c in p) for p in parts)
+    if kind == "ip6":
+        head, gap, tail = surface.partition("::")
+        sides = [[x for x in side.split(":") if x] for side in (head, tail)]
+        groups = [int(made[i:i + 4], 16) for i in range(0, 32, 4)]
+        if any(groups[len(sides[0]):8 - len(sides[1])]):
+            return str(ipaddress.IPv6Address(int(made, 16)))
+        values = [groups[:len(sides[0])], groups[8 - len(sides[1]):]]
+        out = gap.join([":".join(f"{v:x}".zfill(len(x)) for v, x in zip(v, x, strict=True)) for v, x in zip(values, sides, strict=True)][:2 if gap else 1])
+        return out.upper() if surface.isupper() else out
     if kind in ("family", "email", "hex") or kind.startswith("given"):
         if surface.isupper():
             return made.upper()
