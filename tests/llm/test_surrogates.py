@@ -114,3 +114,23 @@ def test_code_is_no_address(spark):
     made = S.distinct_surrogates(spark.createDataFrame(rows, "kind string, canonical string"), KEY).collect()
     assert len({r.made for r in made}) == 15 and not {r.made for r in made} & {c for _, c in rows}
     assert S._styled("fe80::1", "ip6", "fe80" + "0" * 24 + "3fa2") == "fe80::3fa2"
+
+
+NAMES = [
+    ("Mr. McDonald left; McDonald came", "mcdonald", r"Mr\. ([A-Z][a-z]+) left; \1 came"),
+    ("Mr. Miller said: MILLER, Miller's, miller", "mill", r"Mr\. (\w+) said: [A-Z]+, \1's, miller"),
+    ("Ask Mr. Li. Li knows", "li", r"Ask Mr\. ([A-Z][a-z]+)\. \1 knows"),
+    ("Mr. O'Brien and O’Brien, O'BRIEN", "brien", r"Mr\. ([A-Z])'([A-Z][a-z]+) and \1’\2, \1'[A-Z]+"),
+    ("Frau Weber-Koch, dann WEBER-KOCH und Weber-Koch; Frau Weber", "koch", r"Frau ([A-Z][a-z]+-[A-Z][a-z]+), dann [A-Z]+-[A-Z]+ und \1; Frau [A-Z][a-z]+"),
+    ("Mr. Miller's car; Miller drove", "miller", r"Mr\. ([A-Z][a-z]+)'s car; \1 drove"),
+    ("A Mr. Miller-led team; Miller won", "miller", r"A Mr\. [A-Z][a-z]+-[a-z]+ team; [A-Z][a-z]+ won"),
+    ("Herr Weiß: WEISS", "wei", r"Herr [A-Z][a-z]+: [A-Z]+"),
+]
+
+
+@pytest.mark.parametrize("text,gone,want", NAMES)
+def test_repeated_names(text, gone, want):
+    made = {(k, c): S.surrogate(k, c, 0, KEY) for _, _, k, c in S.find(text)}
+    out = S.rewrite(text, made)
+    assert re.fullmatch(want, out), out
+    assert not re.search(rf"(?<!\w){gone}", re.sub("miller$", "", out.lower())), out

@@ -1,10 +1,10 @@
 """Surrogate generation for personal data.
 
 Detected entities are replaced by values of the same type, script and format that a key decides: the same entity gets the
-same surrogate everywhere (names also where the document repeats them without a title), and different entities get
-different ones. Spark lists the distinct entities of the whole corpus, draws a surrogate for each, and draws again, with
-the next attempt number, where two entities met on one surrogate or a surrogate is a real entity of the corpus, until
-none is left. Documents without an entity keep their text as it is.
+same surrogate everywhere (names also where the document repeats them without a title, in any case but with a capital at
+the start), and different entities get different ones. Spark lists the distinct entities of the whole corpus, draws a
+surrogate for each, and draws again, with the next attempt number, where two entities met on one surrogate or a surrogate
+is a real entity of the corpus, until none is left. Documents without an entity keep their text as it is.
 
 Texts are read whole. A null text stays null, an empty one empty; repeated rows are treated alike; a document's other
 columns are untouched; an empty table gives no rows.
@@ -45,6 +45,9 @@ CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 5
 _TITLE = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 _KEYWORD = "password|passwd|pwd|secret|token|api[_-]?key|(?:access|secret|private)[_-]?key"
 _GAP = r"[\ \u00a0\u202f.()/\u2010\u2011-]{0,3}"      # between the digits of an international number
+_JOINT = "['’ʼ‐‑-]"         # inside of names
+_NAME = rf"[^\W\d_](?:\w|{_JOINT}\w)(?:\w|{_JOINT}(?=\w))*"
+_JOINTS = re.compile(_JOINT)
 _MAIL = r"(?P<email>[\w.%+-]*\w@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
 _REST = rf"""
   (?:(?<![^\W_])|(?=[A-Z])(?<=[a-z]))(?=[apstAPSTſ])(?i:{_KEYWORD})["']?(?:[^\S\n]*|\s)[=:](?:[^\S\n]*|\s)
@@ -61,7 +64,7 @@ _REST = rf"""
     | (?P<ip>(?<!\.)(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?!\w|\.\d)))
   | (?=[0-9a-fA-F:])(?P<ip6>(?:(?<!\.)[0-9a-fA-F]{{1,4}}:(?:(?:[0-9a-fA-F]{{1,4}}:){{6}}[0-9a-fA-F]{{1,4}}|(?:[0-9a-fA-F]{{1,4}}:){{0,6}}:(?:[0-9a-fA-F]{{1,4}}(?::[0-9a-fA-F]{{1,4}}){{0,6}})?)
       |(?<![.:])::[0-9a-fA-F]{{1,4}}(?::[0-9a-fA-F]{{1,4}}){{0,6}})(?!\w|:[\w:]|\.\d))
-  | (?=[{"".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))}])(?P<title>{_TITLE})\.?\ (?P<name>[^\W\d_]\w+(?:\ [^\W\d_]\w+)?))
+  | (?=[{"".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))}])(?P<title>{_TITLE})\.?\ (?P<name>{_NAME}(?:\ {_NAME})?))
 """
 ENTITY = re.compile(f"{_MAIL}|{_REST}", re.X)
 NO_MAIL = re.compile(f"(?P<email>(?!))|{_REST}", re.X)      # the same for texts without @, in less time
@@ -72,6 +75,23 @@ def _script(text: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in text) else "latin"
 
 
+def _name(text: str) -> str:
+    return re.sub("[‐‑]", "-", re.sub("[’ʼ]", "'", text.lower()))
+
+
+def _repeats(text: str, names: dict[tuple[str, str], str], taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
+    """Places outside ``taken`` that repeat a name in any case but start with a capital; longer names first."""
+    order = sorted(names, key=lambda n: (-len(n[1]), n))
+    forms = ["|".join(re.sub(r"'|\\-", lambda j: "['’ʼ]" if j[0] == "'" else "[-‐‑]", re.escape(_JOINTS.sub(lambda j: "'" if j[0] in "'’ʼ" else "-", x)))
+                      for x in dict.fromkeys((names[n], names[n].upper()))) for n in order]
+    inside = {i for a, b in taken for i in range(a, b)}
+    hits = []
+    for m in re.finditer(rf"(?<!\w)(?:{'|'.join(f'({f})' for f in forms)})(?!\w)", text, re.I):
+        if m.group()[0].isupper() and inside.isdisjoint(range(*m.span())):
+            hits.append((*m.span(), *order[m.lastindex - 1]))
+    return hits
+
+
 def _address(text: str) -> str | None:
     """The 32 hex digits of an IPv6 address; none for one that is invalid, below ::1:0 or maybe a scope of code (a::b)."""
     try:
@@ -85,18 +105,25 @@ def _address(text: str) -> str | None:
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities, left to right, none overlapping."""
-    out = []
+    out, names = [], {}
     for m in (ENTITY if "@" in text else NO_MAIL).finditer(text):
         kind, value = m.lastgroup, m.group()
         if m["name"]:
             words, at = m["name"].split(" "), m.start("name")
             words = words if all(w[0].isupper() for w in words) else words[:1]
+            if re.search("['’ʼ][sS]$", words[0]):           # Miller's car
+                words = words[:1]
+            words[-1] = re.sub("['’ʼ][sS]$", "", words[-1])
             if not words[0][0].isupper() or len(words[0]) < 2:
                 continue
             gender = "m" if m["title"] in MALE else "f" if m["title"] in FEMALE else "n"
             for k, w in enumerate(words):
                 kind = "family" if k == len(words) - 1 else "given_" + gender
-                out.append((at, at + len(w), kind, w.lower()))
+                out.append((at, at + len(w), kind, _name(w)))
+                names.setdefault((kind, _name(w)), w)
+                led = next((j.start() for j in re.finditer("[‐‑-]", w) if w[j.end()].islower()), 0)
+                if led:                                     # Miller-led: the name may end at the hyphen
+                    names.setdefault((kind, _name(w[:led])), w[:led])
                 at += len(w) + 1
             continue
         name = next((k for k in ("word", "double", "single") if m[k]), None)
@@ -123,16 +150,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         canonical = {"email": value.lower(), "hex": value.lower(), "phone": f"{m['cc'] or ''}:{digits[len(m['cc'] or '+') - 1:]}",
                      "ssn": digits, "card": digits}.get(kind, value)
         out.append((m.start(), m.end(), kind, canonical))
-    names = {(k, c) for _, _, k, c in out if k == "family" or k.startswith("given")}
     if names:                               # the same names without a title
-        taken = {i for a, b, _, _ in out for i in range(a, b)}
-        for kind, canonical in sorted(names):
-            if len(canonical) > 2:
-                for m in re.finditer(rf"(?<!\w){re.escape(canonical.capitalize())}(?!\w)", text):
-                    if m.start() not in taken:
-                        out.append((m.start(), m.end(), kind, canonical))
-                        taken.update(range(m.start(), m.end()))
-        out.sort()
+        out = sorted(out + _repeats(text, names, [(a, b) for a, b, _, _ in out]))
     return out
 
 
@@ -164,13 +183,24 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
     stream = hashlib.shake_256(seed).digest(2 * len(canonical) + 32)
     number = lambda i: int.from_bytes(stream[2 * i:2 * i + 2], "little")
     if kind.startswith("given") or kind == "family":
-        script = _script(canonical)
-        if kind == "family":
+        made, used = [], 0
+        for k, own in enumerate(_JOINTS.split(canonical)):             # O'Brien, Weber-Koch: part by part
+            script = _script(own)
+            if k and not own or len(own) == 1 and "'" in canonical:
+                made.append(_drawn(own, number(used)) if own else "")
+                used += 1
+                continue
             parts = SYLLABLES[script]
-            made = "".join(parts[number(i) % len(parts)] for i in range(2 + attempt // 4))
-        else:
-            names = GIVEN[kind[-1], script]
-            made = names[number(0) % len(names)] + "".join(SYLLABLES[script][number(i + 1) % len(SYLLABLES[script])] for i in range((attempt + 2) // 4))
+            more = 2 + attempt // 4 if kind == "family" else 1 + (attempt + 2) // 4
+            at = [number((used + i) % (len(stream) // 2)) for i in range(more)]
+            if kind == "family":
+                made.append("".join(parts[n % len(parts)] for n in at))
+            else:
+                names = GIVEN[kind[-1], script]
+                made.append(names[at[0] % len(names)] + "".join(parts[n % len(parts)] for n in at[1:]))
+            used += more
+        joints = _JOINTS.findall(canonical)
+        made = "".join(x + j for x, j in zip(made, [*joints, ""], strict=True))
         return made.lower()
     if kind == "hex":
         return "".join("0123456789abcdef"[number(i) % 16] for i in range(len(canonical)))
@@ -232,7 +262,8 @@ def _styled(surface: str, kind: str, made: str) -> str:
         if surface.isupper():
             return made.upper()
         if kind not in ("email", "hex"):
-            return made.capitalize()
+            own, joints = _JOINTS.split(surface), [*_JOINTS.findall(surface), ""]
+            return "".join((x.capitalize() if o[:1].isupper() else x) + j for x, o, j in zip(_JOINTS.split(made), own, joints, strict=True))
         return made.capitalize() if surface[:1].isupper() and surface[1:].islower() else made
     return made
 
