@@ -1,9 +1,10 @@
 """The corpus pipeline: stages that each apply one operator of ``weirworks.llm`` to all documents the last one kept.
 
 A stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.
-All but the last return the columns of documents. A stage keeps what its decision does not reject: rows with a null text,
-an empty text or a null doc_id are never dropped, repeated rows are copies of each other, and extra columns are left out
-of what the stages return.
+All but the last return the columns of documents. A stage keeps what its decision does not reject: rows with a null or
+empty text are never dropped; repeated rows and rows with a null doc_id are documents like others, so that of rows with
+the same text of at least five words one is left; decontamination, which drops by doc_id, keeps rows with a null one.
+Extra columns are left out of what the stages return.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weirworks.llm import jaccard, packing, surrogates, tiling, toxicity
 from weirworks.llm.sampling import fold
-from weirworks.sources.workdir import new_path, remove_folder, scratch
+from weirworks.sources.workdir import new_path, remove_folder, scratch, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,11 +28,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of similarity 0.8 on five-word shingles connect, the document with the smallest id."""
-    docs = docs.select(*COLUMNS)
-    groups = jaccard.jaccard_components(docs, width=5, percent=80)
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group that links of similarity 0.8 on five-word shingles connect, the row with the smallest id, nulls last;
+    of several such rows the first one stored."""
+    # stored with its keys, so that a row has the same one in every pass
+    rows = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"), width=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    groups = written(groups.join(rows.select("row", "doc_id"), "row"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    keep = groups.groupBy("component").agg(F.min(order)["row"].alias("row")).select("row")
+    copies = groups.select("row").join(keep, "row", "left_anti")
+    return rows.join(copies, "row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

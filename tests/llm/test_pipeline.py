@@ -55,6 +55,16 @@ def test_stages(spark, folder):
     assert ids(C.pack_windows(spark, docs, folder)) == ids(docs)
 
 
+def test_one_row_of_each_group(spark, make, prose, tmp_path):
+    """Repeated rows of the smallest id, rows with a null id, and rows without shingles."""
+    a, b, c = (prose(60, 100 + i) for i in range(3))
+    rows = [(7, a), (7, a), (7, a), (9, a), (None, a), (None, b), (None, b), (3, c), (5, c.replace(" the ", " these ", 1)), (None, None), (None, ""), (8, ""), (8, "")]
+    path = str(tmp_path / "rows.parquet")
+    make(rows).repartition(4).write.parquet(path)
+    kept = C.drop_near_copies(spark, spark.read.parquet(path), path).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:40]) for r in kept) == sorted([(7, a[:40]), (0, b[:40]), (3, c[:40]), (0, ""), (0, ""), (8, ""), (8, "")])
+
+
 def test_run(spark, folder):
     out = C.run(spark, folder)
     assert [n for n, _ in C.STAGES][0] == "toxicity" and {900, 901, 902} <= ids(out)
