@@ -16,6 +16,8 @@ import hashlib
 import hmac
 import ipaddress
 import re
+import sys
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -68,7 +70,10 @@ _REST = rf"""
 """
 ENTITY = re.compile(f"{_MAIL}|{_REST}", re.X)
 NO_MAIL = re.compile(f"(?P<email>(?!))|{_REST}", re.X)      # the same for texts without @, in less time
-TRIGGER = rf"[@0-9]|::|(?::[a-fA-F]{{1,4}}){{7}}|(?i:{_KEYWORD})[\"']?\s*[=:]|\b(?:{_TITLE})\.? "
+# Java's pattern of the texts that may hold an entity: whatever ENTITY matches has a digit of any script, an @, AKIA, a key
+# word, two colons, seven groups of an address, or a title and a blank. Digits are listed as Python knows them.
+_DIGITS = "".join(f"\\x{{{z:x}}}-\\x{{{z + 9:x}}}" for z in range(128, sys.maxunicode) if chr(z).isdecimal() and unicodedata.decimal(chr(z)) == 0)
+TRIGGER = rf"[@0-9]|(?=[^\x00-\x7f])[{_DIGITS}]|::|(?::[a-fA-F]{{1,4}}){{7}}|AKIA|(?iu:{_KEYWORD})|(?:{_TITLE})\.? "
 
 
 def _script(text: str) -> str:
