@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, interpolation, jaccard, language, packing, recompression, sharding, surrogates, tiling, toxicity
+from . import (fingerprints, interpolation, jaccard, language, packing, recompression, repair, sharding, surrogates, tiling,
+               toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +93,8 @@ def op8_interpolation(spark, sf_dir):
 @query
 def op7_recompression(spark, sf_dir):
     return recompression.without_repeats(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_repair(spark, sf_dir):
+    return repair.tokenize_documents(read(spark, sf_dir, "documents"))
