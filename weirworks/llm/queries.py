@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (fingerprints, interpolation, jaccard, language, packing, recompression, repair, sharding, surrogates, tiling,
-               toxicity, treap)
+               toxicity, treap, trie)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,28 @@ c AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 *
   FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY 1, 2),
 r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM c WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20"""
+
+
+@query
+def op11_double_array(spark, sf_dir):
+    return trie.conversation_nodes(read(spark, sf_dir, "conversations"))
+
+
+CRC32 = """xor(list_reduce(list_concat([4294967295], list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, x: list_reduce(list_concat([xor(c, x)], range(8)), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"""
+ORACLES["op11_double_array"] = f"""
+WITH o AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, l, {CRC32.format("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM o),
+b AS (SELECT h.conv_id, list_concat(coalesce(o.l, [])[1:h.h], h.l[h.h + 1:]) AS l FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, l[1:d] AS path FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM b)),
+n AS (SELECT path, d, min(conv_id) AS c, count(*) AS n FROM p GROUP BY path, d),
+m AS (SELECT p.conv_id, p.d, n.c, n.n, CASE WHEN p.d = 0 THEN 0 ELSE length(p.path[p.d].text) END AS chars FROM p JOIN n ON n.path = p.path AND n.d = p.d),
+k AS (SELECT m.c, m.d, m.n, m.chars, u.c AS parent FROM m LEFT JOIN m AS u ON u.conv_id = m.conv_id AND u.d = m.d - 1 WHERE m.conv_id = m.c),
+f AS (SELECT parent AS c, d - 1 AS d, count(*) AS children FROM k WHERE parent IS NOT NULL GROUP BY 1, 2),
+j AS (SELECT k.*, coalesce(children, 0) AS children FROM k LEFT JOIN f ON f.c = k.c AND f.d = k.d),
+s AS (SELECT m.c, m.d, count(*) FILTER (children = 0) AS leaves, sum((j.n - 1) * j.chars) AS saved FROM j JOIN m ON m.conv_id = j.c AND m.d <= j.d GROUP BY 1, 2),
+e AS (SELECT m.c, m.d, sha256(string_agg(CAST(b.conv_id AS VARCHAR), ',' ORDER BY b.conv_id)) AS h FROM b JOIN m ON m.conv_id = b.conv_id AND m.d = len(b.l) GROUP BY 1, 2)
+SELECT j.c AS conv_id, CAST(j.d AS BIGINT) AS depth, j.parent AS parent_conv_id, j.n AS n_convs, CAST(j.children AS BIGINT) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.h, sha256('')) AS ends_sha256
+FROM j JOIN s ON s.c = j.c AND s.d = j.d LEFT JOIN e ON e.c = j.c AND e.d = j.d"""
