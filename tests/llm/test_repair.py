@@ -45,7 +45,7 @@ def test_grammar_round_trip():
         ids = rng.integers(0, vocabulary, tokens.sum()).astype(np.uint32)
         edges = np.append(0, np.cumsum(tokens))
         grammar, seq, cut = repair.compress(ids, edges)
-        assert (grammar.expand(seq) == ids).all() and len(seq) <= len(ids)
+        assert (grammar.expand(seq) == ids).all() and (grammar.whole(seq) == ids).all() and len(seq) <= len(ids)
         assert (grammar.size(seq).cumsum()[cut[1:] - 1] == edges[1:]).all()      # each document has its own symbols
         for a, n in ((0, 1), (17, 200), (len(ids) - 9, 9)):
             assert grammar.slice(seq, a, n).tolist() == ids[a:a + n].tolist()

@@ -7,14 +7,15 @@ text can be cut before every run of white space. Texts with a special token's st
 from __future__ import annotations
 
 import base64
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 from .words import U, Powers, mix
 
-PIECE = 4_000_000            # bytes of text hashed at once, one text at least
-CACHED = 2_000_000           # distinct chunks a worker keeps before it starts anew, some 40 bytes each
+PIECE = 2_000_000            # bytes of text hashed at once, one text at least
+CACHED = 1_000_000           # distinct chunks a worker keeps before it starts anew, some 40 bytes each
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -157,3 +158,9 @@ class Encoder:
 
     def _slow(self, text: bytes) -> np.ndarray:
         return np.array(self.slow.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+
+
+@lru_cache(maxsize=1)
+def encoder_of(vocabulary: str, ranks: str) -> Encoder:
+    """The encoder of a worker: the vocabulary is read once, and chunks stay known from task to task."""
+    return Encoder(vocabulary, ranks)

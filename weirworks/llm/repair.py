@@ -3,11 +3,11 @@
 Documents are dealt into shards by ranges of their id, so that shards in order hold the documents in order. A shard is
 written as blocks of about ``BLOCK`` ids (a longer document is a block of its own), one row each. In a block, frequent
 pairs of neighbouring symbols are replaced by new symbols again and again: a round takes the pairs that occur at least as
-often as its threshold, which falls from round to round, replaces their occurrences from left to right, and names them by
-the numbers after the largest one so far. Pairs never reach over the end of a document, so each document is a run of
-symbols of its own. A block stores its rules, the expansion length of each rule, its symbols, and for each document its
-id, its ids and its symbols, so that any range of a document's ids is found from lengths alone and decoded by expanding
-the few symbols that cover it.
+often as its threshold, which falls from round to round down to ``LEAST``, replaces their occurrences from left to right,
+and names them by the numbers after the largest one so far, until a round is no longer worth its rules. Pairs never reach
+over the end of a document, so each document is a run of symbols of its own. A block stores its rules, the expansion
+length of each rule, its symbols, and for each document its id, its ids and its symbols, so that any range of a document's
+ids is found from lengths alone and decoded by expanding the few symbols that cover it.
 
 The end id follows each document, also an empty one or one without text. Documents without an id come first; rows with
 one id are ordered by a hash of their texts, equal ones next to each other. An empty table makes no blocks.
@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from weirworks.sources.workdir import new_path
 
-from .chunks import Encoder, ragged
+from .chunks import encoder_of, ragged
 
 END = 0
 BLOCK = 1 << 20              # ids in a block
 SHARD_BYTES = 32_000_000     # of text in a shard
 LEAST = 4                    # occurrences of a pair that gets a rule
 FALL = 4                     # by how much the threshold falls from round to round
+WORTH = 0.02                 # the last rounds end when one shortens its block by less than this share
 SLOTS = 1 << 18
 BLOCKS = ("shard int, block int, base long, n_ids long, doc_ids array<bigint>, tokens array<bigint>, symbols array<bigint>, "
           "rules binary, lengths binary, sequence binary")
@@ -63,6 +64,15 @@ class Grammar:
             out[at[inner]], out[at[inner] + 1] = self.left[rule], self.right[rule]
             symbols = out
 
+    def whole(self, symbols: np.ndarray) -> np.ndarray:
+        """The same for many symbols: each rule is expanded once and copied to its places."""
+        body = self.expand(np.arange(self.base, self.base + len(self.left), dtype=np.uint32))
+        size, inner = self.size(symbols), symbols >= self.base
+        out, own = np.repeat(symbols, size), np.repeat(inner, size)
+        rule = symbols[inner] - self.base
+        out[own] = body[ragged((np.cumsum(self.lengths) - self.lengths)[rule], self.lengths[rule])]
+        return out
+
     def slice(self, symbols: np.ndarray, start: int, length: int) -> np.ndarray:
         """Ids start to start + length of what the symbols stand for; only the symbols that cover them are expanded."""
         ends = np.cumsum(self.size(symbols))
@@ -116,7 +126,9 @@ def compress(ids: np.ndarray, edges: np.ndarray) -> tuple[Grammar, np.ndarray, n
         stay = np.ones(len(seq), bool)
         stay[hit + 1] = False
         edges = edges - np.searchsorted(hit + 1, edges)
-        seq = seq[stay]
+        seq, before = seq[stay], len(seq)
+        if threshold == LEAST and before - len(seq) < WORTH * before:
+            break
     join = lambda parts: np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)
     return Grammar(base, join(left), join(right), lengths), seq, edges
 
@@ -147,7 +159,7 @@ def _block(shard: int, block: int, doc_ids: list, ids: list[np.ndarray], tokens:
 
 
 def _write_shard(batches: Iterator[pa.RecordBatch], vocabulary: str, ranks: str, end: int) -> Iterator[pa.RecordBatch]:
-    shard, encoder, block = TaskContext.get().partitionId(), Encoder(vocabulary, ranks), 0
+    shard, encoder, block = TaskContext.get().partitionId(), encoder_of(vocabulary, ranks), 0
     docs, ids, tokens, held = [], [], [], 0
     for batch in batches:
         low, column = 0, batch.column(1)
@@ -208,7 +220,7 @@ def _digest(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Recor
             grammar, seq = _grammar(row)
             tokens = np.array(row["tokens"], np.int64)
             starts = np.cumsum(tokens) - tokens
-            ids = grammar.expand(seq).astype("<u4")
+            ids = grammar.whole(seq).astype("<u4")
             if len(ids) != tokens.sum():
                 raise ValueError(f"block {row['block']} of shard {row['shard']} holds {len(ids)} ids, not {tokens.sum()}")
             parts = [ids[a:a + n] for a, n in zip(starts, tokens, strict=True)]
