@@ -118,12 +118,31 @@ LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN r ON r.rule_ord = h.rule_ord"""
 def user_rules(spark, sf_dir, **options):
     table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
     rules = spark.sql(USER_RULES)
-    out = R.match_user_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), rules, "doc_id", **options)
+    out = R.match_user_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), rules, **options)
     return out.select("doc_id", "matched_phrase", "rule_ord", "phrase_ord", "target")
 
 
 query("match_user_rules", USER_SQL)(user_rules)
-query("match_user_rules_joined", USER_SQL)(lambda spark, sf_dir: user_rules(spark, sf_dir, max_rules=0))
+query("match_user_rules_joined", USER_SQL)(lambda spark, sf_dir: user_rules(spark, sf_dir, block_chars=100))
+
+RUNS = """SELECT item_id AS rule_ord, n * 1000 + i AS phrase_ord, substr(lower(text), i, n) AS phrase
+  FROM (SELECT item_id, text, n, {0} AS i FROM (SELECT item_id, text, {1} AS n FROM benchmark)) WHERE i <= length(text) + 1 - n"""
+RUN_SQL = f"""WITH r AS ({RUNS.format("unnest(range(1, length(text) + 1))", "unnest([12, 16, 20])")}),
+f AS (SELECT phrase, arg_min(rule_ord, (rule_ord, phrase_ord)) AS rule_ord, arg_min(phrase_ord, (rule_ord, phrase_ord)) AS phrase_ord FROM r GROUP BY phrase),
+w AS (SELECT doc_id, t, i, substr(t, i, 12) AS head FROM (SELECT doc_id, t, unnest(range(1, length(t) - 10)) AS i FROM (SELECT doc_id, lower(text) AS t FROM documents))),
+h AS (SELECT doc_id, min((f.rule_ord, f.phrase_ord, f.phrase)) AS b FROM w JOIN f ON substr(f.phrase, 1, 12) = w.head
+  WHERE substr(w.t, w.i, length(f.phrase)) = f.phrase GROUP BY 1)
+SELECT d.doc_id, b[3] AS matched_phrase, b[1] AS rule_ord, b[2] AS phrase_ord FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id"""
+
+
+@query("match_many_rules", RUN_SQL)
+def many_rules(spark, sf_dir):
+    """Every run of 12, 16 and 20 characters of the benchmark is a phrase: some 25,000 rules at sf0.01, 125,000 at sf0.1."""
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
+    rules = spark.sql(RUNS.format("explode(sequence(1, greatest(length(text), 1)))", "explode(array(12, 16, 20))"))
+    return R.match_user_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), rules).select(
+        "doc_id", "matched_phrase", "rule_ord", "phrase_ord")
+
 
 SIGNALS = ", ".join(S.SIGNAL_NAMES)
 on_view("extract_signals", "prompts", lambda p: R.extract_signals(p).select("task_id", *S.SIGNAL_NAMES, "score", "score_level"),

@@ -75,8 +75,8 @@ def test_user_rules_by_expression_and_by_join(spark):
     for t in texts:
         hit = next((r for r in ordered if r.phrase.lower() in t.lower()), None)
         want.append((hit.phrase.lower(), hit.target) if hit else (None, None))
-    for limit in (500, 0):
-        got = R.match_user_rules(prompts(spark, texts), rules(spark), "task_id", max_rules=limit).orderBy("task_id").collect()
+    for chars in (10 ** 6, 1):
+        got = R.match_user_rules(prompts(spark, texts), rules(spark), block_chars=chars).orderBy("task_id").collect()
         assert [(r.matched_phrase, r.target) for r in got] == want
 
 
@@ -131,8 +131,8 @@ def test_empty_and_null_phrases_mean_the_same_on_both_paths(spark):
     for kept in (rows, rows[1:3], rows[2:3], [rows[0], rows[3]], []):
         rules = spark.createDataFrame(kept, "rule_ord int, phrase_ord int, phrase string, target string")
         asked = spark.createDataFrame([*enumerate(texts), (9, None)], "task_id bigint, text string")
-        few, many = (R.match_user_rules(asked, rules, "task_id", max_rules=n).select("task_id", "matched_phrase", "rule_ord", "phrase_ord", "target")
-                     for n in (500, 0))
+        few, many = (R.match_user_rules(asked, rules, block_chars=n).select("task_id", "matched_phrase", "rule_ord", "phrase_ord", "target")
+                     for n in (10 ** 6, 1))
         got = sorted(map(tuple, few.collect()))
         assert got == sorted(map(tuple, many.collect()))
         if kept is rows:

@@ -11,27 +11,15 @@ from .. import dims
 from ..functions import signals as S
 from ..functions.text import FENCE, contains_any, is_json, one_of, strip, to_fixed
 from .joins import fits_broadcast
+from .phrases import BLOCK_CHARS, first_rule
 from .staging import settle
 
 RULE_FIELDS = ["rule_route", "rule_level", "rule_confidence", "rule_cost_of_wrong", "rule_category"]
-ANCHOR = 8
-MAX_CONSTANT = 500
 PHRASES = [(phrase, number) for number, rule in enumerate(dims.RULES) for phrase in rule[5]]
 
 
 # --- rules --------------------------------------------------------------------
 
-def _first_phrase(lowered: Column, phrases: list[str]) -> Column:
-    """1-based position of the first phrase in list order that the text contains, else null.
-
-    One pass tells texts that contain any phrase at all; only those are searched phrase by phrase.
-    """
-    out = F.when(F.contains(lowered, F.lit(phrases[0])), 1)
-    for at, phrase in enumerate(phrases[1:], 2):
-        out = out.when(F.contains(lowered, F.lit(phrase)), at)
-    return F.when(F.rlike(lowered, F.lit(one_of(phrases))), out)
-
-
 def match_rules(prompts: DataFrame, text: str = "text") -> DataFrame:
     """Add the first matching built-in rule and phrase; null where none applies."""
     lowered = prompts.withColumn("_lower", F.lower(text))
@@ -56,64 +44,17 @@ def _match_lowered(lowered: DataFrame) -> DataFrame:
                             for i, name in enumerate(RULE_FIELDS)}).drop("_phrase_at")
 
 
-def match_user_rules(prompts: DataFrame, rules: DataFrame, key: str, text: str = "text",
-                     max_rules: int = MAX_CONSTANT) -> DataFrame:
-    """First match against a rules table (rule_ord, phrase_ord, phrase, ...).
+def match_user_rules(prompts: DataFrame, rules: DataFrame, text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Add the first match against a rules table (rule_ord, phrase_ord, phrase, ...), one row for each row of prompts.
 
-    A table of at most ``max_rules`` phrases becomes part of the expression.  A larger one
-    is joined: positions of the prompts meet the phrases that begin with the same characters.
-    Either way an empty phrase occurs in every text, and a null phrase or a null text matches nothing.
+    Any number of rules means the same: the phrase that comes first by (rule_ord, phrase_ord) of those that occur in
+    the lower-cased text. An empty phrase occurs in every text; a null phrase or a null text matches nothing. Rows need
+    no key, so null and repeated ones are matched like others. Columns of prompts with a rule column's name are replaced.
     """
+    found = F.col("_rule")
+    out = settle(prompts, {"_rule": first_rule(F.lower(text), rules, block_chars)})
     fields = [c for c in rules.columns if c not in ("rule_ord", "phrase_ord", "phrase")]
-    blank = {c: F.lit(None).cast(rules.schema[c].dataType) for c in ["rule_ord", "phrase_ord", *fields]}
-    ranked = rules.where(F.col("phrase").isNotNull()).withColumn("phrase", F.lower("phrase"))
-    if fits_broadcast(ranked, max_rules):
-        rows = ranked.orderBy("rule_ord", "phrase_ord").limit(max_rules).collect()
-        if not rows:
-            return prompts.withColumns({"matched_phrase": F.lit(None).cast("string"), **blank})
-        lowered = prompts.withColumn("_low", F.lower(text))
-        out = settle(lowered, {"_phrase_at": _first_phrase(F.col("_low"), [r.phrase for r in rows])}).drop("_low")
-        pick = lambda c: F.try_element_at(F.array(*[F.lit(r[c]) for r in rows]), F.col("_phrase_at"))
-        return out.withColumns({"matched_phrase": pick("phrase"),
-                                **{c: pick(c) for c in ["rule_ord", "phrase_ord", *fields]}}).drop("_phrase_at")
-    worded = ranked.where("phrase <> ''")
-    always = ranked.where("phrase = ''").orderBy("rule_ord", "phrase_ord").first()
-    if worded.isEmpty():
-        out = prompts.withColumns({"matched_phrase": F.lit(None).cast("string"), **blank})
-    else:
-        out = prompts.join(_match_by_anchor(prompts, worded, key, text), key, "left")
-    if always is None:
-        return out
-    mine = F.struct(*[F.lit(always[c]).cast(rules.schema[c].dataType).alias(c) for c in ("rule_ord", "phrase_ord")])
-    first = F.col(text).isNotNull() & (F.col("rule_ord").isNull() | (F.struct("rule_ord", "phrase_ord") > mine))
-    out = out.withColumn("_always", first)
-    given = {"matched_phrase": F.lit(""), **{c: F.lit(always[c]).cast(rules.schema[c].dataType) for c in blank}}
-    return out.withColumns({c: F.when(F.col("_always"), v).otherwise(F.col(c)) for c, v in given.items()}).drop("_always")
-
-
-def _match_by_anchor(prompts: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
-    """Earliest rule per prompt, by an equi-join on the first characters of phrases.
-
-    Every position of a prompt gives a window as long as the longest phrase.  A window meets the phrases that
-    share its anchor and is kept where it starts with the whole phrase, so the text itself never travels.
-    Anchors that no phrase has are dropped before the shuffle, the skew join splits one found in very many prompts,
-    and the minimum per prompt is combined before the last shuffle.
-    """
-    sized = rules.withColumn("_w", F.least(F.length("phrase"), F.lit(ANCHOR)))
-    anchored = sized.withColumn("_gram", F.substr("phrase", F.lit(1), F.col("_w")))
-    shape = sized.agg(F.collect_set("_w"), F.max(F.length("phrase"))).first()
-    widths, longest = sorted(shape[0]), shape[1]
-    windows = F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{widths[0]},{longest}}}))"), F.lit(1))
-    seen = prompts.select(key, F.explode(F.array_distinct(windows)).alias("_window"))
-    seen = seen.select(key, "_window", F.explode(F.array(*[F.substring("_window", 1, w) for w in widths])).alias("_gram"))
-    wanted = anchored.select("_gram").distinct()
-    if fits_broadcast(wanted):
-        seen = seen.join(F.broadcast(wanted), "_gram", "left_semi")
-    rest = F.struct("rule_ord", "phrase_ord", *[c for c in rules.columns if c not in ("rule_ord", "phrase_ord")])
-    hits = seen.join(anchored, "_gram").where(F.startswith("_window", F.col("phrase")))
-    best = hits.groupBy(key).agg(F.min(rest).alias("_best"))
-    extra = [c for c in rules.columns if c != "phrase"]
-    return best.select(key, F.col("_best.phrase").alias("matched_phrase"), *[F.col(f"_best.{c}") for c in extra])
+    return out.withColumns({"matched_phrase": found["phrase"], **{c: found[c] for c in ["rule_ord", "phrase_ord", *fields]}}).drop("_rule")
 
 
 # --- signals and score ----------------------------------------------------------
