@@ -143,10 +143,43 @@ def test_prefilter_lets_every_entity_pass(spark):
              "at dead:beef::cafe", "at a:b:c:d:e:f:a:b", "clientSecret=abc", "X_API-KEY: abc", "_Mr. Miller", "éMr. Miller", "Mr Miller"]
     texts += [f"{word}{gap}={gap}abc" for word in "password passwd PWD Secret token api_key apikey api-key access_key secretkey private-key".split() for gap in ("", " ", "\t", "\n", "\u2028")]
     texts += [f"{title}{dot} Miller" for title in S.MALE + S.FEMALE + S.NEUTRAL for dot in ("", ".")]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").select("doc_id", F.col("text").rlike(S.TRIGGER).alias("passes")).collect()
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").select("doc_id", S.suspicious("text").alias("passes")).collect()
     passes = {texts[r.doc_id] for r in rows if r.passes}
     found = {t for t in texts if S.find(t)}
     assert found <= passes, found - passes
     assert len(found) >= len(texts) - 3, set(texts) - found
     out = S.replace_entities(spark.createDataFrame([(1, texts[0])], "doc_id bigint, text string"), KEY).first().text
     assert re.fullmatch("key AKIA[A-Z]{16} z", out) and out != texts[0]
+
+
+def test_one_person_is_one_entity_whatever_the_title(spark):
+    texts = ["Mr. John Smith met Dr. John Smith", "Dr. John Smith called", "Mrs. Robin Hall and Mr. Robin Hall", "Dr. Kim Hall"]
+    rows = S.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), KEY, "n").orderBy("doc_id").collect()
+    given, family = rows[0].text.split()[1:3]
+    assert rows[0].text == f"Mr. {given} {family} met Dr. {given} {family}" and given.lower() in {n.lower() for n in S.GIVEN["m", "latin"]}
+    assert rows[1].text == f"Dr. {given} {family} called"          # the title of another document tells the list
+    one, other = rows[2].text.split(" and ")
+    assert one.split()[1:] == other.split()[1:] and [r.n for r in rows] == [2, 2, 2, 2]
+
+
+def test_rows_without_or_with_one_id_share_no_map(spark):
+    texts = [f"write to user{i}@mail{i}.com" for i in range(3)]
+    rows = [(None, t) for t in texts] + [(5, t) for t in texts] + [(None, texts[0])]
+    out = S.replace_entities(spark.createDataFrame(rows, "doc_id bigint, text string"), KEY, "n_entities").collect()
+    assert [r.n_entities for r in out] == [1] * 7
+    made = {r.text for r in out}
+    assert len(made) == 3 and not made & set(texts)
+
+
+def test_no_surrogate_is_a_real_entity_of_another_kind(spark):
+    """Brute force over all kinds, on names that are drawn most often."""
+    real = [n.lower() for g in S.GIVEN.values() for n in g]
+    rows = [("family", n) for n in real] + [("given_m", f"name{i}") for i in range(40)] + [("given_f", "name1"), ("given_n", "name2")]
+    made = S.distinct_surrogates(spark.createDataFrame(rows, "kind string, canonical string"), KEY).collect()
+    assert len({r.made for r in made}) == len(made) and not {r.made for r in made} & {n for _, n in rows}
+    assert len(made) == len({("given" if k.startswith("given") else k, n) for k, n in rows})
+
+
+def test_counted_column_takes_the_place_of_one_with_its_name(spark):
+    docs = spark.createDataFrame([(1, "a@b.com", 9), (2, "none", 9)], "doc_id bigint, text string, n int")
+    assert {(r.doc_id, r.n) for r in S.replace_entities(docs, KEY, "n").collect()} == {(1, 1), (2, 0)}

@@ -20,6 +20,7 @@ import sys
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,10 +71,10 @@ _REST = rf"""
 """
 ENTITY = re.compile(f"{_MAIL}|{_REST}", re.X)
 NO_MAIL = re.compile(f"(?P<email>(?!))|{_REST}", re.X)      # the same for texts without @, in less time
-# Java's pattern of the texts that may hold an entity: whatever ENTITY matches has a digit of any script, an @, AKIA, a key
-# word, two colons, seven groups of an address, or a title and a blank. Digits are listed as Python knows them.
+# What a text with an entity holds: a digit of any script, an @, AKIA, a key word, two colons, seven groups of an address, or
+# a title and a blank. Digits are listed as Python knows them. Arrow's engine takes time in proportion to the text.
 _DIGITS = "".join(f"\\x{{{z:x}}}-\\x{{{z + 9:x}}}" for z in range(128, sys.maxunicode) if chr(z).isdecimal() and unicodedata.decimal(chr(z)) == 0)
-TRIGGER = rf"[@0-9]|(?=[^\x00-\x7f])[{_DIGITS}]|::|(?::[a-fA-F]{{1,4}}){{7}}|AKIA|(?iu:{_KEYWORD})|(?:{_TITLE})\.? "
+TRIGGER = rf"[@0-9{_DIGITS}]|::|(?::[a-fA-F]{{1,4}}){{7}}|AKIA|(?i:{_KEYWORD})|(?:{_TITLE})\.? "
 
 
 def _script(text: str) -> str:
@@ -282,6 +283,12 @@ def rewrite(text: str, made: dict[tuple[str, str], str]) -> str:
     return "".join(out) + text[at:]
 
 
+@F.arrow_udf(T.BooleanType())
+def suspicious(texts: pa.Array) -> pa.Array:
+    """Whether a text may hold an entity; every text that does passes."""
+    return pc.fill_null(pc.match_substring_regex(texts, TRIGGER), False)
+
+
 @F.arrow_udf(T.ArrayType(T.StructType().add("kind", T.StringType()).add("canonical", T.StringType())))
 def _found(texts: pa.Array) -> pa.Array:
     shape = pa.list_(pa.struct([("kind", pa.string()), ("canonical", pa.string())]))
@@ -302,16 +309,29 @@ def _draw(kind: Column, canonical: Column, attempt: Column, key: bytes) -> Colum
     return draw(kind, canonical, attempt)
 
 
+def _one_kind(kind: Column) -> Column:
+    """A given name is one entity, whatever title stood before it."""
+    return F.when(F.startswith(kind, F.lit("given")), "given").otherwise(kind)
+
+
 def distinct_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canonical, made): one surrogate for each distinct entity, no two alike, none a real entity."""
-    state = written(entities.distinct().withColumn("attempt", F.lit(0)).withColumn("made", _draw(F.col("kind"), F.col("canonical"), F.col("attempt"), key)), "surrogates")
+    """(kind, canonical, made): one surrogate for each distinct entity, no two alike, none a real entity of any kind.
+
+    A given name is drawn from the list of the gender that its titles agree on over the whole corpus, else from a neutral one.
+    """
+    said = lambda kind: F.bool_or(F.col("kind") == kind)
+    one = entities.groupBy(_one_kind(F.col("kind")).alias("one"), "canonical").agg(said("given_m").alias("m"), said("given_f").alias("f"))
+    list_ = F.when(F.col("m") & ~F.col("f"), "given_m").when(F.col("f") & ~F.col("m"), "given_f").otherwise("given_n")
+    one = one.select(F.when(F.col("one") == "given", list_).otherwise(F.col("one")).alias("kind"), "canonical", F.lit(0).alias("attempt"))
+    state = written(one.withColumn("made", _draw(F.col("kind"), F.col("canonical"), F.col("attempt"), key)), "surrogates")
     while True:
-        shared = state.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min("canonical").alias("first"))
-        real = state.select("kind", F.col("canonical").alias("made"), F.lit(True).alias("real"))
-        judged = state.join(shared, ["kind", "made"]).join(real, ["kind", "made"], "left")
-        judged = judged.withColumn("again", F.col("real").isNotNull() | ((F.col("n") > 1) & (F.col("canonical") != F.col("first"))))
+        me = F.struct("kind", "canonical")
+        shared = state.groupBy("made").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("first"))
+        real = state.select(F.col("canonical").alias("made"), F.lit(True).alias("real")).distinct()
+        judged = state.join(shared, "made").join(real, "made", "left")
+        judged = judged.withColumn("again", F.col("real").isNotNull() | ((F.col("n") > 1) & (me != F.col("first"))))
         if judged.where("again").isEmpty():
-            return state.select("kind", "canonical", "made")
+            return state.select(_one_kind(F.col("kind")).alias("kind"), "canonical", "made")
         state = written(judged.withColumn("attempt", F.col("attempt") + F.col("again").cast("int")).select("kind", "canonical", "attempt").withColumn(
             "made", _draw(F.col("kind"), F.col("canonical"), F.col("attempt"), key)), "surrogates")
 
@@ -321,16 +341,23 @@ def default_key() -> bytes:
 
 
 def replace_entities(docs: DataFrame, key: bytes | None = None, counted: str | None = None) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) with surrogates in the texts; ``counted`` names an added column for
-    the number of distinct entities of the document."""
+    """``docs`` (doc_id, text and any other columns) with surrogates in the texts; ``counted`` names a column for the number
+    of distinct entities of the text, in the place of one that has the name already.
+
+    Entities and texts meet by two hashes of the text, so rows need no key: rows with one text are treated alike, and
+    neither null nor repeated ids bring rows together.
+    """
     key = key or default_key()
-    suspect = F.coalesce(F.col("text").rlike(TRIGGER), F.lit(False))
-    rows = docs.where(suspect)
-    found = written(rows.select("doc_id", F.explode(_found("text")).alias("e")).select("doc_id", "e.kind", "e.canonical").distinct(), "entities")
-    made = distinct_surrogates(found.select("kind", "canonical"), key)
-    maps = found.join(made, ["kind", "canonical"]).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("kind", "canonical", "made")).alias("__made"))
-    joined = rows.join(maps, F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    docs = docs.drop(counted) if counted else docs
+    suspect = suspicious("text")
+    rows = docs.where(suspect).withColumns({"__one": F.xxhash64("text"), "__two": F.xxhash64(F.lit(2), "text")})
+    found = rows.select("__one", "__two", F.explode(_found("text")).alias("e")).select("__one", "__two", "e.kind", "e.canonical").distinct()
+    found = written(found, "entities").withColumn("one", _one_kind(F.col("kind")))
+    made = distinct_surrogates(found.select("kind", "canonical"), key).withColumnRenamed("kind", "one")
+    maps = found.join(made, ["one", "canonical"]).groupBy("__one", "__two").agg(
+        F.collect_list(F.struct("kind", "canonical", "made")).alias("__made"), F.count_distinct("one", "canonical").cast("int").alias("__n"))
+    joined = rows.join(maps, ["__one", "__two"], "left")
     text = F.when(F.col("__made").isNull(), F.col("text")).otherwise(_rewritten("text", "__made"))
-    changed = joined.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns], *([F.coalesce(F.size("__made"), F.lit(0)).alias(counted)] if counted else []))
+    changed = joined.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns], *([F.coalesce("__n", F.lit(0)).alias(counted)] if counted else []))
     kept = docs.where(~suspect).select("*", *([F.lit(0).alias(counted)] if counted else []))
     return kept.unionByName(changed)
