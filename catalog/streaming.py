@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weirworks.plans.tasks import task_join
+from weirworks.streaming import attempts as A
 from weirworks.streaming import usage as T
 from weirworks.views import VIEWS, shape, table
 
 from .base import query, recorded
-from .gate import VERDICT, gated
+from .gate import FIRSTS, SECONDS, SETTLED, SETTLED_COLUMNS, VERDICT, gated
 from .routing import DECIDED, route_sql
 from .usage import CELLS, LOG_COLUMNS, OK, ROWS, TS, log_lines
 
@@ -104,3 +106,45 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     log = stream(spark, sf_dir, "usage_log")
     return appended(spark, T.stream_dedup(log.unionByName(log)), "once").select(*LOG_COLUMNS)
+
+
+# --- tasks over three streams, attempts as state --------------------------------------------------------------------
+
+# every event is a prompt; answers and log rows follow it by minutes that its number tells, some too late, some never
+TASK_SIDES = {
+    "asked": "SELECT event_id AS task_id, ts AS asked_at, event_type AS kind FROM events",
+    "answered": "SELECT event_id AS task_id, ts + (event_id % 41) * INTERVAL '1' MINUTE AS answered_at, user_id AS worker FROM events WHERE event_id % 10 <> 3",
+    "logged": "SELECT event_id AS task_id, ts + (event_id % 41 + event_id % 13) * INTERVAL '1' MINUTE AS logged_at, value AS tokens FROM events WHERE event_id % 7 <> 2",
+}
+OVER = "(SELECT max(ts) FROM events) - INTERVAL '12' HOUR"      # by then every time limit is over, whatever the watermark
+
+
+@query("stream_task_join", f"""
+WITH {", ".join(f"{name} AS ({text})" for name, text in TASK_SIDES.items())},
+c AS (SELECT a.*, l.tokens FROM answered a LEFT JOIN logged l ON l.task_id = a.task_id AND l.logged_at BETWEEN a.answered_at AND a.answered_at + INTERVAL '10' MINUTE),
+j AS (SELECT coalesce(p.task_id, c.task_id) AS task_id, p.asked_at, c.answered_at, p.kind, c.worker, c.tokens,
+  CASE WHEN c.task_id IS NULL THEN 'unanswered' WHEN p.task_id IS NULL THEN 'unprompted' WHEN c.tokens IS NULL THEN 'unlogged' ELSE 'logged' END AS task_state
+  FROM asked p FULL JOIN c ON c.task_id = p.task_id AND c.answered_at BETWEEN p.asked_at AND p.asked_at + INTERVAL '30' MINUTE)
+SELECT task_id, task_state, kind, worker, tokens FROM j WHERE coalesce(asked_at, answered_at) < {OVER}""")
+def _(spark, sf_dir):
+    def side(name):
+        source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        source.createOrReplaceTempView("events")
+        out = spark.sql(TASK_SIDES[name])
+        return out.withColumn(f"{name}_at", F.col(f"{name}_at").cast("timestamp"))
+    rows = appended(spark, task_join(*map(side, TASK_SIDES)), "tasks")
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    last = spark.sql(f"SELECT CAST({OVER} AS TIMESTAMP) AS t").first()[0]
+    return rows.where(F.coalesce("asked_at", "answered_at") < F.lit(last)).select("task_id", "task_state", "kind", "worker", "tokens")
+
+
+# both attempts of all tasks, a minute apart; the end of the stream has settled all but the last tasks
+@query("stream_attempts", f"""WITH {SETTLED} SELECT {', '.join(SETTLED_COLUMNS)}, array_to_string(why, '; ') AS reasons FROM settled
+WHERE task_id <= (SELECT max(doc_id) FROM documents) - 100""", ["completions", "retries"])
+def _(spark, sf_dir):
+    for name in ("completions", "retries"):
+        stream(spark, sf_dir, name).createOrReplaceTempView(name)
+    both = spark.sql(f"{FIRSTS} UNION ALL {SECONDS}").withColumn("ts", F.timestamp_seconds(F.col("task_id") * 60 + F.col("attempt_no") * 120))
+    rows = appended(spark, A.stream_attempts(both, wait=1200), "attempts")
+    last = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0]
+    return rows.where(F.col("task_id") <= last - 100).select(*SETTLED_COLUMNS, F.array_join("failure_reasons", "; ").alias("reasons"))

@@ -138,8 +138,8 @@ def _reasons(failures: Column) -> Column:
 
 
 def attempt_verdicts(attempts: DataFrame, options: dims.GateOptions = dims.GateOptions(), key: str = "task_id",
-                     enabled: bool = True, **columns) -> DataFrame:
-    """Gate attempts and keep one small struct per attempt; their text stays behind.
+                     enabled: bool = True, keep: tuple[str, ...] = (), **columns) -> DataFrame:
+    """Gate attempts and keep one small struct per attempt, and the columns named in ``keep``; their text stays behind.
 
     With the gate off, every first attempt that answered is accepted, and no check counts.
     """
@@ -154,13 +154,13 @@ def attempt_verdicts(attempts: DataFrame, options: dims.GateOptions = dims.GateO
         F.col("response").isNotNull().alias("answered"), "accepted", "should_retry", "should_escalate",
         F.concat(_reasons(F.col("hard_failures")), _reasons(F.col("soft_failures"))).alias("reasons"),
         (F.size("soft_failures") > 0).alias("soft"), "checks_passed", "checks_total", *CARRIED)
-    return gated.select(key, "attempt_no", row.alias("a"))
+    return gated.select(key, "attempt_no", row.alias("a"), *keep)
 
 
 def settle_attempts(verdicts: DataFrame, allow_retry: bool = True, key: str = "task_id") -> DataFrame:
     """Settle each task from the verdicts of its first and second attempt."""
     pick = lambda n: F.max(F.when(F.col("attempt_no") == n, F.col("a"))).alias(f"a{n}")
-    return _settle(verdicts.groupBy(key).agg(pick(1), pick(2)), key, allow_retry)
+    return settle_pairs(verdicts.groupBy(key).agg(pick(1), pick(2)), key, allow_retry)
 
 
 def resolve_attempts(attempts: DataFrame, options: dims.GateOptions = dims.GateOptions(), allow_retry: bool = True,
@@ -173,7 +173,8 @@ def resolve_attempts(attempts: DataFrame, options: dims.GateOptions = dims.GateO
     return settle_attempts(attempt_verdicts(counted, options, key, **columns), allow_retry, key)
 
 
-def _settle(pairs: DataFrame, key: str, allow_retry: bool) -> DataFrame:
+def settle_pairs(pairs: DataFrame, key: str, allow_retry: bool) -> DataFrame:
+    """Settle tasks from rows with both verdicts, ``a1`` and ``a2``; null where there was no attempt."""
     a1, a2 = F.col("a1"), F.col("a2")
     answered = lambda a: F.coalesce(a["answered"], F.lit(False))
     retry = answered(a1) & ~a1["accepted"] & a1["should_retry"] & ~a1["should_escalate"] & F.lit(allow_retry)
