@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weirworks.functions import text as X
 from weirworks.operators import reports as P
 from weirworks.plans import conversations as V
+from weirworks.plans.tasks import task_rows
 from weirworks.views import table, view
 
 from weirworks.dims import NO_ANSWER
@@ -92,9 +93,8 @@ SELECT p.task_id, length(p.text) AS prompt_chars, length(c.response) AS response
 FROM prompts p JOIN completions c ON c.task_id = p.task_id LEFT JOIN usage_log u ON u.log_ord = p.task_id""", ["prompts", "completions", "usage_log"])
 def _(spark, sf_dir):
     prompts, answers, log = (view(spark, sf_dir, v) for v in ("prompts", "completions", "usage_log"))
-    sized = prompts.select("task_id", F.length("text").alias("prompt_chars")).join(
-        answers.select("task_id", F.length("response").alias("response_chars")), "task_id")
-    return sized.join(log.select(F.col("log_ord").alias("task_id"), "type", "tokens_used"), "task_id", "left")
+    return task_rows(prompts.select("task_id", F.length("text").alias("prompt_chars")), answers.select("task_id", F.length("response").alias("response_chars")),
+                     log.select(F.col("log_ord").alias("task_id"), "type", "tokens_used"))
 
 
 # --- running a completion function -----------------------------------------------------------------------

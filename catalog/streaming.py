@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from weirworks.plans.tasks import task_join
 from weirworks.streaming import attempts as A
+from weirworks.streaming import maintained as M
 from weirworks.streaming import usage as T
 from weirworks.views import VIEWS, shape, table
 
 from .base import query, recorded
 from .gate import FIRSTS, SECONDS, SETTLED, SETTLED_COLUMNS, VERDICT, gated
 from .routing import DECIDED, route_sql
-from .usage import CELLS, LOG_COLUMNS, OK, ROWS, TS, log_lines
+from .usage import CELLS, advice_sql, LOG_COLUMNS, OK, ROWS, TS, log_lines
 
 HOUR = "INTERVAL 1 HOUR"
 
@@ -148,3 +149,23 @@ def _(spark, sf_dir):
     rows = appended(spark, A.stream_attempts(both, wait=1200), "attempts")
     last = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0]
     return rows.where(F.col("task_id") <= last - 100).select(*SETTLED_COLUMNS, F.array_join("failure_reasons", "; ").alias("reasons"))
+
+
+# --- a maintained table ---------------------------------------------------------------------------------------------
+
+# every record is added, some twice, and every eleventh is taken back, in files that mix all of it
+CHANGED = """SELECT task_fingerprint AS record, task_type, level_used, outcome, op FROM (
+  SELECT *, explode(CASE WHEN level_used = 3 AND outcome <> 'success' THEN array('retract', 'add') WHEN level_used = 1 THEN array('add', 'add') ELSE array('add') END) AS op FROM history)"""
+
+
+@query("maintained_learner", f"""WITH kept AS (SELECT * FROM history WHERE NOT (level_used = 3 AND outcome <> 'success')),
+{CELLS.replace("FROM history", "FROM kept")}, {advice_sql('c')}""", ["history"])
+def _(spark, sf_dir):
+    from weirworks.views import view
+    view(spark, sf_dir, "history").createOrReplaceTempView("history")
+    source, _ = T.paths(spark, "changes")
+    path, checkpoint = T.paths(spark, "maintained")
+    spark.sql(CHANGED).repartition(6).write.parquet(source)
+    changes = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
+    M.maintain(changes, path, checkpoint)
+    return M.maintained_learner(spark, path)

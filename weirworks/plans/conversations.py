@@ -20,19 +20,25 @@ def pair_turns(conversations: DataFrame) -> DataFrame:
 
     The order comes from slim columns, and texts join by (conversation, turn). A conversation is ordered in ranges of
     ``TURNS`` turn numbers, so one with very many turns is no group of its own: what follows the last turn of a range is
-    the first turn of the next range that has any.
+    the first turn of the next range that has any. Turns without a conv_id are one conversation.
     """
     slim = conversations.select("conv_id", "turn", "role").withColumn("_part", F.floor(F.col("turn") / TURNS))
     inside = Window.partitionBy("conv_id", "_part").orderBy("turn")
     first = slim.groupBy("conv_id", "_part").agg(F.min(F.struct("turn", "role")).alias("_first"))
     after = first.select("conv_id", "_part", F.lead("_first").over(Window.partitionBy("conv_id").orderBy("_part")).alias("_after"))
     asked = slim.withColumn("_next", F.lead(F.struct("turn", "role")).over(inside)).where("role = 'user'")
-    asked = asked.join(after, ["conv_id", "_part"]).withColumn("_next", F.coalesce("_next", "_after")).where("_next.role = 'assistant'")
+    asked = _same(asked, after, ["conv_id", "_part"]).withColumn("_next", F.coalesce("_next", "_after")).where("_next.role = 'assistant'")
     pairs = asked.select("conv_id", "turn", F.col("_next.turn").alias("_answer"))
     texts = conversations.select("conv_id", "turn", "text")
-    out = pairs.join(texts.withColumnRenamed("text", "prompt"), ["conv_id", "turn"])
+    out = _same(pairs, texts.withColumnRenamed("text", "prompt"), ["conv_id", "turn"])
     told = texts.select("conv_id", F.col("turn").alias("_answer"), F.col("text").alias("response"))
-    return out.join(told, ["conv_id", "_answer"]).select("conv_id", "turn", "prompt", "response")
+    return _same(out, told, ["conv_id", "_answer"]).select("conv_id", "turn", "prompt", "response")
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An equi-join in which null keys are equal, too."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    return left.join(named, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]).drop(*(f"_r_{k}" for k in keys))
 
 
 def judged_pairs(conversations: DataFrame, level: int = dims.DEFAULT_LEVEL,

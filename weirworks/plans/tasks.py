@@ -43,3 +43,12 @@ def task_join(prompts: DataFrame, completions: DataFrame, log: DataFrame, key: s
              .when(F.col("_u").isNull(), "unlogged").otherwise("logged"))
     return whole.select(F.coalesce("_p", "_c").alias(key), state.alias("task_state"),
                         *[c for c in whole.columns if c not in ("_p", "_c", "_u")])
+
+
+def task_rows(prompts: DataFrame, completions: DataFrame, log: DataFrame, key: str = "task_id") -> DataFrame:
+    """Each prompt with its completions and, where there are any, their log rows, by key alone.
+
+    The three sides' other columns must have different names; select what is needed first, so that texts stay behind.
+    Rows without a key meet nothing: prompts and completions without one are left out.
+    """
+    return prompts.join(completions, key).join(log, key, "left")
