@@ -10,7 +10,7 @@ from weirworks.functions import text as X
 from weirworks.operators import learning as L
 from weirworks.operators import usage as U
 from weirworks.operators.routing import light_budget, skip_short
-from weirworks.sources import logs
+from weirworks.sources import daily, logs
 from weirworks.sources.workdir import new_path
 from weirworks.views import table, view
 
@@ -43,6 +43,27 @@ def _(spark, sf_dir):
     return log.select(*LOG_COLUMNS, F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+@query("daily_log", f"""SELECT {', '.join(c for c in LOG_COLUMNS if c != 'log_ord')}, {TS.format('ts')} AS at, strftime(ts, '%Y-%m-%d') AS kept_under
+FROM usage_log""", ["usage_log"])
+def _(spark, sf_dir):
+    """The whole log through the data source of its own: written by day and kind, and read back."""
+    path = new_path(spark, "daily-log")
+    daily.append_daily_log(view(spark, sf_dir, "usage_log"), path)
+    return daily.read_daily_log(spark, path).select(*[c for c in LOG_COLUMNS if c != "log_ord"], F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"),
+                                                    F.col("day").cast("string").alias("kept_under"))
+
+
+@query("daily_log_range", f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS records, CAST(sum(tokens_used) AS BIGINT) AS tokens
+FROM usage_log WHERE type = 'completion' AND ts >= (SELECT date_trunc('day', max(ts)) FROM usage_log) - INTERVAL '7' DAY GROUP BY 1""", ["usage_log"])
+def _(spark, sf_dir):
+    """Completions of the last eight days; files of other days and kinds are not opened."""
+    path, log = new_path(spark, "daily-log"), view(spark, sf_dir, "usage_log")
+    daily.append_daily_log(log, path)
+    since = log.agg(F.date_sub(F.to_date(F.max("ts")), 7)).first()[0]
+    rows = daily.read_daily_log(spark, path).where((F.col("day") >= F.lit(since)) & (F.col("kind") == "completion"))
+    return rows.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("records"), F.sum("tokens_used").alias("tokens"))
+
+
 @query("read_delegations", f"SELECT {', '.join(LOG_COLUMNS)} FROM usage_log WHERE type = 'delegation'", ["usage_log"])
 def _(spark, sf_dir):
     return logs.delegations(logs.parse_lines(log_lines(spark, sf_dir), logs.USAGE_FIELDS)).select(*LOG_COLUMNS)

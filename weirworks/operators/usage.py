@@ -209,10 +209,12 @@ def threshold_sweep(log: DataFrame, cutoffs: list[int], rate: float = dims.DEFAU
     bands = billable(log).withColumn("_band", band).where("_band > 0").groupBy("_band").agg(
         F.sum("tokens_used").alias("tokens"), F.sum(C.cloud_overhead(F.col("tokens_used"))).alias("overhead"),
         F.count(F.lit(1)).alias("tasks"))
-    parts = ("tokens", "overhead", "tasks")
-    sums = bands.agg(*[_sum(F.col(p), F.col("_band") >= k).alias(f"{p}{k}") for k in range(1, len(cuts) + 1) for p in parts])
-    rows = [F.struct(F.lit(c).cast("bigint").alias("cutoff"), *[F.col(f"{p}{k}").alias(p) for p in parts]) for k, c in enumerate(cuts, 1)]
-    priced = add_cost(sums.select(F.inline(F.array(*rows))), F.lit(float(rate)), "tokens", "overhead", rounded=False)
+    # at most one row for each cut-off: the bands are summed from the highest down in one expression, however many there are
+    held = bands.agg(F.collect_list(F.struct("_band", "tokens", "overhead", "tasks")).alias("bands"))
+    total = lambda k, p: F.aggregate(F.filter("bands", lambda b: b["_band"] >= k), F.lit(0).cast("bigint"), lambda a, b: a + b[p]).alias(p)
+    row = lambda k: F.struct(F.element_at(listed, k).alias("cutoff"), *[total(k, p) for p in ("tokens", "overhead", "tasks")])
+    sums = held.select(F.inline(F.transform(F.sequence(F.lit(1), F.lit(len(cuts))), row)))
+    priced = add_cost(sums, F.lit(float(rate)), "tokens", "overhead", rounded=False)
     ratio = F.when(F.col("gross_cost") > 0, F.col("net_cost") / F.col("gross_cost")).otherwise(0.0)
     return priced.withColumn("efficiency", ratio)
 
