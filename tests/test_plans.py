@@ -45,11 +45,16 @@ def test_no_cross_joins(spark, sf_dir):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
 
 
-def test_triage_moves_only_prompts_it_can_decide(spark, sf_dir):
+def test_triage_classifies_each_prompt_once(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("task_id"), "text")
-    answers = docs.select("task_id", F.lit("{}").alias("response"))
+    answers = docs.select("task_id", F.lit('{"category": "simple", "confidence": 0.9}').alias("response"))
     text = plan(R.route(docs, triage=answers))
-    assert "Union" in text
+    assert text.count("Scan parquet") == 2 and "Union" not in text and "SortMergeJoin" not in text        # prompts and answers
+    few = R.route(docs, triage=answers).orderBy("task_id").collect()
+    monkeypatch.setattr(R, "fits_broadcast", lambda df: False)
+    text = plan(R.route(docs, triage=answers))
+    assert text.count("Scan parquet") == 2 and "Union" not in text
+    assert R.route(docs, triage=answers).orderBy("task_id").collect() == few
 
 
 def test_compression_report_shuffles_counts_once(spark, sf_dir):
@@ -60,3 +65,5 @@ def test_compression_report_shuffles_counts_once(spark, sf_dir):
 def test_packing_reads_tasks_once_per_use(spark, sf_dir):
     text = plan(QUERIES["known_files"](spark, sf_dir))
     assert text.count("Scan parquet") <= 4
+    text = plan(QUERIES["pack_context"](spark, sf_dir))
+    assert text.count("Scan parquet") <= 9 and text.count("Join") <= 6

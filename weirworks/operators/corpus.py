@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import outline as O
 from ..functions import text as X
+from ..sources.workdir import written
 
 SMALL_FILE = 1_000_000
 
@@ -85,8 +86,9 @@ def pack_context(tasks: DataFrame, files: DataFrame, options: dims.ContextOption
 
     Only files that some task names are outlined, once each. The budget is filled from token counts alone; the text of
     an outline or a slice meets a task only where it was kept. A task gathers at most ``max_files`` files (None: all).
+    References, outlines and the tasks' items are stored once in the work folder, as each is used twice.
     """
-    refs = task_refs(tasks, key, text, options.max_files)
+    refs = written(task_refs(tasks, key, text, options.max_files), "file-refs")
     cut = outline(files.join(refs.select("path").distinct(), "path", "left_semi")).withColumn("_lines", O.lines_of(F.col("content")))
     n = options.max_lines
     cut = cut.withColumns({
@@ -97,8 +99,10 @@ def pack_context(tasks: DataFrame, files: DataFrame, options: dims.ContextOption
     texts = cut.select("path", "language", "total_lines", "classes", "functions", "outline", "first", "rest",
                        X.estimate_tokens(F.col("outline")).alias("outline_tokens"),
                        X.estimate_tokens(F.col("first")).alias("first_tokens"))
+    texts = written(texts, "outlines")
     costs = texts.select("path", "outline_tokens", "first_tokens")
     sizes = refs.join(costs, "path").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "path", "outline_tokens", "first_tokens"))).alias("_items"))
+    sizes = written(sizes, "task-items")
     left = F.lit(options.budget) - X.estimate_tokens(F.col(text))
     out = tasks.join(sizes, key, "left").withColumn("_items", F.coalesce("_items", F.array()))
     out = out.withColumn("_o", _fit(F.col("_items"), left, "outline_tokens", F.lit(0)))

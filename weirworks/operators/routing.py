@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import signals as S
 from ..functions.text import FENCE, contains_any, is_json, one_of, strip, to_fixed
-from .joins import fits_broadcast
+from .joins import fits_broadcast, lookup
 from .phrases import BLOCK_CHARS, first_rule
 from .staging import settle
 
@@ -161,12 +161,13 @@ def classify(prompts: DataFrame, text: str = "text", triage: DataFrame | None =
     out = _signals_of_lowered(_match_lowered(prompts.withColumn("_lower", F.lower(text))))
     if triage is not None:
         parsed = parse_triage(triage).select(key, "triage_level", "triage_confidence")
-        answers = ["triage_level", "triage_confidence"]
-        unheard = F.coalesce(F.col("triage_level"), F.lit(3)), F.coalesce(F.col("triage_confidence"), F.lit(0.3))
-        # only prompts whose answer can count cross the join; the text of all others stays where it was read
+        # one pass over the prompts: an answer counts only where no rule matched and the score leaves it open
         asked = F.coalesce(F.col("rule_ord").isNull() & S.ambiguous(F.col("score")), F.lit(False))
-        heard = out.where(asked).join(parsed, key, "left").withColumns(dict(zip(answers, unheard)))
-        out = out.where(~asked).withColumns({c: F.lit(None).cast(heard.schema[c].dataType) for c in answers}).unionByName(heard)
+        out = out.withColumn("_asked", F.when(asked, F.col(key)))
+        told = parsed.withColumnRenamed(key, "_asked")
+        out = out.join(F.broadcast(told), "_asked", "left") if fits_broadcast(told) else lookup(out, told, "_asked", spread_by=text)
+        unheard = {"triage_level": 3, "triage_confidence": 0.3}
+        out = out.withColumns({c: F.when(asked, F.coalesce(F.col(c), F.lit(v))) for c, v in unheard.items()}).drop("_asked")
     if learner is not None:
         out = learned_adjustment(out, learner)
     return out
