@@ -8,10 +8,11 @@ from weirworks import dims
 from weirworks.functions import cost as C
 from weirworks.functions import text as X
 from weirworks.operators import learning as L
+from weirworks.operators import ranges as G
 from weirworks.operators import usage as U
 from weirworks.operators.routing import light_budget, skip_short
 from weirworks.sources import daily, logs
-from weirworks.sources.workdir import new_path
+from weirworks.sources.workdir import new_path, written
 from weirworks.views import table, view
 
 from .base import (blended, case_of, costs, count, dbl, est_tokens, fixed, gross, lit, NONSPACE, on_view, overhead,
@@ -419,3 +420,28 @@ def _(spark, sf_dir):
     before = logs.read_usage_log(spark, path).count()
     logs.truncate_log(spark, path)
     return logs.read_usage_log(spark, path).agg(F.lit(before).alias("before"), F.count(F.lit(1)).alias("after"))
+
+
+# --- measures over ranges --------------------------------------------------------------------------------------------
+
+on_view("token_medians", "usage_log", G.token_medians, f"""
+WITH r AS (SELECT coalesce(tool, 'unknown') AS tool, strftime(ts, '%Y-%m-%d') AS day, tokens_used FROM usage_log WHERE {OK}),
+n AS (SELECT *, row_number() OVER (PARTITION BY tool, day ORDER BY tokens_used) - 1 AS at, count(*) OVER (PARTITION BY tool, day) AS c FROM r)
+SELECT tool, day, tokens_used AS median_tokens FROM n WHERE at = c // 2""")
+
+
+@query("sessions_over", f"""
+WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS day, session_id, tokens_used FROM usage_log WHERE {OK}),
+s AS (SELECT unnest([day, substr(day, 1, 7), substr(day, 1, 4), 'all']) AS span, session_id, tokens_used FROM r)
+SELECT span, count(*) AS tasks, CAST(sum(tokens_used) AS BIGINT) AS tokens, count(DISTINCT CASE WHEN session_id <> 'unknown' THEN session_id END) AS sessions,
+  true AS within_bound FROM s GROUP BY span""", ["usage_log"])
+def _(spark, sf_dir):
+    """Days, months, years and all of it from the daily table alone, next to the exact count and whether the bound holds."""
+    log = view(spark, sf_dir, "usage_log")
+    daily = written(G.daily_sessions(log), "daily-sessions")
+    spans = [G.sessions_over(daily, span) for span in (*G.SPANS, "all")]
+    told = spans[0].unionByName(spans[1]).unionByName(spans[2]).unionByName(spans[3])
+    rows = U.billable(log).select(U.day_of(F.col("ts")).alias("day"), F.when(F.col("session_id") != "unknown", F.col("session_id")).alias("s"))
+    names = F.array("day", F.substring("day", 1, 7), F.substring("day", 1, 4), F.lit("all"))
+    exact = rows.select(F.explode(names).alias("span"), "s").groupBy("span").agg(F.count_distinct("s").alias("exact"))
+    return told.join(exact, "span").select("span", "tasks", "tokens", F.col("exact").alias("sessions"), F.col("exact").between(F.col("low"), F.col("high")).alias("within_bound"))
