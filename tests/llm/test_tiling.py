@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+
 from weirworks.llm import tiling as T
 
 
@@ -65,3 +66,26 @@ def test_blocks_and_empty(spark, make, prose, monkeypatch):
     monkeypatch.setattr(T, "BLOCK_WORDS", 70)
     assert {(r.doc_id, r.item_id) for r in T.contaminated(docs, bench).collect()} == {(i, i) for i in range(9)}
     assert T.contaminated(docs.limit(0), bench).count() == 0 and T.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_numbers_of_runs_roll():
+    """Equal runs have equal numbers, whatever stands before them; long texts take time in proportion."""
+    import time
+    rng = np.random.default_rng(5)
+    words = rng.integers(1, 2 ** 63, 1000).astype(np.uint64)
+    runs = T.Runs(np.concatenate([words, words[100:400], words[:7]]))
+    for n in (1, 5, 300):
+        numbers = runs.numbers(n)
+        assert numbers[100] == numbers[1000] and len(set(numbers[:700].tolist())) == 700
+    a = rng.integers(1, 2 ** 63, 100_000).astype(np.uint64)
+    b = np.concatenate([rng.integers(1, 2 ** 63, 30_000).astype(np.uint64), a[50_000:90_000], a[:20_000]])
+    start = time.time()
+    assert T.tiles(a.tobytes(), b.tobytes()) == (60_000, 2, 40_000) and time.time() - start < 20
+
+
+def test_items_and_documents_without_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, "x " + text), (1, text + " y"), (2, "other words here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), (7, text)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.coverage) for r in T.contaminated(docs, items).collect()}
+    assert found == {(d, i, 1.0) for d in (None, 1) for i in (None, 7)}

@@ -3,14 +3,16 @@
 The benchmark's runs of ``TILE`` words are the seeds. One pass over the documents keeps, of each whole text, the words
 that a seed covers, and its distinct seeds; a join on the seeds finds the (document, item) pairs that share tokens. For
 each pair the longest common run of unmarked words is marked again and again, until none of ``TILE`` words is left; runs
-are found by running Karp-Rabin numbers of a length that is narrowed down by halving, and compared word by word. Passages
+are found by Karp-Rabin numbers, which running sums give for any length, of a length that is narrowed down by halving, and
+compared word by word. Passages
 that were cut up and put in another order are still covered, tile by tile. A document is contaminated by an item of which
 tiles cover at least ``COVERAGE`` of the words.
 
 The benchmark goes through in blocks of at most ``BLOCK_WORDS`` words, and only a block's seeds are broadcast, so its
 size is bounded; all documents meet every block. Words fold A-Z. Null and empty texts share nothing; items of fewer than
-``TILE`` words cannot be covered and are left out; repeated items or documents give the same row once; empty tables give
-no rows.
+``TILE`` words cannot be covered and are left out; items and documents meet by row numbers, so those without an id are
+found like others and give rows with a null; repeated items or documents give the same row once; ties between runs go to
+the first place in the item, then in the document; other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from weirworks.sources.workdir import written
 
-from .words import U, grams, pieces, signed
+from .words import Powers, U, grams, mix, pieces, signed
 
 TILE = 5
 COVERAGE = 0.5
@@ -68,9 +70,24 @@ def _covered(batches: Iterator[pa.RecordBatch], seeds: np.ndarray) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(kept, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "words", "seeds"])
 
 
-def _common(a: np.ndarray, b: np.ndarray, n: int) -> tuple[int, int] | None:
+class Runs:
+    """The words of a text and Karp-Rabin numbers of its runs: with sums of words times powers of a base, the number of
+    a run of any length is one difference, brought to a common power."""
+    def __init__(self, words: np.ndarray):
+        Powers.reach(len(words) + 1)
+        self.words = words
+        self.sums = np.zeros(len(words) + 1, U)
+        np.cumsum(mix(words) * Powers.up[:len(words)], out=self.sums[1:])
+
+    def numbers(self, n: int) -> np.ndarray:
+        """The number of each run of n words, in order."""
+        m = len(self.words) - n + 1
+        return (self.sums[n:] - self.sums[:m]) * Powers.down[:m] if m > 0 else np.zeros(0, U)
+
+
+def _common(runs_a: Runs, runs_b: Runs, a: np.ndarray, b: np.ndarray, n: int) -> tuple[int, int] | None:
     """The first place in a, and the first in b, where the same n unmarked words stand; marked words are 0."""
-    ga, gb = grams(a, n), grams(b, n)
+    ga, gb = runs_a.numbers(n), runs_b.numbers(n)
     if not len(ga) or not len(gb):
         return None
     fine_a, fine_b = _whole(a, n), _whole(b, n)
@@ -90,12 +107,13 @@ def _whole(a: np.ndarray, n: int) -> np.ndarray:
 def tiles(item: bytes, words: bytes, least: int = TILE) -> tuple[int, int, int]:
     """(covered words of the item, tiles, longest tile) by greedy string tiling."""
     a, b = np.frombuffer(item, U).copy(), np.frombuffer(words, U).copy()
+    runs_a, runs_b = Runs(a.copy()), Runs(b.copy())       # of the words as they were: marks only rule runs out
     covered = count = longest = 0
     high = min(len(a), len(b))
     while True:
         size, spot, low, top, n = 0, None, least, high, high     # the whole length first: one passage is the usual case
         while low <= n <= top:
-            if (found := _common(a, b, n)) is None:
+            if (found := _common(runs_a, runs_b, a, b, n)) is None:
                 top = n - 1
             else:
                 size, spot, low = n, found, n + 1
@@ -127,20 +145,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """(doc_id, item_id, coverage, tiles, longest): the pairs whose coverage reaches the threshold."""
     spark = docs.sparkSession
     items = written(benchmark.where("text IS NOT NULL").select("item_id", _item("text").alias("x")).select(
-        "item_id", "x.words", "x.seeds", (F.octet_length("x.words") / 8).cast("long").alias("n")).where(F.col("n") >= TILE).distinct(), "tiling-items")
+        "item_id", "x.words", "x.seeds", (F.octet_length("x.words") / 8).cast("long").alias("n")).where(F.col("n") >= TILE).distinct().withColumn(
+        "item_row", F.monotonically_increasing_id()), "tiling-items")
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks, out = -(-total // BLOCK_WORDS), None
     kinds = dict(docs.dtypes)["doc_id"]
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        block = items.where(F.pmod(F.xxhash64("item_row"), F.lit(blocks)) == k)
         seeds = np.sort(np.array([r[0] for r in block.select(F.explode("seeds")).distinct().collect()], np.int64).view(U))
         if not len(seeds):
             continue
         kept = written(docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(
             lambda batches, seeds=seeds: _covered(batches, seeds), f"doc_id {kinds}, words binary, seeds array<bigint>").withColumn("row", F.monotonically_increasing_id()), "tiling-words")
-        shared = kept.select("row", F.explode("seeds").alias("seed")).join(block.select("item_id", F.explode("seeds").alias("seed")), "seed")
-        pairs = shared.select("row", "item_id").distinct().join(kept.select("row", "doc_id", "words"), "row")
-        pairs = pairs.join(block.select("item_id", F.col("words").alias("item"), "n"), "item_id")
+        shared = kept.select("row", F.explode("seeds").alias("seed")).join(block.select("item_row", F.explode("seeds").alias("seed")), "seed")
+        pairs = shared.select("row", "item_row").distinct().join(kept.select("row", "doc_id", "words"), "row")
+        pairs = pairs.join(block.select("item_row", "item_id", F.col("words").alias("item"), "n"), "item_row")
         rows = pairs.select("doc_id", "item_id", "n", _tiled("item", "words").alias("t"))
         rows = rows.select("doc_id", "item_id", (F.col("t.covered") / F.col("n")).alias("coverage"), "t.tiles", "t.longest").where(F.col("coverage") >= coverage)
         out = rows if out is None else out.unionByName(rows)
