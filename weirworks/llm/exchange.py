@@ -9,7 +9,9 @@ for each batch. Sorted keys are sent as differences.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pandas as pd
@@ -50,6 +52,7 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + serial], pa.int64()), pa.array([int(length[high - 1] - before)], pa.int64()),
                                               pa.array([pack_rows(batch.slice(low, high - low))], pa.binary())], ["batch", "bytes", "docs"])
             low, serial = high, serial + 1
+        release()
 
 
 def batched(docs: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
@@ -61,11 +64,19 @@ def slices(table: DataFrame) -> int:
     return max(1, -(-(table.agg(F.sum("bytes")).first()[0] or 0) // SLICE_BYTES))
 
 
+def release() -> None:
+    """Give free memory back to the system: a worker lives on, and what one stage needed would add up with the next one's."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):            # the C library of Linux
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows one at a time: a batch of text is megabytes, so no second one is held as Python objects."""
     for rows in batches:
         for i in range(rows.num_rows):
             yield rows.slice(i, 1).to_pylist()[0]
+            release()
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -137,6 +148,8 @@ def _answered(rows: pd.DataFrame, answer: Answer, totals: int) -> pd.DataFrame:
         own = made[back[at:at + len(k)]]
         out.append(zstandard.ZstdCompressor(level=1).compress(b"".join(_planes(own[:, i].astype(np.uint32)) for i in range(own.shape[1]))))
         at += len(k)
+    del parts, keys, found, back, values, sums, made
+    release()
     frame = pd.DataFrame({"batch": rows["batch"].to_numpy(), "slice": rows["slice"].to_numpy(), "stream": rows["stream"].to_numpy(), "values": out})
     frame["totals"] = [[0] * totals for _ in out]
     frame.at[frame.index[0], "totals"] = [int(x) for x in total]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from weirworks.sources.workdir import written
 
 from .bpe import Encoder
+from .exchange import release
 
 WINDOW = 2048
 OPEN = 64
@@ -93,6 +94,8 @@ def _pack_part(batches: Iterator[pa.RecordBatch], vocabulary: str, ranks: str, s
         yield _batch(columns)
     # the windows that are still open are known by now: one row each, without a document
     left = sorted(w for _, w in windows.open)
+    del encoder
+    release()
     yield _batch([[None] * len(left), *[[0] * len(left)] * 4, left, [0] * len(left), [True] * len(left)])
 
 

@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 
 from weirworks.sources.workdir import written
 
+from .exchange import release
+
 # Titles by gender, given names by gender and script, syllables of surnames by script.
 MALE = "Mr Mister Sir Herr Monsieur M Señor Sr Don Господин".split()
 FEMALE = "Mrs Ms Miss Madam Frau Madame Mme Mademoiselle Señora Sra Doña Госпожа".split()
@@ -292,7 +294,9 @@ def suspicious(texts: pa.Array) -> pa.Array:
 @F.arrow_udf(T.ArrayType(T.StructType().add("kind", T.StringType()).add("canonical", T.StringType())))
 def _found(texts: pa.Array) -> pa.Array:
     shape = pa.list_(pa.struct([("kind", pa.string()), ("canonical", pa.string())]))
-    rows = [sorted({(k, c) for _, _, k, c in find(t.as_py() or "")}) for t in texts]
+    suspects = pc.fill_null(pc.match_substring_regex(texts, TRIGGER), False)
+    rows = [sorted({(k, c) for _, _, k, c in find(t.as_py())}) if s else [] for t, s in zip(texts, suspects.to_pylist(), strict=True)]
+    release()
     return pa.array([[{"kind": k, "canonical": c} for k, c in r] for r in rows], shape)
 
 
@@ -350,8 +354,10 @@ def replace_entities(docs: DataFrame, key: bytes | None = None, counted: str | N
     key = key or default_key()
     docs = docs.drop(counted) if counted else docs
     suspect = suspicious("text")
-    rows = docs.where(suspect).withColumns({"__one": F.xxhash64("text"), "__two": F.xxhash64(F.lit(2), "text")})
-    found = rows.select("__one", "__two", F.explode(_found("text")).alias("e")).select("__one", "__two", "e.kind", "e.canonical").distinct()
+    named = docs.withColumns({"__one": F.xxhash64("text"), "__two": F.xxhash64(F.lit(2), "text")})
+    rows = named.where(suspect)
+    # all texts in one Python step, which looks at suspects only: a second worker for each core would hold its own memory
+    found = named.select("__one", "__two", F.explode(_found("text")).alias("e")).select("__one", "__two", "e.kind", "e.canonical").distinct()
     found = written(found, "entities").withColumn("one", _one_kind(F.col("kind")))
     made = distinct_surrogates(found.select("kind", "canonical"), key).withColumnRenamed("kind", "one")
     maps = found.join(made, ["one", "canonical"]).groupBy("__one", "__two").agg(
