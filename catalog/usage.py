@@ -426,8 +426,8 @@ def _(spark, sf_dir):
 
 on_view("token_medians", "usage_log", G.token_medians, f"""
 WITH r AS (SELECT coalesce(tool, 'unknown') AS tool, strftime(ts, '%Y-%m-%d') AS day, tokens_used FROM usage_log WHERE {OK}),
-n AS (SELECT *, row_number() OVER (PARTITION BY tool, day ORDER BY tokens_used) - 1 AS at, count(*) OVER (PARTITION BY tool, day) AS c FROM r)
-SELECT tool, day, tokens_used AS median_tokens FROM n WHERE at = c // 2""")
+n AS (SELECT *, row_number() OVER (PARTITION BY tool, day ORDER BY tokens_used) - 1 AS place, count(*) OVER (PARTITION BY tool, day) AS c FROM r)
+SELECT tool, day, tokens_used AS median_tokens FROM n WHERE place = c // 2""")
 
 
 @query("sessions_over", f"""
