@@ -10,7 +10,8 @@ best connected class there, and the links found are closed to components; what s
 components. A segment whose open pairs cost more than the one-deletion neighbourhoods of its members is not paired: its
 members go to a second index of about half as many segments, where each set enters every segment whole and with each
 single shingle left out. Linked sets differ by at most one shingle in some segment there, so a whole segment meets a
-whole one or a neighbourhood, and accidental matches are far rarer, as these segments are twice as large. Every candidate
+whole one or a neighbourhood, and accidental matches are far rarer, as these segments are twice as large. The neighbourhoods
+are asked for as keys of batches of documents, and only entries that meet another one become rows. Every candidate
 is verified on the whole shingle sets. All of it is exact, up to equality of 64-bit shingle numbers.
 
 Null texts and texts without words are empty sets, linked with nothing; fewer words than a shingle make one shingle; a
@@ -30,12 +31,15 @@ from pyspark.sql import functions as F
 from weirworks.operators.joins import fits_broadcast
 from weirworks.sources.workdir import discard, written
 
-from .exchange import asked, batched, each_row, joined, several, unpack_rows, values
+from .exchange import asked, batched, each_row, joined, release, several, slices, unpack_rows, values
 from .graph import components
 from .words import U, grams, mix, pieces, signed
 
 RATIO = 1.3       # of the largest to the smallest size of a band
 SKETCH = 512      # bits of a parity sketch at least
+BATCH = 2_000_000          # bytes of text in a batch of the first index
+NEAR_BATCH = 750_000       # and of the second, where a text asks for several times as many keys:
+NEAR_SLICES = 8            # its key space is cut into so many times more slices
 
 
 class Bands:
@@ -170,14 +174,55 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n", "one", "two", "sigs", "odd"])
 
 
-def _deletions(column: str, percent: int):
-    @F.arrow_udf("struct<whole: array<bigint>, less: array<bigint>>")
-    def made(sets: pa.Array) -> pa.Array:
-        edges, numbers = sets.offsets.to_numpy(), sets.values.to_numpy().view(U)
-        rows = [neighbourhoods(numbers[a:b], Bands(percent)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        kind = pa.list_(pa.int64())
-        return pa.StructArray.from_arrays([pa.array([signed(a) for a, _ in rows], kind), pa.array([signed(b) for _, b in rows], kind)], ["whole", "less"])
-    return made(column)
+def _near(row: dict, width: int, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, whole segments, segments with one shingle left out) of a batch's texts, each distinct and sorted."""
+    docs = unpack_rows(row["docs"])
+    for low, high, w in pieces(docs.column(1)):
+        for i in range(high - low):
+            whole, less = neighbourhoods(shingles(w.hash[w.ptr[i]:w.ptr[i + 1]], width), Bands(percent))
+            yield low + i, np.unique(whole), np.unique(less)
+
+
+def _ask_near(width: int, percent: int):
+    def ask(row: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+        near = list(_near(row, width, percent))
+        whole, less = (np.concatenate([x[k] for x in near] or [np.zeros(0, U)]) for k in (1, 2))
+        keys, at = np.unique(np.concatenate([whole, less]), return_inverse=True)
+        return [(keys, np.stack([np.bincount(at[:len(whole)], minlength=len(keys)), np.bincount(at, minlength=len(keys))], 1).astype(np.uint32))]
+    return ask
+
+
+def _met(stream: int, keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, list]:
+    """Whether a whole segment and another entry have a key."""
+    return ((sums[:, 0] > 0) & (sums[:, 1] > 1))[:, None], []
+
+
+def _entries(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The entries of the one-deletion index that meet another: sig, node, n, label, whole."""
+    for row in each_row(batches):
+        docs, near = unpack_rows(row["docs"]), list(_near(row, width, percent))
+        keys, met = np.unique(np.concatenate([x for _, *both in near for x in both] or [np.zeros(0, U)])), values(row, 0, 1)[:, 0].astype(bool)
+        kept = [(i, [x[met[np.searchsorted(keys, x)]] for x in both]) for i, *both in near]
+        sigs = np.concatenate([x for _, both in kept for x in both] or [np.zeros(0, U)])
+        at = np.repeat(np.array([i for i, _ in kept], np.int64), [len(a) + len(b) for _, (a, b) in kept])
+        whole = np.concatenate([np.repeat([True, False], [len(a), len(b)]) for _, (a, b) in kept] or [np.zeros(0, bool)])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(sigs)), *(docs.column(c).take(pa.array(at)) for c in (0, 2, 3)), pa.array(whole, pa.bool_())],
+                                         ["sig", "node", "n", "label", "whole"])
+
+
+def _second_index(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The stored entries of the one-deletion index for classes (node, n, label) that meet others.
+
+    Entries are asked for as keys of batches, so that the many that meet nothing never become rows.
+    """
+    rows = open_.select(F.col("node").alias("doc_id"), "n", "label")
+    rows = texts.join(F.broadcast(rows) if fits_broadcast(rows) else rows, "doc_id").select("doc_id", "text", "n", "label")
+    table = batched(rows, NEAR_BATCH)
+    answers = asked(table, _ask_near(width, percent), _met, 1, 0, NEAR_SLICES * slices(table))
+    out = written(joined(table, answers).select("docs", "answers").mapInArrow(
+        lambda b: _entries(b, width, percent), "sig long, node long, n long, label long, whole boolean"), "neighbourhoods")
+    discard(table, answers)
+    return out
 
 
 def _packed(column: str, width: int) -> Column:
@@ -186,7 +231,10 @@ def _packed(column: str, width: int) -> Column:
         out = []
         for low, high, w in pieces(column):
             out += [signed(shingles(w.hash[w.ptr[i]:w.ptr[i + 1]], width)) for i in range(high - low)]
-        return pa.array(out, pa.list_(pa.int64()))
+        made = pa.array(out, pa.list_(pa.int64()))
+        del out
+        release()
+        return made
     return packed(column)
 
 
@@ -226,7 +274,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, margi
     ``margin`` is what a row of the one-deletion index costs besides its shingles; it moves work, never results.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = batched(texts)
+    table = batched(texts, BATCH)
     shared = asked(table, _ask(width, percent), several, 1, 0)
     found = written(joined(table, shared).select("docs", "answers").mapInArrow(
         lambda b: _sets(b, width, percent), "doc_id long, n long, one long, two long, sigs array<bigint>, odd array<bigint>"), "sets")
@@ -284,10 +332,7 @@ def _open_links(held: DataFrame, closed: DataFrame, stars: DataFrame, marks: Dat
     waiting = written(waiting.join(small, "node"), "open-segments")
     cheap = _cross(waiting.where("NOT dear"), percent, fits)
     again = waiting.where("dear").groupBy("node").agg(F.first("n").alias("n"), F.min("label").alias("label"))
-    again = again.join(_set_rows(texts, again, width), "node").select("node", "n", "label", _deletions("set", percent).alias("x"))
-    entry = lambda k: F.transform("x." + k, lambda sig: F.struct(sig.alias("sig"), F.lit(k == "whole").alias("whole")))
-    second = again.select("node", "n", "label", F.explode(F.concat(entry("whole"), entry("less"))).alias("e"))
-    second = written(second.select("e.sig", "node", "n", "label", "e.whole").distinct(), "neighbourhoods")
+    second = _second_index(again, texts, width, percent)
     rare = _cross(second.join(_tops(second), "sig").join(small, "node"), percent, fits)
     pairs = written(_plausible(cheap.unionByName(rare).distinct().join(stars, ["a", "b"], "left_anti"), marks, percent), "open-pairs")
     return _verified(pairs, texts, width, percent)
