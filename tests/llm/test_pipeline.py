@@ -74,4 +74,4 @@ def test_run(spark, folder):
 def test_registered():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES} and set(QUERIES) <= set(names)
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES} and set(QUERIES) <= set(names)
