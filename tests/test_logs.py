@@ -87,3 +87,11 @@ def test_scratch_tables_go_at_the_end(spark, tmp_path):
         table = written(spark.range(3), "inside")
         table.write.parquet(str(tmp_path / "kept"))
     assert not os.path.exists(table.written_path.removeprefix("file:").replace("///", "/")) and spark.read.parquet(str(tmp_path / "kept")).count() == 3
+
+
+def test_large_files_are_read_by_line(spark, tmp_path):
+    from catalog.corpus import lines_of_small_and_large
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    (tmp_path / "b.txt").write_text("one\n" * 300_000 + "\nlast")
+    got = {r.line: (r.n, r.files) for r in lines_of_small_and_large(spark, str(tmp_path)).collect()}
+    assert got == {"one": (300_001, 2), "two": (1, 2), "": (1, 2), "last": (1, 2)}

@@ -52,5 +52,15 @@ def read_corpus(spark: SparkSession, root: str, max_bytes: int | None = None) ->
 
 
 def read_small_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Files below 1 MB, for callers that want small files only."""
+    """Whole files below 1 MB; ``read_large_lines`` gives the lines of all others."""
     return read_corpus(spark, root, SMALL_FILE - 1)
+
+
+def read_large_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Path and line of every file of 1 MB and more: what ``read_small_corpus`` leaves out, read in splits of a file.
+
+    The empty piece after a file's last line break is no line.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(root, lineSep="\n")
+    return lines.where(F.col("_metadata.file_size") >= SMALL_FILE).select(
+        F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("line"))
