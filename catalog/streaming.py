@@ -18,12 +18,14 @@ from .usage import CELLS, advice_sql, LOG_COLUMNS, OK, ROWS, TS, log_lines
 HOUR = "INTERVAL 1 HOUR"
 
 
+def stream_table(spark, sf_dir, base):
+    """A supplied table as a file stream; the pattern matches a single file as well as a folder of files."""
+    return spark.readStream.schema(table(spark, sf_dir, base).schema).parquet(f"{sf_dir}/{base}[.]parquet")
+
+
 def stream(spark, sf_dir, name):
     """A supplied table as a file stream, in the shape of a view."""
-    base = VIEWS[name][0]
-    source = (spark.readStream.schema(table(spark, sf_dir, base).schema).option("pathGlobFilter", f"{base}.parquet")
-              .parquet(sf_dir))
-    return shape(source, name)
+    return shape(stream_table(spark, sf_dir, VIEWS[name][0]), name)
 
 
 def appended(spark, streamed, name):
@@ -129,8 +131,7 @@ j AS (SELECT coalesce(p.task_id, c.task_id) AS task_id, p.asked_at, c.answered_a
 SELECT task_id, task_state, kind, worker, tokens FROM j WHERE coalesce(asked_at, answered_at) < {OVER}""")
 def _(spark, sf_dir):
     def side(name):
-        source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-        source.createOrReplaceTempView("events")
+        stream_table(spark, sf_dir, "events").createOrReplaceTempView("events")
         out = spark.sql(TASK_SIDES[name])
         return out.withColumn(f"{name}_at", F.col(f"{name}_at").cast("timestamp"))
     rows = appended(spark, task_join(*map(side, TASK_SIDES)), "tasks")

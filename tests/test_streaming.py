@@ -67,3 +67,12 @@ def test_late_rows_are_dropped_and_repeats_removed(spark, tmp_path):
     T.run_append(once, str(tmp_path / "once"), str(tmp_path / "cp2"))
     kept = sorted(r.log_ord for r in spark.read.schema(once.schema).parquet(str(tmp_path / "once")).collect())
     assert kept == [1, 2, 3, 5, 6]
+
+
+def test_a_table_of_many_files_is_streamed_whole(spark, tmp_path, sf_dir):
+    from catalog.streaming import appended, stream
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted(r.task_id for r in view(spark, sf_dir, "prompts").select("task_id").collect())
+    for folder in (str(tmp_path), sf_dir):
+        got = appended(spark, stream(spark, folder, "prompts").select("task_id"), "folder")
+        assert sorted(r.task_id for r in got.collect()) == want
