@@ -67,3 +67,13 @@ def test_packing_reads_tasks_once_per_use(spark, sf_dir):
     assert text.count("Scan parquet") <= 4
     text = plan(QUERIES["pack_context"](spark, sf_dir))
     assert text.count("Scan parquet") <= 9 and text.count("Join") <= 6
+
+
+def test_light_pass_never_broadcasts_answers(spark):
+    from weirworks.plans import light_pass as LP
+    from weirworks.sources.workdir import written
+    ids = spark.range(2000).withColumnRenamed("id", "task_id")
+    answers = written(ids.selectExpr("task_id", "repeat('same answer ', 100) AS response", "true AS ok", "1L AS tokens_used", "1L AS duration_ms"), "answers")
+    packed = written(ids.selectExpr("task_id", "'t' AS tool", "5L AS estimated_tokens", "repeat('x', 100) AS text"), "asked")
+    attempts = LP._attempt(answers, packed, 1, LP.LightPassOptions())
+    assert attempts.count() == 2000 and "SortMergeJoin" in plan(attempts) and "BroadcastHashJoin" not in plan(attempts)

@@ -41,6 +41,7 @@ def light_pass(tasks: DataFrame, files: DataFrame, log: DataFrame, fn: Complete,
 
     Model calls are dear and may answer differently when repeated, so both rounds of answers are written to
     the shared folder and read back; so is whatever later steps read more than once.  Only softly failed first attempts are packed again and retried.
+    Texts that repeat take next to nothing on disk, which says nothing of their size in memory: they meet by shuffle, never by broadcast.
     """
     routed = written(route(tasks, options.level, learner=learner), "routed")
     sized = output_estimate(routed, log)
@@ -57,10 +58,10 @@ def light_pass(tasks: DataFrame, files: DataFrame, log: DataFrame, fn: Complete,
     settled = written(settle_attempts(judged.unionByName(judge(second, 2)), options.allow_retry), "settled")
     answers = first.withColumn("attempt_count", F.lit(1)).unionByName(second.withColumn("attempt_count", F.lit(2)))
     answers = answers.select("task_id", "attempt_count", "response")
-    kept = settled.where("resolved_locally").select("task_id", "attempt_count").join(answers, ["task_id", "attempt_count"])
+    kept = settled.where("resolved_locally").select("task_id", "attempt_count").join(answers.hint("merge"), ["task_id", "attempt_count"])
     return {
-        "results": settled.join(kept.select("task_id", "response"), "task_id", "left"),
-        "escalations": escalation_payload(settled, packed),
+        "results": settled.join(kept.select("task_id", "response").hint("merge"), "task_id", "left"),
+        "escalations": escalation_payload(settled, packed.hint("merge")),
         "log": settled.where("logged").drop("logged", "failure_reasons", "checks_passed", "checks_total"),
         "decisions": routed,
     }
@@ -70,6 +71,6 @@ def _attempt(answers: DataFrame, packed: DataFrame, number: int, options: LightP
     """Attempt rows; a failed call has no response."""
     given = [c for c in OPTIONAL if c in packed.columns]
     asked = packed.select("task_id", "tool", F.col("estimated_tokens").alias("expected_tokens"), *given)
-    return answers.join(asked, "task_id").select(
+    return answers.hint("merge").join(asked, "task_id").select(
         "task_id", F.lit(number).alias("attempt_no"), F.when(F.col("ok"), F.col("response")).alias("response"),
         "tokens_used", "duration_ms", F.lit(options.model).alias("model"), "tool", "expected_tokens", *given)
