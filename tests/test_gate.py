@@ -97,3 +97,14 @@ def test_payload(spark):
     row = G.escalation_payload(G.resolve_attempts(attempts(spark, rows))).first()
     assert row.message == "Local model failed after 2 attempts. Reasons: Excessive hedging: 3 instances; Found placeholder marker: FIXME"
     assert row.escalation_message.endswith("instances. Found placeholder marker: FIXME.")
+
+
+def test_sections_are_searched_only_where_their_letters_stand(spark):
+    from weirworks.functions import checks as K
+    text = "Over it all; RETURN A here; the Été part, İover"
+    sections = ["over", "return a", "été", "Été", "all", "al", ""]
+    df = spark.createDataFrame([(text, sections)], "t string, s array<string>")
+    missing = df.select(K.missing_sections(F.col("t"), F.col("s"), F.lower("t")).alias("m")).first().m
+    plain = df.selectExpr(r"filter(s, x -> NOT rlike(t, concat('(?i)(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))', x, "
+                          r"'(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))'))) AS m").first().m
+    assert missing == plain and "al" in missing and "over" not in missing

@@ -53,3 +53,14 @@ def test_column(spark):
     rows = [(0, unit * 3), (1, unit * 2), (2, None), (3, "")]
     got = spark.createDataFrame(rows, "id int, t string").select("id", repetition_loop(F.col("t")).alias("r"))
     assert {r.id: r.r for r in got.collect()} == {0: True, 1: False, 2: False, 3: False}
+
+
+def test_only_texts_with_a_window_that_stands_again_are_searched(monkeypatch):
+    from weirworks.functions import repetition as R
+    searched = []
+    monkeypatch.setattr(R, "has_triple", lambda line, unit: searched.append(len(line)) or True)
+    plain = "".join(chr(0x4E00 + i) for i in range(4000))
+    assert not R.text_has_triple(plain) and searched == []
+    for unit in (50, 51, 63, 64, 97):
+        for lead in range(0, 40, 3):
+            assert R.text_has_triple(plain[:lead] + plain[1000:1000 + unit] * 3 + plain[100:100 + lead])

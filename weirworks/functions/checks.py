@@ -123,15 +123,18 @@ def scope_reason(text: Column, allowed: Column) -> Column:
     return F.when(F.size(outside) > 0, F.concat(F.lit("Files outside scope: "), F.array_join(outside, ", ")))
 
 
-def missing_sections(text: Column, sections: Column) -> Column:
+def missing_sections(text: Column, sections: Column, lowered: Column) -> Column:
+    """Sections that the text does not name; only texts that hold a section's letters are searched for its edges."""
     quoted = lambda s: F.regexp_replace(s, r"([.*+?^${}()|\[\]\\])", r"\\$1")
     edge = Rx("{b}").java
     pattern = lambda s: F.concat(F.lit("(?i)" + edge), quoted(s), F.lit(edge))
-    return F.filter(sections, lambda s: ~F.rlike(text, pattern(s)))
+    # the search ignores the case of A-Z alone, as lower-casing does for them; other letters may change in number
+    worth = lambda s: F.contains(lowered, F.lower(s)) | (F.octet_length(s) > F.length(s))
+    return F.filter(sections, lambda s: ~F.when(worth(s), F.rlike(text, pattern(s))).otherwise(s.isNull()))
 
 
-def sections_reason(text: Column, sections: Column) -> Column:
-    missing = missing_sections(text, sections)
+def sections_reason(text: Column, sections: Column, lowered: Column) -> Column:
+    missing = missing_sections(text, sections, lowered)
     return F.when(F.size(missing) > 0, F.concat(F.lit("Missing sections: "), F.array_join(missing, ", ")))
 
 

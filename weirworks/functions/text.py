@@ -111,10 +111,16 @@ class Words:
         return reduce(add, counts)
 
 
+FEW_WORDS = 12     # so many plain searches cost less than the regex that they spare a text
+
+
 def key_words(lowered: Column, *groups: Words) -> Column:
     """The words of a lower-cased text that any of the groups asks for, repeats kept."""
     wanted = sorted({w for g in groups for w in g.plain})
-    return F.regexp_extract_all(lowered, F.lit(Rx("{<}" + one_of(wanted) + "{>}").java), F.lit(0))
+    found = F.regexp_extract_all(lowered, F.lit(Rx("{<}" + one_of(wanted) + "{>}").java), F.lit(0))
+    if len(wanted) > FEW_WORDS:
+        return found
+    return F.when(contains_any(lowered, wanted), found).otherwise(F.array().cast("array<string>"))
 
 
 def contains_any(text: Column, phrases: list[str]) -> Column:
