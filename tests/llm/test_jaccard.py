@@ -83,6 +83,18 @@ def test_linked_sets_share_a_signature(percent):
             assert len(np.intersect1d(wa, np.concatenate([wb, lb]))) or len(np.intersect1d(la, wb))
 
 
+@pytest.mark.parametrize("percent,width", [(80, 5), (90, 3)])
+def test_long_texts_meet_only_where_they_share(make, percent, width):
+    """Long sets leave some segments empty; these are equal in all sets of a band, and must not make all pairs candidates."""
+    rng, bands = np.random.default_rng(7), J.Bands(percent)
+    seen = [set(J.signatures(np.unique(rng.integers(1, 2 ** 63, int(n)).astype(np.uint64)), bands).tolist()) for n in rng.integers(1000, 4000, 40)]
+    assert not any(x & y for x, y in combinations(seen, 2))
+    texts = [(i, " ".join(f"w{rng.integers(10 ** 9)}" for _ in range(1500))) for i in range(12)]
+    texts += [(100 + i, edited(t, random.Random(i), k)) for i, t in texts[:6] for k in (20, 90)][::2]
+    rows = J.jaccard_components(make(texts), width, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts, width, percent)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(90)]

@@ -1,9 +1,11 @@
 """Exact Jaccard self-join on word shingles by partitions of the universe.
 
 A document is the set of its distinct shingles. Equal sets are one class. Sets whose sizes fall in one band, or in the
-band below and within reach of it, are cut by one hash into the band's m segments, m one more than the shingles in which
+band below and within reach of it, are cut by one hash into the band's m segments, m more than the shingles in which
 two linked sets of the band can differ: by the pigeonhole principle linked sets agree on a whole segment. Each set puts
-the number of every segment into the index, and sets that share one are candidates.
+the number of every segment into the index, and sets that share one are candidates. Segments without a shingle are equal
+in any two sets, so a set with more segments that hold one than it can differ by leaves the empty ones out: it agrees with
+a linked set on one that is not empty. A few segments are added for this.
 
 Candidates are taken in an order that keeps large groups cheap. First every set of a shared segment is compared with the
 best connected class there, and the links found are closed to components; what stays open are pairs of one segment in different
@@ -64,8 +66,16 @@ class Bands:
         """In how many shingles at most linked sets differ, neither larger than the band allows."""
         return 2 * (self.low(band + 1) - 1) * (100 - self.percent) // (100 + self.percent)
 
+    def reach(self, band: int, size: int) -> int:
+        """In how many shingles at most a set of this size differs from a linked one of the band."""
+        largest = min(self.low(band + 1) - 1, 100 * size // self.percent)
+        return (size + largest) * (100 - self.percent) // (100 + self.percent)
+
     def segments(self, band: int) -> int:
-        return self.differ(band) + 1
+        """More than the differences by the segments that the band's largest sets are likely to leave empty."""
+        m = self.differ(band) + 1
+        empty = m * math.exp(-(self.low(band + 1) - 1) / m)
+        return m + int(empty + 2 * math.sqrt(empty))
 
     def halves(self, band: int) -> int:
         """Segments of the one-deletion index: two credits each reach the differences plus one."""
@@ -94,7 +104,10 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     out = []
     for band in bands.of(len(s)):
         m = bands.segments(band)
-        out.append(_named(_segment_sums(s, m, 1)[1], band, np.arange(m)))
+        at, sums = _segment_sums(s, m, 1)
+        held = np.unique(at)
+        kept = held if len(held) > bands.reach(band, len(s)) else np.arange(m)
+        out.append(_named(sums[kept], band, kept))
     return np.concatenate(out)
 
 
@@ -311,13 +324,13 @@ def _tops(rows: DataFrame) -> DataFrame:
 
 def _cross(rows: DataFrame, percent: int, fits) -> DataFrame:
     """Pairs (a > b) of different components in one segment, one of them a whole segment. Rows of the largest component
-    are met by the others only, so a large group that is closed already is not paired with itself; pairs whose parity
-    sketches show that they differ too much to be linked do not leave the join."""
-    side = lambda x, d: d.select("sig", *[F.col(c).alias(c + x) for c in ("node", "n", "label", "whole", "odd")])
+    are met by the others only, so a large group that is closed already is not paired with itself; two of the others meet
+    once; pairs whose parity sketches show that they differ too much to be linked do not leave the join."""
+    side = lambda x, d: d.select("sig", *[F.col(c).alias(c + x) for c in ("node", "n", "label", "whole", "odd", "top")])
     first, *rest = [F.bit_count(F.col("oddx")[k].bitwiseXOR(F.col("oddy")[k])) for k in range(SKETCH // 64)]
     close = sum(rest, first) * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
     met = side("x", rows.where("label <> top")).join(side("y", rows), "sig")
-    met = met.where((F.col("labelx") != F.col("labely")) & (F.col("wholex") | F.col("wholey")) & fits(F.col("nx"), F.col("ny")) & close)
+    met = met.where(((F.col("labely") == F.col("topy")) | (F.col("nodex") > F.col("nodey"))) & (F.col("labelx") != F.col("labely")) & (F.col("wholex") | F.col("wholey")) & fits(F.col("nx"), F.col("ny")) & close)
     return met.select(F.greatest("nodex", "nodey").alias("a"), F.least("nodex", "nodey").alias("b")).distinct()
 
 
