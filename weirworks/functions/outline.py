@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims
-from .text import Rx, base_name, extension, strip
+from .text import Rx, base_name, contains_any, extension, strip
 
 # --- fixed values: line forms -------------------------------------------------
 IMPORT_STARTS = ["import ", "from ", "#include", "using ", "use "]
-REQUIRE = Rx(r"^(?:const|let|var){s}+{.}*={s}*require\(")
+REQUIRE = Rx(r"^(?:const|let|var){s}+{.}*={s}*require\(", needs=("require(",))
 EXPORT_STARTS = ["export ", "module.exports", "exports."]
 SIGNATURES = [
     Rx(r"^(?:export{s}+)?(?:async{s}+)?function{s}+\w+"),
@@ -22,10 +22,13 @@ SIGNATURES = [
 ]
 BODY = Rx(r"\{{.}*\z")
 TAIL_COLON = Rx(r":{s}*\z")
-CLASS = Rx(r"^(?:export{s}+)?(?:abstract{s}+)?class{s}+(\w+)")
-FUNCTION = Rx(r"^(?:export{s}+)?(?:async{s}+)?function{s}+(\w+)")
-ASSIGNED = Rx(r"^(?:export{s}+)?(?:const|let|var){s}+(\w+){s}*=")
-DEF = Rx(r"^(?:async{s}+)?def{s}+(\w+)")
+CLASS = Rx(r"^(?:export{s}+)?(?:abstract{s}+)?class{s}+(\w+)", needs=("class",))
+FUNCTION = Rx(r"^(?:export{s}+)?(?:async{s}+)?function{s}+(\w+)", needs=("function",))
+ASSIGNED = Rx(r"^(?:export{s}+)?(?:const|let|var){s}+(\w+){s}*=", needs=("=",))
+DEF = Rx(r"^(?:async{s}+)?def{s}+(\w+)", needs=("def",))
+# plain strings of which every import, and every definition, holds one
+IMPORT_PARTS = [*IMPORT_STARTS, "require("]
+DEFINING_PARTS = ["class", "function", "def", "=>"]
 EXPORT_WIDTH = 120
 SIGNATURE_WIDTH = 150
 
@@ -86,11 +89,17 @@ def structure(trimmed: Column) -> Column:
     return F.when(cls != "", F.array(entry(cls, "class"))).when(fun != "", F.array(entry(fun, "function"))).otherwise(other)
 
 
-def sections(trimmed_lines: Column) -> Column:
-    """All definitions of a file with 1-based line numbers."""
-    at = lambda line, i: F.transform(structure(line), lambda s: F.struct(
-        s["name"].alias("name"), (i + 1).alias("line"), s["type"].alias("type")))
-    return F.flatten(F.transform(trimmed_lines, at))
+def sections(lines: Column) -> Column:
+    """All definitions of a file with 1-based line numbers; only lines that may hold one are trimmed and matched."""
+    line = lambda text, i: F.when(contains_any(text, DEFINING_PARTS), F.struct(strip(text).alias("text"), (i + 1).alias("line")))
+    at = lambda l: F.transform(structure(l["text"]), lambda s: F.struct(
+        s["name"].alias("name"), l["line"].alias("line"), s["type"].alias("type")))
+    return F.flatten(F.transform(F.array_compact(F.transform(lines, line)), at))
+
+
+def imports(lines: Column) -> Column:
+    """The trimmed import lines of a file."""
+    return F.filter(trim_all(F.filter(lines, lambda l: contains_any(l, IMPORT_PARTS))), is_import)
 
 
 def names_of(found: Column, kind: str) -> Column:

@@ -25,13 +25,12 @@ def outline(files: DataFrame, content: str = "content") -> DataFrame:
     Works on the split array of each row, so files are never exploded or shuffled.
     """
     keep = [c for c in files.columns if c != content]
-    raw = files.withColumn("_lines", O.lines_of(F.col(content)))
-    trimmed = raw.withColumn("_trimmed", O.trim_all(F.col("_lines"))).withColumn("sections", O.sections(F.col("_trimmed")))
-    return trimmed.select(
+    raw = files.withColumn("_lines", O.lines_of(F.col(content))).withColumn("sections", O.sections(F.col("_lines")))
+    return raw.select(
         *keep, content, O.language(F.col("path")).alias("language"), F.size("_lines").alias("total_lines"),
         O.names_of(F.col("sections"), "class").alias("classes"),
         O.names_of(F.col("sections"), "function").alias("functions"), "sections",
-        F.filter("_trimmed", O.is_import).alias("imports"))
+        O.imports(F.col("_lines")).alias("imports"))
 
 
 def section_rows(files: DataFrame, content: str = "content") -> DataFrame:
