@@ -126,3 +126,44 @@ def test_bare_paths_equal_the_plain_pattern(spark):
     want = {i: rx.findall(t) for i, t in enumerate(texts)}
     assert sum(map(len, want.values())) > 1000
     assert got == want
+
+
+def test_quick_classes_hold_the_same_characters(spark):
+    from pyspark.sql import functions as F
+
+    from weirworks.functions.text import QUICK
+    chars = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    for plain, quick in QUICK.items():
+        both = chars.groupBy(F.rlike("c", F.lit(f"^{plain}$")).alias("a"), F.rlike("c", F.lit(f"^{quick}$")).alias("b")).count().collect()
+        assert {(r.a, r.b) for r in both} == {(True, True), (False, False)}
+
+
+def test_lines_that_only_look_like_definitions(spark):
+    lines = ["  def a():", "　import os", "class", "declass X", " class Y", "let f = 1", "let g = () => 2", "x => y", "\tconst q = require('q')",
+             "definition of a thing", "async def h():", "  use strict", "useless", "var k = function() {}", "", "plain"]
+    text = "\n".join(lines)
+    row = O.outline(spark.createDataFrame([("m.py", text)], "path string, content string")).first()
+    assert [(s.name, s.line, s.type) for s in row.sections] == [("a", 1, "function"), ("Y", 5, "class"), ("g", 7, "function"), ("h", 11, "function"), ("k", 14, "function")]
+    assert row.imports == ["import os", "const q = require('q')", "use strict"]
+
+
+def test_a_path_that_very_many_tasks_name_is_spread(spark, monkeypatch):
+    files = spark.createDataFrame([(k, content(k, n)) for k, n in FILES.items()], "path string, content string")
+    tasks = spark.range(500).selectExpr("id AS task_id", "'see a/x.ts and a/none.ts then a/' || element_at(array('y', 'z', 'w'), CAST(id % 3 + 1 AS INT)) || '.ts' AS text")
+    options = dims.ContextOptions(budget=230, retry_budget=490, max_lines=12)
+    want = O.expand_context(O.pack_context(tasks, files, options), options).orderBy("task_id").collect()
+    monkeypatch.setattr(O, "TASKS_OF_COPY", 7)
+    packed = O.pack_context(tasks, files, options)
+    assert O.expand_context(packed, options).orderBy("task_id").collect() == want
+    # references to one path meet its copies, and tasks are read from the work folder, not made again
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert "_copy#" in plan and "Range" not in plan
+
+
+def test_files_are_dealt_out_before_the_work_on_them(spark, sf_dir, tmp_path):
+    from weirworks.views import table, view
+    table(spark, sf_dir, "part").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")        # one row group: one task
+    files = view(spark, str(tmp_path), "code_files")
+    assert files.rdd.getNumPartitions() > 1
+    assert sum(1 for n in files.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n) > 1

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..sources.workdir import written
 
 SMALL_FILE = 1_000_000
+TASKS_OF_COPY = 50_000     # references that meet one copy of a file's outline
 
 
 def file_lines(files: DataFrame, content: str = "content") -> DataFrame:
@@ -61,17 +62,26 @@ def slice_file(files: DataFrame, start: int, n: int, content: str = "content") -
     return cut.withColumn("tokens", X.estimate_tokens(F.col("slice"))).drop("_lines", content)
 
 
+def _named(tasks: DataFrame, text: str, max_files: int | None) -> Column:
+    """The distinct references of a task as written; ``max_files`` keeps the first ones."""
+    refs = X.file_refs(F.col(text))
+    if "file_refs" in tasks.columns:
+        refs = F.coalesce("file_refs", refs)
+    return refs if max_files is None else F.slice(refs, 1, max_files)
+
+
+def _clean(ref: Column) -> Column:
+    """A reference without leading ``./``; few have it."""
+    return F.when(F.startswith(ref, F.lit("./")), F.regexp_replace(ref, r"^(?:\./)+", "")).otherwise(ref)
+
+
 def task_refs(tasks: DataFrame, key: str = "task_id", text: str = "text", max_files: int | None = None) -> DataFrame:
     """The distinct file references of each task, with their position; ``max_files`` keeps the first ones.
 
     A column ``file_refs`` of paths, where the tasks have one, takes the place of what the text names.
     """
-    refs = X.file_refs(F.col(text))
-    if "file_refs" in tasks.columns:
-        refs = F.coalesce("file_refs", refs)
-    refs = refs if max_files is None else F.slice(refs, 1, max_files)
-    return tasks.select(key, F.posexplode(refs).alias("pos", "ref")).select(
-        key, "pos", F.regexp_replace("ref", r"^(?:\./)+", "").alias("path"))
+    refs = tasks.select(key, F.posexplode(_named(tasks, text, max_files)).alias("pos", "ref"))
+    return refs.select(key, "pos", _clean(F.col("ref")).alias("path"))
 
 
 def known_files(tasks: DataFrame, files: DataFrame, key: str = "task_id", text: str = "text") -> DataFrame:
@@ -81,46 +91,59 @@ def known_files(tasks: DataFrame, files: DataFrame, key: str = "task_id", text:
 
 def pack_context(tasks: DataFrame, files: DataFrame, options: dims.ContextOptions = dims.ContextOptions(),
                  key: str = "task_id", text: str = "text") -> DataFrame:
-    """Greedy context per task: outlines that fit, then slices that fit, skipping what does not.
+    """Greedy context per task (``key`` is unique): outlines that fit, then slices that fit, skipping what does not.
 
     Only files that some task names are outlined, once each. The budget is filled from token counts alone; the text of
     an outline or a slice meets a task only where it was kept. A task gathers at most ``max_files`` files (None: all).
-    References, outlines and the tasks' items are stored once in the work folder, as each is used twice.
+    The tasks with their references, the outlines and what each task keeps are stored once in the work folder, as each
+    is used twice. References to one path meet its outline in one copy for each ``TASKS_OF_COPY`` of them, so a path that
+    very many tasks name, known or not, is spread; the broadcast list of such paths has at most one row for that many.
     """
-    refs = written(task_refs(tasks, key, text, options.max_files), "file-refs")
-    cut = outline(files.join(refs.select("path").distinct(), "path", "left_semi")).withColumn("_lines", O.lines_of(F.col("content")))
     n = options.max_lines
+    left = F.lit(options.budget) - X.estimate_tokens(F.col(text))
+    named = written(tasks.withColumns({"_refs": _named(tasks, text, options.max_files), "_left": left}), "tasks")
+    refs = named.select(key, "_left", F.posexplode("_refs").alias("pos", "_ref")).select(
+        key, "_left", "pos", _clean(F.col("_ref")).alias("path"))
+    uses = refs.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / F.lit(TASKS_OF_COPY)).cast("int").alias("_copies"))
+    uses = written(uses, "uses")
+    copy = F.pmod(F.xxhash64(key), F.coalesce("_copies", F.lit(1))).cast("int")
+    refs = refs.join(F.broadcast(uses.where("_copies > 1")), "path", "left").withColumn("_copy", copy).drop("_copies")
+    cut = outline(files.join(uses, "path")).withColumn("_lines", O.lines_of(F.col("content")))
     cut = cut.withColumns({
         "outline": O.outline_text(F.col("path"), F.col("language"), F.col("total_lines"), F.col("imports"),
                                   F.col("classes"), F.col("functions")),
         "first": slice_text(F.col("_lines"), 0, n), "rest": slice_text(F.col("_lines"), n, 2 * n),
     })
-    texts = cut.select("path", "language", "total_lines", "classes", "functions", "outline", "first", "rest",
+    texts = cut.select("path", "_copies", "language", "total_lines", "classes", "functions", "outline", "first", "rest",
                        X.estimate_tokens(F.col("outline")).alias("outline_tokens"),
                        X.estimate_tokens(F.col("first")).alias("first_tokens"))
-    texts = written(texts, "outlines")
-    costs = texts.select("path", "outline_tokens", "first_tokens")
-    sizes = refs.join(costs, "path").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "path", "outline_tokens", "first_tokens"))).alias("_items"))
-    sizes = written(sizes, "task-items")
-    left = F.lit(options.budget) - X.estimate_tokens(F.col(text))
-    out = tasks.join(sizes, key, "left").withColumn("_items", F.coalesce("_items", F.array()))
-    out = out.withColumn("_o", _fit(F.col("_items"), left, "outline_tokens", F.lit(0)))
-    out = out.withColumn("_kept", F.filter("_items", lambda f: F.array_contains(F.col("_o.kept"), f["pos"])))
-    out = out.withColumn("_s", _fit(F.col("_kept"), F.col("_o.left"), "first_tokens", F.lit(options.slice_floor)))
-    wanted = out.select(key, F.explode("_kept").alias("_f")).select(key, "_f.pos", "_f.path")
+    copies = written(texts, "outlines").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    costs = copies.select("path", "_copy", "outline_tokens", "first_tokens")
+    sizes = refs.join(costs, ["path", "_copy"]).groupBy(key).agg(
+        F.max("_left").alias("_left"),
+        F.array_sort(F.collect_list(F.struct("pos", "path", "_copy", "outline_tokens", "first_tokens"))).alias("_items"))
+    sizes = sizes.withColumn("_o", _fit(F.col("_items"), F.col("_left"), "outline_tokens", F.lit(0)))
+    sizes = sizes.withColumn("_kept", F.filter("_items", lambda f: F.array_contains(F.col("_o.kept"), f["pos"])))
+    sizes = sizes.withColumn("_s", _fit(F.col("_kept"), F.col("_o.left"), "first_tokens", F.lit(options.slice_floor)))
+    sizes = written(sizes.select(key, "_kept", "_s"), "kept-files")
+    wanted = sizes.select(key, "_s", F.explode("_kept").alias("_f")).select(
+        key, "_f.pos", "_f.path", "_f._copy", F.col("_s.left").alias("_after"),
+        F.array_contains("_s.kept", F.col("_f.pos")).alias("_cut"))
     item = F.struct("pos", "path", "language", "total_lines", "classes", "functions", "outline", "outline_tokens",
                     "first", "first_tokens", "rest")
-    kept = wanted.join(texts, "path").groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("outlines"))
-    out = out.join(kept, key, "left").withColumn("outlines", F.coalesce("outlines", F.array()))
-    sliced = F.filter("outlines", lambda f: F.array_contains(F.col("_s.kept"), f["pos"]))
+    kept = wanted.join(copies, ["path", "_copy"]).groupBy(key).agg(
+        F.max("_after").alias("_after"), F.array_sort(F.collect_list(item)).alias("outlines"),
+        F.collect_list(F.when(F.col("_cut"), F.col("pos"))).alias("_sliced"))
+    out = named.join(kept, key, "left").withColumn("outlines", F.coalesce("outlines", F.array()))
+    sliced = F.filter("outlines", lambda f: F.array_contains(F.col("_sliced"), f["pos"]))
     return out.withColumns({
         "slices": F.transform(sliced, lambda f: F.struct(
             f["pos"].alias("pos"), f["path"].alias("path"), F.lit(0).alias("start_line"),
             F.least(F.lit(n), f["total_lines"]).alias("end_line"), f["first"].alias("content"),
             f["first_tokens"].alias("tokens"))),
-        "total_tokens": F.lit(options.budget) - F.col("_s.left"), "budget": F.lit(options.budget),
+        "total_tokens": F.lit(options.budget) - F.coalesce("_after", "_left"), "budget": F.lit(options.budget),
         "files_included": F.size("outlines"),
-    }).drop("_items", "_o", "_s", "_kept")
+    }).drop("_refs", "_left", "_after", "_sliced")
 
 
 def _fit(items: Column, left: Column, cost: str, floor: Column) -> Column:
@@ -138,27 +161,27 @@ def _fit(items: Column, left: Column, cost: str, floor: Column) -> Column:
 def expand_context(packed: DataFrame, options: dims.ContextOptions = dims.ContextOptions()) -> DataFrame:
     """Grow each slice toward twice the line cap, or add a slice for outlined files that have none."""
     n, budget = options.max_lines, options.retry_budget
-    had = lambda f: F.exists("slices", lambda s: s["pos"] == f["pos"])
     wide = lambda f: F.when(f["total_lines"] > n, F.concat(f["first"], F.lit("\n"), f["rest"])).otherwise(f["first"])
-    grown = F.transform("outlines", lambda f: F.struct(
-        f["pos"].alias("pos"), f["path"].alias("path"), had(f).alias("had"),
-        F.least(F.lit(2 * n), f["total_lines"]).alias("end_line"),
-        F.when(had(f), f["rest"]).otherwise(wide(f)).alias("more")))
-    out = packed.withColumn("_more", grown)
-    out = out.withColumn("_more", F.transform("_more", lambda f: f.withField("more_tokens", X.estimate_tokens(f["more"]))))
+    # each step is bound to a lambda's variable, so that it runs once for each file
+    told = F.transform("outlines", lambda f: F.struct(f.alias("f"), F.exists("slices", lambda s: s["pos"] == f["pos"]).alias("had")))
+    grown = F.transform(told, lambda x: F.struct(
+        x["f"]["pos"].alias("pos"), x["f"]["path"].alias("path"), x["had"].alias("had"),
+        F.least(F.lit(2 * n), x["f"]["total_lines"]).alias("end_line"),
+        F.when(x["had"], x["f"]["rest"]).otherwise(wide(x["f"])).alias("more")))
+    out = packed.withColumn("_more", F.transform(grown, lambda f: f.withField("more_tokens", X.estimate_tokens(f["more"]))))
     out = out.withColumn("_fit", _fit(F.col("_more"), F.lit(budget) - F.col("total_tokens"), "more_tokens",
                                       F.lit(options.slice_floor)))
-    kept = lambda pos: F.array_contains(F.col("_fit.kept"), pos)
-    extra = lambda pos: F.try_element_at(F.filter("_more", lambda f: f["pos"] == pos), F.lit(1))
+    out = out.withColumn("_more", F.filter("_more", lambda f: F.array_contains(F.col("_fit.kept"), f["pos"])))
     row = lambda s, end, content, tokens: F.struct(
         s["pos"].alias("pos"), s["path"].alias("path"), F.lit(0).alias("start_line"), end.alias("end_line"),
         content.alias("content"), tokens.alias("tokens"))
+    paired = F.transform("slices", lambda s: F.struct(
+        s.alias("s"), F.try_element_at(F.filter("_more", lambda f: f["pos"] == s["pos"]), F.lit(1)).alias("x")))
     # a file that was read in full still gains the joining line break
-    longer = F.transform("slices", lambda s: F.when(kept(s["pos"]), row(
-        s, extra(s["pos"])["end_line"], F.concat(s["content"], F.lit("\n"), extra(s["pos"])["more"]),
-        s["tokens"] + extra(s["pos"])["more_tokens"])).otherwise(s))
-    added = F.transform(F.filter("_more", lambda f: ~f["had"] & kept(f["pos"])),
-                        lambda f: row(f, f["end_line"], f["more"], f["more_tokens"]))
+    longer = F.transform(paired, lambda p: F.when(p["x"].isNotNull(), row(
+        p["s"], p["x"]["end_line"], F.concat(p["s"]["content"], F.lit("\n"), p["x"]["more"]),
+        p["s"]["tokens"] + p["x"]["more_tokens"])).otherwise(p["s"]))
+    added = F.transform(F.filter("_more", lambda f: ~f["had"]), lambda f: row(f, f["end_line"], f["more"], f["more_tokens"]))
     return out.withColumns({"slices": F.concat(longer, added), "total_tokens": F.lit(budget) - F.col("_fit.left"),
                             "budget": F.lit(budget)}).drop("_more", "_fit")
 
