@@ -137,3 +137,20 @@ def test_empty_and_null_phrases_mean_the_same_on_both_paths(spark):
         assert got == sorted(map(tuple, many.collect()))
         if kept is rows:
             assert [r[4] for r in got] == ["a", "b", "b", "b", None]
+
+
+def test_a_look_ahead_changes_no_match(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from weirworks.functions.text import Words, ahead, key_words
+    words = ["fix", "fixes", "go", "json", "if", "a1", "while", "security", "yaml", "csv", "rest", "test", "tests"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice([*words, " ", "_", "-", "é", ".", "x", "\n"]) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    rx = re.compile(r"\b(?:" + "|".join(sorted(words, key=len, reverse=True)) + r")\b", re.A)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.w for r in df.select("i", key_words(F.col("t"), Words(*words)).alias("w")).collect()}
+    assert got == {i: rx.findall(t) for i, t in enumerate(texts)}
+    assert ahead(["ab", "c-e"]) == r"(?=[ac][\-b])" and ahead(["", "b"]) == ""

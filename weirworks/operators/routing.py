@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import signals as S
-from ..functions.text import FENCE, contains_any, is_json, one_of, strip, to_fixed
+from ..functions.text import FENCE, ahead, contains_any, is_json, one_of, strip, to_fixed
 from .joins import fits_broadcast, lookup
 from .phrases import BLOCK_CHARS, first_rule
 from .staging import settle
@@ -31,7 +31,7 @@ def _constants(values: list) -> str:
     return "array(" + ", ".join(f"{v!r}D" if isinstance(v, float) else repr(v) for v in values) + ")"
 
 
-BUILTIN_AT = (f"CASE WHEN rlike(_lower, r'{one_of([p for p, _ in PHRASES])}') THEN CASE "
+BUILTIN_AT = (f"CASE WHEN rlike(_lower, r'{ahead([p for p, _ in PHRASES])}{one_of([p for p, _ in PHRASES])}') THEN CASE "
               + " ".join(f"WHEN contains(_lower, '{p}') THEN {at}" for at, (p, _) in enumerate(PHRASES, 1)) + " END END")
 
 
