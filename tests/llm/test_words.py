@@ -1,11 +1,12 @@
 """Word numbers against Python's own splitting."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 from weirworks.llm.exchange import decode, encode, summed
-from weirworks.llm.words import grams, pieces
+from weirworks.llm.words import Powers, grams, pieces
 
 
 def test_words_are_what_split_gives():
@@ -43,3 +44,16 @@ def test_key_round_trip():
     assert len(decode(encode(keys[:0], values[:0]))[0]) == 0
     both = summed(np.concatenate([keys, keys[:5]]), np.concatenate([values // 2, values[:5] // 2]))
     assert (both[0] == keys).all() and (both[1][:5] == values[:5] // 2 * 2).all()
+
+
+def test_memory_of_pieces_is_bounded(monkeypatch):
+    for side in ("up", "down"):
+        monkeypatch.setattr(Powers, side, getattr(Powers, side)[:1 << 10].copy())
+    column = pa.array(["some words of a text " * 100] * 4000)          # 8 MB
+    tracemalloc.start()
+    try:
+        words = sum(len(w.hash) for _, _, w in pieces(column))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert words == 4000 * 500 and peak < 60_000_000

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from weirworks.sources.workdir import written
 
+from .exchange import release
 from .words import Powers, U, grams, mix, pieces, signed
 
 TILE = 5
@@ -68,6 +69,7 @@ def _covered(batches: Iterator[pa.RecordBatch], seeds: np.ndarray) -> Iterator[p
                 kept.append(words.tobytes())
                 found.append(signed(np.unique(runs[own])))
         yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(kept, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "words", "seeds"])
+        release()
 
 
 class Runs:

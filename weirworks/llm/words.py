@@ -15,7 +15,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15          # odd, so that it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 2 ** 64)
-PIECE_BYTES = 2_000_000            # texts are worked on in pieces of about this size, one text at least
+PIECE_BYTES = 500_000              # texts are worked on in pieces of about this size, one text at least: numbers take some 50 times as much
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
