@@ -35,7 +35,8 @@ SELECT count(*) AS n, {fixed('avg(tokens)', 0)} AS avg_tokens, min(tokens) AS mi
   {fixed('max(ratio)', 2)} AS max_ratio, count(*) FILTER (ratio >= 0.8 AND ratio <= {dbl(1.2)}) AS accurate,
   count(*) FILTER (ratio < {dbl(0.8)}) AS over_estimated, count(*) FILTER (ratio > {dbl(1.2)}) AS under_estimated FROM r""")
 on_view("accuracy_status", "documents",
-        lambda d: d.select("doc_id", P.accuracy_status(F.floor(X.tokens_blended(F.col("text")) / F.col("n_chars") * F.lit(500.0)) / F.lit(100.0)).alias("status")), f"""
+        lambda d: d.select("doc_id", P.accuracy_status(
+            F.floor(F.try_divide(X.tokens_blended(F.col("text")), F.col("n_chars")) * F.lit(500.0)) / F.lit(100.0)).alias("status")), f"""
 WITH t AS (SELECT doc_id, floor({blended('text')} / CAST(n_chars AS DOUBLE) * {dbl(500.0)}) / {dbl(100.0)} AS r FROM documents)
 SELECT doc_id, CASE WHEN r >= {dbl(0.8)} AND r <= {dbl(1.2)} THEN 'ACCURATE' WHEN r < {dbl(0.8)} THEN 'OVER-ESTIMATED' ELSE 'UNDER-ESTIMATED' END AS status FROM t""")
 AFTER = "replace(replace(text, ' the ', ' '), '.', '')"

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import QUERIES
 from weirworks import dims
 from weirworks.functions import cost as C
 from weirworks.operators import learning as L
@@ -116,6 +117,13 @@ def test_upper_median(spark, values):
     assert token_report(df).first().median_tokens == sorted(values)[len(values) // 2]
 
 
+def test_accuracy_status_of_empty_texts(spark, tmp_path):
+    rows = [(1, "y" * 40, 40), (2, "", 0), (3, "x", 0), (4, None, 0), (5, None, None), (6, "z", 90)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.status for r in QUERIES["accuracy_status"](spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys([2, 3, 4, 5], "UNDER-ESTIMATED") | {1: "ACCURATE", 6: "OVER-ESTIMATED"}
+
+
 def test_recent_keeps_log_order(spark):
     got = U.recent(log(spark, completions(range(100, 180))), 50).collect()
     assert [r.log_ord for r in got] == list(range(79, 29, -1))

@@ -59,7 +59,7 @@ def token_report(texts: DataFrame, tokens: str = "tokens", estimate: str = "esti
 
 
 def accuracy_status(ratio: Column) -> Column:
-    """Verdict on a ratio already rounded to two decimals."""
+    """Verdict on a ratio already rounded to two decimals; anything against an estimate of 0 (a ratio of null, inf or nan) is under-estimated."""
     return F.when(ratio.between(0.8, 1.2), "ACCURATE").when(ratio < 0.8, "OVER-ESTIMATED").otherwise("UNDER-ESTIMATED")
 
 
