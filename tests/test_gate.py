@@ -108,3 +108,34 @@ def test_sections_are_searched_only_where_their_letters_stand(spark):
     plain = df.selectExpr(r"filter(s, x -> NOT rlike(t, concat('(?i)(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))', x, "
                           r"'(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))'))) AS m").first().m
     assert missing == plain and "al" in missing and "over" not in missing
+
+
+def test_brackets_and_open_blocks_equal_a_walk(spark):
+    import random
+    from weirworks.functions import checks as K
+    rng = random.Random(3)
+    texts = ["", "()" * 500, "(" * 9 + ")" * 9, "((x)(y))" * 40 + ")))", "(" * 3, None]
+    texts += ["".join(rng.choice("(()) x\u00e9\n"[: rng.choice([4, 8])]) for _ in range(rng.randint(0, 60))) for _ in range(600)]
+    texts += ["(" * k + "a" * (k % 3) + ")" * (k + d) for k in range(12) for d in range(-4, 5) if k + d >= 0]
+
+    def walk(text):
+        depth = low = 0
+        for c in text or "":
+            depth += (c == "(") - (c == ")")
+            low = min(low, depth)
+        return low < -2 or abs(depth) > 2
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").select(
+        "id", K.unbalanced(F.col("t"), "(", ")").alias("u"), K.left_open(F.col("t"), "(", ")").alias("o"))
+    for r in df.collect():
+        t = texts[r.id]
+        assert r.u == walk(t), t
+        assert r.o == (None if t is None else t.count("(") - t.count(")") > 2), t
+
+
+def test_signs_with_one_of_several_words(spark):
+    from weirworks.functions import checks as K
+    rx = K.LANGUAGE_SIGNS["typescript"][0]
+    rows = {"a:  boolean": True, "a: string,": True, "b :number": True, "c: strings": False, "string": False, "d: int; number": False}
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", rx.found(F.col("t")).alias("f")).collect()
+    assert {r.t: r.f for r in got} == rows and set(rx.one_of) == {"string", "number", "boolean"}

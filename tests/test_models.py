@@ -24,6 +24,19 @@ def test_batch(spark):
     assert got == {1: ("AB", 7, True), 2: ("Error: no answer", 0, False), 3: ("", 0, True)}
 
 
+def test_batch_keeps_columns_and_calls_as_many_at_once_as_told(spark):
+    def slow(prompt, max_tokens):
+        import threading
+        import time
+        time.sleep(0.01)
+        return prompt, sum("ThreadPoolExecutor" in t.name for t in threading.enumerate())
+
+    df = spark.createDataFrame([(i, f"p{i}", 2**60 + 1 if i % 2 else None, ["a", None]) for i in range(40)], "id int, prompt string, cap bigint, allowed array<string>")
+    got = batch_complete(df.coalesce(1), slow, max_tokens="cap", concurrency=3, keep=["cap", "allowed"]).collect()
+    assert max(r.tokens_used for r in got) == 3 and all(r.ok for r in got)
+    assert {(r.id, r.response, r.cap, tuple(r.allowed)) for r in got} == {(i, f"p{i}", 2**60 + 1 if i % 2 else None, ("a", None)) for i in range(40)}
+
+
 def answer(prompt, max_tokens):
     good = "def run(a):\n    return a\n" * 40
     if "fail" in prompt:

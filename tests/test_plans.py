@@ -77,3 +77,21 @@ def test_light_pass_never_broadcasts_answers(spark):
     packed = written(ids.selectExpr("task_id", "'t' AS tool", "5L AS estimated_tokens", "repeat('x', 100) AS text"), "asked")
     attempts = LP._attempt(answers, packed, 1, LP.LightPassOptions())
     assert attempts.count() == 2000 and "SortMergeJoin" in plan(attempts) and "BroadcastHashJoin" not in plan(attempts)
+
+
+def test_answers_that_hold_what_was_asked_are_judged_where_they_lie(spark):
+    from weirworks.plans import light_pass as LP
+    answers = spark.range(20).selectExpr("nullif(id, 3) AS task_id", "'an answer' AS response", "true AS ok", "1L AS tokens_used", "1L AS duration_ms",
+                                         "'t' AS tool", "5L AS estimated_tokens", "'python' AS expected_language")
+    packed = answers.selectExpr("task_id", "tool", "estimated_tokens", "expected_language")
+    attempts = LP._attempt(answers, packed, 1, LP.LightPassOptions())
+    assert attempts.count() == 19 and "Exchange" not in plan(attempts) and "Join" not in plan(attempts)
+    joined = LP._attempt(answers.drop("tool", "estimated_tokens", "expected_language"), packed, 1, LP.LightPassOptions())
+    assert joined.columns == attempts.columns and joined.orderBy("task_id").collect() == attempts.orderBy("task_id").collect()
+
+
+def test_estimates_do_not_gather_all_requests_of_a_tool(spark, sf_dir):
+    from weirworks.operators.learning import output_estimate
+    asked = spark.range(100).selectExpr("id AS task_id", "if(id < 90, 'generate_code', 'complete') AS tool", "2 AS task_complexity")
+    text = plan(output_estimate(asked, view(spark, sf_dir, "usage_log")))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text

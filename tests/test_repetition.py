@@ -64,3 +64,16 @@ def test_only_texts_with_a_window_that_stands_again_are_searched(monkeypatch):
     for unit in (50, 51, 63, 64, 97):
         for lead in range(0, 40, 3):
             assert R.text_has_triple(plain[:lead] + plain[1000:1000 + unit] * 3 + plain[100:100 + lead])
+
+
+def test_texts_of_short_lines_are_not_hashed(monkeypatch):
+    from weirworks.functions import repetition as R
+    hashed, again = [], R._stands_again
+    monkeypatch.setattr(R, "_stands_again", lambda line: hashed.append(len(line)) or again(line))
+    assert not R.text_has_triple("def run(a):\n    return a\n" * 60) and hashed == []
+    for end, n in (("\n", 149), ("\r", 149), ("\u2028", 74), ("\u2029", 74), ("\u00e9\n", 73)):
+        assert not R.text_has_triple(("x" * n + end) * 40) and hashed == []
+        assert R.text_has_triple(("x" * n + end) * 40 + "0123456789" * 15 + end)
+        hashed.clear()
+    # characters that take two units: 75 of them fill a line of 150
+    assert R.text_has_triple("short\n" * 30 + "".join(map(chr, range(0x1F600, 0x1F619))) * 3)

@@ -14,7 +14,7 @@ LANGUAGE_SIGNS = {
                Rx(r"{<}class{s}+\w+:", needs=("class",)), Rx(r"(?:\A|[\n\r\x{2028}\x{2029}]){s}*#", needs=("#",))],
     "javascript": [Rx(r"{<}function{s}+\w+\(", needs=("function",)), Rx(r"{<}const{s}+\w+{s}*=", needs=("const",)),
                    Rx(r"=>{s}*\{", needs=("=>",)), Rx(r"{<}require\(", needs=("require(",))],
-    "typescript": [Rx(r":{s}*(?:string|number|boolean){>}", needs=(":",)), Rx(r"{<}interface{s}+", needs=("interface",)),
+    "typescript": [Rx(r":{s}*(?:string|number|boolean){>}", needs=(":",), one_of=("string", "number", "boolean")), Rx(r"{<}interface{s}+", needs=("interface",)),
                    Rx(r"{<}type{s}+\w+{s}*=", needs=("type", "="))],
     "java": [Rx(r"{<}public{s}+(?:class|static|void)", needs=("public",)),
              Rx(r"System\.out\.print", needs=("System.out.print",))],
@@ -44,14 +44,19 @@ def first_marker(text: Column) -> Column:
 
 
 def count_of(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+    """How often an ASCII character occurs."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
+
+
+def left_open(text: Column, opener: str, closer: str) -> Column:
+    """More than two are left open; closers are counted only where there are more openers than that."""
+    opened = count_of(text, opener)
+    return (opened > 2) & (opened - count_of(text, closer) > 2)
 
 
 def incomplete(trimmed: Column) -> Column:
     """Cut off: trailing dots, or more than two blocks or calls left open."""
-    return (F.endswith(trimmed, F.lit("..."))
-            | (count_of(trimmed, "{") - count_of(trimmed, "}") > 2)
-            | (count_of(trimmed, "(") - count_of(trimmed, ")") > 2))
+    return F.endswith(trimmed, F.lit("...")) | left_open(trimmed, "{", "}") | left_open(trimmed, "(", ")")
 
 
 def sign_counts(text: Column) -> Column:
@@ -67,10 +72,18 @@ def wrong_language(counts: Column, expected: Column) -> Column:
     return F.coalesce((F.array_max(counts) >= 2) & (F.array_max(counts) > own), F.lit(False))
 
 
+NESTED = 4      # pairs nested up to this deep are taken out before the walk
+
+
 def unbalanced(code: Column, opener: str, closer: str) -> Column:
-    """The running depth falls below -2, or ends more than 2 away from zero."""
+    """The running depth falls below -2, or ends more than 2 away from zero.
+
+    A pair with nothing between moves neither the lowest nor the last depth, so such pairs go first.
+    """
     some = contains_any(code, [opener, closer])
     only = F.when(some, F.regexp_replace(code, f"[^\\{opener}\\{closer}]+", "")).otherwise("")
+    for _ in range(NESTED):
+        only = F.replace(only, F.lit(opener + closer), F.lit(""))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low"))
 
     def step(state, char):

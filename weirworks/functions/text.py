@@ -37,11 +37,11 @@ class Rx:
     without stepping back, which also keeps very long repeats off the stack.
     """
 
-    def __init__(self, source: str, ignore_case: bool = False, needs: tuple[str, ...] = ()):
+    def __init__(self, source: str, ignore_case: bool = False, needs: tuple[str, ...] = (), one_of: tuple[str, ...] = ()):
         self.source = source
         self.flags = "(?i)" if ignore_case else ""
-        # plain strings that every match contains: a quick search for them spares most texts the regex
-        self.needs = needs
+        # plain strings that every match contains (one of the second): a quick search for them spares most texts the regex
+        self.needs, self.one_of = needs, one_of
 
     def _common(self) -> str:
         return self.source.replace("{s}", f"[{SPACE}]").replace("{S}", not_space()).replace("{.}", NOT_EOL)
@@ -61,7 +61,8 @@ class Rx:
                              .replace("{w}", "").replace("{+}", "+"))
 
     def worth(self, text: Column) -> Column | None:
-        return reduce(and_, [F.contains(text, F.lit(n)) for n in self.needs]) if self.needs else None
+        parts = [F.contains(text, F.lit(n)) for n in self.needs] + ([contains_any(text, list(self.one_of))] if self.one_of else [])
+        return reduce(and_, parts) if parts else None
 
     def _guarded(self, text: Column, value: Column, default: Column) -> Column:
         worth = self.worth(text)

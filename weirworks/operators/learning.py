@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import signals as S
 from ..functions.text import to_fixed
-from .joins import lookup
+from .joins import fits_broadcast, lookup
 
 
 def success_cells(history: DataFrame) -> DataFrame:
@@ -84,9 +84,12 @@ def baseline(tool: Column, level: Column) -> Column:
 
 def output_estimate(requests: DataFrame, log: DataFrame, tool: str = "tool", level: str = "task_complexity",
                     key: str = "task_id") -> DataFrame:
-    """Expected output tokens per request: the tool's recorded mean plus a quarter, else its baseline."""
+    """Expected output tokens per request: the tool's recorded mean plus a quarter, else its baseline.
+
+    Few tools have very many requests each, so a short list of tools is broadcast.
+    """
     past = output_history(log).withColumnRenamed("tool", tool)
-    out = lookup(requests, past, tool, spread_by=key)
+    out = requests.join(F.broadcast(past), tool, "left") if fits_broadcast(past) else lookup(requests, past, tool, spread_by=key)
     guess = F.ceil(baseline(F.col(tool), F.col(level)) * F.lit(1.25)).cast("bigint")
     seen = F.col("_mean_tokens").isNotNull()
     return out.withColumns({

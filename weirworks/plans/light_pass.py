@@ -46,21 +46,23 @@ def light_pass(tasks: DataFrame, files: DataFrame, log: DataFrame, fn: Complete,
     routed = written(route(tasks, options.level, learner=learner), "routed")
     sized = output_estimate(routed, log)
     packed = written(render_prompt(pack_context(sized, files, options.context)), "packed")
+    known = ["tool", "estimated_tokens", *[c for c in OPTIONAL if c in packed.columns]]
     first = written(batch_complete(packed, fn, "task_id", max_tokens="estimated_tokens",
-                                   concurrency=options.concurrency), "first-answers")
+                                   concurrency=options.concurrency, keep=known), "first-answers")
     judge = lambda answers, number: attempt_verdicts(_attempt(answers, packed, number, options), options.gate, enabled=options.gate_enabled)
     judged = written(judge(first, 1), "first-verdicts")
     again = judged.where(F.col("a.should_retry") & F.lit(options.allow_retry)).select("task_id")
     retried = packed.join(again, "task_id", "left_semi")
     wider = render_prompt(expand_context(retried, options.context)).withColumn("_cap", F.lit(options.retry_max_tokens))
-    second = written(batch_complete(wider, fn, "task_id", max_tokens="_cap", concurrency=options.concurrency),
+    second = written(batch_complete(wider, fn, "task_id", max_tokens="_cap", concurrency=options.concurrency, keep=known),
                      "second-answers")
     settled = written(settle_attempts(judged.unionByName(judge(second, 2)), options.allow_retry), "settled")
     answers = first.withColumn("attempt_count", F.lit(1)).unionByName(second.withColumn("attempt_count", F.lit(2)))
     answers = answers.select("task_id", "attempt_count", "response")
-    kept = settled.where("resolved_locally").select("task_id", "attempt_count").join(answers.hint("merge"), ["task_id", "attempt_count"])
+    accepted = F.when(F.col("resolved_locally"), F.col("attempt_count")).alias("_attempt")
+    results = settled.select("*", accepted).join(answers.withColumnRenamed("attempt_count", "_attempt").hint("merge"), ["task_id", "_attempt"], "left")
     return {
-        "results": settled.join(kept.select("task_id", "response").hint("merge"), "task_id", "left"),
+        "results": results.select(*settled.columns, "response"),
         "escalations": escalation_payload(settled, packed.hint("merge")),
         "log": settled.where("logged").drop("logged", "failure_reasons", "checks_passed", "checks_total"),
         "decisions": routed,
@@ -68,9 +70,13 @@ def light_pass(tasks: DataFrame, files: DataFrame, log: DataFrame, fn: Complete,
 
 
 def _attempt(answers: DataFrame, packed: DataFrame, number: int, options: LightPassOptions) -> DataFrame:
-    """Attempt rows; a failed call has no response."""
+    """Attempt rows; a failed call has no response. Answers that hold what was asked need no join; tasks without an id count nowhere."""
     given = [c for c in OPTIONAL if c in packed.columns]
-    asked = packed.select("task_id", "tool", F.col("estimated_tokens").alias("expected_tokens"), *given)
-    return answers.hint("merge").join(asked, "task_id").select(
+    asked = ["tool", "estimated_tokens", *given]
+    if set(asked) <= set(answers.columns):
+        told = answers.where(F.col("task_id").isNotNull())
+    else:
+        told = answers.hint("merge").join(packed.select("task_id", *asked), "task_id")
+    return told.withColumnRenamed("estimated_tokens", "expected_tokens").select(
         "task_id", F.lit(number).alias("attempt_no"), F.when(F.col("ok"), F.col("response")).alias("response"),
         "tokens_used", "duration_ms", F.lit(options.model).alias("model"), "tool", "expected_tokens", *given)
